@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("pii", "decontaminate", "sharding", "url_filter")
+MODULES = ("langid", "pii", "decontaminate", "sharding", "url_filter")
 
 QUERIES: dict = {}
 ORACLES: dict = {}
