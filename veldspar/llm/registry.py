@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("tokenstore", "langid", "pii", "decontaminate", "sharding", "url_filter")
+MODULES = ("jaccard", "tokenstore", "langid", "pii", "decontaminate", "sharding", "url_filter")
 
 QUERIES: dict = {}
 ORACLES: dict = {}
