@@ -49,9 +49,11 @@ WINDOW = 16
 #: Text bytes of a pack, and the most packs (the manifest is what the driver sees).
 PACK_BYTES, MAX_PACKS = 32 << 20, 65_536
 #: Words whose ids a worker remembers before it forgets them all.
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 
-_ODD = re.compile(r"\s | \s|\A | \Z")
+_ODD = re.compile(r"\s | \s")
+#: The same for ASCII texts.
+_PAIRS = tuple(p for c in " \t\n\v\f\r\x1c\x1d\x1e\x1f" for p in (c + " ", " " + c))
 
 
 class Encoder:
@@ -74,30 +76,41 @@ class Encoder:
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.ids, self.at, self.n = np.empty(1 << 20, np.uint32), [0], 0
+        self.ids, self.n = np.empty(1 << 20, np.uint32), 0
+        self.at = np.zeros(REMEMBERED + 2, np.int64)
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def _learn(self, new: list[str]) -> None:
-        if not new:
-            return
-        ids = self.whole(" " + " ".join(new))
-        starts = np.flatnonzero(self.leads[ids])
-        if len(starts) != len(new) or (len(ids) and starts[0] != 0):
-            parts = [self.whole(" " + w) for w in new]
-            ids, ends = np.concatenate(parts), np.cumsum([len(p) for p in parts])
-        else:
-            ends = np.append(starts[1:], len(ids))
-        if self.n + len(ids) > len(self.ids):
-            self.ids = np.concatenate([self.ids[: self.n], ids, np.empty(len(self.ids), np.uint32)])
-        else:
+        """Encode new words, some dozens at a time as one text."""
+        for lo in range(0, len(new), 64):
+            part = new[lo : lo + 64]
+            ids = self.whole(" " + " ".join(part))
+            starts = np.flatnonzero(self.leads[ids])
+            if len(starts) != len(part) or starts[0] != 0:
+                parts = [self.whole(" " + w) for w in part]
+                ids, ends = np.concatenate(parts), np.cumsum([len(p) for p in parts])
+            else:
+                ends = np.append(starts[1:], len(ids))
+            while self.n + len(ids) > len(self.ids):
+                self.ids = np.concatenate([self.ids, np.empty(len(self.ids), np.uint32)])
             self.ids[self.n : self.n + len(ids)] = ids
-        base = len(self.at) - 1
-        self.at += (ends + self.n).tolist()
-        self.n += len(ids)
-        for i, w in enumerate(new):
-            self.known[w] = base + i
+            base = len(self.known)
+            while base + len(part) + 1 > len(self.at):
+                self.at = np.concatenate([self.at, np.empty(len(self.at), np.int64)])
+            self.at[base + 1 : base + 1 + len(part)] = ends + self.n
+            self.n += len(ids)
+            self.known.update(zip(part, range(base, base + len(part)), strict=True))
+
+    @staticmethod
+    def _plain(text: str) -> bool:
+        """Is every space a single one between two characters that are not white space?"""
+        if not text or text[0] == " " or text[-1] == " ":
+            return False
+        if text.isascii():
+            return not any(pair in text for pair in _PAIRS)
+        return not _ODD.search(text)
 
     def batch(self, texts: list[str]) -> Iterator[np.ndarray]:
         """The ids of each text."""
@@ -105,17 +118,21 @@ class Encoder:
             part = texts[lo : lo + 256]
             if len(self.known) > REMEMBERED:
                 self._forget()
-            split = [None if not t or _ODD.search(t) else t.split(" ") for t in part]
+            split = [t.split(" ") if self._plain(t) else None for t in part]
             known = self.known
-            self._learn(list({w: None for s in split if s for w in s[1:] if w not in known}))
-            at = np.array(self.at)
+            got = [[*map(known.get, s[1:])] if s else None for s in split]
+            gaps = [i for i, g in enumerate(got) if g and None in g]
+            self._learn(list({w: None for i in gaps for w, k in zip(split[i][1:], got[i], strict=True) if k is None}))
+            for i in gaps:
+                got[i] = [*map(known.__getitem__, split[i][1:])]
+            at = self.at
             heads = iter(self.tok.encode_batch_fast([s[0] if s else t for s, t in zip(split, part, strict=True)], add_special_tokens=False))
-            for s in split:
+            for g in got:
                 head = np.array(next(heads).ids, np.uint32)
-                if not s or len(s) == 1:
+                if not g:
                     yield head
                     continue
-                k = np.fromiter(map(known.__getitem__, s[1:]), np.int64, len(s) - 1)
+                k = np.array(g, np.int64)
                 a = at[k]
                 n = at[k + 1] - a
                 total = np.cumsum(n)
@@ -192,7 +209,7 @@ def encode(df: DataFrame, tokenizer_json: str, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(sent)
-        for b in batches:
+        for b in (x.slice(lo, 512) for x in batches for lo in range(0, x.num_rows, 512)):
             texts = b.column(1).to_pylist()
             rows: dict[str, list] = {k: [] for k in ("n_tokens", "digests", "lengths", "body")}
             for ids in enc.batch([t or "" for t in texts]):
@@ -293,7 +310,7 @@ def read(spark: SparkSession, path: str, width: int, with_ids: bool = False) ->
     rest = docs.where(some).join(pieces, ["pack", "place"], "left").select(*whole.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x.slice(lo, 512) for x in batches for lo in range(0, x.num_rows, 512)):
             crc, flat = [], []
             for d in b.to_pylist():
                 lengths = np.frombuffer(d["lengths"], "<u4").astype(np.int64)
