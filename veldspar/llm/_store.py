@@ -49,3 +49,10 @@ def discard(*tables: DataFrame) -> None:
             jvm = spark._jvm
             p = jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let Python workers see at most ``rows`` records at once: texts are long, workers small."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > rows:
+        spark.conf.set(key, str(rows))

@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._store import discard, materialize
+from ._store import discard, materialize, small_batches
 from ._text import SPACED, blocks, gram_hashes, mix, word_hashes, words
 from .components import connected_components
 
@@ -44,7 +44,7 @@ FREQUENT = 64
 #: Most shared prefix shingles asked for.
 MOST_MATCHES = 6
 #: Documents of a block, and postings held before they are sent on.
-BLOCK_DOCS, HELD = 512, 1_500_000
+BLOCK_DOCS, HELD = 512, 400_000
 #: Ids of documents to verify are broadcast up to so many; beyond that they are joined by shuffle.
 BROADCAST_IDS = 4_000_000
 NULL_ID = -(1 << 63)
@@ -383,6 +383,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def jaccard_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, key of every row; a, b of linked sets, enough to connect all that are linked)."""
     spark = df.sparkSession
+    small_batches(spark)
     src = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col(text_col).alias("text"))
     survey = materialize(src.mapInArrow(_survey, "doc_id long, n long, key long, sketch binary"), "survey")
     docs = survey.where("sketch is null").drop("sketch")

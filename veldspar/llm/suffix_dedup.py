@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._store import discard, materialize
+from ._store import discard, materialize, small_batches
 from ._text import blocks, mix
 from .suffix_array import permuted_common_prefixes, suffix_array
 
@@ -39,7 +39,7 @@ SPAN, GRAM = 50, 16
 #: Texts from which a minimizer's windows are dealt one by one; and the most such minimizers.
 COMMON, MOST_COMMON = 8192, 100_000
 #: Postings and text bytes a task holds before it sends them on.
-HELD, UNIT_BYTES = 1_500_000, 16 << 20
+HELD, UNIT_BYTES = 400_000, 12 << 20
 NULL_ID = -(1 << 63)
 EMPTY_SHA = hashlib.sha256(b"").digest()
 
@@ -368,6 +368,7 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     holds pairs of little-endian longs: start and end of each removed run, ascending.
     """
     spark = df.sparkSession
+    small_batches(spark)
     src = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col(text_col).alias("text"))
     buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     survey = materialize(src.mapInArrow(_survey(buckets), _SURVEY).groupBy("bucket", "kind").applyInArrow(_settle(buckets), _SURVEY), "minimizers", "kind")

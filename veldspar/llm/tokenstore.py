@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from ._store import discard, fresh_path, materialize
+from ._store import discard, fresh_path, materialize, small_batches
 
 END_ID = 2
 #: Ids a chunk has on average beyond the least, at least and at most.
@@ -196,6 +196,7 @@ def _encoder(sent) -> Encoder:
 def encode(df: DataFrame, tokenizer_json: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, pack_bytes: int = PACK_BYTES) -> tuple[DataFrame, int]:
     """The written table pack, uid, doc_id, n_tokens, digests, lengths, body (all ids), and the ids' width."""
     spark = df.sparkSession
+    small_batches(spark)
     src = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     size = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_packs = int(min(MAX_PACKS, max(1, -(-size // pack_bytes))))
