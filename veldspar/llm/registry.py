@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("jaccard", "tokenstore", "langid", "pii", "decontaminate", "sharding", "url_filter", "suffix_dedup")
+MODULES = ("jaccard", "tokenstore", "langid", "pii", "decontaminate", "sharding", "url_filter", "suffix_dedup", "vector_dedup")
 
 QUERIES: dict = {}
 ORACLES: dict = {}
