@@ -147,11 +147,11 @@ def digest(scanned: DataFrame, id_col: str = "doc_id") -> DataFrame:
     )
 
 
-def remove_spans(scanned: DataFrame, text_col: str = "text", drop_share: float = 0.5) -> DataFrame:
+def remove_spans(scanned: DataFrame, text_col: str = "text", drop_share: float = 0.5, length_col: str | None = None) -> DataFrame:
     """Cut the hit spans out of each text; drop texts of which at least ``drop_share`` of the words are hit.
 
     Clean texts come back byte for byte.  What is left on both sides of a cut is parted by a
-    line break, so a cut joins no words.
+    line break, so a cut joins no words.  ``length_col`` (characters) follows the texts that change.
     """
     fields = [f for f in scanned.schema.fields if f.name != "contamination"]
 
@@ -159,6 +159,7 @@ def remove_spans(scanned: DataFrame, text_col: str = "text", drop_share: float =
         for batch in batches:
             i = batch.schema.get_field_index(text_col)
             texts = batch.column(i).to_pylist()
+            sizes = batch.column(batch.schema.get_field_index(length_col)).to_pylist() if length_col else []
             for d, c in enumerate(batch.column(batch.schema.get_field_index("contamination")).to_pylist()):
                 if c["spans"]:
                     text, at, kept = texts[d].encode(), 0, []
@@ -166,7 +167,10 @@ def remove_spans(scanned: DataFrame, text_col: str = "text", drop_share: float =
                         kept.append(text[at : s["start"]])
                         at = s["end"]
                     texts[d] = b"\n".join([*kept, text[at:]]).decode()
-            columns = [pa.array(texts, batch.schema.field(i).type) if k == i else x for k, x in enumerate(batch.columns) if batch.schema.names[k] != "contamination"]
+                    if length_col:
+                        sizes[d] = len(texts[d])
+            new = {text_col: texts, length_col: sizes}
+            columns = [pa.array(new[f.name], f.type) if f.name in new else x for f, x in zip(batch.schema, batch.columns, strict=True) if f.name != "contamination"]
             yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
 
     c = F.col("contamination")

@@ -403,11 +403,14 @@ def jaccard_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``df`` without the rows that are linked to a row of a smaller id (all columns kept; rows without words stay)."""
+    """``df`` without the rows that are linked to a row of a smaller id.
+
+    All columns are kept; rows without words stay; rows that share an id stay or go together.
+    """
     c = jaccard_components(df.select(id_col, text_col), id_col, text_col)
-    drop = c.where(~F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_drop")).distinct()
-    kept = df.join(drop, df[id_col].eqNullSafe(drop["_drop"]), "left_anti")
-    return kept
+    drop = materialize(c.where(~F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_drop")).distinct(), "drop")
+    side = F.broadcast(drop) if drop.count() <= BROADCAST_IDS else drop
+    return df.join(side, df[id_col] == side["_drop"], "left_anti")
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
