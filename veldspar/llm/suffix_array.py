@@ -12,6 +12,9 @@ from __future__ import annotations
 
 import numpy as np
 
+#: Names from which a text of names is sorted by recursion; below, a few whole-array sorts are cheaper.
+SMALL = 1_000_000
+
 
 def classify(t: np.ndarray) -> np.ndarray:
     """True where the suffix is smaller than the next one; the last symbol must be the least and unique."""
@@ -26,15 +29,23 @@ def classify(t: np.ndarray) -> np.ndarray:
 def _deal(held: np.ndarray, head: np.ndarray, at: np.ndarray, symbol: np.ndarray) -> None:
     """Append positions to their symbols' buckets in ``held``, keeping their order."""
     if len(at) > 1:
-        order = symbol.astype(np.uint16).argsort(kind="stable")
+        order = symbol.argsort(kind="stable")
         at, symbol = at[order], symbol[order]
         first = np.empty(len(at), bool)
         first[0] = True
         np.not_equal(symbol[1:], symbol[:-1], out=first[1:])
         edge = first.nonzero()[0]
-        size = np.diff(edge, append=len(at))
-        held[(head[symbol[edge]] - edge).repeat(size) + np.arange(len(at))] = at
-        head[symbol[edge]] += size
+        size = np.empty(len(edge), np.int64)
+        size[:-1] = edge[1:]
+        size[-1] = len(at)
+        size -= edge
+        name = symbol[edge]
+        if len(edge) < 16:
+            for c, a, n in zip(name.tolist(), edge.tolist(), size.tolist(), strict=True):
+                held[head[c] : head[c] + n] = at[a : a + n]
+        else:
+            held[(head[name] - edge).repeat(size) + np.arange(len(at))] = at
+        head[name] += size
     else:
         held[head[symbol[0]]] = at[0]
         head[symbol[0]] += 1
@@ -42,50 +53,47 @@ def _deal(held: np.ndarray, head: np.ndarray, at: np.ndarray, symbol: np.ndarray
 
 def _induce(t: np.ndarray, s: np.ndarray, k: int, lms: np.ndarray) -> np.ndarray:
     """The suffix array induced by LMS positions that are in order within their buckets."""
-    larger, smaller = np.empty(int((~s).sum()), np.int64), np.empty(int(s.sum()), np.int64)
-    seeds = lms[np.argsort(t[lms].astype(np.uint16), kind="stable")]
+    larger, smaller = np.empty(int((~s).sum()), np.int32), np.empty(int(s.sum()), np.int32)
+    seeds = lms[np.argsort(t[lms].astype(np.uint16), kind="stable")].astype(np.int32)
     l_end, s_end = (np.cumsum(np.bincount(t[x], minlength=k)) for x in (~s, s))
     seed_end = np.cumsum(np.bincount(t[lms], minlength=k))
     l_head, s_head = np.concatenate([[0], l_end[:-1]]), np.concatenate([[0], s_end[:-1]])
     l_start, s_start, seed_start = l_head.tolist(), s_head.tolist(), [0, *seed_end[:-1].tolist()]
     l_stop, s_stop, seed_stop = l_end.tolist(), s_end.tolist(), seed_end.tolist()
+    # Symbol and type in one value, so that a position costs one lookup.  Before position 0 stands
+    # the end of the text (index -1), whose type takes it out in either direction.
+    both = (t.astype(np.uint16) << 1) | s
+
+    def deal(held: np.ndarray, head: np.ndarray, at: np.ndarray, kind: int) -> None:
+        j = at - 1
+        x = both[j]
+        on = (x & 1) == kind
+        j, x = j[on], x[on] >> 1
+        if len(j):
+            _deal(held, head, j, x)
+
     for c in range(k):
         at = l_start[c]
         # Positions of this bucket come in turns: a turn may induce into the bucket itself.
         while at < l_stop[c] and (to := int(l_head[c])) > at:
-            j = larger[at:to] - 1
+            deal(larger, l_head, larger[at:to], 0)
             at = to
-            j = j[j >= 0]
-            j = j[~s[j]]
-            if len(j):
-                _deal(larger, l_head, j, t[j])
         if seed_stop[c] > seed_start[c]:
-            j = seeds[seed_start[c] : seed_stop[c]] - 1
-            j = j[j >= 0]
-            j = j[~s[j]]
-            if len(j):
-                _deal(larger, l_head, j, t[j])
+            deal(larger, l_head, seeds[seed_start[c] : seed_stop[c]], 0)
     # The smaller ones are placed from each bucket's end; ``smaller`` holds every bucket backwards.
     smaller[0] = len(t) - 1
     s_head[t[-1]] += 1
+    both[-1] &= 0xFFFE
     for c in range(k - 1, -1, -1):
         at = s_start[c]
         while at < s_stop[c] and (to := int(s_head[c])) > at:
-            j = smaller[at:to] - 1
+            deal(smaller, s_head, smaller[at:to], 1)
             at = to
-            j = j[j >= 0]
-            j = j[s[j]]
-            if len(j):
-                _deal(smaller, s_head, j, t[j])
         if l_stop[c] > l_start[c]:
-            j = larger[l_start[c] : l_stop[c]][::-1] - 1
-            j = j[j >= 0]
-            j = j[s[j]]
-            if len(j):
-                _deal(smaller, s_head, j, t[j])
+            deal(smaller, s_head, larger[l_start[c] : l_stop[c]][::-1], 1)
     l_size, s_size = np.diff(l_end, prepend=0), np.diff(s_end, prepend=0)
     start = np.concatenate([[0], np.cumsum(l_size + s_size)[:-1]])
-    out = np.empty(len(t), np.int64)
+    out = np.empty(len(t), np.int32)
     out[np.arange(len(larger)) + np.repeat(start - np.array(l_start), l_size)] = larger
     # Backwards within the bucket: the m-th from its start goes to the m-th place from its end.
     out[np.repeat(start + l_size + s_size - 1 + np.array(s_start), s_size) - np.arange(len(smaller))] = smaller
@@ -116,17 +124,19 @@ def _names(t: np.ndarray, s: np.ndarray, order: np.ndarray, lms: np.ndarray) ->
 
 def _by_doubling(names: np.ndarray) -> np.ndarray:
     """Suffix order of a text whose last symbol is least and unique, by doubling the compared length."""
-    rank, width, n = names.copy(), 1, len(names)
+    rank, width, n = names.astype(np.int64), 1, len(names)
     while True:
-        nxt = np.full(n, -1, np.int64)
-        nxt[: n - width] = rank[width:] if width < n else nxt[:0]
-        order = np.lexsort((nxt, rank))
-        new = np.ones(n, bool)
-        new[1:] = (rank[order[1:]] != rank[order[:-1]]) | (nxt[order[1:]] != nxt[order[:-1]])
+        key = rank * (n + 1)
+        key[: n - width] += rank[width:] + 1
+        order = np.argsort(key)
+        sorted_key = key[order]
+        new = np.empty(n, bool)
+        new[0] = True
+        np.not_equal(sorted_key[1:], sorted_key[:-1], out=new[1:])
         rank[order] = np.cumsum(new) - 1
+        width *= 2
         if new.all() or width >= n:
             return order
-        width *= 2
 
 
 def suffix_array(t: np.ndarray, k: int) -> np.ndarray:
@@ -147,7 +157,7 @@ def suffix_array(t: np.ndarray, k: int) -> np.ndarray:
         half = (most.bit_length() + 1) // 2
         digits = np.empty(2 * len(lms) + 1, np.int64)
         digits[0:-1:2], digits[1:-1:2], digits[-1] = (name >> half) + 1, (name & ((1 << half) - 1)) + 1, 0
-        if len(lms) > 20_000 and len(digits) < 0.9 * n and half <= 9:
+        if len(lms) > SMALL and len(digits) < 0.9 * n and half <= 10:
             sub = suffix_array(digits, (1 << half) + 2)
             sub = sub[(sub % 2 == 0) & (sub < len(digits) - 1)] // 2
         else:
