@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import relational, statistics  # noqa: F401
+from .core import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
