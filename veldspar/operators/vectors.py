@@ -6,6 +6,7 @@ each query's k nearest within a pair; only k candidates per vector and block pai
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,22 +36,28 @@ def pack(df: DataFrame, id_col: str, vector: str, block: int = BLOCK) -> DataFra
     return src.groupBy("block").applyInArrow(run, "block int, ids array<long>, matrix binary")
 
 
+def _distances(x: np.ndarray, y: np.ndarray, metric: str, digits: int) -> np.ndarray:
+    if metric == "cosine":
+        d = 1 - (x @ y.T) / (np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1)[None, :])
+    else:
+        d = np.sqrt(np.maximum(((x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T), 0))
+    return np.round(d, digits)
+
+
+def _block_pairs(packed: DataFrame) -> DataFrame:
+    """Every pair of blocks: an all-pairs search stated as such; a row is two matrices of bounded size."""
+    right = packed.select(F.col("ids").alias("ids2"), F.col("matrix").alias("matrix2"))
+    return packed.drop("block").crossJoin(right).repartition(F.xxhash64("ids", "ids2"))
+
+
 def knn(df: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding", metric: str = "euclid", digits: int = 9) -> DataFrame:
     """id, neighbor, distance, rank: exact k nearest others, ties by id (GRF-01)."""
-    packed = pack(df, id_col, vector)
-    right = packed.select(F.col("block").alias("other"), F.col("ids").alias("ids2"), F.col("matrix").alias("matrix2"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
                 i, j = np.array(r["ids"]), np.array(r["ids2"])
-                x = np.frombuffer(r["matrix"]).reshape(len(i), -1)
-                y = np.frombuffer(r["matrix2"]).reshape(len(j), -1)
-                if metric == "cosine":
-                    d = 1 - (x @ y.T) / (np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1)[None, :])
-                else:
-                    d = np.sqrt(np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T, 0))
-                d = np.round(d, digits)
+                d = _distances(np.frombuffer(r["matrix"]).reshape(len(i), -1), np.frombuffer(r["matrix2"]).reshape(len(j), -1), metric, digits)
                 d[i[:, None] == j[None, :]] = np.inf
                 order = np.lexsort((np.broadcast_to(j, d.shape), d), axis=1)[:, : min(k, len(j))]
                 got = np.take_along_axis(d, order, axis=1)
@@ -58,13 +65,57 @@ def knn(df: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding"
                 rows = np.repeat(np.arange(len(i)), keep.sum(1))
                 yield pa.RecordBatch.from_arrays([pa.array(i[rows]), pa.array(j[order[keep]]), pa.array(got[keep])], names=["id", "neighbor", "distance"])
 
-    # A stated all-pairs search in blocks: every block pair is one row of bounded size.
-    pairs = packed.join(right.withColumn("on", F.lit(1)), F.lit(1) == F.col("on")).drop("on", "other", "block")
-    found = pairs.repartition(F.xxhash64("ids", "ids2")).mapInArrow(run, "id long, neighbor long, distance double")
+    found = _block_pairs(pack(df, id_col, vector)).mapInArrow(run, "id long, neighbor long, distance double")
     w = Window.partitionBy("id").orderBy("distance", "neighbor")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def within(df: DataFrame, radius: float, id_col: str = "vec_id", vector: str = "embedding", digits: int = 9) -> DataFrame:
+    """src < dst of all pairs no farther apart than the radius."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                i, j = np.array(r["ids"]), np.array(r["ids2"])
+                d = _distances(np.frombuffer(r["matrix"]).reshape(len(i), -1), np.frombuffer(r["matrix2"]).reshape(len(j), -1), "euclid", digits)
+                x, y = np.nonzero((d <= radius) & (i[:, None] < j[None, :]))
+                yield pa.RecordBatch.from_arrays([pa.array(i[x]), pa.array(j[y])], names=["src", "dst"])
+
+    return _block_pairs(pack(df, id_col, vector)).mapInArrow(run, "src long, dst long")
+
+
+def worst_rank(df: DataFrame, split: int, k: int, id_col: str = "vec_id", vector: str = "embedding", digits: int = 9) -> DataFrame:
+    """id, neighbor, worst: best k by the larger of the two views' ranks (DST-09).
+
+    Ranks need all others of a row: a query block meets all blocks in one task, a row at a time.
+    """
+    packed = pack(df, id_col, vector)
+    n = df.count()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                i, j = np.array(r["ids"]), np.concatenate([np.array(x["ids"]) for x in r["all"]])
+                x = np.frombuffer(r["matrix"]).reshape(len(i), -1)
+                y = np.concatenate([np.frombuffer(z["matrix"]).reshape(len(z["ids"]), -1) for z in r["all"]])
+                order = np.argsort(j)
+                j, y = j[order], y[order]
+                worst = np.zeros((len(i), len(j)), np.int64)
+                for part in (slice(0, split), slice(split, None)):
+                    d = _distances(x[:, part], y[:, part], "euclid", digits)
+                    d[i[:, None] == j[None, :]] = np.inf
+                    place = np.argsort(d, axis=1, kind="stable")
+                    rank = np.empty_like(place)
+                    np.put_along_axis(rank, place, np.broadcast_to(np.arange(1, len(j) + 1), place.shape), axis=1)
+                    worst = np.maximum(worst, rank)
+                worst[i[:, None] == j[None, :]] = len(j) + 1
+                top = np.argsort(worst, axis=1, kind="stable")[:, : min(k, n - 1)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(i, top.shape[1])), pa.array(j[top].ravel()), pa.array(np.take_along_axis(worst, top, axis=1).ravel())], names=["id", "neighbor", "worst"])
+
+    everything = packed.agg(F.collect_list(F.struct("ids", "matrix")).alias("all"))
+    return packed.crossJoin(F.broadcast(everything)).mapInArrow(run, "id long, neighbor long, worst long")
+
+
 def knn_overlap(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
     """id, overlap: share of k neighbours that two views have in common (GRF-11)."""
     both = a.select("id", "neighbor").join(b.select("id", "neighbor"), ["id", "neighbor"]).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
@@ -79,23 +130,23 @@ def affinity(neighbors: DataFrame, k: int, eps: float = 1e-12) -> DataFrame:
     return j.select("src", "dst", F.exp(-F.col("distance") * F.col("distance") / (F.col("s1") * F.col("s2") + eps)).alias("w"))
 
 
-def components(edges: DataFrame, nodes: DataFrame, checkpoint: bool = True) -> DataFrame:
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """checkpoint() in the shared folder of the session; a folder of its own only where none is set (tests)."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/veldspar-checkpoints"
+    spark.sparkContext.setCheckpointDir(folder)
+    return df.checkpoint()
+
+
+def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """id, component (least id reachable), by least labels with jumps through the label's own label (GRF-07)."""
-    both = edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    both = cut_lineage(edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
     label = nodes.select(F.col("id"), F.col("id").alias("component"))
-    if checkpoint and not nodes.sparkSession.conf.get("spark.checkpoint.dir", None):
-        import tempfile
-
-        nodes.sparkSession.sparkContext.setCheckpointDir(tempfile.mkdtemp())
-    elif checkpoint:
-        nodes.sparkSession.sparkContext.setCheckpointDir(nodes.sparkSession.conf.get("spark.checkpoint.dir"))
-    both = both.checkpoint() if checkpoint else both
     while True:
         near = both.join(label.select(F.col("id").alias("dst"), F.col("component").alias("c")), "dst").groupBy("src").agg(F.min("c").alias("c"))
         step = label.join(near.withColumnRenamed("src", "id"), "id", "left").select("id", F.least("component", "c").alias("component"), F.col("component").alias("old"))
         up = step.select(F.col("id").alias("component"), F.col("component").alias("top"))
-        new = step.join(up, "component", "left").select("id", F.coalesce("top", "component").alias("component"), "old")
-        new = new.checkpoint() if checkpoint else new
+        new = cut_lineage(step.join(up, "component", "left").select("id", F.coalesce("top", "component").alias("component"), "old"))
         if new.where("component <> old").isEmpty():
             return new.select("id", "component")
         label = new.select("id", "component")
