@@ -84,13 +84,13 @@ class Encoder:
 
     def _learn(self, new: list[str]) -> None:
         """Encode new words, some dozens at a time as one text."""
-        for lo in range(0, len(new), 64):
-            part = new[lo : lo + 64]
-            ids = self.whole(" " + " ".join(part))
+        parts = [new[lo : lo + 64] for lo in range(0, len(new), 64)]
+        for part, encoding in zip(parts, self.tok.encode_batch_fast([" " + " ".join(p) for p in parts], add_special_tokens=False), strict=True):
+            ids = np.array(encoding.ids, np.uint32)
             starts = np.flatnonzero(self.leads[ids])
             if len(starts) != len(part) or starts[0] != 0:
-                parts = [self.whole(" " + w) for w in part]
-                ids, ends = np.concatenate(parts), np.cumsum([len(p) for p in parts])
+                single = [self.whole(" " + w) for w in part]
+                ids, ends = np.concatenate(single), np.cumsum([len(x) for x in single])
             else:
                 ends = np.append(starts[1:], len(ids))
             while self.n + len(ids) > len(self.ids):
