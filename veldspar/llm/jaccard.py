@@ -7,7 +7,7 @@ a link.  Two sets that link share at least ``l`` of their first ``n - ceil(t n /
 shingles, for every ``l``.  Each document picks its own ``l``: the estimated cost of its
 candidates (how many documents hold the ``l``-th most frequent shingle of the prefix, times the
 verification) against the cost of the longer prefix.  A pair must share the smaller of its two
-``l`` within the prefixes of that ``l``.
+``l`` within the prefixes of that ``l``, and enough for what lies beyond them to reach the overlap.
 
 Frequent shingles never make pairs through the counting path.  A document that cannot fill its
 prefix without frequent shingles joins, per frequent shingle, blocks of documents; each pair of
@@ -38,7 +38,7 @@ from .components import connected_components
 
 SHINGLE, PERCENT = 5, 80
 #: The sketch: rows, and counters in a row (fixed size; wider for larger corpora if wished).
-SKETCH_ROWS, SKETCH_BITS = 2, 20
+SKETCH_ROWS, SKETCH_BITS = 2, 21
 #: A shingle counts as frequent from so many documents more than the sketch's noise.
 FREQUENT = 64
 #: Most shared prefix shingles asked for.
@@ -258,7 +258,10 @@ def _pairs(percent: int) -> Callable[[pa.Table], pa.Table]:
                 if good.any():
                     p = np.empty(int(good.sum()), _PAIR)
                     kx, ky = x["key"][good].view(np.int64), y["key"][good].view(np.int64)
-                    p["a"], p["b"], p["need"] = np.minimum(kx, ky), np.maximum(kx, ky), need[good]
+                    # Beyond the prefixes no more than the longer rest can be shared; the whole overlap must be reached.
+                    whole = -(-percent * (small[good] + large[good]) // (100 + percent))
+                    rest = -(-percent * large[good] // 100) - need[good]
+                    p["a"], p["b"], p["need"] = np.minimum(kx, ky), np.maximum(kx, ky), np.maximum(need[good], whole - rest)
                     found.append(p)
                 step += 1
         pairs, count = np.unique(np.concatenate(found), return_counts=True) if found else (np.empty(0, _PAIR), np.empty(0, np.int64))
