@@ -88,11 +88,15 @@ def quantile_bins(df: DataFrame, value: str, q: int, out: str = "bin") -> DataFr
     return df.withColumn(out, F.when(F.col(value).isNotNull(), b))
 
 
-def cut_bins(value: Column, edges: Sequence[float]) -> Column:
-    """Left-closed bins between edges, null outside (WIN-07)."""
+def cut_bins(value: Column, edges: Sequence[float], right: bool = False, include_lowest: bool = False) -> Column:
+    """Bins between edges, null outside (WIN-07); closed on the left, or on the right as ``cut`` has it."""
     b = F.lit(-1)
-    for e in edges:
-        b = b + F.when(value >= e, 1).otherwise(0)
+    for k, e in enumerate(edges):
+        above = value > e if right and not (include_lowest and k == 0) else value >= e
+        b = b + F.when(above, 1).otherwise(0)
+    if right:
+        low = value >= edges[0] if include_lowest else value > edges[0]
+        return F.when(low & (value <= edges[-1]), b)
     return F.when((value >= edges[0]) & (value < edges[-1]), b)
 
 

@@ -299,10 +299,10 @@ def derived_columns(t, spark):
 
 
 @query("""
-SELECT p_partkey, p_type FROM part WHERE p_type ILIKE '%steel%' AND p_size IN (1, 5, 9, 14, 23) AND p_retailprice BETWEEN 1000 AND 1800""")
+SELECT p_partkey, p_type FROM part WHERE p_type ILIKE '%stand%' AND p_size IN (1, 5, 9, 14, 23) AND p_retailprice BETWEEN 910 AND 980""")
 def literal_contains_filter(t, spark):
     """FLT-03, FLT-04, FLT-09: range, membership and substring predicates."""
-    return t("part").where(F.lower("p_type").contains("steel") & F.col("p_size").isin(1, 5, 9, 14, 23) & F.col("p_retailprice").between(1000, 1800)).select("p_partkey", "p_type")
+    return t("part").where(F.lower("p_type").contains("stand") & F.col("p_size").isin(1, 5, 9, 14, 23) & F.col("p_retailprice").between(910, 980)).select("p_partkey", "p_type")
 
 
 @query("""
