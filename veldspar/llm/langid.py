@@ -1,6 +1,6 @@
 """Language identification as mixture inference over character n-grams.
 
-Training counts hashed letter n-grams per language over labelled documents (at most
+Training counts hashed letter n-grams per language over labelled documents (about
 ``per_language`` of each language, lowest id hash first: a bound of the training only).  A text is
 a mixture of languages: expectation-maximisation estimates its proportions from the n-gram
 likelihoods, and the language set is chosen by penalised likelihood: of the nested sets of its
@@ -171,29 +171,22 @@ def _em(p: list[np.ndarray], k: np.ndarray, length: np.ndarray, size: np.ndarray
 
 
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, bits: int = BITS) -> LangModel:
-    """Count n-grams of at most ``per_language`` texts of each language (lowest id hash first).
+    """Count n-grams of about ``per_language`` texts of each language (all, if it has fewer; lowest id hash first).
 
     Each task counts what it reads into one dense vector per language; those are added up by
     block of n-grams, so what reaches the driver is the model itself.
     """
-    from pyspark.sql import Window
-
-    pick = Window.partitionBy("lang").orderBy("k", "id")
-    ids = (
-        labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-        .select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.xxhash64(id_col).alias("k"))
-        .withColumn("_n", F.row_number().over(pick))
-        .where(F.col("_n") <= per_language)
-        .groupBy("lang").agg(F.max("k").alias("top"))
-    )
-    limits = {r.lang: r.top for r in ids.collect()}
+    labelled = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
+    counts = labelled.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n")).collect()
+    # A share of the hash space that holds about ``per_language`` ids of each language.
+    limits = {r.lang: min((1 << 63) - 1, -(1 << 63) + (1 << 64) * per_language // r.n) for r in counts}
     languages = tuple(sorted(limits))
     if not languages:
         return LangModel((), np.zeros((1 << bits, 0)), bits)
     wanted = F.lit(False)
     for lang, top in limits.items():
         wanted = wanted | ((F.col(lang_col) == lang) & (F.xxhash64(id_col) <= F.lit(top)))
-    sample = labelled.where(F.col(text_col).isNotNull() & wanted).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    sample = labelled.where(wanted).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     index = {lang: i for i, lang in enumerate(languages)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
