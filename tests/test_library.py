@@ -190,3 +190,26 @@ def test_config_and_structure():
     assert cfg == {"a": 1, "list": [1, 2.5, "x"], "block": {"b": True, "c": "text"}, "d": None}
     s = tables.parse_structure(tables.format_structure("WSe2", [[3, 0, 0], [0, 3, 0], [0, 0, 9]], ["W", "Se", "Se"], [[1 / 3, 2 / 3, 0.5], [0, 0, 0.1], [0, 0, 0.9]]))
     assert s["species"] == ["W", "Se", "Se"] and s["coords"][2][2] == pytest.approx(0.9) and len(list(itertools.chain(*s["lattice"]))) == 9
+
+
+def test_worst_rank_by_shuffle(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    df = spark.createDataFrame([(i, [float(v) for v in rng.normal(size=6)]) for i in range(40)], "vec_id long, embedding array<double>")
+    want = set(vectors.worst_rank(df, 3, 4).collect())
+    monkeypatch.setattr(vectors, "BLOCK", 15)
+    monkeypatch.setattr(vectors, "BROADCAST_BYTES", 0)
+    assert set(vectors.worst_rank(df, 3, 4).collect()) == want and len(want) == 160
+
+
+def test_stream(spark, tmp_path):
+    from veldspar.streaming import curves
+
+    sf = "/root/testdata/sf0.001/events.parquet"
+    schema = spark.read.parquet(sf).schema.simpleString()[7:-1].replace(":", " ")
+    spark.read.parquet(sf).repartition(3).write.parquet(f"{tmp_path}/in")
+    q = curves.append_to(curves.windowed_profile(curves.read_events(spark, f"{tmp_path}/in", schema, 3)), f"{tmp_path}/out", f"{tmp_path}/ck")
+    q.awaitTermination(120)
+    got = {(r.start, r.event_type): r.n for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    e = spark.read.parquet(sf).where("value is not null").withColumn("ts", F.col("ts").cast("timestamp"))
+    want = {(r.window.start, r.event_type): r.n for r in e.groupBy(F.window("ts", "1 day"), "event_type").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert got and all(want[k] == n for k, n in got.items())

@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = 1024
+#: Bytes of vectors that a ranking over all others may broadcast; beyond, they go through a shuffle.
+BROADCAST_BYTES = 64 << 20
 
 
 def standard_scale(df: DataFrame, *cols: str) -> DataFrame:
@@ -113,7 +115,12 @@ def worst_rank(df: DataFrame, split: int, k: int, id_col: str = "vec_id", vector
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(i, top.shape[1])), pa.array(j[top].ravel()), pa.array(np.take_along_axis(worst, top, axis=1).ravel())], names=["id", "neighbor", "worst"])
 
     everything = packed.agg(F.collect_list(F.struct("ids", "matrix")).alias("all"))
-    return packed.crossJoin(F.broadcast(everything)).mapInArrow(run, "id long, neighbor long, worst long")
+    size = packed.agg(F.sum(F.octet_length("matrix"))).first()[0] or 0
+    if size <= BROADCAST_BYTES:
+        return packed.crossJoin(F.broadcast(everything)).mapInArrow(run, "id long, neighbor long, worst long")
+    # Each query block gathers the other blocks in a task of its own.
+    gathered = _block_pairs(packed).groupBy("ids", "matrix").agg(F.collect_list(F.struct(F.col("ids2").alias("ids"), F.col("matrix2").alias("matrix"))).alias("all"))
+    return gathered.mapInArrow(run, "id long, neighbor long, worst long")
 
 
 def knn_overlap(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
