@@ -15,7 +15,8 @@ def ship(spark) -> None:
     if app in _SHIPPED:
         return
     here = os.path.dirname(os.path.abspath(__file__))
-    path = os.path.join(tempfile.mkdtemp(prefix="veldspar-"), "veldspar.zip")
+    # The resolved path: the JVM may see the temp folder under another name.
+    path = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="veldspar-")), "veldspar.zip")
     with zipfile.ZipFile(path, "w") as z:
         for folder, _, names in os.walk(here):
             for n in sorted(names):

@@ -258,3 +258,25 @@ def bootstrap_ci(t, spark):
 def permutation_z(t, spark):
     """STA-06: mean difference against random labels."""
     return stats.permutation_z(t("orders"), "o_totalprice", F.col("o_orderpriority") == "1-URGENT", "o_orderkey", 100)
+
+
+@query("""
+WITH f AS (SELECT (l_suppkey % 5)::INT AS fold, l_quantity AS x, l_extendedprice AS y FROM lineitem), k AS (SELECT DISTINCT fold FROM f),
+m AS (SELECT k.fold, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM f JOIN k ON f.fold <> k.fold GROUP BY 1)
+SELECT fold, count(*) AS n, round(avg(abs(y - a - b * x)), 3) AS mae, round(sqrt(avg((y - a - b * x) ** 2)), 3) AS rmse FROM f JOIN m USING (fold) GROUP BY 1""")
+def oof_ridge_scores(t, spark):
+    """MOD-02..04, STA-14: out-of-fold regression, all folds from one pass of sums."""
+    from ..operators import models
+
+    f = t("lineitem").select(screen.group_folds(F.col("l_suppkey"), 5).alias("fold"), "l_quantity", "l_extendedprice")
+    p = models.oof_ridge(f, "fold", "l_extendedprice", ["l_quantity"])
+    e = F.col("l_extendedprice") - F.col("pred")
+    return p.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.abs(e)), 3).alias("mae"), F.round(F.sqrt(F.avg(e * e)), 3).alias("rmse"))
+
+
+@query("WITH t AS (SELECT sum(l_quantity) AS s, count(*) AS n FROM lineitem) SELECT l_returnflag, round((any_value(t.s) - sum(l_quantity)) / (any_value(t.n) - count(*)), 6) AS mean_without FROM lineitem, t GROUP BY 1")
+def jackknife_groups(t, spark):
+    """STA-10: the mean without each group."""
+    from ..operators import models
+
+    return models.jackknife(t("lineitem"), "l_quantity", "l_returnflag").select("l_returnflag", r(F.col("mean_without")).alias("mean_without"))
