@@ -72,6 +72,8 @@ class Encoder:
         self.leads = np.zeros(max(vocab.values()) + 1, bool)
         self.leads[[i for s, i in vocab.items() if s.startswith("Ġ")]] = True
         self.width = 2 if len(self.leads) <= 1 << 16 else 4
+        # Marks that are one id by themselves.
+        self.marks = {c: x[0] for c in ".," if len(x := self.whole(c)) == 1}
         self._forget()
 
     def _forget(self) -> None:
@@ -83,7 +85,42 @@ class Encoder:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def _learn(self, new: list[str]) -> None:
-        """Encode new words, some dozens at a time as one text."""
+        """Ids of new words: of a word and a mark after it, those of the word and those of the mark.
+
+        A letter or digit and a mark never share a piece, so only words without a mark go to the library.
+        """
+        bare: dict[str, None] = {}
+        marked: list[str] = []
+        for w in new:
+            if w[-1] in self.marks and w[-2:-1].isalnum():
+                marked.append(w)
+                if w[:-1] not in self.known:
+                    bare[w[:-1]] = None
+            else:
+                bare[w] = None
+        self._encode(list(bare))
+        if marked:
+            k = np.array([self.known[w[:-1]] for w in marked])
+            a, n = self.at[k], self.at[k + 1] - self.at[k]
+            ends = np.cumsum(n + 1)
+            ids = np.empty(ends[-1], np.uint32)
+            ids[ends - 1] = [self.marks[w[-1]] for w in marked]
+            ids[np.arange(n.sum()) + np.repeat(np.arange(len(n)), n)] = self.ids[np.arange(n.sum()) + np.repeat(a - np.cumsum(n) + n, n)]
+            self._keep(marked, ids, ends)
+
+    def _keep(self, words: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
+        while self.n + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.empty(len(self.ids), np.uint32)])
+        self.ids[self.n : self.n + len(ids)] = ids
+        base = len(self.known)
+        while base + len(words) + 1 > len(self.at):
+            self.at = np.concatenate([self.at, np.empty(len(self.at), np.int64)])
+        self.at[base + 1 : base + 1 + len(words)] = ends + self.n
+        self.n += len(ids)
+        self.known.update(zip(words, range(base, base + len(words)), strict=True))
+
+    def _encode(self, new: list[str]) -> None:
+        """Encode words, some dozens at a time as one text."""
         parts = [new[lo : lo + 64] for lo in range(0, len(new), 64)]
         for part, encoding in zip(parts, self.tok.encode_batch_fast([" " + " ".join(p) for p in parts], add_special_tokens=False), strict=True):
             ids = np.array(encoding.ids, np.uint32)
@@ -93,15 +130,7 @@ class Encoder:
                 ids, ends = np.concatenate(single), np.cumsum([len(x) for x in single])
             else:
                 ends = np.append(starts[1:], len(ids))
-            while self.n + len(ids) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.empty(len(self.ids), np.uint32)])
-            self.ids[self.n : self.n + len(ids)] = ids
-            base = len(self.known)
-            while base + len(part) + 1 > len(self.at):
-                self.at = np.concatenate([self.at, np.empty(len(self.at), np.int64)])
-            self.at[base + 1 : base + 1 + len(part)] = ends + self.n
-            self.n += len(ids)
-            self.known.update(zip(part, range(base, base + len(part)), strict=True))
+            self._keep(part, ids, ends)
 
     @staticmethod
     def _plain(text: str) -> bool:
