@@ -213,3 +213,29 @@ def test_stream(spark, tmp_path):
     e = spark.read.parquet(sf).where("value is not null").withColumn("ts", F.col("ts").cast("timestamp"))
     want = {(r.window.start, r.event_type): r.n for r in e.groupBy(F.window("ts", "1 day"), "event_type").agg(F.count(F.lit(1)).alias("n")).collect()}
     assert got and all(want[k] == n for k, n in got.items())
+
+
+def test_models(spark):
+    from veldspar.operators import models
+
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(150, 2))
+    y = x @ [2.0, -1.0] + 0.5 + rng.normal(size=150) * 0.1
+    rows = [(i, i % 5, float(a), float(b), float(c), int(c > 0.5)) for i, ((a, b), c) in enumerate(zip(x, y, strict=True))]
+    df = spark.createDataFrame(rows, "id long, fold int, a double, b double, y double, hot int")
+    got = {r.id: r.pred for r in models.oof_ridge(df, "fold", "y", ["a", "b"], 0.7).collect()}
+    for f in range(5):
+        on = np.arange(150) % 5 != f
+        A = np.c_[np.ones(on.sum()), x[on]]
+        w = np.linalg.solve(A.T @ A + np.diag([0, 0.7, 0.7]), A.T @ y[on])
+        for i in np.flatnonzero(~on):
+            assert got[int(i)] == pytest.approx(w[0] + x[i] @ w[1:])
+    assert models.scores(models.oof_ridge(df, "fold", "y", ["a", "b"]), "y", "pred").first().r2 > 0.99
+    assert models.logistic(df, "hot", ["a", "b"]).where((F.col("p") > 0.5) == (F.col("hot") == 1)).count() > 130
+    edges = {"u": spark.createDataFrame([(1, 2, 2.0), (2, 3, 4.0)], "src long, dst long, w double"), "v": spark.createDataFrame([(2, 3, 1.0)], "src long, dst long, w double")}
+    assert models.unit_strength(edges["u"]).agg(F.sum("w")).first()[0] == pytest.approx(6 / 4)
+    s = models.supra_edges(edges, 0.3).where("layer <> other").collect()
+    assert {(r.src, r.w) for r in s} == {(2, 0.3), (3, 0.3)}
+    ring = np.roll(np.eye(6), 1, 0) + np.roll(np.eye(6), -1, 0)
+    assert models.diffusion_map(ring).shape == (6, 2)
+    assert one(df.limit(1), models.readiness(("ok", F.lit(True)), ("bad", F.lit(False)), ("unknown", F.lit(None).cast("boolean")))) == ["bad", "unknown"]
