@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._store import small_batches
 from ._text import ALNUM, LOWER, blocks, gram_hashes, word_hashes, words
 
 WINDOW = 10
@@ -109,6 +110,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id:
     One pass over the texts per set, no shuffle; several sets are scanned by the same tasks
     one after another, so a large benchmark costs time and not memory.
     """
+    small_batches(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     sent: list[Broadcast] = [sc.broadcast(s) for s in _sets(benchmark, item_id, item_text, n, max_windows)]
     out_schema = T.StructType([*docs.schema.fields, T.StructField("contamination", _SCAN)])

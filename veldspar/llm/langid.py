@@ -26,14 +26,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._store import small_batches
 from ._text import mix, raw
 
 BITS = 15
 PER_LANGUAGE = 2000
 EM_STEPS = 12
 SMOOTH = 0.5
-#: Code points of one EM block.
-BLOCK = 1 << 20
+#: Bytes of one EM block.
+BLOCK = 1 << 19
 
 _LETTER: dict[str, np.ndarray] = {}
 
@@ -176,6 +177,7 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     Each task counts what it reads into one dense vector per language; those are added up by
     block of n-grams, so what reaches the driver is the model itself.
     """
+    small_batches(labelled.sparkSession)
     labelled = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     counts = labelled.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n")).collect()
     # A share of the hash space that holds about ``per_language`` ids of each language.
@@ -213,6 +215,7 @@ def identify(df: DataFrame, model: LangModel, text_col: str = "text") -> DataFra
     log-likelihood of an n-gram under the mixture.  The model (2 ** bits rows of a few floats)
     is broadcast once.
     """
+    small_batches(df.sparkSession)
     sent = df.sparkSession.sparkContext.broadcast(model)
     kind = T.StructType().add("lang", "string").add("score", "double").add("languages", T.ArrayType(T.StringType())).add("proportions", T.ArrayType(T.DoubleType())).add("fit", "double")
     arrow = pa.struct([("lang", pa.string()), ("score", pa.float64()), ("languages", pa.list_(pa.string())), ("proportions", pa.list_(pa.float64())), ("fit", pa.float64())])

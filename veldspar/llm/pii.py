@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._store import small_batches
+
 KINDS = ("email", "ip", "card", "phone", "iban", "phone_local")
 BASE = KINDS[:4]
 _ORDER = {k: i for i, k in enumerate(KINDS)}
@@ -136,6 +138,7 @@ _SPAN_ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()),
 
 def detect(df: DataFrame, text_col: str = "text", min_score: float = MIN_SCORE, redacted: bool = False) -> DataFrame:
     """``df`` with ``pii`` (all spans) and, if asked for, ``redacted`` (the text without them). No shuffle."""
+    small_batches(df.sparkSession)
     fields = [*df.schema.fields, T.StructField("pii", _SPAN), *([T.StructField("redacted", T.StringType())] if redacted else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
