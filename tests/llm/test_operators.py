@@ -283,6 +283,8 @@ def test_decontaminate(spark, texts, most):
             assert clean[i] == t
         elif i in clean:
             assert brute_windows(clean[i], items[:1])[1] == 0
+    once = decontaminate.clean(frame(spark, texts).select("doc_id", "text", "n"), bench, length_col="n", max_windows=most)
+    assert {r.doc_id: r.text for r in once.collect()} == clean
     assert decontaminate.scan(frame(spark, texts).limit(0), bench).count() == 0
 
 

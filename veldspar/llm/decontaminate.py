@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._store import small_batches
+from ._store import small_batches, trimmed
 from ._text import ALNUM, LOWER, blocks, gram_hashes, word_hashes, words
 
 WINDOW = 10
@@ -110,10 +110,14 @@ def scan(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id:
     One pass over the texts per set, no shuffle; several sets are scanned by the same tasks
     one after another, so a large benchmark costs time and not memory.
     """
+    run = _scanner(docs, benchmark, text_col, item_id, item_text, n, max_windows)
+    return docs.mapInArrow(trimmed(run), T.StructType([*docs.schema.fields, T.StructField("contamination", _SCAN)]))
+
+
+def _scanner(docs: DataFrame, benchmark: DataFrame, text_col: str, item_id: str, item_text: str, n: int, max_windows: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     small_batches(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     sent: list[Broadcast] = [sc.broadcast(s) for s in _sets(benchmark, item_id, item_text, n, max_windows)]
-    out_schema = T.StructType([*docs.schema.fields, T.StructField("contamination", _SCAN)])
     arrow_type = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
 
     def merged(parts: list[tuple], texts: pa.Array, d: int) -> dict:
@@ -138,7 +142,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id:
             rows = [merged([p[d] for p in passes], texts, d) for d in range(len(texts))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, arrow_type)], names=[*batch.schema.names, "contamination"])
 
-    return docs.mapInArrow(run, out_schema)
+    return run
 
 
 def digest(scanned: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -149,6 +153,28 @@ def digest(scanned: DataFrame, id_col: str = "doc_id") -> DataFrame:
     )
 
 
+def _cut(batch: pa.RecordBatch, text_col: str, drop_share: float, length_col: str | None) -> pa.RecordBatch:
+    """A scanned batch without its hit spans, its mostly hit texts and the column that told of them."""
+    i = batch.schema.get_field_index(text_col)
+    texts = batch.column(i).to_pylist()
+    sizes = batch.column(batch.schema.get_field_index(length_col)).to_pylist() if length_col else []
+    keep = []
+    for d, c in enumerate(batch.column(batch.schema.get_field_index("contamination")).to_pylist()):
+        keep.append(c["n_hit"] == 0 or c["n_hit"] < drop_share * c["n_words"])
+        if c["spans"] and keep[-1]:
+            text, at, kept = texts[d].encode(), 0, []
+            for s in c["spans"]:
+                kept.append(text[at : s["start"]])
+                at = s["end"]
+            texts[d] = b"\n".join([*kept, text[at:]]).decode()
+            if length_col:
+                sizes[d] = len(texts[d])
+    new = {text_col: texts, length_col: sizes}
+    fields = [f for f in batch.schema if f.name != "contamination"]
+    columns = [pa.array(new[f.name], f.type) if f.name in new else batch.column(batch.schema.get_field_index(f.name)) for f in fields]
+    return pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields]).filter(pa.array(keep, pa.bool_()))
+
+
 def remove_spans(scanned: DataFrame, text_col: str = "text", drop_share: float = 0.5, length_col: str | None = None) -> DataFrame:
     """Cut the hit spans out of each text; drop texts of which at least ``drop_share`` of the words are hit.
 
@@ -159,25 +185,20 @@ def remove_spans(scanned: DataFrame, text_col: str = "text", drop_share: float =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            i = batch.schema.get_field_index(text_col)
-            texts = batch.column(i).to_pylist()
-            sizes = batch.column(batch.schema.get_field_index(length_col)).to_pylist() if length_col else []
-            for d, c in enumerate(batch.column(batch.schema.get_field_index("contamination")).to_pylist()):
-                if c["spans"]:
-                    text, at, kept = texts[d].encode(), 0, []
-                    for s in c["spans"]:
-                        kept.append(text[at : s["start"]])
-                        at = s["end"]
-                    texts[d] = b"\n".join([*kept, text[at:]]).decode()
-                    if length_col:
-                        sizes[d] = len(texts[d])
-            new = {text_col: texts, length_col: sizes}
-            columns = [pa.array(new[f.name], f.type) if f.name in new else x for f, x in zip(batch.schema, batch.columns, strict=True) if f.name != "contamination"]
-            yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
+            yield _cut(batch, text_col, drop_share, length_col)
 
-    c = F.col("contamination")
-    kept = scanned.where((c.n_hit == 0) | (c.n_hit < F.lit(drop_share) * c.n_words))
-    return kept.mapInArrow(run, T.StructType(fields))
+    return scanned.mapInArrow(run, T.StructType(fields))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", drop_share: float = 0.5, length_col: str | None = None, n: int = WINDOW, max_windows: int = MAX_WINDOWS) -> DataFrame:
+    """:func:`scan` and :func:`remove_spans` in one pass of one worker."""
+    run = _scanner(docs, benchmark, text_col, "item_id", "text", n, max_windows)
+
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in run(batches):
+            yield _cut(batch, text_col, drop_share, length_col)
+
+    return docs.mapInArrow(trimmed(both), docs.schema)
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

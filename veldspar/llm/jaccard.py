@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._store import discard, materialize, small_batches
+from ._store import discard, materialize, small_batches, trimmed
 from ._text import SPACED, blocks, gram_hashes, mix, word_hashes, words
 from .components import connected_components
 
@@ -363,7 +363,7 @@ def _bodies(src: DataFrame, wanted: DataFrame) -> DataFrame:
                 at = np.flatnonzero(keys == want)
                 yield pa.RecordBatch.from_arrays([pa.array(want[at]), pa.array([zstandard.compress(body[offsets[i] : offsets[i + 1]].tobytes(), 3) for i in at], pa.binary())], names=["key", "body"])
 
-    found = src.join(side, "doc_id").select("key", "text").mapInArrow(run, "key long, body binary")
+    found = src.join(side, "doc_id").select("key", "text").mapInArrow(trimmed(run), "key long, body binary")
     return found
 
 
@@ -388,11 +388,11 @@ def jaccard_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = df.sparkSession
     small_batches(spark)
     src = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col(text_col).alias("text"))
-    survey = materialize(src.mapInArrow(_survey, "doc_id long, n long, key long, sketch binary"), "survey")
+    survey = materialize(src.mapInArrow(trimmed(_survey), "doc_id long, n long, key long, sketch binary"), "survey")
     docs = survey.where("sketch is null").drop("sketch")
     sent = spark.sparkContext.broadcast(_merged_sketch(survey.where("sketch is not null").select("sketch")))
     buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    index = materialize(src.select("text").mapInArrow(_index(sent, buckets), "bucket long, postings binary, token long, key long"), "index")
+    index = materialize(src.select("text").mapInArrow(trimmed(_index(sent, buckets)), "bucket long, postings binary, token long, key long"), "index")
     pairs = index.where("bucket is not null").select("bucket", "postings").groupBy("bucket").applyInArrow(_pairs(percent), "a long, b long, need long, got long")
     pairs = materialize(pairs.groupBy("a", "b").agg(F.max("need").alias("need"), F.sum("got").alias("got")).where("got >= need").select("a", "b"), "pairs")
     cells = materialize(_block_pairs(index.where("token is not null").select("token", "key").distinct()), "cells")
@@ -400,7 +400,7 @@ def jaccard_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     wanted = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).union(cells.select("key")).distinct()
     bodies = materialize(_bodies(src, docs.where("n > 0").join(wanted, "key").select("key", "doc_id")).dropDuplicates(["key"]), "bodies")
     both = pairs.join(bodies.select(F.col("key").alias("a"), F.col("body").alias("left")), "a").join(bodies.select(F.col("key").alias("b"), F.col("body").alias("right")), "b")
-    exact = both.select("a", "b", "left", "right").mapInArrow(_verify_pairs(percent), "a long, b long")
+    exact = both.select("a", "b", "left", "right").mapInArrow(trimmed(_verify_pairs(percent)), "a long, b long")
     dense = cells.join(bodies, "key").groupBy("cell").applyInArrow(_verify_cell(percent), "a long, b long")
     return docs, exact.union(dense)
 

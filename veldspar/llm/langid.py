@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._store import small_batches
+from ._store import small_batches, trimmed
 from ._text import mix, raw
 
 BITS = 15
@@ -201,7 +201,7 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
             cols = np.flatnonzero(total[i])
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cols), i)), pa.array(cols), pa.array(total[i, cols])], names=["l", "g", "c"])
 
-    counts = sample.mapInArrow(count, "l long, g long, c double").groupBy("l", "g").agg(F.sum("c").alias("c")).toArrow()
+    counts = sample.mapInArrow(trimmed(count), "l long, g long, c double").groupBy("l", "g").agg(F.sum("c").alias("c")).toArrow()
     table = np.zeros((1 << bits, len(languages)))
     table[counts["g"].to_numpy(), counts["l"].to_numpy()] = counts["c"].to_numpy()
     prob = table + SMOOTH
@@ -232,7 +232,7 @@ def identify(df: DataFrame, model: LangModel, text_col: str = "text") -> DataFra
                 rows.append({"lang": m.languages[on[0]], "score": float(min(1.0, pi[on[0]])), "languages": [m.languages[i] for i in on], "proportions": [float(pi[i]) for i in on], "fit": float(fit)})
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rows, arrow)], names=[*b.schema.names, "language"])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("language", kind)]))
+    return df.mapInArrow(trimmed(run), T.StructType([*df.schema.fields, T.StructField("language", kind)]))
 
 
 def held_out(id_col: str = "doc_id") -> Column:
