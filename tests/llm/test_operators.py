@@ -246,6 +246,45 @@ def test_mixing_meets_targets(spark):
     assert (r >= 0).all() and np.abs((r * n) @ p - targets).max() <= 0.01 * targets.sum()
 
 
+def posterior_table(spark, n, p):
+    return spark.createDataFrame([(i, int(k), [float(v) for v in q]) for i, (k, q) in enumerate(zip(n, p, strict=True))], "doc_id long, n_tokens long, posterior array<double>")
+
+
+def fitted(table, targets):
+    pulls, even = mixing.fit_rates(table, targets)
+    return np.array([x.rate for x in table.withColumn("rate", mixing.rate_column(pulls, even, mixing.RIDGE)).orderBy("doc_id").collect()])
+
+
+def test_mixing_meets_each_target(spark, recwarn):
+    """The production shares: each domain within the tolerance of its own target, many rates at 0."""
+    rng = np.random.default_rng(8)
+    p = np.concatenate([rng.dirichlet([20, 1, 0.4], 700), rng.dirichlet([3, 3, 0.4], 60), rng.dirichlet([1, 0.5, 20], 100)])
+    n = rng.integers(1, 500, len(p))
+    table = posterior_table(spark, n, p)
+    targets = mixing.default_targets(table, mixing.SHARES, mixing.DOMAINS)
+    r = fitted(table, targets)
+    assert (r >= 0).all() and (r == 0).mean() > 0.1
+    assert (np.abs((r * n) @ p - targets) <= mixing.TOLERANCE * targets).all()
+    assert not [w for w in recwarn if "targets" in str(w.message)]
+
+
+def test_mixing_says_what_it_can_not_meet(spark):
+    n, p = np.array([10, 20, 30]), np.array([[0.5, 0.4, 0.1], [0.6, 0.3, 0.1], [0.3, 0.6, 0.1]])
+    table = posterior_table(spark, n, p)
+    targets = np.array([30.0, 29.0, 1.0])
+    with pytest.warns(UserWarning, match="no rates found"):
+        r = fitted(table, targets)
+    # Stationary: no row's rate would lower the squares of the gaps.
+    slope = p @ ((r * n) @ p - targets) / targets.sum()
+    assert (slope > -1e-4).all() and np.abs(slope[r > 0]).max() < 1e-4
+    even = posterior_table(spark, n, np.full((3, 3), 1 / 3))
+    with pytest.warns(UserWarning, match="no rates found"):
+        r = fitted(even, targets)
+    assert np.ptp(r) == 0 and abs((r * n).sum() / targets.sum() - 1) < 1e-4
+    with pytest.raises(RuntimeError, match="did not converge"):
+        mixing.fit_rates(table, targets, most_passes=1)
+
+
 def test_mixing_edges(spark):
     docs = spark.createDataFrame([(1, "good words here"), (2, None), (3, ""), (4, "bad nasty words")], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, domain string")

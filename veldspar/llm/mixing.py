@@ -2,16 +2,17 @@
 
 1.  A classifier trained on the labelled table (at most ``max_labelled`` rows, lowest hash first; a
     bound of the training only) gives every document its posterior over the domains.
-2.  Projected gradient steps fit nonnegative rates r by least squares: the expected tokens of
-    domain k, sum(r * tokens * p_k), against its target.  A step needs one K-vector from all
-    documents (a grouped sum over the narrow posterior table) and gives one K-vector back; a
-    document's rate is the fold of those vectors over its own posterior, so no state is kept.  The
-    residual is weighted by the inverse Gram matrix of the posteriors, which makes the steps well
-    conditioned; a small ridge towards the even rate makes the solution unique.
+2.  Nonnegative rates r are the nearest to the even rate (by tokens) whose expected tokens of every
+    domain k, sum(r * tokens * p_k), meet its target.  They are max(0, even - p . m) for K
+    multipliers m, so no state is kept; m is found by Newton steps on the dual, which is convex
+    and piecewise quadratic.  A pass needs K + K * K + 1 sums from all documents (a global sum over
+    the narrow posterior table) and nothing else.  It ends when the optimum is reached and raises
+    if it is not.  A ridge on m, moved along until it has no effect, settles targets that no rates
+    can meet: the least squares of the gaps, with a warning that names them.
 3.  A rate becomes whole copies: its floor, and one more with the probability of the rest, by a
     hash of the id.
 
-Defined results: a null or empty text has no tokens, the prior as posterior and the even rate;
+Defined results: a null or empty text has no tokens, the prior as posterior and the rate of that;
 labels without a document, and documents labelled twice alike, do no harm (twice differently: both
 rows train); without labels all posteriors are even; repeated rows get equal rates; an empty table
 gives an empty result; other columns are carried or ignored.
@@ -19,6 +20,7 @@ gives an empty result; other columns are carried or ignored.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -35,7 +37,9 @@ BITS = 16
 MAX_LABELLED = 4000
 #: Labelled documents that must hold a word for it to count.
 LEAST_DOCS = 5
-STEPS, RIDGE, TOLERANCE = 40, 1e-3, 1e-4
+#: Passes after which the fit is given up with an error (about 15 are needed); weight of the ridge;
+#: gap allowed to a domain, relative to its own target; and to the optimum, relative to all tokens.
+MOST_PASSES, RIDGE, TOLERANCE, SOLVED = 200, 1e-6, 1e-4, 1e-8
 
 # The domains of the labelled table, and the production shares of tokens.
 DOMAINS = ("prime", "plain", "toxic")
@@ -138,43 +142,59 @@ def posteriors(docs: DataFrame, model: DomainModel, text_col: str = "text") -> D
     return docs.mapInArrow(run, T.StructType([*rest, T.StructField("n_tokens", T.LongType()), T.StructField("posterior", T.ArrayType(T.DoubleType()))]))
 
 
-def rate_column(steps: list[np.ndarray], even: float, ridge: float) -> Column:
-    """The rate after the given gradient vectors: a fold over them, projected to r >= 0 at each."""
+def rate_column(pulls: np.ndarray, even: float, ridge: float) -> Column:
+    """The rate of a row by the multipliers of the domains, given in units of 1 / ``ridge``."""
     p = F.col("posterior")
-    rate = F.lit(float(even))
-    if not steps:
-        return rate
-    pulls = F.array(*(F.array(*(F.lit(float(x)) for x in g)) for g in steps))
+    pull = F.lit(0.0)
+    for k, g in enumerate(pulls):
+        pull = pull + p[k] * F.lit(float(g) / ridge)
+    return F.greatest(F.lit(0.0), F.lit(float(even)) - pull)
 
-    def step(r: Column, g: Column) -> Column:
-        pull = F.aggregate(F.zip_with(p, g, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-        return F.greatest(F.lit(0.0), r * (1 - ridge) + ridge * even - pull)
 
-    return F.aggregate(pulls, rate, step)
+def fit_rates(table: DataFrame, targets: np.ndarray, ridge: float = RIDGE, tolerance: float = TOLERANCE, most_passes: int = MOST_PASSES) -> tuple[np.ndarray, float]:
+    """The multipliers that name each row's rate (see :func:`rate_column`), and the even rate.
 
-
-def fit_rates(table: DataFrame, targets: np.ndarray, steps: int = STEPS, ridge: float = RIDGE, tolerance: float = TOLERANCE) -> tuple[list[np.ndarray], float]:
-    """Gradient vectors whose fold gives each row's rate, and the even rate.
-
-    Every step sends K sums over the whole table to the driver and nothing else.
+    Every pass sends K + K * K + 1 sums over the whole table to the driver and nothing else.
     """
     K = len(targets)
-    n, p = F.col("n_tokens"), F.col("posterior")
-    gram = table.agg(*(F.sum(n * p[i] * p[j]).alias(f"g{i}{j}") for i in range(K) for j in range(K)), F.sum(n).alias("n")).first()
-    if not gram["n"]:
-        return [], 1.0
-    G = np.array([[gram[f"g{i}{j}"] for j in range(K)] for i in range(K)])
-    inverse = np.linalg.inv(G + 1e-9 * np.trace(G) * np.eye(K))
-    even = float(targets.sum() / gram["n"])
-    done: list[np.ndarray] = []
-    for _ in range(steps):
-        r = rate_column(done, even, ridge)
-        got = table.agg(*(F.sum(n * p[k] * r).alias(f"s{k}") for k in range(K))).first()
-        gap = np.array([got[f"s{k}"] for k in range(K)]) - targets
-        if np.abs(gap).max() <= tolerance * targets.sum():
+    n, p, r = F.col("n_tokens"), F.col("posterior"), F.col("rate")
+    total = table.agg(F.sum("n_tokens")).first()[0]
+    if not total:
+        return np.zeros(K), 1.0
+    even = float(targets.sum() / total)
+    weight = ridge * targets.sum()
+
+    def look(m: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """The dual's value without the ridge, the gaps and the curvature at ``m``."""
+        on = F.when(r > 0, n).otherwise(0)
+        sums = [F.sum(n * r * r), *(F.sum(n * p[k] * r) for k in range(K)), *(F.sum(on * p[i] * p[j]) for i in range(K) for j in range(K))]
+        got = table.withColumn("rate", rate_column(m * ridge, even, ridge)).agg(*sums).first()
+        return got[0] / 2 + m @ targets, np.array(got[1 : K + 1]) - targets, np.array(got[K + 1 :]).reshape(K, K)
+
+    m = np.zeros(K)
+    (value, gap, curve), passes = look(m), 1
+    centre, least = m, np.inf
+    while True:
+        while (np.abs(down := gap - weight * (m - centre)) > SOLVED * targets.sum()).any():
+            step, part = np.linalg.solve(curve + weight * np.eye(K), down), 1.0
+            now = value + weight / 2 * ((m - centre) ** 2).sum()
+            while True:
+                if passes >= most_passes:
+                    raise RuntimeError(f"the mixing rates did not converge in {passes} passes; targets of tokens {targets.tolist()}, gaps {gap.tolist()}")
+                there, passes = m + part * step, passes + 1
+                found = look(there)
+                if found[0] + weight / 2 * ((there - centre) ** 2).sum() <= now - 1e-4 * part * (down @ step) + 1e-12 * abs(now):
+                    break
+                part /= 2
+            m, (value, gap, curve) = there, found
+        size = float(np.abs(gap).max())
+        if (np.abs(gap) <= tolerance * targets).all():
+            break
+        if size > least / 2:
+            warnings.warn(f"no rates found that meet the targets of tokens {targets.tolist()}; gaps of the nearest {gap.tolist()}", stacklevel=2)
             break
-        done.append(inverse @ gap)
-    return done, even
+        centre, least = m, size
+    return m * ridge, even
 
 
 def default_targets(table: DataFrame, shares: dict[str, float], domains: tuple[str, ...]) -> np.ndarray:
@@ -193,9 +213,9 @@ def mix(docs: DataFrame, labels: DataFrame, shares: dict[str, float] | None = No
     small_batches(docs.sparkSession)
     model = train(docs, labels, domains, id_col, text_col)
     table = materialize(posteriors(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), model), "posteriors")
-    steps, even = fit_rates(table, default_targets(table, shares or SHARES, domains))
+    pulls, even = fit_rates(table, default_targets(table, shares or SHARES, domains))
     unit = F.pmod(F.xxhash64("doc_id", F.lit(77)), F.lit(1 << 40)) / float(1 << 40)
-    rated = table.withColumn("rate", F.round(rate_column(steps, even, RIDGE), 9))
+    rated = table.withColumn("rate", F.round(rate_column(pulls, even, RIDGE), 9))
     return rated.withColumn("copies", (F.floor("rate") + F.when(unit < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("long"))
 
 
