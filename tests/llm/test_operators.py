@@ -219,6 +219,23 @@ def test_vectors_recall(spark):
     assert vector_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("dim", "rank"), [(64, 4), (768, 4), (768, 8)])
+def test_vectors_recall_low_rank(spark, dim, rank):
+    """Vectors near a few directions of many: displacements are not spread over all dimensions."""
+    rng = np.random.default_rng(dim + rank)
+    near = rng.normal(size=(150, rank))[rng.integers(0, 150, 800)] + 0.15 * rng.normal(size=(800, rank))
+    x = near @ rng.normal(size=(rank, dim))
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>").repartition(3)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = np.triu(unit @ unit.T >= 0.95, 1)
+    want = (links | links.T).sum(1)
+    comp = least_components(range(len(x)), np.argwhere(links).tolist())
+    got = {r.vec_id: r for r in vector_dedup.near_duplicates(df).collect()}
+    assert want.sum() > 2000
+    assert [got[i].n_links for i in range(len(x))] == want.tolist()
+    assert all(got[i].component_id == comp[i] for i in comp)
+
+
 def test_language_mixture(spark):
     rng = random.Random(5)
     alphabets = {"aa": ["kata", "kolo", "taka", "loko"], "bb": ["wen", "wyn", "newy", "yew"], "cc": ["zuß", "ßuz", "uzuß", "zzu"]}

@@ -2,11 +2,12 @@
 
 Coarse centroids and residual codebooks are fitted on a bounded sample; every vector is indexed.
 A vector lies in the inverted list of its nearest centroid, as codes of its residual's subspaces
-with the length of the rest (its quantisation error).  It searches its own list and every list
-whose bisecting plane with its own is near enough for a partner to lie beyond it.  Distances come
-from per-query tables of the codes (asymmetric); what could lie within the threshold, given the
-stored error, is reranked by the exact cosine in double precision.  So nothing below the threshold
-is ever linked, and within a searched list nothing is missed.
+with the length of the rest (its quantisation error).  A partner in another list lies beyond the
+bisecting plane of the two centroids, so only lists whose plane is within a partner's reach can
+hold one; of two lists one is searched by the vectors of the other.  Distances come from per-query
+tables of the codes (asymmetric); what could lie within the threshold, given the stored error, is
+reranked by the exact cosine in double precision.  So nothing below the threshold is ever linked,
+and nothing is missed, whatever the dimension.
 
 Equal vectors are one node with a multiplicity.  Long lists are split into blocks on both sides,
 so a list with a third of all vectors is many tasks; each task returns link counts and a spanning
@@ -28,18 +29,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._store import materialize
+from ._store import materialize, trimmed
 from .components import connected_components
 
 THRESHOLD = 0.95
 #: Lists: about the root of the vectors, within these bounds; sample rows for each.
 LEAST_LISTS, MOST_LISTS, SAMPLE_PER_LIST = 16, 2048, 64
 SUBSPACES, CODES = 8, 256
-#: How far beyond a bisecting plane partners are looked for, in spreads of a random displacement of
-#: threshold length along one direction.
-SPREADS = 5.0
+#: Added to the reach of partners, far above the rounding of distances.
+SLACK = 1e-6
 #: Vectors of a block of a list, on either side.
 BLOCK = 2048
+#: Components gathered at once when pairs are verified, and bytes of copied vectors of a search task.
+GATHERED, TASK_BYTES = 1 << 19, 32 << 20
 NULL_ID = -(1 << 63)
 
 
@@ -98,15 +100,18 @@ class Quantiser:
             k, e = nearest(rest[:, m * width : (m + 1) * width], self.books[m])
             codes[:, m] = k
             error += np.maximum(e[np.arange(len(x)), k], 0)
-        return near, codes, np.sqrt(error), self.probes(near, d, x.shape[1])
+        return near, codes, np.sqrt(error), self.probes(near, d)
 
-    def probes(self, near: np.ndarray, d: np.ndarray, dim: int) -> np.ndarray:
-        """Lists whose bisecting plane with the own one is no farther than partners reach."""
+    def probes(self, near: np.ndarray, d: np.ndarray) -> np.ndarray:
+        """The own list, and those this one searches whose bisecting plane is no farther than partners reach.
+
+        Of two lists one searches the other, by the parity of their numbers, so each asks about half of them.
+        """
         apart = np.sqrt(np.maximum(nearest(self.centroids, self.centroids)[1], 1e-12))[near]
         margin = (d - d[np.arange(len(d)), near][:, None]) / (2 * apart)
-        mask = margin <= min(self.reach, SPREADS * self.reach / np.sqrt(dim))
-        mask[np.arange(len(d)), near] = True
-        return mask
+        own, other = near[:, None], np.arange(d.shape[1])[None, :]
+        asks = np.where((own + other) % 2 == 0, own < other, own > other)
+        return ((margin <= self.reach + SLACK) & asks) | (own == other)
 
     def approximate(self, query: np.ndarray, at: int, codes: np.ndarray) -> np.ndarray:
         """Asymmetric squared distances of queries to coded vectors of list ``at``, by table lookup."""
@@ -183,8 +188,6 @@ def _search(sent, threshold: float) -> Callable[[pa.Table], pa.Table]:
             limit = (q.reach + base["error"].to_numpy() + 1e-3) ** 2
             nb, nq, own = base["node"].to_numpy(), query["node"].to_numpy(), query["own"].to_numpy()
             wb, wq = base["weight"].to_numpy(), query["weight"].to_numpy()
-            near, dist = nearest(xb, q.centroids)
-            back = q.probes(near, dist, xb.shape[1])
             up: dict[int, int] = {}
 
             def root(x: int) -> int:
@@ -196,14 +199,15 @@ def _search(sent, threshold: float) -> Callable[[pa.Table], pa.Table]:
             for lo in range(0, len(xq), 256):
                 i, j = np.nonzero(q.approximate(xq[lo : lo + 256], at, codes) <= limit)
                 i += lo
-                for s in range(0, len(i), 1 << 16):
-                    a, b = i[s : s + (1 << 16)], j[s : s + (1 << 16)]
+                many = max(1, GATHERED // xb.shape[1])
+                for s in range(0, len(i), many):
+                    a, b = i[s : s + many], j[s : s + many]
                     hit = (np.einsum("nd,nd->n", xq[a], xb[b]) >= threshold) & (nq[a] != nb[b])
                     a, b = a[hit], b[hit]
                     for n, w in zip(nq[a].tolist(), wb[b].tolist(), strict=True):
                         credit[n] = credit.get(n, 0) + w
-                    # A partner that does not search this vector's list would miss the link.
-                    alone = ~back[b, own[a]]
+                    # Within a list both search; of two lists only one does, and counts for both.
+                    alone = own[a] != at
                     for n, w in zip(nb[b[alone]].tolist(), wq[a[alone]].tolist(), strict=True):
                         credit[n] = credit.get(n, 0) + w
                     for x, y in zip(nq[a].tolist(), nb[b].tolist(), strict=True):
@@ -236,7 +240,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     """vec_id, n_links, component_id, kept of every row."""
     spark = df.sparkSession
     src = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
-    vectors = materialize(src.mapInArrow(_vectors, "vec_id long, raw binary"), "vectors")
+    vectors = materialize(src.mapInArrow(trimmed(_vectors), "vec_id long, raw binary"), "vectors")
     nodes = _nodes(vectors)
     links = None
     for (size,) in nodes.select(F.octet_length("raw")).distinct().collect():
@@ -250,10 +254,12 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(k)), pa.array(np.bincount(near, minlength=k)), pa.array(mask.sum(0))], names=["list", "stored", "asked"])
 
         # A row per list: at most MOST_LISTS reach the driver.
-        sized = mine.mapInArrow(place, "list long, stored long, asked long").groupBy("list").agg(F.sum("stored").alias("stored"), F.sum("asked").alias("asked")).where("stored > 0").collect()
+        sized = mine.mapInArrow(trimmed(place), "list long, stored long, asked long").groupBy("list").agg(F.sum("stored").alias("stored"), F.sum("asked").alias("asked")).where("stored > 0").collect()
         lists = {r.list: -(-r.stored // BLOCK) for r in sized}
         asked = {r.list: max(1, -(-r.asked // BLOCK)) for r in sized}
-        found = mine.mapInArrow(_cells(sent, asked, lists), _CELL).groupBy("cell").applyInArrow(_search(sent, threshold), "a long, b long, n long")
+        copies = sum(r.stored * asked[r.list] + r.asked * lists[r.list] for r in sized)
+        tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-copies * size // TASK_BYTES))
+        found = mine.mapInArrow(trimmed(_cells(sent, asked, lists)), _CELL).repartition(tasks, "cell").groupBy("cell").applyInArrow(_search(sent, threshold), "a long, b long, n long")
         links = found if links is None else links.union(found)
     if links is None:
         links = spark.createDataFrame([], "a long, b long, n long")
