@@ -33,14 +33,28 @@ MAX_LABELLED = 20_000
 # The contract's rules as (verdict, host, path).
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 
-# Words in the hosts of labelled URLs, by label.
+# Words in the hosts of labelled URLs, by label. General words of such sites; none is
+# taken from the hosts of a table that is judged.
 UNWANTED = (
-    "casino-win", "free-bets", "cheap-pills", "spam-farm", "adult-x", "ads-track", "poker-room", "slots-bonus", "lotto-jackpot",
-    "pharma-deals", "xxx-videos", "hot-singles", "click-bait", "payday-loans", "fake-watches", "warez-crack", "track-pixel", "ad-server",
+    "poker-room", "slots-bonus", "lotto-jackpot", "pharma-deals", "xxx-videos", "hot-singles", "click-bait", "payday-loans", "fake-watches",
+    "warez-crack", "track-pixel", "ad-server", "casino", "casino-royal", "vegas-casino", "roulette", "jackpot-win", "win-prizes", "bet-now",
+    "sports-betting", "bets", "free-money", "free-spins", "free-gifts", "cheap-meds", "cheap-viagra", "cheap-watches", "diet-pills",
+    "pills-online", "spam", "spam-links", "link-farm", "content-farm", "adult", "adult-chat", "adult-cams", "porn-tube", "sex-cams",
+    "ads", "ads-network", "popup-ads", "ad-tracker", "web-tracking", "click-track", "crypto-doubler", "fast-cash", "keygen", "torrent-crack",
+    "online-poker", "bonus-slots", "lottery", "instant-loans", "replica-bags", "free-warez", "cracked-games", "nude-pics", "escort-girls",
+    "dating-singles", "win-iphone", "prize-draw", "get-rich", "earn-money", "miracle-cure", "weight-loss", "banner-ads", "pixel-server",
+    "phishing-login", "malware-drop", "free-download", "hack-tools", "betting-tips", "blackjack", "bingo-bonus", "cash-advance",
 )
 WANTED = (
     "library", "museum", "weather", "garden", "university", "history", "cooking", "science", "travel", "music", "theatre", "gazette",
-    "thther", "therin", "ertion", "tionsh", "tiontion", "tionble", "ththen", "ininghe", "bertion", "enreles", "ciondo", "ouvire",
+    "school", "hospital", "council", "railway", "bakery", "recipes", "astronomy", "biology", "chemistry", "physics", "mathematics",
+    "philosophy", "literature", "poetry", "painting", "gallery", "orchestra", "festival", "village", "mountain", "river", "harbour",
+    "farm-museum", "city-library", "open-data", "field-notes", "daily-news", "local-history", "free-software", "bird-watch", "tracks",
+    "wintersport", "better-health", "addresses", "pillar", "bookshop", "carpenter", "architecture", "journal", "observatory",
+    "parliament", "ministry", "archive", "cathedral", "botany", "geology", "linguistics", "economics", "statistics", "engineering",
+    "medicine", "nursing", "dentist", "pharmacy-school", "theology", "sociology", "climate", "forest", "island", "national-park", "zoo",
+    "aquarium", "cinema", "ballet", "opera", "choir", "guitar", "piano", "photography", "sculpture", "pottery", "knitting", "sewing",
+    "woodwork", "gardening", "beekeeping", "hiking", "cycling",
 )
 
 
