@@ -4,15 +4,18 @@ Induced sorting goes bucket by bucket: everything one bucket induces is placed b
 operations, and what it induces into itself (runs of one symbol) takes further turns.  The text is
 classified into larger (L) and smaller (S) suffixes, the leftmost smaller (LMS) substrings are
 sorted by inducing them, named, and the shorter text of names is sorted by recursion -- with each
-name written as two digits, so that a level has few buckets.  Inducing from the sorted LMS
-suffixes then gives the whole array in linear time.
+name written as two digits, so that a level has few buckets.  That is done only for more than
+``SMALL`` names of fewer than 2 ** 20 different ones, if the text of digits is under 0.9 of the
+text; every other text of names, the largest with many different names too, is sorted by prefix
+doubling, whose time grows by the logarithm of the longest repeat.  Inducing from the sorted LMS
+suffixes then gives the whole array; the time is linear where no doubling is used.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Names from which a text of names is sorted by recursion; below, a few whole-array sorts are cheaper.
+#: Names above which a text of names may be sorted by recursion; below, a few whole-array sorts are cheaper.
 SMALL = 1_000_000
 
 
