@@ -1,22 +1,22 @@
 """Suffix arrays by induced sorting, and permuted common prefixes, in numpy.
 
-Induced sorting goes bucket by bucket: everything one bucket induces is placed by a few array
-operations, and what it induces into itself (runs of one symbol) takes further turns.  The text is
-classified into larger (L) and smaller (S) suffixes, the leftmost smaller (LMS) substrings are
-sorted by inducing them, named, and the shorter text of names is sorted by recursion -- with each
-name written as two digits, so that a level has few buckets.  That is done only for more than
-``SMALL`` names of fewer than 2 ** 20 different ones, if the text of digits is under 0.9 of the
-text; every other text of names, the largest with many different names too, is sorted by prefix
-doubling, whose time grows by the logarithm of the longest repeat.  Inducing from the sorted LMS
-suffixes then gives the whole array; the time is linear where no doubling is used.
+The text is classified into larger (L) and smaller (S) suffixes.  The leftmost smaller (LMS)
+substrings are sorted and named, and the text of names, at most half as long, is sorted by
+recursion, at every size, until all names differ.  A name that occurs once orders its suffix by
+itself, so of a run of such names only the first is kept.  From the sorted LMS suffixes the whole
+array is induced in two scans, each linear.
+
+A scan takes many buckets in one step of a few array operations, as long as none of them induces
+into another of the step; from the first that does on, the next step begins.  A bucket that
+induces into itself (runs of one symbol) takes further turns by itself.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Names above which a text of names may be sorted by recursion; below, a few whole-array sorts are cheaper.
-SMALL = 1_000_000
+#: Places of the array that a scan's first step takes; steps grow and shrink by what they meet.
+STEP = 4096
 
 
 def classify(t: np.ndarray) -> np.ndarray:
@@ -29,8 +29,72 @@ def classify(t: np.ndarray) -> np.ndarray:
     return s
 
 
-def _deal(held: np.ndarray, head: np.ndarray, at: np.ndarray, symbol: np.ndarray) -> None:
-    """Append positions to their symbols' buckets in ``held``, keeping their order."""
+def packed(t: np.ndarray) -> tuple[np.ndarray, int, int]:
+    """Each position's next symbols in one number, the first one highest (0 beyond the end); their bits, and how many.
+
+    No symbol is all ones in its bits.
+    """
+    bits = max(8, int(t.max() + 1).bit_length())
+    per = 64 // bits
+    word, have = np.concatenate([t.astype(np.uint64), np.zeros(per, np.uint64)]), 1
+    while have < per:
+        more = min(have, per - have)
+        word = (word[: len(word) - have] << np.uint64(bits * more)) | (word[have:] >> np.uint64(bits * (have - more)))
+        word, have = np.concatenate([word, np.zeros(have, np.uint64)]), have + more
+    return word[: len(t)], bits, per
+
+
+def substring_names(t: np.ndarray, lms: np.ndarray) -> np.ndarray:
+    """Name of each LMS substring: equal for equal ones, ascending with them, 0 the least.
+
+    A substring goes to the first symbol of the next one.  Of two, of which one goes on where the
+    other ends, the one that goes on is smaller (it goes on with an L position), so the end counts
+    as the largest symbol.
+    """
+    word, bits, per = packed(t)
+    size = np.append(np.diff(lms) + 1, 1)
+    full = (1 << (bits * per)) - 1
+
+    def key(i: np.ndarray, k: int) -> np.ndarray:
+        ended = np.minimum(np.maximum(per - size[i] + k, 0), per)
+        x = word[np.minimum(lms[i] + k, len(t) - 1)]
+        return x | np.array([(1 << (bits * e)) - 1 for e in range(per)] + [full], np.uint64)[ended]
+
+    def ranked(x: np.ndarray, order: np.ndarray) -> np.ndarray:
+        new = np.empty(len(x), bool)
+        new[0] = True
+        y = x[order]
+        np.not_equal(y[1:], y[:-1], out=new[1:])
+        return new
+
+    x = key(np.arange(len(lms)), 0)
+    order = np.argsort(x, kind="stable")
+    new = ranked(x, order)
+    k = per
+    # Groups of equal beginnings in which some go on are sorted further, within their places.
+    while True:
+        group = np.cumsum(new) - 1
+        many = ~new
+        many[:-1] |= ~new[1:]
+        at = np.flatnonzero(many)
+        at = at[size[order[at]] >= k]
+        if not len(at):
+            break
+        live = order[at]
+        x = key(live, k)
+        by = np.lexsort((x, group[at]))
+        order[at] = live[by]
+        g, x = group[at], x[by]
+        apart = (g[1:] == g[:-1]) & (x[1:] != x[:-1])
+        new[at[1:][apart]] = True
+        k += per
+    name = np.empty(len(lms), np.int64)
+    name[order] = np.cumsum(new) - 1
+    return name
+
+
+def _deal(out: np.ndarray, head: np.ndarray, at: np.ndarray, symbol: np.ndarray) -> None:
+    """Append positions to their symbols' buckets in ``out``, keeping their order."""
     if len(at) > 1:
         order = symbol.argsort(kind="stable")
         at, symbol = at[order], symbol[order]
@@ -45,128 +109,121 @@ def _deal(held: np.ndarray, head: np.ndarray, at: np.ndarray, symbol: np.ndarray
         name = symbol[edge]
         if len(edge) < 16:
             for c, a, n in zip(name.tolist(), edge.tolist(), size.tolist(), strict=True):
-                held[head[c] : head[c] + n] = at[a : a + n]
+                out[head[c] : head[c] + n] = at[a : a + n]
         else:
-            held[(head[name] - edge).repeat(size) + np.arange(len(at))] = at
+            out[(head[name] - edge).repeat(size) + np.arange(len(at))] = at
         head[name] += size
     else:
-        held[head[symbol[0]]] = at[0]
+        out[head[symbol[0]]] = at[0]
         head[symbol[0]] += 1
 
 
-def _induce(t: np.ndarray, s: np.ndarray, k: int, lms: np.ndarray) -> np.ndarray:
-    """The suffix array induced by LMS positions that are in order within their buckets."""
-    larger, smaller = np.empty(int((~s).sum()), np.int32), np.empty(int(s.sum()), np.int32)
-    seeds = lms[np.argsort(t[lms].astype(np.uint16), kind="stable")].astype(np.int32)
-    l_end, s_end = (np.cumsum(np.bincount(t[x], minlength=k)) for x in (~s, s))
-    seed_end = np.cumsum(np.bincount(t[lms], minlength=k))
-    l_head, s_head = np.concatenate([[0], l_end[:-1]]), np.concatenate([[0], s_end[:-1]])
-    l_start, s_start, seed_start = l_head.tolist(), s_head.tolist(), [0, *seed_end[:-1].tolist()]
-    l_stop, s_stop, seed_stop = l_end.tolist(), s_end.tolist(), seed_end.tolist()
-    # Symbol and type in one value, so that a position costs one lookup.  Before position 0 stands
-    # the end of the text (index -1), whose type takes it out in either direction.
-    both = (t.astype(np.uint16) << 1) | s
-
-    def deal(held: np.ndarray, head: np.ndarray, at: np.ndarray, kind: int) -> None:
-        j = at - 1
-        x = both[j]
-        on = (x & 1) == kind
-        j, x = j[on], x[on] >> 1
-        if len(j):
-            _deal(held, head, j, x)
+def _scan(out: np.ndarray, start: np.ndarray, half: np.ndarray, head: np.ndarray, both: np.ndarray) -> None:
+    """Go through the buckets and put before each position in them the one left of it, if it is of the kind.
 
-    for c in range(k):
-        at = l_start[c]
-        # Positions of this bucket come in turns: a turn may induce into the bucket itself.
-        while at < l_stop[c] and (to := int(l_head[c])) > at:
-            deal(larger, l_head, larger[at:to], 0)
-            at = to
-        if seed_stop[c] > seed_start[c]:
-            deal(larger, l_head, seeds[seed_start[c] : seed_stop[c]], 0)
-    # The smaller ones are placed from each bucket's end; ``smaller`` holds every bucket backwards.
-    smaller[0] = len(t) - 1
-    s_head[t[-1]] += 1
-    both[-1] &= 0xFFFE
-    for c in range(k - 1, -1, -1):
-        at = s_start[c]
-        while at < s_stop[c] and (to := int(s_head[c])) > at:
-            deal(smaller, s_head, smaller[at:to], 1)
-            at = to
-        if l_stop[c] > l_start[c]:
-            deal(smaller, s_head, larger[l_start[c] : l_stop[c]][::-1], 1)
-    l_size, s_size = np.diff(l_end, prepend=0), np.diff(s_end, prepend=0)
-    start = np.concatenate([[0], np.cumsum(l_size + s_size)[:-1]])
-    out = np.empty(len(t), np.int32)
-    out[np.arange(len(larger)) + np.repeat(start - np.array(l_start), l_size)] = larger
-    # Backwards within the bucket: the m-th from its start goes to the m-th place from its end.
-    out[np.repeat(start + l_size + s_size - 1 + np.array(s_start), s_size) - np.arange(len(smaller))] = smaller
-    return out
+    ``out`` is the array with -1 in empty places; bucket c begins at start[c], what is induced
+    into it at start[c] (filled up to head[c]), what it was given at half[c].  ``both`` is each
+    position's symbol, doubled, plus 1 if it is of the kind that is induced.  Positions are only
+    induced into their own or later buckets.
+    """
+    begins, halves, k = start.tolist(), half.tolist(), len(start) - 1
 
+    def left(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        j = at[at >= 0] - 1
+        x = both[j]
+        on = (x & 1) == 1
+        return j[on], x[on] >> 1
 
-def _names(t: np.ndarray, s: np.ndarray, order: np.ndarray, lms: np.ndarray) -> np.ndarray:
-    """Name of each LMS substring (by place in ``lms``): equal for equal ones, ascending with them."""
-    size = np.append(np.diff(lms), 1)
-    index = np.full(len(t), -1)
-    index[lms] = np.arange(len(lms))
-    at = index[order]
-    a, b = at[:-1], at[1:]
-    same = size[a] == size[b]
-    live = np.flatnonzero(same)
-    k = 0
-    while len(live):
-        x, y = lms[a[live]] + k, lms[b[live]] + k
-        equal = (t[np.minimum(x, len(t) - 1)] == t[np.minimum(y, len(t) - 1)]) & (s[np.minimum(x, len(t) - 1)] == s[np.minimum(y, len(t) - 1)])
-        same[live[~equal]] = False
-        live = live[equal]
-        live = live[size[a[live]] > k]
-        k += 1
-    name = np.empty(len(lms), np.int64)
-    name[at] = np.concatenate([[0], np.cumsum(~same)])
-    return name
+    def deal(at: np.ndarray) -> None:
+        j, x = left(at)
+        if len(j):
+            _deal(out, head, j, x)
+
+    c, step = 0, STEP
+    while c < k:
+        to = max(c + 1, int(np.searchsorted(start, begins[c] + step, "right")) - 1)
+        if to > c + 1:
+            at = out[begins[c] : begins[to]]
+            j, x = left(at)
+            inside = int(x.min()) if len(x) else to
+            if inside >= to:
+                if len(j):
+                    _deal(out, head, j, x)
+                c, step = to, step * 2
+                continue
+            if inside > c:
+                deal(out[begins[c] : begins[inside]])
+                step = max(1, begins[inside] - begins[c])
+                c = inside
+                continue
+            step = max(1, step // 2)
+        at = begins[c]
+        # Positions of this bucket come in turns: a turn may induce into the bucket itself.
+        while at < halves[c] and (end := int(head[c])) > at:
+            deal(out[at:end])
+            at = end
+        if begins[c + 1] > halves[c]:
+            deal(out[halves[c] : begins[c + 1]])
+        c += 1
 
 
-def _by_doubling(names: np.ndarray) -> np.ndarray:
-    """Suffix order of a text whose last symbol is least and unique, by doubling the compared length."""
-    rank, width, n = names.astype(np.int64), 1, len(names)
-    while True:
-        key = rank * (n + 1)
-        key[: n - width] += rank[width:] + 1
-        order = np.argsort(key)
-        sorted_key = key[order]
-        new = np.empty(n, bool)
-        new[0] = True
-        np.not_equal(sorted_key[1:], sorted_key[:-1], out=new[1:])
-        rank[order] = np.cumsum(new) - 1
-        width *= 2
-        if new.all() or width >= n:
-            return order
+def induce(t: np.ndarray, s: np.ndarray, k: int, lms: np.ndarray) -> np.ndarray:
+    """The suffix array induced by the LMS positions in the order of their suffixes."""
+    n = len(t)
+    count, larger, seeded = (np.bincount(x, minlength=k) for x in (t, t[~s], t[lms]))
+    start = np.concatenate([[0], np.cumsum(count)])
+    small = np.uint16 if k < 1 << 15 else np.uint32
+    out = np.full(n, -1, np.int32)
+    symbol = t[lms].astype(small)
+    by = np.argsort(symbol, kind="stable")
+    seeds = np.arange(len(lms)) + np.repeat(start[1:] - np.cumsum(seeded), seeded)
+    out[seeds] = lms[by]
+    # Before position 0 stands the end of the text (index -1), which is of neither kind.
+    both = (t << 1 | ~s).astype(small)
+    _scan(out, start, start[:-1] + larger, start[:-1].copy(), both)
+    out[seeds] = -1
+    # The smaller ones are filled from each bucket's end: the same scan of the mirrored array.
+    mirror = n - start[::-1]
+    head = mirror[:-1].copy()
+    out[0] = n - 1
+    head[-1] += 1
+    both = ((k - 1 - t) << 1 | s).astype(small)
+    both[-1] &= ~small(1)
+    _scan(out[::-1], mirror, mirror[:-1] + (count - larger)[::-1], head, both)
+    return out
 
 
 def suffix_array(t: np.ndarray, k: int) -> np.ndarray:
     """Suffix array of ``t`` over symbols 0..k-1; ``t`` ends with a 0 that stands nowhere else."""
-    t = t.astype(np.int64)
     n = len(t)
     if n < 3:
         return np.argsort(t, kind="stable")
+    t = t.astype(np.int64)
     s = classify(t)
     lms = np.flatnonzero(s[1:] & ~s[:-1]) + 1
-    sa = _induce(t, s, k, lms)  # sorts the LMS substrings, not yet the suffixes
-    is_lms = np.zeros(n, bool)
-    is_lms[lms] = True
-    order = sa[is_lms[sa]]
-    name = _names(t, s, order, lms)
-    most = int(name.max()) + 1
-    if most < len(lms):
-        half = (most.bit_length() + 1) // 2
-        digits = np.empty(2 * len(lms) + 1, np.int64)
-        digits[0:-1:2], digits[1:-1:2], digits[-1] = (name >> half) + 1, (name & ((1 << half) - 1)) + 1, 0
-        if len(lms) > SMALL and len(digits) < 0.9 * n and half <= 10:
-            sub = suffix_array(digits, (1 << half) + 2)
-            sub = sub[(sub % 2 == 0) & (sub < len(digits) - 1)] // 2
-        else:
-            sub = _by_doubling(name)
-        order = lms[sub]
-    return _induce(t, s, k, order)
+    return induce(t, s, k, lms[_order(substring_names(t, lms))])
+
+
+def _order(name: np.ndarray) -> np.ndarray:
+    """Order of the suffixes of a text of names (the last one least and unique), by recursion."""
+    m = len(name)
+    count = np.bincount(name)
+    alone = count[name] == 1
+    first = np.cumsum(count) - count
+    out = np.empty(m, np.int64)
+    out[first[name[alone]]] = np.flatnonzero(alone)
+    if alone.all():
+        return out
+    # A comparison ends at a name that occurs once, so of a run of them only the first can matter.
+    kept = ~alone
+    kept[1:] |= kept[:-1].copy()
+    kept[-1] = True
+    which = np.flatnonzero(kept)
+    used = np.zeros(len(count), bool)
+    used[name[which]] = True
+    sub = which[suffix_array((np.cumsum(used) - 1)[name[which]], int(used.sum()))]
+    out[np.repeat(count > 1, count)] = sub[~alone[sub]]
+    return out
 
 
 def permuted_common_prefixes(t: np.ndarray, sa: np.ndarray) -> np.ndarray:
@@ -176,21 +233,23 @@ def permuted_common_prefixes(t: np.ndarray, sa: np.ndarray) -> np.ndarray:
     others follow from the position to their left: one less.
     """
     n = len(t)
-    phi = np.full(n, -1)
+    phi = np.full(n, -1, np.int64)
     phi[sa[1:]] = sa[:-1]
-    place = np.arange(n)
-    free = (phi < 1) | (place == 0)
-    free[~free] = t[place[~free] - 1] != t[phi[~free] - 1]
-    i = place[free & (phi >= 0)]
-    j = phi[i]
+    free = phi >= 0
+    free[1:] &= (phi[1:] == 0) | (t[:-1] != t[phi[1:] - 1])
+    i = np.flatnonzero(free)
+    word, bits, per = packed(t)
     size = np.zeros(len(i), np.int64)
-    wide = np.concatenate([t.astype(np.int64), np.full(8, -1)])
-    live = np.arange(len(i))
+    live, x, y = np.arange(len(i)), i, phi[i]
     while len(live):
-        x, y = i[live] + size[live], j[live] + size[live]
-        equal = (wide[np.minimum(x, n)] == wide[np.minimum(y, n)]) & (x < n) & (y < n)
-        live = live[equal]
-        size[live] += 1
+        apart = word[x] ^ word[y]
+        ends = apart != 0
+        rest, done = apart[ends], live[ends]
+        for m in range(1, per):
+            size[done] += rest >> np.uint64(bits * (per - m)) == 0
+        go = ~ends
+        live, x, y = live[go], x[go] + per, y[go] + per
+        size[live] += per
     reach = np.zeros(n, np.int64)
     reach[i] = i + size
-    return np.maximum(np.maximum.accumulate(reach) - place, 0)
+    return np.maximum(np.maximum.accumulate(reach) - np.arange(n), 0)

@@ -11,13 +11,16 @@ A byte goes if a ``SPAN``-byte string that covers it also starts in a text of a
 3.  The findings go back to the unit (a part of a task's input, of bounded size) that sent the
     string, where they are laid over its texts.
 
-Texts that are equal as a whole are one text with its least id; their further copies are removed
-whole without entering any of this.  A minimizer that very many texts share (a common line) makes
-no hot shard: its windows are dealt one by one, by their own hash.
+Texts that are equal as a whole (by SHA-256) are one text with its least id; their further copies
+are removed whole without entering any of this.  A minimizer that very many texts share (a common
+line) makes no hot shard: its windows are dealt one by one, by their own hash.  Buckets and shards
+grow in number with the bytes of the table, so none grows in size.
 
 Defined results: a null text is empty; texts shorter than ``SPAN`` bytes lose nothing; repeats
 within one text stay; a null id stands before all others; rows with equal ids are not repeats of
-one another; an empty table gives an empty result; other columns are never read.
+one another, whether their texts are equal or not, and each loses what its own text shares with
+smaller ids; a table without repeats loses nothing; an empty table gives an empty result; other
+columns are never read.
 """
 
 from __future__ import annotations
@@ -28,31 +31,34 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._store import discard, materialize, small_batches
+from ._store import discard, materialize, small_batches, trimmed
 from ._text import blocks, mix
 from .suffix_array import permuted_common_prefixes, suffix_array
 
-SPAN, GRAM = 50, 16
-#: Texts from which a minimizer's windows are dealt one by one; and the most such minimizers.
+SPAN, GRAM = 50, 20
+#: Texts from which a minimizer's windows are dealt one by one; and the most such minimizers (the most common ones).
 COMMON, MOST_COMMON = 8192, 100_000
-#: Postings and text bytes a task holds before it sends them on.
-HELD, UNIT_BYTES = 400_000, 12 << 20
+#: Postings and text bytes a task holds before it sends them on; text bytes of a bucket and of a step over texts.
+HELD, UNIT_BYTES, BUCKET_BYTES, STEP_BYTES = 400_000, 12 << 20, 2 << 20, 1 << 17
 NULL_ID = -(1 << 63)
 EMPTY_SHA = hashlib.sha256(b"").digest()
 
 _RANDOM = np.random.Generator(np.random.PCG64(41)).integers(0, 1 << 63, 256, dtype=np.uint64)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-_NEVER = np.uint64((1 << 64) - 1)
 
 
-def _doubled(h: np.ndarray, width: int) -> np.ndarray:
-    """Hashes of strings of twice the width."""
-    if len(h) <= width:
-        return h[:0]
-    return mix(h[:-width] * _STEP + h[width:])
+def _gram_hashes(body: np.ndarray) -> np.ndarray:
+    """A hash of every string of ``GRAM`` bytes."""
+    h, width = _RANDOM[body], 1
+    while 2 * width <= GRAM:
+        h, width = h[:-width] * _STEP + h[width:], 2 * width
+        h ^= h >> np.uint64(29)
+    if width < GRAM:
+        h = h[: width - GRAM] * _STEP + h[GRAM - width :]
+    return mix(h)
 
 
 def minimizers(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -61,21 +67,18 @@ def minimizers(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     n = len(body)
     if n < SPAN:
         return none, none, none, np.empty(0, np.uint64)
-    h, width = _RANDOM[body], 1
-    while width < GRAM:
-        h, width = _doubled(h, width), 2 * width
-    size = np.diff(offsets)
-    # A window must not leave its text; a gram that does never is the least one of a window that stays.
-    m, width, w = h, 1, SPAN - GRAM + 1
+    m, width, w = _gram_hashes(body), 1, SPAN - GRAM + 1
     while 2 * width <= w:
         m, width = np.minimum(m[:-width], m[width:]), 2 * width
     m = np.minimum(m[: len(m) - (w - width)], m[w - width :]) if width < w else m
-    doc = np.repeat(np.arange(len(size)), size)[: len(m)]
-    inside = np.arange(len(m)) + SPAN <= offsets[1:][doc]
-    at = np.flatnonzero(inside)
-    if not len(at):
+    # A window must not leave its text.
+    size = np.diff(offsets)
+    count = np.maximum(size - SPAN + 1, 0)
+    doc = np.repeat(np.arange(len(size)), count)
+    if not len(doc):
         return none, none, none, np.empty(0, np.uint64)
-    m, doc = m[at], doc[at]
+    at = np.arange(len(doc)) + np.repeat(offsets[:-1] - (np.cumsum(count) - count), count)
+    m = m[at]
     new = np.ones(len(at), bool)
     new[1:] = (m[1:] != m[:-1]) | (doc[1:] != doc[:-1])
     # One gram can not serve more than w windows in a row; equal neighbours of another gram start a new run.
@@ -89,17 +92,23 @@ def minimizers(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return doc[edge], at[edge], at[stop - 1], m[edge]
 
 
-def text_keys(body: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    raw = body.tobytes()
-    return np.frombuffer(b"".join(hashlib.blake2b(raw[a:e], digest_size=8).digest() for a, e in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)), "<i8")
+def text_keys(body: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+    """The first 16 bytes of each text's SHA-256."""
+    view = memoryview(np.ascontiguousarray(body))
+    return [hashlib.sha256(view[a:e]).digest()[:16] for a, e in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
 
 
+# A text is named by 16 bytes; a posting holds 8 of them, for these tell only whether a minimizer is of two texts.
 _POST = np.dtype([("gram", "<u8"), ("key", "<u8"), ("texts", "<u4")])
 _KNOWN = np.dtype([("key", "<u8"), ("gram", "<u8")])
-_SURVEY = "bucket long, kind string, doc_id long, n_bytes long, key long, blob binary"
+_SURVEY = "bucket long, kind string, n long, key long, blob binary"
+_SURVEY_NAMES = ["bucket", "kind", "n", "key", "blob"]
+_SURVEY_TYPES = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary()]
 
 
 def _sliced(rows: np.ndarray, to: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    if not len(rows):
+        return
     order = np.argsort(to, kind="stable")
     rows, to = rows[order], to[order]
     edge = np.flatnonzero(np.diff(to, prepend=-1))
@@ -107,58 +116,60 @@ def _sliced(rows: np.ndarray, to: np.ndarray) -> Iterator[tuple[int, bytes]]:
         yield int(to[a]), rows[a:e].tobytes()
 
 
+def _edges(x: np.ndarray) -> np.ndarray:
+    """Where a sorted array's values begin."""
+    new = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    return np.flatnonzero(new)
+
+
 def _rows(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
 
-_SURVEY_NAMES = ["bucket", "kind", "doc_id", "n_bytes", "key", "blob"]
-_SURVEY_TYPES = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-
-
 def _survey(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Each row's id, size, key and sha256; each distinct text's minimizers, by bucket.
+    """Each distinct text's minimizers, by bucket.
 
     What a task sees of a minimizer in several texts is settled there: those texts' entries go
     straight on as known, and one posting (with their number) stands for all of them.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        held: list[np.ndarray] = []
+        seen: set[bytes] = set()
+        held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
             if not held:
                 return
-            rows = np.unique(np.concatenate(held))
+            gram, key = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
-            first = np.flatnonzero(np.diff(rows["gram"].view(np.int64), prepend=~rows["gram"][:1].view(np.int64)))
-            size = np.diff(first, append=len(rows))
-            known = rows[np.repeat(size > 1, size)]
-            post = rows[first]
-            post["texts"] = size
-            out = [(b, "post", None, None, None, x) for b, x in _sliced(post, (post["gram"] >> np.uint64(40)).astype(np.int64) % buckets)]
-            if len(known):
-                k = np.empty(len(known), _KNOWN)
-                k["key"], k["gram"] = known["key"], known["gram"]
-                out += [(buckets + b, "known", None, None, b, x) for b, x in _sliced(k, (k["key"] % np.uint64(buckets)).astype(np.int64))]
+            if not len(gram):
+                return
+            order = np.lexsort((key, gram))
+            gram, key = gram[order], key[order]
+            new = np.ones(len(gram), bool)
+            new[1:] = (gram[1:] != gram[:-1]) | (key[1:] != key[:-1])
+            gram, key = gram[new], key[new]
+            first = _edges(gram)
+            size = np.diff(first, append=len(gram))
+            post = np.empty(len(first), _POST)
+            post["gram"], post["key"], post["texts"] = gram[first], key[first], size
+            out = [(b, "post", None, None, x) for b, x in _sliced(post, (post["gram"] >> np.uint64(40)).astype(np.int64) % buckets)]
+            on = np.repeat(size > 1, size)
+            known = np.empty(int(on.sum()), _KNOWN)
+            known["key"], known["gram"] = key[on], gram[on]
+            out += [(buckets + b, "known", None, b, x) for b, x in _sliced(known, (known["key"] % np.uint64(buckets)).astype(np.int64))]
             yield _rows(out, _SURVEY_NAMES, _SURVEY_TYPES)
 
         for b in batches:
-            ids = b.column(0)
-            for lo, hi, body, offsets in blocks(b.column(1)):
+            for _, _, body, offsets in blocks(b.column(0), STEP_BYTES):
                 keys = text_keys(body, offsets)
-                raw, ends = body.tobytes(), offsets.tolist()
-                sha = [hashlib.sha256(raw[a:e]).digest() for a, e in zip(ends[:-1], ends[1:], strict=True)]
-                to = buckets + np.abs(keys % buckets)
-                yield pa.RecordBatch.from_arrays([pa.array(to), pa.array(["row"] * (hi - lo)), ids.slice(lo, hi - lo), pa.array(np.diff(offsets)), pa.array(keys), pa.array(sha, pa.binary())], names=_SURVEY_NAMES)
-                new = np.array([k not in seen and not seen.add(k) for k in keys.tolist()])
+                new = np.array([k not in seen and not seen.add(k) for k in keys])
                 doc, _, _, gram = minimizers(body, offsets)
-                on = new[doc] if len(doc) else np.empty(0, bool)
-                rows = np.zeros(int(on.sum()), _POST)
-                rows["gram"], rows["key"] = gram[on], keys.view(np.uint64)[doc[on]]
-                held.append(rows)
-                if sum(map(len, held)) > HELD:
+                on = new[doc]
+                held.append((gram[on], np.frombuffer(b"".join(keys), "<u8")[::2][doc[on]]))
+                if sum(len(g) for g, _ in held) > HELD:
                     yield from flush()
         yield from flush()
 
@@ -171,37 +182,43 @@ def _settle(buckets: int) -> Callable[[pa.Table], pa.Table]:
     def run(table: pa.Table) -> pa.Table:
         if table["kind"][0].as_py() != "post":
             return table.select(_SURVEY_NAMES)
-        rows = np.sort(np.concatenate([np.frombuffer(x, _POST) for x in table["blob"].to_pylist()]), order=["gram", "key"])
-        first = np.flatnonzero(np.diff(rows["gram"].view(np.int64), prepend=~rows["gram"][:1].view(np.int64)))
-        size = np.diff(first, append=len(rows))
-        texts = np.add.reduceat(rows["texts"].astype(np.int64), first)
+        rows = np.concatenate([np.frombuffer(x, _POST) for x in table["blob"].to_pylist()])
+        gram, key, texts = (np.ascontiguousarray(rows[c]) for c in ("gram", "key", "texts"))
+        order = np.argsort(gram, kind="stable")
+        gram, key, texts = gram[order], key[order], texts[order].astype(np.int64)
+        first = _edges(gram)
+        size = np.diff(first, append=len(gram))
         # The same text may be sent by several tasks: one key throughout is no repeat.
-        several = (rows["key"][first] != rows["key"][first + size - 1]) | (np.maximum.reduceat(rows["texts"], first) > 1)
+        several = (np.minimum.reduceat(key, first) != np.maximum.reduceat(key, first)) | (np.maximum.reduceat(texts, first) > 1)
         on = np.repeat(several, size)
         k = np.empty(int(on.sum()), _KNOWN)
-        k["key"], k["gram"] = rows["key"][on], rows["gram"][on]
-        out = [(0, "known", None, None, b, x) for b, x in _sliced(k, (k["key"] % np.uint64(buckets)).astype(np.int64))]
-        common = texts > COMMON
-        out += [(0, "common", None, int(n), int(g), None) for g, n in zip(rows["gram"][first][common].view(np.int64), texts[common], strict=True)]
+        k["key"], k["gram"] = key[on], gram[on]
+        out = [(0, "known", None, b, x) for b, x in _sliced(k, (k["key"] % np.uint64(buckets)).astype(np.int64))]
+        total = np.add.reduceat(texts, first)
+        out += [(0, "common", int(n), int(g), None) for g, n in zip(gram[first][total > COMMON].view(np.int64), total[total > COMMON], strict=True)]
         return pa.Table.from_batches([_rows(out, _SURVEY_NAMES, _SURVEY_TYPES)])
 
     return run
 
 
 def _by_text(table: pa.Table) -> pa.Table:
-    rows = np.unique(np.concatenate([np.frombuffer(x, _KNOWN) for x in table["blob"].to_pylist()]))
-    first = np.flatnonzero(np.diff(rows["key"].view(np.int64), prepend=~rows["key"][:1].view(np.int64)))
-    grams = np.ascontiguousarray(rows["gram"])
-    return pa.table({"key": pa.array(rows["key"][first].view(np.int64)), "grams": pa.array([grams[a:e].tobytes() for a, e in zip(first, np.append(first[1:], len(rows)), strict=True)], pa.binary())})
+    """The minimizers (sorted) of each text, by the 8 bytes its postings hold."""
+    rows = np.concatenate([np.frombuffer(x, _KNOWN) for x in table["blob"].to_pylist()])
+    key, gram = np.ascontiguousarray(rows["key"]), np.ascontiguousarray(rows["gram"])
+    order = np.lexsort((gram, key))
+    key, gram = key[order], gram[order]
+    first = _edges(key)
+    return pa.table({"short": pa.array([k.tobytes() for k in key[first]], pa.binary()), "grams": pa.array([gram[a:e].tobytes() for a, e in zip(first, np.append(first[1:], len(gram)), strict=True)], pa.binary())})
 
 
 _STRING = np.dtype([("which", "<u4"), ("size", "u1"), ("many", "u1"), ("least", "<i8")])
-_PLACE = np.dtype([("doc", "<i8"), ("at", "<u4"), ("which", "<u4")])
+_PLACE = np.dtype([("text", "<u4"), ("at", "<u4"), ("which", "<u4")])
 _FOUND = np.dtype([("which", "<u4"), ("first", "u1"), ("stop", "u1"), ("least", "<i8")])
+_TEXT = np.dtype([("doc", "<i8"), ("key", "V16")])
 
 
 def _strings(buckets: int, common: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Units of texts: their places (doc, start, string) and, by shard, their distinct strings."""
+    """Units of texts: the texts and their places (text, start, string) and, by shard, their distinct strings."""
     names, types = ["unit", "part", "shard", "blob"], [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,27 +231,30 @@ def _strings(buckets: int, common: np.ndarray) -> Callable[[Iterator[pa.RecordBa
                 return
             number: dict[bytes, int] = {}
             shard: list[int] = []
-            doc, at, which = [], [], []
-            for i, start, strings, to in held:
-                doc.append(i)
-                at.append(start)
+            which: list[int] = []
+            texts = np.empty(len(held), _TEXT)
+            texts["doc"] = [h[0] for h in held]
+            texts["key"] = np.frombuffer(b"".join(h[1] for h in held), "V16")
+            for _, _, _, strings, to in held:
                 for s, b in zip(strings, to, strict=True):
                     k = number.setdefault(s, len(number))
                     if k == len(shard):
                         shard.append(b)
                     which.append(k)
-            held.clear()
             places = np.empty(len(which), _PLACE)
-            places["doc"], places["at"], places["which"] = np.concatenate(doc), np.concatenate(at), which
-            order = np.lexsort((places["doc"], places["which"]))
-            sw, sd = places["which"][order], places["doc"][order]
-            first = np.flatnonzero(np.diff(sw.astype(np.int64), prepend=-1))
+            places["text"] = np.repeat(np.arange(len(held)), [len(h[2]) for h in held])
+            places["at"], places["which"] = np.concatenate([h[2] for h in held]), which
+            held.clear()
+            doc = texts["doc"][places["text"]]
+            order = np.lexsort((doc, places["which"]))
+            sw, sd = places["which"][order], doc[order]
+            first = _edges(sw)
             last = np.append(first[1:], len(sw)) - 1
             info = np.empty(len(number), _STRING)
             info["which"], info["least"], info["many"] = np.arange(len(number)), sd[first], sd[first] != sd[last]
             bodies = list(number)
             info["size"] = [len(s) for s in bodies]
-            out = [(0, part, None, zstandard.compress(places.tobytes(), 1))]
+            out = [(0, part, None, len(texts).to_bytes(4, "little") + zstandard.compress(texts.tobytes() + places.tobytes(), 1))]
             shards = np.array(shard)
             order = np.argsort(shards, kind="stable")
             edge = np.flatnonzero(np.diff(shards[order], prepend=-1))
@@ -246,9 +266,9 @@ def _strings(buckets: int, common: np.ndarray) -> Callable[[Iterator[pa.RecordBa
             yield _rows(out, names, types)
 
         for b in batches:
-            ids, grams = b.column(0).to_numpy(), b.column(1).to_pylist()
-            texts = pa.array([zstandard.decompress(x).decode() for x in b.column(2).to_pylist()], pa.large_string())
-            for lo, _, body, offsets in blocks(texts):
+            ids, keys, grams = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()
+            texts = pa.array([zstandard.decompress(x).decode() for x in b.column(3).to_pylist()], pa.large_string())
+            for lo, _, body, offsets in blocks(texts, STEP_BYTES):
                 doc, start, stop, gram = minimizers(body, offsets)
                 bounds = np.searchsorted(doc, np.arange(len(offsets)))
                 raw = body.tobytes()
@@ -269,7 +289,7 @@ def _strings(buckets: int, common: np.ndarray) -> Callable[[Iterator[pa.RecordBa
                         own = [int.from_bytes(hashlib.blake2b(raw[p : p + SPAN], digest_size=6).digest(), "little") % buckets for p in single.tolist()]
                         to = np.concatenate([to[~wide], own])
                     strings = [raw[p:q] for p, q in zip(a.tolist(), e.tolist(), strict=True)]
-                    held.append((np.full(len(a), ids[lo + d]), a - offsets[d], strings, to.tolist()))
+                    held.append((ids[lo + d], keys[lo + d], a - offsets[d], strings, to.tolist()))
                     amount += 120 * len(a)
                 if amount > UNIT_BYTES:
                     yield from flush()
@@ -295,7 +315,7 @@ def repeated_windows(strings: list[bytes], least: np.ndarray) -> tuple[np.ndarra
     # A suffix too short for a window stands between no two equal windows.
     group = np.cumsum(common[sa] < SPAN)
     at, group = sa[windows], group[windows]
-    first = np.flatnonzero(np.diff(group, prepend=-1))
+    first = _edges(group)
     best = np.minimum.reduceat(least[owner[at]], first) if len(first) else np.empty(0, np.int64)
     best = np.repeat(best, np.diff(first, append=len(at)))
     order = np.argsort(at)
@@ -338,63 +358,90 @@ def _shard(table: pa.Table) -> pa.Table:
 
 
 def _lay(places: pa.Table, found: pa.Table) -> pa.Table:
-    """doc_id and the removed byte spans (merged) of a unit's texts."""
+    """doc_id, key and the removed byte spans (merged) of a unit's texts."""
     rows = []
     if places.num_rows and found.num_rows:
-        p = np.frombuffer(zstandard.decompress(places["blob"][0].as_py()), _PLACE)
-        f = np.sort(np.concatenate([np.frombuffer(zstandard.decompress(x), _FOUND) for x in found["blob"].to_pylist()]), order="which")
+        blob = places["blob"][0].as_py()
+        n, x = int.from_bytes(blob[:4], "little"), zstandard.decompress(blob[4:])
+        texts, p = np.frombuffer(x, _TEXT, n), np.frombuffer(x, _PLACE, offset=n * _TEXT.itemsize)
+        f = np.concatenate([np.frombuffer(zstandard.decompress(x), _FOUND) for x in found["blob"].to_pylist()])
+        f = f[np.argsort(f["which"], kind="stable")]
         a, e = np.searchsorted(f["which"], p["which"], "left"), np.searchsorted(f["which"], p["which"], "right")
         j = np.arange((e - a).sum()) + np.repeat(a - (np.cumsum(e - a) - (e - a)), e - a)
         k = np.repeat(np.arange(len(p)), e - a)
-        on = f["least"][j] < p["doc"][k]
+        on = f["least"][j] < texts["doc"][p["text"][k]]
         j, k = j[on], k[on]
-        doc, lo, hi = p["doc"][k], p["at"][k].astype(np.int64) + f["first"][j], p["at"][k].astype(np.int64) + f["stop"][j] - 1 + SPAN
-        order = np.lexsort((lo, doc))
-        doc, lo, hi = doc[order], lo[order], hi[order]
-        edge = np.flatnonzero(np.diff(doc, prepend=doc[:1] - 1)) if len(doc) else []
-        for x, y in zip(edge, np.append(edge[1:], len(doc)) if len(doc) else [], strict=True):
+        text, lo, hi = p["text"][k].astype(np.int64), p["at"][k].astype(np.int64) + f["first"][j], p["at"][k].astype(np.int64) + f["stop"][j] - 1 + SPAN
+        order = np.lexsort((lo, text))
+        text, lo, hi = text[order], lo[order], hi[order]
+        edge = _edges(text) if len(text) else []
+        for x, y in zip(edge, np.append(edge[1:], len(text)) if len(text) else [], strict=True):
             top = np.maximum.accumulate(hi[x:y])
             cut = np.append(True, lo[x + 1 : y] > top[:-1])
             starts = lo[x:y][cut]
             stops = top[np.append(np.flatnonzero(cut)[1:], y - x) - 1]
-            rows.append((int(doc[x]), np.stack([starts, stops], 1).astype("<i8").tobytes()))
-    return pa.Table.from_batches([_rows(rows, ["doc_id", "spans"], [pa.int64(), pa.binary()])])
+            rows.append((int(texts["doc"][text[x]]), texts["key"][text[x]].tobytes(), np.stack([starts, stops], 1).astype("<i8").tobytes()))
+    return pa.Table.from_batches([_rows(rows, ["doc_id", "key", "spans"], [pa.int64(), pa.binary(), pa.binary()])])
+
+
+def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, key and compressed body of texts; a row that a task meets again is sent once."""
+    seen: set[tuple] = set()
+    for b in batches:
+        for lo, _, body, offsets in blocks(b.column(1)):
+            view, ends, keys = memoryview(np.ascontiguousarray(body)), offsets.tolist(), text_keys(body, offsets)
+            ids = b.column(0).slice(lo, len(keys)).to_pylist()
+            on = [d for d, x in enumerate(zip(ids, keys, strict=True)) if x not in seen and not seen.add(x)]
+            yield pa.RecordBatch.from_arrays([pa.array([ids[d] for d in on], pa.int64()), pa.array([keys[d] for d in on], pa.binary()), pa.array([zstandard.compress(view[ends[d] : ends[d + 1]], 1) for d in on], pa.binary())], names=["doc_id", "key", "packed"])
+
+
+def _named(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+
+def _key(sha: Column) -> Column:
+    return F.substring(sha, 1, 16)
+
+
+def _sha(text: str = "text") -> Column:
+    return F.unhex(F.sha2(F.col(text).cast("binary"), 256))
 
 
 def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n_bytes, key, sha, first of every row; doc_id, spans of first texts that lose bytes).
+    """(doc_id, n_bytes, sha, first of every row; doc_id, key, spans of first texts that lose bytes).
 
-    ``first`` tells whether a row's id is the least of its text; other rows are copies.  ``spans``
-    holds pairs of little-endian longs: start and end of each removed run, ascending.
+    ``first`` tells whether a row's id is the least of its text; other rows are copies.  ``key`` is
+    the beginning of ``sha``, ``parts`` holds pairs of little-endian longs: start and end of each
+    removed run, ascending.
     """
     spark = df.sparkSession
     small_batches(spark)
-    src = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col(text_col).alias("text"))
-    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    survey = materialize(src.mapInArrow(_survey(buckets), _SURVEY).groupBy("bucket", "kind").applyInArrow(_settle(buckets), _SURVEY), "minimizers", "kind")
-    rows = survey.where("kind = 'row'").select("doc_id", "n_bytes", "key", F.col("blob").alias("sha"))
-    least = rows.groupBy("key").agg(F.min("doc_id").alias("least"))
-    rows = materialize(rows.join(least, "key").select("doc_id", "n_bytes", "key", "sha", (F.col("doc_id") == F.col("least")).alias("first")), "rows")
-    top = survey.where("kind = 'common'").orderBy(F.desc("n_bytes"), "key").limit(MOST_COMMON).select("key").toArrow()["key"].to_numpy()
+    src = _named(df, id_col, text_col)
+    named = materialize(src.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), _sha().alias("sha")), "names")
+    # Written first, so that the join below has two plain sides and can split a text of very many rows.
+    least = materialize(named.groupBy("sha").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "least")
+    rows = materialize(named.join(least, "sha", "left").select("doc_id", "n_bytes", "sha", (F.col("doc_id") == F.coalesce("least", "doc_id")).alias("first")), "rows")
+    discard(named, least)
+    size = rows.where("first").agg(F.sum("n_bytes")).first()[0] or 0
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(2 * parts, -(-size // BUCKET_BYTES))
+    tasks = max(parts, buckets // 16)
+    survey = src.select("text").mapInArrow(trimmed(_survey(buckets)), _SURVEY)
+    survey = materialize(survey.repartition(tasks, "bucket", "kind").groupBy("bucket", "kind").applyInArrow(_settle(buckets), _SURVEY), "minimizers", "kind")
+    top = survey.where("kind = 'common'").orderBy(F.desc("n"), "key").limit(MOST_COMMON).select("key").toArrow()["key"].to_numpy()
     common = np.sort(top.view(np.uint64)) if len(top) else np.empty(0, np.uint64)
-    known = survey.where("kind = 'known'").select("key", "blob").groupBy("key").applyInArrow(_by_text, "key long, grams binary")
-    wanted = rows.where("first").select("doc_id", "key").distinct().join(known, "key").select("doc_id", F.col("key").alias("want"), "grams")
-
-    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for lo, hi, body, offsets in blocks(b.column(1)):
-                raw, ends = body.tobytes(), offsets.tolist()
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(text_keys(body, offsets)), pa.array([zstandard.compress(raw[a:e], 1) for a, e in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], names=["doc_id", "have", "packed"])
-
-    packed = src.where(F.octet_length("text") >= SPAN).mapInArrow(squeeze, "doc_id long, have long, packed binary")
-    joined = packed.join(wanted, "doc_id").where("have = want").select("doc_id", "grams", "packed")
-    units = joined.mapInArrow(_strings(buckets, common), "unit long, part long, shard long, blob binary").select(F.spark_partition_id().cast("long").alias("unit"), "part", "shard", "blob")
+    known = survey.where("kind = 'known'").select("key", "blob").groupBy("key").applyInArrow(_by_text, "short binary, grams binary")
+    firsts = rows.where("first").select("doc_id", _key(F.col("sha")).alias("key")).distinct()
+    wanted = firsts.withColumn("short", F.substring("key", 1, 8)).join(known, "short").select("doc_id", "key", "grams")
+    packed = src.where(F.octet_length("text") >= SPAN).mapInArrow(trimmed(_squeeze), "doc_id long, key binary, packed binary")
+    joined = packed.join(wanted, ["doc_id", "key"]).select("doc_id", "key", "grams", "packed")
+    units = joined.mapInArrow(trimmed(_strings(buckets, common)), "unit long, part long, shard long, blob binary").select(F.spark_partition_id().cast("long").alias("unit"), "part", "shard", "blob")
     units = materialize(units, "units")
     discard(survey)
-    sent = units.where("shard is not null").groupBy("shard").applyInArrow(_shard, "unit long, part long, blob binary")
+    sent = units.where("shard is not null").repartition(tasks, "shard").groupBy("shard").applyInArrow(_shard, "unit long, part long, blob binary")
     places = units.where("shard is null").select(F.col("unit").alias("u"), F.col("part").alias("p"), "blob")
-    spans = places.groupBy("u", "p").cogroup(sent.groupBy("unit", "part")).applyInArrow(_lay, "doc_id long, spans binary")
-    spans = materialize(spans.groupBy("doc_id").agg(F.collect_list("spans").alias("parts")), "spans")
+    spans = places.groupBy("u", "p").cogroup(sent.groupBy("unit", "part")).applyInArrow(_lay, "doc_id long, key binary, spans binary")
+    spans = materialize(spans.groupBy("doc_id", "key").agg(F.collect_list("spans").alias("parts")), "spans")
     discard(units)
     return rows, spans
 
@@ -409,20 +456,14 @@ def merge_spans(parts: list[bytes]) -> list[tuple[int, int]]:
     return [(a, e) for a, e in out]
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_kept: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and ``kept``, the remaining bytes) of every row."""
-    rows, spans = repeated_spans(df, id_col, text_col)
-    src = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col(text_col).alias("text"))
-    # Texts that lose bytes are fetched once more; all others are settled by the first pass.
-    # A few bytes per such text: broadcast below the session's limit, else both sides are shuffled.
-    cut = src.join(spans, "doc_id")
+def _cut(with_kept: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    types = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
 
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            parts = b.column(2).to_pylist()
-            for lo, _, body, offsets in blocks(b.column(1)):
-                raw, keys = body.tobytes(), text_keys(body, offsets)
-                out = []
+            parts, out = b.column(3).to_pylist(), []
+            for lo, _, body, offsets in blocks(b.column(2)):
+                raw = body.tobytes()
                 for d in range(len(offsets) - 1):
                     a, n = int(offsets[d]), int(offsets[d + 1] - offsets[d])
                     runs, kept, at = merge_spans(parts[lo + d]), [], 0
@@ -430,12 +471,23 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                         kept.append(raw[a + at : a + x])
                         at = y
                     rest = b"".join([*kept, raw[a + at : a + n]])
-                    out.append((int(keys[d]), n - len(rest), len(runs), hashlib.sha256(rest).digest(), rest if with_kept else None))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, len(out)), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True))], names=["doc_id", "key", "cut_bytes", "cut_spans", "cut_sha", "kept"])
+                    out.append((n - len(rest), len(runs), hashlib.sha256(rest).digest(), rest if with_kept else None))
+            columns = list(zip(*out, strict=True)) or [[]] * len(types)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=["doc_id", "key", "cut_bytes", "cut_spans", "cut_sha", "kept"])
+
+    return run
+
 
-    done = cut.select("doc_id", "text", "parts").mapInArrow(apply, "doc_id long, key long, cut_bytes long, cut_spans long, cut_sha binary, kept binary").dropDuplicates(["doc_id", "key"])
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_kept: bool = False) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and ``kept``, the remaining bytes; null: all of them) of every row."""
+    rows, spans = repeated_spans(df, id_col, text_col)
+    # Texts that lose bytes are fetched once more; all others are settled by the first pass.
+    # A few bytes per such text: broadcast below the session's limit, else both sides are shuffled.
+    src = _named(df, id_col, text_col).where(F.octet_length("text") >= SPAN).withColumn("key", _key(_sha()))
+    cut = src.join(spans, ["doc_id", "key"]).select("doc_id", "key", "text", "parts")
+    done = cut.mapInArrow(trimmed(_cut(with_kept)), "doc_id long, key binary, cut_bytes long, cut_spans long, cut_sha binary, kept binary").dropDuplicates(["doc_id", "key"])
     copy = ~F.col("first") & (F.col("n_bytes") >= SPAN)
-    out = rows.join(done, ["doc_id", "key"], "left").select(
+    out = rows.withColumn("key", _key(F.col("sha"))).join(done, ["doc_id", "key"], "left").select(
         F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")).alias("doc_id"),
         "n_bytes",
         F.when(copy, F.col("n_bytes")).when(F.col("first"), F.coalesce("cut_bytes", F.lit(0))).otherwise(0).cast("long").alias("n_removed"),
