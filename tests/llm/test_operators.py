@@ -142,6 +142,58 @@ def test_tokens_round_trip(spark, texts, tmp_path):
     assert chunks.count() == chunks.select("digest").distinct().count()
 
 
+def test_segments_keep_ids(monkeypatch):
+    """Texts of awkward pieces, encoded by segments, forgetting often, against the library's whole texts."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    rng = random.Random(3)
+    parts = [" ", "  ", "\n", " \n", "a", "b1", "don't", "I'll", "é", "漢字", "\u00a0", "\u2003", "  x", "\u3000", ".", ",", "!?", "<|endoftext|>", "12", "3.5", "x2y", "\t", "\x1c", "\x85", "'s", "'", "_", "-", "ß", "²", "½", "Ω", "\x00", "\x7f", "🙂"]
+    more = ["".join(rng.choice(parts) for _ in range(rng.randrange(14))) for _ in range(6000)] + [None, "", " ", "  "]
+    text = tokenstore.tokenizer_text()
+    tok = Tokenizer.from_str(text)
+    monkeypatch.setattr(tokenstore, "REMEMBERED", 300)
+    monkeypatch.setattr(tokenstore, "STEP_BYTES", 2000)
+    enc = tokenstore.Encoder(text)
+    assert enc.cuttable
+    got = [x.tolist() for ids, stops in enc.batch(pa.array(more)) for x in np.split(ids, stops[:-1])]
+    assert got == [[*tok.encode(t or "", add_special_tokens=False).ids, 2] for t in more]
+
+
+def test_segments_other_tokenizers():
+    """A tokenizer of another form gets whole texts."""
+    import json
+
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    form = json.loads(tokenstore.tokenizer_text())
+    assert tokenstore.byte_level(form)
+    for change in ({"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"pre_tokenizer": None}):
+        assert not tokenstore.byte_level({**form, **change})
+    lower = json.dumps({**form, "normalizer": {"type": "Lowercase"}})
+    word = tokenstore.tokenizer_text(public_tokenizers.path("word_bpe_49k.json"))
+    for text in (lower, word):
+        enc, tok = tokenstore.Encoder(text), Tokenizer.from_str(text)
+        some = ["Hello There  world", "A b, c", None, "İstanbul x"]
+        got = [x.tolist() for ids, stops in enc.batch(pa.array(some)) for x in np.split(ids, stops[:-1])]
+        assert got == [[*tok.encode(t or "", add_special_tokens=False).ids, 2] for t in some]
+
+
+def test_tokens_one_id(spark, tmp_path):
+    """A table in which most rows have one id, or none: packs stay small, nothing is lost."""
+    rng = random.Random(8)
+    rows = [(5 if k % 3 else None, prose(rng, 60)) for k in range(150)] + [(k, prose(rng, 60)) for k in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("pack", F.lit("p")).withColumn("uid", F.lit(1)).withColumn("tie", F.lit(1)).repartition(3)
+    path = f"file://{tmp_path}/store"
+    width = tokenstore.build(df, tokenstore.tokenizer_text(), path, pack_bytes=4000)
+    got = tokenstore.read(spark, path, width).orderBy("start").collect()
+    ids = [-1 if r.doc_id is None else r.doc_id for r in got]
+    assert ids == sorted(-1 if i is None else i for i, _ in rows)
+    assert spark.read.parquet(f"{path}/manifest").agg(F.max("n_docs")).first()[0] <= 40
+
+
 def test_tokens_notice_damage(spark, tmp_path):
     df = spark.createDataFrame([(1, "hello there world " * 20)], "doc_id long, text string")
     path = f"file://{tmp_path}/store"
@@ -410,12 +462,12 @@ def test_url_model_held_out_words(spark):
     assert np.mean(right[0]) > 0.85 and np.mean(right[1]) > 0.5 and np.mean(right[0] + right[1]) > 0.7
 
 
-@pytest.mark.parametrize("small", [1_000_000, 5])
-def test_suffix_array(small, monkeypatch):
-    monkeypatch.setattr(suffix_array, "SMALL", small)
+@pytest.mark.parametrize("step", [4096, 1, 7])
+def test_suffix_array(step, monkeypatch):
+    monkeypatch.setattr(suffix_array, "STEP", step)
     rng = random.Random(1)
-    for case in range(300):
-        k = rng.choice([2, 3, 6, 30])
+    for case in range(400):
+        k = rng.choice([2, 3, 6, 30, 300, 70_000])
         t = [rng.randrange(1, k) for _ in range(rng.randrange(1, 70))] if case % 4 else ([1] * rng.randrange(9) + [2] * rng.randrange(6)) * 5
         t.append(0)
         sa = suffix_array.suffix_array(np.array(t), max(t) + 1).tolist()
@@ -428,6 +480,19 @@ def test_suffix_array(small, monkeypatch):
             assert p[y] == n
 
 
+def test_suffix_array_recurses(monkeypatch):
+    """Names are sorted by recursion at every size, over several levels."""
+    seen = []
+    whole = suffix_array.suffix_array
+    monkeypatch.setattr(suffix_array, "suffix_array", lambda t, k: seen.append(len(t)) or whole(t, k))
+    rng = random.Random(6)
+    word = [[rng.randrange(1, 20) for _ in range(60)] for _ in range(40)]
+    t = [x for _ in range(150) for x in rng.choice(word)] + [0]
+    sa = suffix_array.suffix_array(np.array(t), 20).tolist()
+    assert sa == sorted(range(len(t)), key=lambda i: t[i:])
+    assert len(seen) >= 3 and all(2 * b <= a + 1 for a, b in itertools.pairwise(seen))
+
+
 def brute_repeats(texts):
     first, out = {}, {}
     for i, t in enumerate(texts):
@@ -458,3 +523,39 @@ def test_suffix_dedup_repeated_rows(spark):
     rows = spark.createDataFrame([(3, t), (3, t), (1, t[:60] + "zz"), (7, t)], "doc_id long, text string")
     got = sorted((r.doc_id, r.n_removed) for r in suffix_dedup.remove_repeats(rows).collect())
     assert got[0] == (1, 0) and got[1] == got[2] and got[3] == (7, 80)
+
+
+def brute_rows(rows):
+    """Bytes lost by each (id, text), ids compared and never two rows of one id."""
+    where = {}
+    for i, t in rows:
+        b = (t or "").encode()
+        for k in range(len(b) - 49):
+            where[b[k : k + 50]] = min(i, where.get(b[k : k + 50], i))
+    out = []
+    for i, t in rows:
+        b = (t or "").encode()
+        m = bytearray(len(b))
+        for k in range(len(b) - 49):
+            if where[b[k : k + 50]] < i:
+                m[k : k + 50] = b"\1" * 50
+        out.append((i, len(b), sum(m), hashlib.sha256(bytes(c for c, f in zip(b, m, strict=True) if not f)).hexdigest()))
+    return sorted(out)
+
+
+def awkward_tables():
+    rng = random.Random(12)
+    a, b, c = (prose(rng, 90) for _ in range(3))
+    yield [(1, a), (2, b)]  # nothing repeats
+    yield [(1, a)]
+    yield [(1, None), (2, "")]
+    yield [(4, a), (4, b), (2, a[:200] + c)]  # other texts under one id
+    yield [(4, a + b), (4, c), (4, c), (5, c), (3, b), (7, a[100:300])]
+    yield [(9, c), (9, a + c), (9, None), (9, a + c)]
+
+
+@pytest.mark.parametrize("rows", list(awkward_tables()), ids=range(6))
+def test_suffix_dedup_awkward(spark, rows):
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.lit("x")).withColumn("first", F.lit(1)).withColumn("sha", F.lit(2))
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.kept_sha256) for r in suffix_dedup.remove_repeats(df).collect())
+    assert got == brute_rows(rows)

@@ -29,6 +29,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Random value of each byte after lower-casing.
 VALUE = _bytes_table(20240229)[LOWER]
+#: Random value of each byte as it is.
+EXACT = _bytes_table(20240301)
 #: Bytes of words split at white space: all but space and \t \n \v \f \r.
 SPACED = np.ones(256, dtype=bool)
 SPACED[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
@@ -100,11 +102,11 @@ def words(body: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> tuple[np.n
     return starts, ends, np.searchsorted(starts, offsets).astype(np.int64)
 
 
-def word_hashes(body: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word, A-Z lower-cased."""
+def word_hashes(body: np.ndarray, starts: np.ndarray, ends: np.ndarray, value: np.ndarray = VALUE) -> np.ndarray:
+    """A 64-bit hash of each word, A-Z lower-cased (or by another table of byte values)."""
     up, down = _power(len(body) + 1)
     sums = np.zeros(len(body) + 1, np.uint64)
-    np.cumsum(VALUE[body] * up[: len(body)], out=sums[1:])
+    np.cumsum(value[body] * up[: len(body)], out=sums[1:])
     return mix((sums[ends] - sums[starts]) * down[starts])
 
 
