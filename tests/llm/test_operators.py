@@ -379,9 +379,10 @@ def brute_windows(doc, items):
 
 @pytest.mark.parametrize("most", [10**6, 30])
 def test_decontaminate(spark, texts, most):
-    items = [(1, " ".join(texts[0].split()[20:45])), (2, "one"), (3, None), (4, "..."), (5, texts[40]), (10, texts[40]), (6, "漢字 é"), (7, "two words")]
+    items = [(1, " ".join(texts[0].split()[20:45])), (2, "one"), (3, None), (4, "..."), (5, texts[40]), (10, texts[40]), (6, "漢字 é"), (7, "two words"), (5, "y" * 50)]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    scanned = decontaminate.scan(frame(spark, texts).select("doc_id", "text", "n"), bench, max_windows=most)
+    df = frame(spark, texts).select("doc_id", "text", "n")
+    scanned = decontaminate.scan(df, bench, max_windows=most)
     got = {r.doc_id: r.contamination for r in scanned.collect()}
     for i, t in enumerate(texts):
         assert (got[i].n_words, got[i].n_hit, got[i]["items"]) == brute_windows(t, items), i
@@ -391,9 +392,79 @@ def test_decontaminate(spark, texts, most):
             assert clean[i] == t
         elif i in clean:
             assert brute_windows(clean[i], items[:1])[1] == 0
-    once = decontaminate.clean(frame(spark, texts).select("doc_id", "text", "n"), bench, length_col="n", max_windows=most)
+    once = decontaminate.clean(df, bench, length_col="n", max_windows=most)
     assert {r.doc_id: r.text for r in once.collect()} == clean
-    assert decontaminate.scan(frame(spark, texts).limit(0), bench).count() == 0
+    assert decontaminate.scan(df.limit(0), bench, max_windows=most).count() == 0
+    assert {r.contamination.n_hit for r in decontaminate.scan(df, bench.limit(0)).collect()} == {0}
+
+
+def test_decontaminate_null_item_and_names(spark, texts):
+    """An item without id hits but has no name; a column of the operator's own name is replaced."""
+    bench = spark.createDataFrame([(None, texts[40]), (None, "one"), (8, "one")], "item_id long, text string")
+    df = frame(spark, texts).select("doc_id", "text", "n").withColumn("contamination", F.lit("x"))
+    got = {r.doc_id: r.contamination for r in decontaminate.scan(df, bench).collect()}
+    assert got[40].n_hit == got[40].n_words and got[40]["items"] == brute_windows(texts[40], [(8, "one")])[2] and got[5]["items"] == ["8"]
+    assert decontaminate.clean(df, bench, length_col="n").columns == ["doc_id", "text", "n"]
+
+
+def test_window_set_size():
+    """About 40 bytes a window, whatever their number."""
+    import pyarrow as pa
+
+    rng = random.Random(2)
+    from veldspar.llm._text import ALNUM, words
+
+    parts = []
+    for k in range(200):
+        body = np.frombuffer(prose(rng, 500).encode(), np.uint8)
+        starts, ends, _ = words(body, np.array([0, len(body)]), ALNUM)
+        parts.append((str(k), body.tobytes(), starts, ends))
+    known = decontaminate.WindowSet.make(parts, 10)
+    n = sum(len(w[0]) for w in known.windows.values())
+    assert n == 200 * 491 and known.nbytes < 45 * n
+    text = parts[7][1].decode()
+    assert [x[:3] for x in decontaminate.scan_batch(pa.array([text, "no " + text[30:90]]), known)][0] == (500, 500, ["7"])
+
+
+def test_clashing_names(spark):
+    """A column that has the name of an added one is replaced."""
+    df = spark.createDataFrame([(1, "mail a@b.co now", "en")], "doc_id long, text string, lang string")
+    df = df.withColumn("pii", F.lit(1)).withColumn("language", F.lit(2)).withColumn("posterior", F.lit(3)).withColumn("n_tokens", F.lit(4)).withColumn("redacted", F.lit(5))
+    assert pii.detect(df, redacted=True).select("pii", "redacted").first().redacted == "mail <email> now"
+    assert langid.identify(df, langid.train(df)).select("language.lang").first().lang == "en"
+    model = mixing.train(df, spark.createDataFrame([], "doc_id long, domain string"))
+    assert mixing.posteriors(df, model).select("n_tokens", "posterior").first().n_tokens == 5
+    labels = spark.createDataFrame([(1, "plain")], "doc_id long, domain string")
+    assert "pii" in mixing.resample(df, labels).columns
+    empty = df.limit(0)
+    assert pii.detect(empty).count() == langid.identify(empty, langid.train(empty)).count() == mixing.resample(empty, labels).count() == 0
+
+
+def test_keep_first_keeps_one_row(spark, texts):
+    """One row of each class, also where its rows share an id or have none; rows without words stay."""
+    a, b = texts[0], texts[50]
+    rows = [(1, a), (1, a), (1, b), (2, a), (3, b), (3, b + " zz"), (4, None), (4, ""), (None, a), (None, a), (None, None), (9, texts[60]), (9, texts[61])]
+    df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, row long").repartition(3)
+    got = jaccard.keep_first(df).collect()
+    kept = sorted(((-1 if r.doc_id is None else r.doc_id), (r.text or "")[:20]) for r in got)
+    want = [(-1, a), (-1, None), (1, b), (4, None), (4, ""), (9, texts[60]), (9, texts[61])]
+    assert kept == sorted((i, (t or "")[:20]) for i, t in want)
+    plain = spark.createDataFrame([(5, a), (6, a), (7, b)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in jaccard.keep_first(plain).collect()) == [5, 7]
+
+
+def test_jaccard_checks_names(spark, texts, monkeypatch):
+    """Two sets of one name are noticed, and the names made anew."""
+    whole, calls = jaccard.set_keys, []
+
+    def clumsy(hashes, at, salt=0):
+        calls.append(salt)
+        return whole(hashes, at, salt) & np.uint64(1) if salt == 0 else whole(hashes, at, salt)
+
+    monkeypatch.setattr(jaccard, "set_keys", clumsy)
+    df = spark.createDataFrame([(1, texts[0]), (2, texts[0]), (3, texts[50]), (4, texts[60]), (5, texts[61])], "doc_id long, text string").coalesce(1)
+    _, _, salt = jaccard.jaccard_links(df)
+    assert salt in (0, 1)
 
 
 def test_sharding(spark, texts, tmp_path):
@@ -409,6 +480,9 @@ def test_sharding(spark, texts, tmp_path):
         assert (by[i]["size"], by[i].text_crc32) == (len(b) + 1, zlib.crc32(b))
     stored = sharding.SlotMap.load(spark, f"file://{tmp_path}/map", 1)
     assert {r.virtual_slot: r.shard for r in rows}.items() <= dict(enumerate(stored.shard_of)).items()
+    load = [sum(r["size"] for r in rows if r.shard == s) for s in range(4)]
+    heaviest = max(sum(r["size"] for r in rows if r.virtual_slot == v) for v in range(64))
+    assert max(load) - min(load) <= heaviest
     weight = {s: 10 for s in range(64)}
     old = sharding.plan_map(weight, 4, 64)
     new = sharding.rebalance(old, weight, 5)
@@ -418,6 +492,39 @@ def test_sharding(spark, texts, tmp_path):
     assert sharding.shard(df.limit(0)).count() == 0
 
 
+def test_sharding_against_brute_force(spark, texts, tmp_path):
+    """Shards and places made by hand from the rows' slots; a second run moves few slots of the stored map."""
+    texts = [t for t in texts if len(t or "") < 5000]
+    df = frame(spark, texts)
+    path = f"file://{tmp_path}/maps"
+    rows = sharding.shard(df, 3, n_slots=32, map_path=path).collect()
+    weight = {v: sum(r["size"] for r in rows if r.virtual_slot == v) for v in range(32)}
+    load, where = [0, 0, 0], {}
+    for v in sorted(range(32), key=lambda v: (-weight[v], v)):
+        d = min(range(3), key=lambda d: (load[d], d))
+        where[v] = d
+        load[d] += max(weight[v], 1)
+    assert {r.virtual_slot: r.shard for r in rows} == {r.virtual_slot: where[r.virtual_slot] for r in rows}
+    for s in range(3):
+        mine = sorted((r for r in rows if r.shard == s), key=lambda r: r.slot)
+        keys = [(r.virtual_slot, -1 if r.doc_id is None else r.doc_id) for r in mine]
+        assert [r.slot for r in mine] == list(range(len(mine))) and keys == sorted(keys)
+    more = sharding.shard(df.union(frame(spark, texts[:9])), 4, map_path=path).collect()
+    assert {r.map_version for r in more} == {2} and sharding.SlotMap.latest(spark, path).version == 2
+    moved = {r.virtual_slot for r in more if r.shard != where[r.virtual_slot]}
+    assert 0 < len(moved) < 24
+
+
+def test_sharding_copies(spark):
+    """Equal texts under many ids spread over the shards; equal rows share a slot and get places of their own."""
+    df = spark.createDataFrame([(i, "same text") for i in range(2000)] + [(7, "twice")] * 2, "doc_id long, text string")
+    rows = sharding.shard(df, 4).collect()
+    count = [sum(r.shard == s for r in rows) for s in range(4)]
+    assert max(count) - min(count) < 60
+    twice = [r for r in rows if r["size"] == 6]
+    assert len({r.virtual_slot for r in twice}) == 1 and len({r.slot for r in twice}) == 2
+
+
 def test_url_filter(spark):
     urls = ["http://a.Example.NET/en/1", "http://x.net/", "http://net/", "http://badnet/", "https://example.com/de/x", "https://sub.example.com/de/x?q#f", "http://e.org/fr/", "http://e.org/frx", None, "no scheme", "://", "http://casino-win.example.com/en/1", "http://library.example.com/en/1", "http://h?x/y", "ftp://A.B#/net/"]
     df = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)], "page_id long, url string, host string")

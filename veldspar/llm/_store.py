@@ -20,6 +20,8 @@ def shared_root(spark: SparkSession) -> str:
     """The shared folder of this session, as a URI that every executor can open."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = "file://" + tempfile.gettempdir() + "/veldspar-shared"
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -54,6 +56,12 @@ def discard(*tables: DataFrame) -> None:
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` without the columns that an operator is about to add under these names, as ``withColumn`` replaces them."""
+    low = {n.lower() for n in names}
+    return df.drop(*[c for c in df.columns if c.lower() in low])
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Let Python workers see at most ``rows`` records at once: texts are long, workers small."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

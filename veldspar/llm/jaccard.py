@@ -14,7 +14,8 @@ prefix without frequent shingles joins, per frequent shingle, blocks of document
 blocks (of bounded size) is verified at once as a matrix product.
 
 Equal sets are one node throughout, whatever the number of their documents: only one document per
-distinct set and task reaches a shuffle, and copies are never expanded.
+distinct set and task reaches a shuffle, and copies are never expanded.  A set is named by 64 bits
+and checked by 64 more: if two sets have one name, all names are made anew with another salt.
 
 Defined results: null, empty and blank texts have no shingles and link with nothing (not with one
 another); texts of fewer than ``n`` words have one shingle, the whole sequence; a null id stands
@@ -29,8 +30,9 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._store import discard, materialize, small_batches, trimmed
 from ._text import SPACED, blocks, gram_hashes, mix, word_hashes, words
@@ -47,6 +49,8 @@ MOST_MATCHES = 6
 BLOCK_DOCS, HELD = 512, 400_000
 #: Ids of documents to verify are broadcast up to so many; beyond that they are joined by shuffle.
 BROADCAST_IDS = 4_000_000
+#: Shingles of all documents for each bucket of postings.
+BUCKET_SHINGLES = 1 << 19
 NULL_ID = -(1 << 63)
 
 
@@ -72,11 +76,11 @@ def shingle_sets(body: np.ndarray, offsets: np.ndarray, n: int = SHINGLE) -> tup
     return hashes, np.searchsorted(owner, np.arange(len(count) + 1))
 
 
-def set_keys(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
+def set_keys(hashes: np.ndarray, at: np.ndarray, salt: int = 0) -> np.ndarray:
     """A 64-bit name of each set."""
     if not len(hashes):
         return np.zeros(len(at) - 1, np.uint64)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(hashes ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64)])
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(hashes ^ np.uint64(0x5851F42D4C957F2D + 0x9E3779B97F4A7C15 * salt & (1 << 64) - 1)), dtype=np.uint64)])
     return mix((sums[at[1:]] - sums[at[:-1]]) + np.diff(at).astype(np.uint64) * np.uint64(0x14057B7EF767814F))
 
 
@@ -85,23 +89,27 @@ def sketch_slots(hashes: np.ndarray) -> Iterator[np.ndarray]:
         yield (hashes * np.uint64(0x9E3779B97F4A7C15 * (2 * row + 1) & ((1 << 64) - 1) | 1)) >> np.uint64(64 - SKETCH_BITS)
 
 
-def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, n, key of each document; last, the task's sketch over its distinct sets."""
-    total = np.zeros((SKETCH_ROWS, 1 << SKETCH_BITS), np.uint32)
-    seen: set[int] = set()
-    names = ["doc_id", "n", "key", "sketch"]
-    for b in batches:
-        ids = b.column(0)
-        for lo, hi, body, offsets in blocks(b.column(1)):
-            hashes, at = shingle_sets(body, offsets)
-            n, keys = np.diff(at), set_keys(hashes, at)
-            new = np.array([k not in seen and not seen.add(k) for k in keys.tolist()])
-            part = hashes[np.repeat(new, n)]
-            for row, slots in enumerate(sketch_slots(part)):
-                total[row] += np.bincount(slots.astype(np.int64), minlength=1 << SKETCH_BITS).astype(np.uint32)
-            yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(n), pa.array(keys.view(np.int64)), pa.nulls(hi - lo, pa.binary())], names=names)
-    if total.any():
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([zstandard.compress(total.tobytes(), 1)], pa.binary())], names=names)
+def _survey(salt: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """doc_id, n, key, check of each document; last, the task's sketch over its distinct sets."""
+    names, types = ["doc_id", "n", "key", "check", "sketch"], [pa.int64()] * 4
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((SKETCH_ROWS, 1 << SKETCH_BITS), np.uint32)
+        seen: set[int] = set()
+        for b in batches:
+            ids = b.column(0)
+            for lo, hi, body, offsets in blocks(b.column(1)):
+                hashes, at = shingle_sets(body, offsets)
+                n, keys, check = np.diff(at), set_keys(hashes, at, salt), set_keys(hashes, at, -1)
+                new = np.array([k not in seen and not seen.add(k) for k in keys.tolist()])
+                part = hashes[np.repeat(new, n)]
+                for row, slots in enumerate(sketch_slots(part)):
+                    total[row] += np.bincount(slots.astype(np.int64), minlength=1 << SKETCH_BITS).astype(np.uint32)
+                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(n), pa.array(keys.view(np.int64)), pa.array(check.view(np.int64)), pa.nulls(hi - lo, pa.binary())], names=names)
+        if total.any():
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(1, t) for t in types), pa.array([zstandard.compress(total.tobytes(), 1)], pa.binary())], names=names)
+
+    return run
 
 
 def _add_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,7 +188,7 @@ def prefixes(hashes: np.ndarray, at: np.ndarray, sketch: np.ndarray, percent: in
 _POSTING = np.dtype([("token", "<u8"), ("key", "<u8"), ("n", "<u4"), ("layer", "u1"), ("matches", "u1")])
 
 
-def _index(sent, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _index(sent, buckets: int, salt: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         held: list[np.ndarray] = []
@@ -199,7 +207,7 @@ def _index(sent, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
         for b in batches:
             for _, _, body, offsets in blocks(b.column(0)):
                 hashes, at = shingle_sets(body, offsets)
-                keys, n = set_keys(hashes, at), np.diff(at)
+                keys, n = set_keys(hashes, at, salt), np.diff(at)
                 new = np.array([k not in seen and not seen.add(k) for k in keys.tolist()]) & (n > 0)
                 if not new.any():
                     continue
@@ -348,7 +356,7 @@ def _verify_pairs(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator
     return run
 
 
-def _bodies(src: DataFrame, wanted: DataFrame) -> DataFrame:
+def _bodies(src: DataFrame, wanted: DataFrame, salt: int) -> DataFrame:
     """key, body (compressed text) of one document of each wanted set."""
     one = wanted.groupBy("key").agg(F.min("doc_id").alias("doc_id"))
     n = one.count()
@@ -358,7 +366,7 @@ def _bodies(src: DataFrame, wanted: DataFrame) -> DataFrame:
         for b in batches:
             for lo, hi, body, offsets in blocks(b.column(1)):
                 want = b.column(0).slice(lo, hi - lo).to_numpy()
-                keys = set_keys(*shingle_sets(body, offsets)).view(np.int64)
+                keys = set_keys(*shingle_sets(body, offsets), salt).view(np.int64)
                 # An id may stand on several texts; only the set that was asked for counts.
                 at = np.flatnonzero(keys == want)
                 yield pa.RecordBatch.from_arrays([pa.array(want[at]), pa.array([zstandard.compress(body[offsets[i] : offsets[i + 1]].tobytes(), 3) for i in at], pa.binary())], names=["key", "body"])
@@ -367,53 +375,100 @@ def _bodies(src: DataFrame, wanted: DataFrame) -> DataFrame:
     return found
 
 
+def _real(c: str) -> Column:
+    return F.when(F.col(c) != NULL_ID, F.col(c)).alias(c)
+
+
+def _classes(df: DataFrame, id_col: str, text_col: str, percent: int = PERCENT) -> tuple[DataFrame, int]:
+    """doc_id (NULL_ID for null), n, key, root (of the class), component_id of every row, and the salt of the keys."""
+    docs, links, salt = jaccard_links(df, id_col, text_col, percent)
+    roots = connected_components(links)
+    named = materialize(docs.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").select("doc_id", "n", "key", F.when(F.col("n") > 0, F.coalesce("root", "key")).alias("root")), "rooted")
+    discard(roots)
+    # Written, so that the join has two plain sides and can split a class of very many rows.
+    least = materialize(named.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")
+    joined = named.where("n > 0").join(least, "root").select("doc_id", "n", "key", "root", "component_id")
+    return joined.union(named.where("n = 0").select("doc_id", "n", "key", "root", F.col("doc_id").alias("component_id"))), salt
+
+
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every row; the join itself is :func:`jaccard_links`."""
-    docs, links = jaccard_links(df, id_col, text_col, percent)
-    roots = connected_components(links)
-    named = docs.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    filled = named.where("n > 0")
-    least = filled.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    joined = filled.join(least, "root").select("doc_id", "n", "component_id")
-    alone = named.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
+    return _classes(df, id_col, text_col, percent)[0].select(_real("doc_id"), F.col("n").alias("n_shingles"), _real("component_id"))
 
-    def real(c: str):
-        return F.when(F.col(c) != NULL_ID, F.col(c))
 
-    return joined.union(alone).select(real("doc_id").alias("doc_id"), F.col("n").alias("n_shingles"), real("component_id").alias("component_id"))
+def _sources(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col(text_col).alias("text"))
 
 
-def jaccard_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n, key of every row; a, b of linked sets, enough to connect all that are linked)."""
+def jaccard_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> tuple[DataFrame, DataFrame, int]:
+    """(doc_id, n, key of every row; a, b of linked sets, enough to connect all that are linked; the salt of the keys)."""
     spark = df.sparkSession
     small_batches(spark)
-    src = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col(text_col).alias("text"))
-    survey = materialize(src.mapInArrow(trimmed(_survey), "doc_id long, n long, key long, sketch binary"), "survey")
-    docs = survey.where("sketch is null").drop("sketch")
+    src = _sources(df, id_col, text_col)
+    salt = 0
+    while True:
+        survey = materialize(src.mapInArrow(trimmed(_survey(salt)), "doc_id long, n long, key long, check long, sketch binary"), "survey")
+        docs = survey.where("sketch is null").drop("sketch")
+        clash = docs.groupBy("key").agg((F.min("check") != F.max("check")).alias("two"), F.sum("n").alias("n")).agg(F.coalesce(F.max("two"), F.lit(False)), F.sum("n")).first()
+        if not clash[0]:
+            break
+        discard(survey)
+        salt += 1
+    docs = docs.drop("check")
     sent = spark.sparkContext.broadcast(_merged_sketch(survey.where("sketch is not null").select("sketch")))
-    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    index = materialize(src.select("text").mapInArrow(trimmed(_index(sent, buckets)), "bucket long, postings binary, token long, key long"), "index")
-    pairs = index.where("bucket is not null").select("bucket", "postings").groupBy("bucket").applyInArrow(_pairs(percent), "a long, b long, need long, got long")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(2 * parts, -(-(clash[1] or 0) // BUCKET_SHINGLES))
+    tasks = max(parts, buckets // 8)
+    index = materialize(src.select("text").mapInArrow(trimmed(_index(sent, buckets, salt)), "bucket long, postings binary, token long, key long"), "index")
+    pairs = index.where("bucket is not null").select("bucket", "postings").repartition(tasks, "bucket").groupBy("bucket").applyInArrow(_pairs(percent), "a long, b long, need long, got long")
     pairs = materialize(pairs.groupBy("a", "b").agg(F.max("need").alias("need"), F.sum("got").alias("got")).where("got >= need").select("a", "b"), "pairs")
     cells = materialize(_block_pairs(index.where("token is not null").select("token", "key").distinct()), "cells")
     discard(index)
     wanted = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).union(cells.select("key")).distinct()
-    bodies = materialize(_bodies(src, docs.where("n > 0").join(wanted, "key").select("key", "doc_id")).dropDuplicates(["key"]), "bodies")
+    bodies = materialize(_bodies(src, docs.where("n > 0").join(wanted, "key").select("key", "doc_id"), salt).dropDuplicates(["key"]), "bodies")
     both = pairs.join(bodies.select(F.col("key").alias("a"), F.col("body").alias("left")), "a").join(bodies.select(F.col("key").alias("b"), F.col("body").alias("right")), "b")
     exact = both.select("a", "b", "left", "right").mapInArrow(trimmed(_verify_pairs(percent)), "a long, b long")
     dense = cells.join(bodies, "key").groupBy("cell").applyInArrow(_verify_cell(percent), "a long, b long")
-    return docs, exact.union(dense)
+    return docs, exact.union(dense), salt
 
 
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``df`` without the rows that are linked to a row of a smaller id.
+    """One row of each class of linked rows: of the smallest id (null before all), and of its rows any one.
 
-    All columns are kept; rows without words stay; rows that share an id stay or go together.
+    All columns are kept; rows without words are linked with nothing and stay.  Ids that stand on one
+    row decide by the id alone; rows of repeated ids are told apart by their sets.
     """
-    c = jaccard_components(df.select(id_col, text_col), id_col, text_col)
-    drop = materialize(c.where(~F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_drop")).distinct(), "drop")
-    side = F.broadcast(drop) if drop.count() <= BROADCAST_IDS else drop
-    return df.join(side, df[id_col] == side["_drop"], "left_anti")
+    classes, salt = _classes(df.select(id_col, text_col), id_col, text_col)
+    classes = materialize(classes, "classes")
+    first = materialize(classes.where("n > 0").groupBy("root").agg(F.min(F.struct("doc_id", "key")).alias("f")).select("f.doc_id", "f.key"), "first")
+    often = materialize(classes.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where((F.col("rows") > 1) | (F.col("doc_id") == NULL_ID)).select("doc_id"), "often")
+    drop = materialize(classes.where("n > 0 and doc_id <> component_id").select("doc_id").distinct().join(often, "doc_id", "left_anti").select(F.col("doc_id").alias("_drop")), "drop")
+
+    def small(t: DataFrame) -> DataFrame:
+        return F.broadcast(t) if t.count() <= BROADCAST_IDS else t
+
+    # Rows of null ids are among those of repeated ids.
+    alone = df.join(small(drop), df[id_col] == F.col("_drop"), "left_anti")
+    if often.isEmpty():
+        return alone
+    many = small(often.withColumnRenamed("doc_id", "_many"))
+    code = F.coalesce(df[id_col].cast("long"), F.lit(NULL_ID))
+    alone = alone.join(many, code == F.col("_many"), "left_anti")
+    rows = df.join(many, code == F.col("_many"), "left_semi")
+    at = rows.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            key, n = [], []
+            for _, _, body, offsets in blocks(b.column(at)):
+                hashes, ends = shingle_sets(body, offsets)
+                key.append(set_keys(hashes, ends, salt).view(np.int64))
+                n.append(np.diff(ends))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(key) if key else [], pa.int64()), pa.array(np.concatenate(n) if n else [], pa.int64())], names=[*b.schema.names, "_key", "_n"])
+
+    keyed = rows.mapInArrow(trimmed(run), T.StructType([*rows.schema.fields, T.StructField("_key", T.LongType()), T.StructField("_n", T.LongType())]))
+    chosen = keyed.where("_n > 0").join(small(first.select(F.col("doc_id").alias("_first"), F.col("key").alias("_set"))), (F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)) == F.col("_first")) & (F.col("_key") == F.col("_set")), "left_semi")
+    return alone.union(chosen.dropDuplicates([id_col, "_key"]).select(*df.columns)).union(keyed.where("_n = 0").select(*df.columns))
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ texts of a block runs at once on flat arrays, so the cost is linear in the disti
 Defined results: a null text or one without a letter gives ``und`` with score 0 and no
 proportions; ties between languages go to the first by name; repeated rows get equal results; a
 training table without labelled text gives ``und`` everywhere; an empty table gives an empty
-result; other columns are carried or ignored.
+result; other columns are carried, and one named ``language`` is replaced, as ``withColumn`` does.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._store import small_batches, trimmed
+from ._store import small_batches, trimmed, without
 from ._text import mix, raw
 
 BITS = 15
@@ -216,6 +216,7 @@ def identify(df: DataFrame, model: LangModel, text_col: str = "text") -> DataFra
     is broadcast once.
     """
     small_batches(df.sparkSession)
+    df = without(df, "language")
     sent = df.sparkSession.sparkContext.broadcast(model)
     kind = T.StructType().add("lang", "string").add("score", "double").add("languages", T.ArrayType(T.StringType())).add("proportions", T.ArrayType(T.DoubleType())).add("fit", "double")
     arrow = pa.struct([("lang", pa.string()), ("score", pa.float64()), ("languages", pa.list_(pa.string())), ("proportions", pa.list_(pa.float64())), ("fit", pa.float64())])

@@ -15,7 +15,8 @@
 Defined results: a null or empty text has no tokens, the prior as posterior and the rate of that;
 labels without a document, and documents labelled twice alike, do no harm (twice differently: both
 rows train); without labels all posteriors are even; repeated rows get equal rates; an empty table
-gives an empty result; other columns are carried or ignored.
+gives an empty result; other columns are carried, and one that has the name of an added one is
+replaced, as ``withColumn`` does.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._store import materialize, small_batches
+from ._store import materialize, small_batches, trimmed, without
 from ._text import ALNUM, blocks, word_hashes, words
 
 BITS = 16
@@ -44,6 +45,8 @@ MOST_PASSES, RIDGE, TOLERANCE, SOLVED = 200, 1e-6, 1e-4, 1e-8
 # The domains of the labelled table, and the production shares of tokens.
 DOMAINS = ("prime", "plain", "toxic")
 SHARES = {"prime": 0.8, "plain": 0.19, "toxic": 0.01}
+#: A domain of a smaller share may lose tokens to meet its target.
+BIG_SHARE = 0.1
 
 
 def domain_of(quality: Column, toxic: Column) -> Column:
@@ -123,10 +126,11 @@ def train(docs: DataFrame, labels: DataFrame, domains: tuple[str, ...] = DOMAINS
     return DomainModel(domains, weights, bias, rarity)
 
 
-def posteriors(docs: DataFrame, model: DomainModel, text_col: str = "text") -> DataFrame:
-    """``docs`` without the text, with n_tokens and posterior (array by domain). No shuffle."""
+def posteriors(docs: DataFrame, model: DomainModel, text_col: str = "text", keep_text: bool = False) -> DataFrame:
+    """``docs`` (without the text, unless it is kept) with n_tokens and posterior (array by domain). No shuffle."""
+    docs = without(docs, "n_tokens", "posterior")
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    rest = [f for f in docs.schema.fields if f.name != text_col]
+    rest = [f for f in docs.schema.fields if keep_text or f.name != text_col]
     prior = np.exp(model.bias - model.bias.max())
     prior = (prior / prior.sum()).tolist()
 
@@ -136,10 +140,10 @@ def posteriors(docs: DataFrame, model: DomainModel, text_col: str = "text") -> D
             for lo, hi, n, row, col in word_features(b.column(at)):
                 p = sent.value.posteriors(hi - lo, row, col)
                 p[n == 0] = prior
-                columns = [c.slice(lo, hi - lo) for k, c in enumerate(b.columns) if k != at]
+                columns = [c.slice(lo, hi - lo) for k, c in enumerate(b.columns) if keep_text or k != at]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(n), pa.array(list(p), pa.list_(pa.float64()))], names=[*(f.name for f in rest), "n_tokens", "posterior"])
 
-    return docs.mapInArrow(run, T.StructType([*rest, T.StructField("n_tokens", T.LongType()), T.StructField("posterior", T.ArrayType(T.DoubleType()))]))
+    return docs.mapInArrow(trimmed(run), T.StructType([*rest, T.StructField("n_tokens", T.LongType()), T.StructField("posterior", T.ArrayType(T.DoubleType()))]))
 
 
 def rate_column(pulls: np.ndarray, even: float, ridge: float) -> Column:
@@ -198,25 +202,45 @@ def fit_rates(table: DataFrame, targets: np.ndarray, ridge: float = RIDGE, toler
 
 
 def default_targets(table: DataFrame, shares: dict[str, float], domains: tuple[str, ...]) -> np.ndarray:
-    """Token targets in the given shares, large enough that no domain need lose tokens to meet them."""
+    """Token targets in the given shares, large enough that no domain of a big share need lose tokens to meet them.
+
+    Domains of a share below ``BIG_SHARE`` are those that a mixture holds down, so they may lose tokens.
+    """
     n, p = F.col("n_tokens"), F.col("posterior")
     row = table.agg(*(F.sum(n * p[k]).alias(f"s{k}") for k in range(len(domains)))).first()
     have = np.array([row[f"s{k}"] or 0.0 for k in range(len(domains))])
     share = np.array([shares[d] for d in domains])
-    big = share >= 0.1
+    big = share >= BIG_SHARE
     total = (have[big] / share[big]).max() if big.any() else have.sum()
     return total * share
 
 
+def _rated(table: DataFrame, shares: dict[str, float] | None, domains: tuple[str, ...]) -> DataFrame:
+    pulls, even = fit_rates(table, default_targets(table, shares or SHARES, domains))
+    unit = F.pmod(F.xxhash64("doc_id", F.lit(77)), F.lit(1 << 40)) / float(1 << 40)
+    rated = table.withColumn("rate", F.round(rate_column(pulls, even, RIDGE), 9))
+    return rated.withColumn("copies", (F.floor("rate") + F.when(unit < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("long"))
+
+
 def mix(docs: DataFrame, labels: DataFrame, shares: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", domains: tuple[str, ...] = DOMAINS) -> DataFrame:
     """doc_id, n_tokens, posterior, rate, copies of every row."""
     small_batches(docs.sparkSession)
     model = train(docs, labels, domains, id_col, text_col)
     table = materialize(posteriors(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), model), "posteriors")
-    pulls, even = fit_rates(table, default_targets(table, shares or SHARES, domains))
-    unit = F.pmod(F.xxhash64("doc_id", F.lit(77)), F.lit(1 << 40)) / float(1 << 40)
-    rated = table.withColumn("rate", F.round(rate_column(pulls, even, RIDGE), 9))
-    return rated.withColumn("copies", (F.floor("rate") + F.when(unit < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("long"))
+    return _rated(table, shares, domains)
+
+
+def resample(docs: DataFrame, labels: DataFrame, shares: dict[str, float] | None = None, text_col: str = "text", domains: tuple[str, ...] = DOMAINS) -> DataFrame:
+    """The rows of ``docs`` (with ``doc_id``), each as often as its copies; none of rate 0.
+
+    The posteriors are written beside the rows, so the fit reads two narrow columns of that table
+    and nothing is joined or shuffled.
+    """
+    small_batches(docs.sparkSession)
+    model = train(docs, labels, domains, "doc_id", text_col)
+    table = materialize(posteriors(docs, model, text_col, keep_text=True), "posteriors")
+    rows = _rated(table, shares, domains).where("copies > 0")
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*without(docs, "n_tokens", "posterior").columns)
 
 
 def labelled_domains(labels: DataFrame) -> DataFrame:

@@ -9,7 +9,8 @@ Every expression is linear: quantifiers are possessive and no run is entered in
 text of a million digits costs a million steps.  Offsets are code points, end exclusive.
 
 Defined results: a null text is an empty one and has no spans; repeated rows each get their own
-result; an empty table gives an empty result; other columns are carried or ignored.
+result; an empty table gives an empty result; other columns are carried, and one that has the
+name of an added one is replaced, as ``withColumn`` does.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._store import small_batches
+from ._store import small_batches, trimmed, without
 
 KINDS = ("email", "ip", "card", "phone", "iban", "phone_local")
 BASE = KINDS[:4]
@@ -139,6 +140,7 @@ _SPAN_ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()),
 def detect(df: DataFrame, text_col: str = "text", min_score: float = MIN_SCORE, redacted: bool = False) -> DataFrame:
     """``df`` with ``pii`` (all spans) and, if asked for, ``redacted`` (the text without them). No shuffle."""
     small_batches(df.sparkSession)
+    df = without(df, "pii", *(["redacted"] if redacted else []))
     fields = [*df.schema.fields, T.StructField("pii", _SPAN), *([T.StructField("redacted", T.StringType())] if redacted else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,7 +156,7 @@ def detect(df: DataFrame, text_col: str = "text", min_score: float = MIN_SCORE,
             extra = [pa.array(found, _SPAN_ARROW), *([pa.array(clean, pa.string())] if redacted else [])]
             yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[f.name for f in fields])
 
-    return df.mapInArrow(run, T.StructType(fields))
+    return df.mapInArrow(trimmed(run), T.StructType(fields))
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,12 @@
 Every record hashes to one of ``n_slots`` virtual slots (thousands, fixed for the life of the
 data set).  Rows and bytes are summed per slot -- the only statistic that reaches the driver,
 ``n_slots`` rows whatever the input -- and a versioned slot-to-shard map says where each slot
-lives.  Rebalancing edits the map: whole slots move, records are never rehashed.
+lives.  Rebalancing edits the map: whole slots move, records are never rehashed.  A call that is
+given the folder of earlier maps loads the latest version and moves only what the new weights ask
+for; the versions stay readable side by side.
+
+Groups of equal texts: a slot is a hash of id and text, so copies of one text under many ids spread
+over all slots and shards and can make no shard heavy; records equal in both share a slot.
 
 Defined results: a null text counts no bytes (size 1) and has crc 0; records with equal id and
 text share a slot and get different places in it; an empty table gives an empty result and a map
@@ -20,7 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._store import materialize
+from ._store import fresh_path, materialize
 
 N_SLOTS = 4096
 
@@ -41,6 +46,16 @@ class SlotMap:
         """Add this version to the map table at ``path``; earlier versions stay readable."""
         self.frame(spark).coalesce(1).write.mode("overwrite").parquet(f"{path.rstrip('/')}/v{self.version:06d}")
 
+    @staticmethod
+    def latest(spark: SparkSession, path: str) -> SlotMap | None:
+        """The newest version at ``path``, if there is one."""
+        jvm = spark._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        names = [x.getPath().getName() for x in fs.listStatus(folder)] if fs.exists(folder) else []
+        versions = [int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit()]
+        return SlotMap.load(spark, path, max(versions)) if versions else None
+
     @staticmethod
     def load(spark: SparkSession, path: str, version: int) -> SlotMap:
         rows = spark.read.parquet(f"{path.rstrip('/')}/v{version:06d}").orderBy("virtual_slot").collect()
@@ -118,12 +133,17 @@ def shard(df: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col: st
     """Law ``bytes``: doc_id, size, text_crc32, law, shard, slot, grown_shard, virtual_slot, map_version.
 
     ``slot`` is the record's place in its shard, from 0 without gaps: the rows of the shard's
-    earlier virtual slots plus the place within its own.
+    earlier virtual slots plus the place within its own.  With ``map_path`` the map is stored there;
+    of an earlier version there, only slots that must move do (it settles the number of slots).
     """
     spark = df.sparkSession
+    if map_path and (known := SlotMap.latest(spark, map_path)):
+        n_slots = len(known.shard_of)
     recs = materialize(records(df, id_col, text_col, n_slots), "slots")
     weights = slot_weights(recs)
-    slot_map = plan_map({s: b for s, (b, _) in weights.items()}, n_shards, n_slots)
+    sizes = {s: b for s, (b, _) in weights.items()}
+    before = SlotMap.latest(spark, map_path) if map_path else None
+    slot_map = rebalance(before, sizes, n_shards) if before else plan_map(sizes, n_shards, n_slots)
     if map_path:
         slot_map.save(spark, map_path)
     seen, rows = [0] * n_shards, []
@@ -154,7 +174,9 @@ def write_shards(df: DataFrame, slot_map: SlotMap, path: str, id_col: str = "doc
 
 
 def op8_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shard(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    # Each call is a data set of its own, so its map begins with version 1.
+    return shard(docs, map_path=fresh_path(spark, "slot-map"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op8_virtual_slots": op8_virtual_slots}
