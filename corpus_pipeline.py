@@ -2,32 +2,42 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that the stage before kept, and returns a
 DataFrame that is written as Parquet and read again before the next one; all but the last return
-the columns of ``documents``.  Null and empty texts go at the first stage (no language); repeated
-rows stay or go together and may be repeated by the mixture; an empty table stays empty.
+the columns of ``documents``.  Null and empty texts go at the first stage (no language); of
+repeated rows one stays, which the mixture may repeat; an empty table stays empty.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veldspar.llm import decontaminate, jaccard, langid, mixing, sharding
-from veldspar.llm._store import materialize
+from veldspar.llm._store import fresh_path, materialize
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 N_SHARDS = 8
+#: Share of a text from which its leading language is taken for the declared one.
+SURE = 0.8
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language; where ``lang`` is null the prediction fills it."""
+    """Documents in a learned language, under the language that was inferred.
+
+    Those without a letter go, and those that evenly drawn n-grams explain better than any mixture
+    of the learned languages.  ``lang`` becomes the leading language where it has at least
+    ``SURE`` of the text; elsewhere a declared one stays and a missing one is filled.
+    """
     model = langid.train(docs.select("doc_id", "text", "lang"))
     found = langid.identify(docs.select(*COLUMNS), model)
-    kept = found.where(F.col("language.lang") != "und")
-    return kept.withColumn("lang", F.coalesce("lang", "language.lang")).select(*COLUMNS)
+    own = F.col("language")
+    kept = found.where((own["lang"] != "und") & (own["fit"] > -langid.BITS * math.log(2)))
+    return kept.withColumn("lang", F.when(own["score"] >= SURE, own["lang"]).otherwise(F.coalesce("lang", own["lang"]))).select(*COLUMNS)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, the document of the smallest id."""
+    """Of each group of near copies, one row of the smallest id."""
     return jaccard.keep_first(docs).select(*COLUMNS)
 
 
@@ -40,14 +50,12 @@ def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its fitted rate says; none of rate 0."""
     labels = mixing.labelled_domains(spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    rates = mixing.mix(docs, labels).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies"))
-    joined = docs.join(rates.withColumnRenamed("doc_id", "_id"), docs["doc_id"].eqNullSafe(F.col("_id")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
+    return mixing.resample(docs, labels).select(*COLUMNS)
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The shard and place of every record."""
-    return sharding.shard(docs.select("doc_id", "text"), N_SHARDS)
+    return sharding.shard(docs.select("doc_id", "text"), N_SHARDS, map_path=fresh_path(spark, "slot-map"))
 
 
 STAGES = [
