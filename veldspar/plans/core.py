@@ -22,7 +22,7 @@ def query(sql: str | None = None):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             return f(lambda name: table(spark, sf_dir, name), spark)
 
-        run.__name__, run.__doc__ = f.__name__, f.__doc__
+        run.__name__, run.__doc__, run.__module__ = f.__name__, f.__doc__, f.__module__
         QUERIES[f.__name__] = run
         if sql:
             ORACLES[f.__name__] = sql
