@@ -91,3 +91,52 @@ def select_case(*branches: tuple[Column, str], otherwise: str | None = None) ->
     for cond, value in branches:
         out = F.when(cond, value) if out is None else out.when(cond, value)
     return out.otherwise(otherwise)
+
+
+def reciprocal_fallback(value: Column, inverse: Column) -> Column:
+    """The value, else the reciprocal of a positive inverse quantity (PRJ-06)."""
+    return F.coalesce(value, F.when(inverse > 0, 1 / inverse))
+
+
+def map_labels(c: Column, table: dict[str, str], keep: bool = False) -> Column:
+    """Label of a key; one without is null, or kept as it is (PRJ-10, MAP-02)."""
+    found = F.create_map(*(F.lit(x) for kv in table.items() for x in kv))[c]
+    return F.coalesce(found, c) if keep else found
+
+
+def null_outside(c: Column, low: float, high: float) -> Column:
+    """Null in place of a value outside its valid range; the row stays (PRJ-12)."""
+    return F.when(c.between(low, high), c)
+
+
+def fill_missing(c: Column, value: Column | float = 0.0) -> Column:
+    """A value in place of null, NaN and infinity (MTH-06)."""
+    return F.coalesce(finite(c), value if isinstance(value, Column) else F.lit(value))
+
+
+def positive_all(*cs: Column) -> Column:
+    """Are all values finite and above 0? Null is not (FLT-06)."""
+    return reduce(lambda x, y: x & y, [F.coalesce(finite(c) > 0, F.lit(False)) for c in cs])
+
+
+def admitted(*cs: Column) -> Column:
+    """Are all fields present and not 0, empty or false? (FLT-08)"""
+    return reduce(lambda x, y: x & y, [F.coalesce(c.cast("string"), F.lit("")).isin("", "0", "0.0", "false") == F.lit(False) for c in cs])
+
+
+def select_by_name(df, pattern: str, prefix: str = ""):
+    """Columns whose names match an expression, under prefixed names (PRJ-15)."""
+    import re
+
+    return df.select(*(F.col(c).alias(prefix + c) for c in df.columns if re.search(pattern, c)))
+
+
+def columns_named(spark, tables: dict, *words: str):
+    """(table, column) of every column whose name holds one of the words; only schemas are read (FLT-13)."""
+    rows = [(t, c) for t, df in tables.items() for c in df.columns if any(w.lower() in c.lower() for w in words)]
+    return spark.createDataFrame(rows, "table_name string, column_name string")
+
+
+def require(c: Column, message: str, value: Column) -> Column:
+    """The value, or an error where the condition does not hold or is null (MTH-20)."""
+    return F.when(F.coalesce(c, F.lit(False)), value).otherwise(F.raise_error(F.concat(F.lit(message + ": "), F.coalesce(value.cast("string"), F.lit("null")))).cast("double"))

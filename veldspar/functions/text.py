@@ -27,18 +27,25 @@ def numbers_median(c: Column, low: float, high: float) -> Column:
     return median(numbers(c, low, high))
 
 
-def length_um(c: Column) -> Column:
-    """Median of the lengths (ranges by their mean) in a text, in micrometres (STR-08)."""
-    text = F.regexp_replace(F.lower(c), "micrometers?|microns?|[µμ]m", "um")
-    text = F.regexp_replace(text, "nanometers?", "nm")
-    pattern = rf"({NUMBER})\s*(?:(?:-|to|~)\s*({NUMBER})\s*)?(nm|um|mm)"
+def length_um(c: Column, comment: Column | None = None, low: float = 0.003, high: float = 500.0) -> Column:
+    """Median of the lengths in a text, in micrometres: ranges by their mean, those within limits only (STR-08).
+
+    A comment that is not blank is read in place of the text.
+    """
+    source = c if comment is None else F.when(F.trim(F.coalesce(comment, F.lit(""))) != "", comment).otherwise(c)
+    text = F.regexp_replace(F.regexp_replace(F.lower(source), "micrometers?|microns?|[µμ]m", "um"), "nanometers?", "nm")
+    text = F.regexp_replace(text, r"\*\s*10\^?\(?-6\)?\s*m", " um")
+    pattern = rf"({NUMBER})\s*(?:to|[-~])?\s*({NUMBER})?\s*(nm|um|mm)"
     parts = F.arrays_zip(*(F.regexp_extract_all(text, F.lit(pattern), k).alias(n) for k, n in ((1, "a"), (2, "b"), (3, "u"))))
+
     def scale(u: Column) -> Column:
         out = F.lit(1.0)
         for name, value in UNITS.items():
             out = F.when(u == name, F.lit(value)).otherwise(out)
         return out
-    return median(F.transform(parts, lambda x: (x["a"].cast("double") + F.coalesce(F.nullif(x["b"], F.lit("")).cast("double"), x["a"].cast("double"))) / 2 * scale(x["u"])))
+
+    values = F.transform(parts, lambda x: (x["a"].cast("double") + F.coalesce(F.nullif(x["b"], F.lit("")).cast("double"), x["a"].cast("double"))) / 2 * scale(x["u"]))
+    return median(F.filter(values, lambda x: x.between(low, high)))
 
 
 def canonical(c: Column, synonyms: dict[str, str], nulls: tuple[str, ...] = ("-", "unknown")) -> Column:
@@ -93,3 +100,25 @@ def reduced_formula(amounts: Column) -> Column:
 def subscript(c: Column) -> Column:
     """Digits as subscripts of a label (STR-14)."""
     return F.regexp_replace(c, r"(\d+)", r"\$_{$1}\$")
+
+
+def counted_formula(species: Column) -> Column:
+    """Formula of a list of atoms: names in order, with their counts above one (STR-13)."""
+    names = F.array_sort(F.array_distinct(species))
+
+    def term(e: Column) -> Column:
+        n = F.size(F.filter(species, lambda x: x == e))
+        return F.concat(e, F.when(n > 1, n.cast("string")).otherwise(F.lit("")))
+
+    return F.array_join(F.transform(names, term), "")
+
+
+def number_kind(c: Column) -> Column:
+    """real, complex or none: what a text holds as a number (STR-15)."""
+    number = r"[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?"
+    return F.when(F.trim(c).rlike(rf"^\(?({number})?[+-](\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?[ij]\)?$"), "complex").when(F.trim(c).rlike(rf"^{number}$"), "real").when(c.isNotNull(), "none")
+
+
+def repr_key(*cs: Column) -> Column:
+    """A text that tells apart what differs in value or in kind, for distinct counts over mixed or nested values (STR-16)."""
+    return F.to_json(F.struct(*(c.alias(f"_{i}") for i, c in enumerate(cs))))

@@ -131,3 +131,10 @@ def benjamini_hochberg(df: DataFrame, p: str, out: str = "q") -> DataFrame:
     raw = pos.select(F.col("value"), (F.col("value") * F.lit(float(m)) / (F.col("before") + F.col("n"))).alias("raw"))
     adj = raw.withColumn(out, F.least(F.lit(1.0), F.min("raw").over(Window.orderBy("value").rowsBetween(0, Window.unboundedFollowing))))
     return df.join(adj.select(F.col("value").alias(p), out), p, "left")
+
+
+def median_deviation(df: DataFrame, value: str) -> tuple[float, float]:
+    """Median, and median of the absolute differences from it (AGG-08)."""
+    (m,) = exact_quantiles(df, value, [0.5])
+    apart = df.where(F.col(value).isNotNull()).select(F.abs(F.col(value) - F.lit(m)).alias("apart"))
+    return m, exact_quantiles(apart, "apart", [0.5])[0]

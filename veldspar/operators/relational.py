@@ -157,3 +157,37 @@ def pareto_front(df: DataFrame, high: str, low: str) -> DataFrame:
     w = Window.partitionBy("_part").orderBy(low).rowsBetween(Window.unboundedPreceding, -1)
     front = best.join(F.broadcast(before), "_part").withColumn("_rival", F.greatest("_before", F.max("_h").over(w))).where("_rival is null or _h > _rival").select(low, F.col("_h").alias(high))
     return df.join(front, [low, high], "left_semi")
+
+
+def aligned_join(meta: DataFrame, features: dict[str, DataFrame], key: str, order: str) -> DataFrame:
+    """``meta`` in its order with a column for each feature table (key, values), only of keys that all hold (JOIN-05).
+
+    Raises if a key is repeated on any side, or if a table's vectors differ in length.
+    """
+    require_unique(meta, key)
+    out = meta
+    for name, df in features.items():
+        require_unique(df, key)
+        value = next(c for c in df.columns if c != key)
+        if df.agg(F.count_distinct(F.size(value)).alias("n")).first().n > 1:
+            raise ValueError(f"vectors of {name} differ in length")
+        out = out.join(df.select(key, F.col(value).alias(name)), key)
+    return out.orderBy(order)
+
+
+def pivot_unique(df: DataFrame, index: str, column: str, value: str, names: Sequence[str]) -> DataFrame:
+    """One column per name; raises if an index has a name twice (AGG-18)."""
+    require_unique(df, index, column)
+    return df.groupBy(index).pivot(column, list(names)).agg(F.first(value))
+
+
+def resolvable_head(df: DataFrame, head: int, keep: int, known: DataFrame, key: str, *order: Column) -> DataFrame:
+    """Of the first ``head`` rows, the first ``keep`` whose key is known (SRT-11)."""
+    return df.orderBy(*order).limit(head).join(known.select(key).distinct(), key, "left_semi").orderBy(*order).limit(keep)
+
+
+def bind_columns(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Two blocks of columns of the same rows, by key; raises unless both hold each key once (SET-02)."""
+    require_unique(left, key)
+    require_unique(right, key)
+    return left.join(right, key, "full")
