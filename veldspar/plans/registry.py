@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import relational, scalars, screening, spectra, statistics, texts, vectors  # noqa: F401
+from . import relational, scalars, screening, spectra, statistics, texts, transport, vectors  # noqa: F401
 from .core import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -125,26 +125,6 @@ def optimum_window(t, spark):
     return near.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.min("l_quantity").alias("q_low"), F.max("l_quantity").alias("q_high"), F.min("l_discount").alias("d_low"), F.max("l_discount").alias("d_high"))
 
 
-@query("""
-WITH g AS (SELECT a.range AS i, b.range AS j, 0.1 + a.range * 0.05 AS x, 0.2 + b.range * 0.1 AS y FROM range(45) a, range(45) b), s AS (SELECT i, j, x, y, x * exp(-x) * y / (1 + y * y) AS z FROM g)
-SELECT i, round(max(z), 9) AS best, arg_max(j, z) AS j_best FROM s GROUP BY 1""")
-def surface_sweep(t, spark):
-    """SCN-10, SCN-11: a 45 x 45 parameter surface and each row's optimum."""
-    g = spark.range(45 * 45).select(F.floor(F.col("id") / 45).alias("i"), (F.col("id") % 45).alias("j"))
-    x, y = 0.1 + F.col("i") * 0.05, 0.2 + F.col("j") * 0.1
-    s = g.withColumn("z", x * F.exp(-x) * y / (1 + y * y))
-    return s.groupBy("i").agg(F.round(F.max("z"), 9).alias("best"), F.max_by("j", "z").alias("j_best"))
-
-
-@query()
-def scenario_sampling(t, spark):
-    """SCN-12: sampled scenarios (by hash, so repeatable) and quantiles of their outcome."""
-    u = [F.pmod(F.xxhash64("id", F.lit(k)), F.lit(1 << 30)) / float(1 << 30) for k in range(3)]
-    s = spark.range(400).select("id", (0.5 + u[0]).alias("a"), (0.1 + 0.4 * u[1]).alias("b"), (1 + u[2]).alias("c"))
-    s = s.withColumn("z", F.col("a") * F.col("c") / (1 + F.col("b")))
-    return s.agg(*(F.percentile("z", p).alias(f"p{int(100 * p)}") for p in (0.05, 0.5, 0.95)), F.count(F.lit(1)).alias("n"))
-
-
 @query(f"""
 WITH g AS (SELECT l_returnflag = 'R' AS good, l_extendedprice AS s FROM lineitem), k AS (SELECT good, {_AVG.format('s')} AS rk, count(*) OVER () AS n FROM g), q AS (SELECT count(*) FILTER (good) AS n1, count(*) FILTER (NOT good) AS n0, any_value(n) AS n, sum(rk) FILTER (good) AS s, count(*) FILTER (rk > 0.8 * n) AS top, count(*) FILTER (good AND rk > 0.8 * n) AS hits FROM k)
 SELECT round((s - n1 * (n1 + 1) / 2.0) / (n1 * n0), 6) AS auc, round(hits / top, 6) AS precision_top, round(hits / n1, 6) AS recall_top, round(hits * n / (top * n1), 6) AS lift FROM q""")

@@ -68,14 +68,6 @@ def band_sweep(t, spark):
     return spark.range(601).select(F.col("id").alias("step"), r(eta).alias("eta"), r(f0).alias("f0"), r(1 / (1 + F.exp(-eta)) / f0).alias("slope_ratio"))
 
 
-@query()
-def transport_sweep(t, spark):
-    """MTH-17, MTH-21: Seebeck, Lorenz and electronic ceiling over reduced levels (numeric integrals)."""
-    g = spark.range(0, 121).select((F.lit(-6.0) + F.col("id") * 0.1).alias("eta"))
-    out = g.select("eta", physics.seebeck(F.col("eta")).alias("seebeck"), physics.lorenz(F.col("eta")).alias("lorenz"))
-    return out.withColumn("zt_ceiling", physics.zt_ceiling(F.col("seebeck"), F.col("lorenz")))
-
-
 @query("SELECT lang, source, count(*) AS n, sum(n_chars)::BIGINT AS chars, round(avg(n_chars), 6) AS mean_chars FROM documents GROUP BY 1, 2")
 def corpus_profile(t, spark):
     """AGG-10, AGG-23 on texts."""

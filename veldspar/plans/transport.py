@@ -1,0 +1,182 @@
+"""Queries of the transport model: curves, surfaces, temperatures and sampled scenarios."""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import functions as F
+
+from ..functions import physics
+from ..functions.physics import BASELINE, E_CHARGE, H_BAR, K_B, K_OVER_E, M_E
+from .core import query, r
+
+#: Levels of a scan: from LOW in steps of STEP.
+LOW, STEP, LEVELS = -4.0, 0.1, 101
+
+# SQL of the level scan: Fermi integrals by Simpson's rule in u = sqrt(x), then Seebeck and Lorenz.
+_U = "u AS (SELECT i * 0.01 AS u, (CASE WHEN i IN (0, 900) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * 0.01 / 3 AS w FROM range(901) t(i))"
+_LEVELS = f"""{_U}, e AS (SELECT k, {LOW} + k * {STEP} AS eta FROM range({LEVELS}) t(k)),
+fi AS (SELECT eta, ln(1 + exp(eta)) AS f0, sum(w * 2 * u ** 3 / (1 + exp(u * u - eta))) AS f1, sum(w * 2 * u ** 5 / (1 + exp(u * u - eta))) AS f2 FROM e, u GROUP BY eta),
+lv AS (SELECT eta, f0, {K_OVER_E} * (2 * f1 / f0 - eta) AS s, {K_OVER_E}::DOUBLE ** 2 * (3 * f2 / f0 - (2 * f1 / f0) ** 2) AS l FROM fi)"""
+
+
+def _model(**changes: str) -> str:
+    """SQL columns of the model at a level, parameters being SQL expressions."""
+    p = {k: f"{v!r}::DOUBLE" for k, v in BASELINE.items()} | changes
+    tort = f"(1 + 0.25 * {p['slope']} ** 2)"
+    factor = f"({p['stiffness']} * pow(1 - {p['porosity']}, 1.5) / (1 + 0.15 * {p['slope']} ** 2) / {tort})"
+    sheet = f"({p['valleys']} * {p['dos_mass']} * {p['temperature']} * {M_E * K_B / (math.pi * H_BAR**2)!r} * f0)"
+    mob = f"({E_CHARGE * H_BAR**3 / (K_B * M_E**2 * E_CHARGE**2)!r} * {p['modulus']} / ({p['temperature']} * {p['conductivity_mass']} * {p['dos_mass']} * {p['deformation_ev']} ** 2) * {p['retention']})"
+    v = f"({p['velocity']} * sqrt({p['stiffness']} / {p['mass']}))"
+    tau = f"(1 / (1 / ({p['lifetime_ps']} * 1e-12 * 600 / {p['temperature']} / (1 + 3 * {p['overlap']})) + {v} * {p['porosity']} / ({p['pore_nm']} * 1e-9) + {v} * {p['slope']} ** 2 / ({p['wrinkle_nm']} * 1e-9)))"
+    kl = f"(0.5 * {p['heat_capacity']} * ({v} / {tort}) ** 2 * {tau} * (1 - {p['porosity']}) / (1 + {p['porosity']}))"
+    sigma = f"({sheet} / ({p['thickness_nm']} * 1e-9) * {E_CHARGE!r} * {mob} * {factor})"
+    return f"{sheet} / 1e4 AS n_sheet_cm2, s * 1e6 AS seebeck_uv, {mob} * 1e4 * {factor} AS mobility_cm2, {sigma} AS sigma, s * s * {sigma} * 1e3 AS power_factor_mw, l * {sigma} * {p['temperature']} AS kappa_e, {kl} AS kappa_lattice, s * s * {sigma} * {p['temperature']} / (l * {sigma} * {p['temperature']} + {kl}) AS zt"
+
+
+def levels(spark):
+    """eta, f0, s, l of the scan: the only place where integrals are computed, LEVELS rows."""
+    e = spark.range(LEVELS).select((F.lit(LOW) + F.col("id") * F.lit(STEP)).alias("eta"))
+    b = physics.band(F.col("eta"))
+    return e.select("eta", physics.ln_f0(F.col("eta")).alias("f0"), b["seebeck"].alias("s"), b["lorenz"].alias("l"))
+
+
+def modelled(spark, grid, **changes):
+    """Every row of a parameter grid at every level (LEVELS rows, broadcast), with the model's columns."""
+    at = grid.crossJoin(F.broadcast(levels(spark)))
+    out = physics.transport(F.col("f0"), F.col("s"), F.col("l"), physics.params(**changes))
+    return at.select(*grid.columns, "eta", *(c.alias(k) for k, c in out.items()))
+
+
+def best(df, *keys):
+    """The level of the largest figure of merit for each parameter row (SCN-10)."""
+    rest = ["eta", "zt", "n_sheet_cm2", "seebeck_uv", "sigma", "kappa_lattice"]
+    return df.groupBy(*keys).agg(F.max(F.struct(F.round("zt", 9).alias("z"), (-F.col("eta")).alias("first"), *(F.col(c) for c in rest if c != "z"))).alias("m")).select(*keys, *(F.col(f"m.{c}").alias(c) for c in rest))
+
+
+def axis(spark, name, low, high, n):
+    return spark.range(n).select((F.lit(low) + F.col("id") * F.lit((high - low) / (n - 1))).alias(name))
+
+
+def _axis(name: str, low: float, high: float, n: int) -> str:
+    return f"SELECT {low} + i * {(high - low) / (n - 1)!r} AS {name} FROM range({n}) t(i)"
+
+
+@query(f"""
+WITH {_U}, e AS (SELECT -4 + k * 0.5 AS eta FROM range(21) t(k)), o AS (SELECT unnest([-0.5, 0.0, 0.5, 1.0, 1.5, 2.0]) AS j)
+SELECT eta, j, round(sum(w * 2 * CASE WHEN j = -0.5 THEN 1 ELSE u ** (2 * j + 1) END / (1 + exp(u * u - eta))), 5) AS f FROM e, o, u GROUP BY 1, 2""")
+def fermi_orders(t, spark):
+    """MTH-17: complete Fermi-Dirac integrals of whole and half orders."""
+    e = spark.range(21).select((F.lit(-4.0) + F.col("id") * 0.5).alias("eta"), F.explode(F.array(*(F.lit(j) for j in (-0.5, 0.0, 0.5, 1.0, 1.5, 2.0)))).alias("j"))
+    return e.select("eta", "j", r(physics.fermi_integral(F.col("eta"), F.col("j")), 5).alias("f"))
+
+
+@query(f"""
+WITH {_LEVELS}, m AS (SELECT eta, {_model()} FROM lv)
+SELECT round(eta, 6) AS eta, round(n_sheet_cm2 / 1e10, 4) AS n_sheet, round(seebeck_uv, 4) AS seebeck_uv, round(mobility_cm2, 4) AS mobility_cm2, round(sigma, 2) AS sigma, round(power_factor_mw, 5) AS power_factor_mw,
+  round(kappa_e, 5) AS kappa_e, round(kappa_lattice, 5) AS kappa_lattice, round(zt, 4) AS zt FROM m""")
+def transport_curve(t, spark):
+    """MTH-17: density, mobility, conductivities, power factor and figure of merit along the level."""
+    m = modelled(spark, spark.range(1).select(F.lit(1).alias("one")))
+    return m.select(r(F.col("eta")).alias("eta"), r(F.col("n_sheet_cm2") / 1e10, 4).alias("n_sheet"), r(F.col("seebeck_uv"), 4).alias("seebeck_uv"), r(F.col("mobility_cm2"), 4).alias("mobility_cm2"), r(F.col("sigma"), 2).alias("sigma"), r(F.col("power_factor_mw"), 5).alias("power_factor_mw"), r(F.col("kappa_e"), 5).alias("kappa_e"), r(F.col("kappa_lattice"), 5).alias("kappa_lattice"), r(F.col("zt"), 4).alias("zt"))
+
+
+@query(f"""
+WITH {_LEVELS} SELECT round(eta, 6) AS eta, round(s * s / l, 4) AS ceiling, round(10 * {K_OVER_E} * 600, 6) AS gap FROM lv""")
+def zt_ceiling(t, spark):
+    """MTH-19, MTH-21: electronic ceiling along the level; the gap that keeps bipolar transport out."""
+    return levels(spark).select(r(F.col("eta")).alias("eta"), r(physics.zt_ceiling(F.col("s"), F.col("l")), 4).alias("ceiling"), r(physics.bipolar_gap(F.lit(600.0), F.lit(10.0))).alias("gap"))
+
+
+@query(f"""
+WITH {_U}, e AS (SELECT {LOW} + k * {STEP} AS eta FROM range({LEVELS}) t(k)),
+f AS (SELECT eta, sum(w * 2 * u / (1 + exp(u * u - eta))) AS f0, sum(w * 2 * u ** 3 / (1 + exp(u * u - eta))) AS f1, sum(w * 2 * u ** 5 / (1 + exp(u * u - eta))) AS f2 FROM e, u GROUP BY eta)
+SELECT round(eta, 6) AS eta, round({K_OVER_E} * (2 * f1 / f0 - eta) * 1e6, 4) AS seebeck_uv, round({K_OVER_E}::DOUBLE ** 2 * (3 * f2 / f0 - (2 * f1 / f0) ** 2) * 1e8, 5) AS lorenz FROM f""")
+def acoustic_band(t, spark):
+    """MTH-22: the three-dimensional band with acoustic scattering (exponent -1/2)."""
+    e = spark.range(LEVELS).select((F.lit(LOW) + F.col("id") * F.lit(STEP)).alias("eta"))
+    return e.select(r(F.col("eta")).alias("eta"), r(physics.seebeck(F.col("eta")) * 1e6, 4).alias("seebeck_uv"), r(physics.lorenz(F.col("eta")) * 1e8, 5).alias("lorenz"))
+
+
+@query(f"""
+WITH g AS (SELECT * FROM ({_axis("porosity", 0.0, 0.4, 21)}), ({_axis("slope", 0.0, 1.0, 21)})), f AS (SELECT 1.0 AS f0, 1.0 AS s, 1.0 AS l), m AS (SELECT porosity, slope, {_model(porosity="porosity", slope="slope")} FROM g, f)
+SELECT round(porosity, 6) AS porosity, round(slope, 6) AS slope, round(kappa_lattice, 9) AS kappa_lattice, round(mobility_cm2, 6) AS mobility_cm2 FROM m""")
+def lattice_surface(t, spark):
+    """MTH-18: lattice conductivity and electronic retention over pores and wrinkles."""
+    g = axis(spark, "porosity", 0.0, 0.4, 21).crossJoin(axis(spark, "slope", 0.0, 1.0, 21))
+    p = physics.params(porosity=F.col("porosity"), slope=F.col("slope"))
+    return g.select(r(F.col("porosity")).alias("porosity"), r(F.col("slope")).alias("slope"), r(physics.lattice(p)["kappa_lattice"], 9).alias("kappa_lattice"), r(physics.mobility(p) * 1e4 * physics.electrical_factor(p)).alias("mobility_cm2"))
+
+
+def _best_sql(grid: str, keys: str, **changes: str) -> str:
+    return f"""WITH {_LEVELS}, g AS ({grid}), m AS (SELECT {keys}, eta, {_model(**changes)} FROM g, lv),
+b AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY round(zt, 9) DESC, eta) AS rn FROM m)"""
+
+
+@query(f"""
+{_best_sql(f'SELECT * FROM ({_axis("conductivity_mass", 0.1, 1.2, 42)}), ({_axis("dos_mass", 0.2, 2.5, 42)})', "conductivity_mass, dos_mass", conductivity_mass="conductivity_mass", dos_mass="dos_mass")}
+SELECT round(conductivity_mass, 6) AS conductivity_mass, round(dos_mass, 6) AS dos_mass, round(eta, 6) AS eta, round(zt, 4) AS zt, round(n_sheet_cm2 / 1e10, 3) AS n_sheet FROM b WHERE rn = 1""")
+def mass_surface(t, spark):
+    """SCN-11, SCN-10: best level over 42 x 42 pairs of masses."""
+    g = axis(spark, "conductivity_mass", 0.1, 1.2, 42).crossJoin(axis(spark, "dos_mass", 0.2, 2.5, 42))
+    b = best(modelled(spark, g, conductivity_mass=F.col("conductivity_mass"), dos_mass=F.col("dos_mass")), "conductivity_mass", "dos_mass")
+    return b.select(r(F.col("conductivity_mass")).alias("conductivity_mass"), r(F.col("dos_mass")).alias("dos_mass"), r(F.col("eta")).alias("eta"), r(F.col("zt"), 4).alias("zt"), r(F.col("n_sheet_cm2") / 1e10, 3).alias("n_sheet"))
+
+
+@query(f"""
+{_best_sql(f'SELECT * FROM ({_axis("porosity", 0.0, 0.45, 45)}), ({_axis("slope", 0.0, 1.2, 45)})', "porosity, slope", porosity="porosity", slope="slope")}
+SELECT round(porosity, 6) AS porosity, round(slope, 6) AS slope, round(eta, 6) AS eta, round(zt, 4) AS zt, round(kappa_lattice, 5) AS kappa_lattice FROM b WHERE rn = 1""")
+def structure_surface(t, spark):
+    """SCN-11: best level over 45 x 45 pairs of porosity and wrinkle slope."""
+    g = axis(spark, "porosity", 0.0, 0.45, 45).crossJoin(axis(spark, "slope", 0.0, 1.2, 45))
+    b = best(modelled(spark, g, porosity=F.col("porosity"), slope=F.col("slope")), "porosity", "slope")
+    return b.select(r(F.col("porosity")).alias("porosity"), r(F.col("slope")).alias("slope"), r(F.col("eta")).alias("eta"), r(F.col("zt"), 4).alias("zt"), r(F.col("kappa_lattice"), 5).alias("kappa_lattice"))
+
+
+@query(f"""
+{_best_sql(f'SELECT * FROM ({_axis("stiffness", 0.3, 1.5, 45)}), ({_axis("mass", 0.5, 2.0, 45)})', "stiffness, mass", stiffness="stiffness", mass="mass")}
+SELECT round(stiffness, 6) AS stiffness, round(mass, 6) AS mass, round(eta, 6) AS eta, round(zt, 4) AS zt, round(kappa_lattice, 5) AS kappa_lattice FROM b WHERE rn = 1""")
+def softness_surface(t, spark):
+    """SCN-11: the trade of a soft lattice: mobility falls with the velocity of the phonons."""
+    g = axis(spark, "stiffness", 0.3, 1.5, 45).crossJoin(axis(spark, "mass", 0.5, 2.0, 45))
+    b = best(modelled(spark, g, stiffness=F.col("stiffness"), mass=F.col("mass")), "stiffness", "mass")
+    return b.select(r(F.col("stiffness")).alias("stiffness"), r(F.col("mass")).alias("mass"), r(F.col("eta")).alias("eta"), r(F.col("zt"), 4).alias("zt"), r(F.col("kappa_lattice"), 5).alias("kappa_lattice"))
+
+
+@query(f"""
+{_best_sql("SELECT unnest([300.0, 450.0, 600.0, 750.0, 900.0])::DOUBLE AS temperature", "temperature", temperature="temperature")}
+SELECT temperature, round(eta, 6) AS eta, round(zt, 4) AS zt, round(seebeck_uv, 3) AS seebeck_uv, round(8 * {K_OVER_E} * temperature, 6) AS gap_8, round(10 * {K_OVER_E} * temperature, 6) AS gap_10 FROM b WHERE rn = 1""")
+def temperature_optima(t, spark):
+    """SCN-13: best level and gap thresholds at each temperature."""
+    g = spark.range(5).select((F.lit(300.0) + F.col("id") * 150.0).alias("temperature"))
+    b = best(modelled(spark, g, temperature=F.col("temperature")), "temperature")
+    gaps = (physics.bipolar_gap(F.col("temperature"), F.lit(float(m))) for m in (8, 10))
+    return b.select("temperature", r(F.col("eta")).alias("eta"), r(F.col("zt"), 4).alias("zt"), r(F.col("seebeck_uv"), 3).alias("seebeck_uv"), *(r(g).alias(n) for g, n in zip(gaps, ("gap_8", "gap_10"), strict=True)))
+
+
+#: Ranges of sampled parameters.
+SCENARIO = {"porosity": (0.0, 0.4), "slope": (0.0, 1.0), "stiffness": (0.5, 1.2), "overlap": (0.0, 0.5), "retention": (0.5, 1.0)}
+
+
+def _draw(name: str, low: float, high: float) -> str:
+    return f"{low} + {high - low!r} * (('0x' || substr(md5(id::VARCHAR || '-{name}'), 1, 7))::BIGINT / 268435456.0) AS {name}"
+
+
+@query(f"""
+{_best_sql(f"SELECT id, {', '.join(_draw(k, *v) for k, v in SCENARIO.items())} FROM range(400) t(id)", "id, " + ", ".join(SCENARIO), **{k: k for k in SCENARIO})},
+z AS (SELECT * FROM b WHERE rn = 1), q AS (SELECT quantile_cont(round(zt, 9), 0.9) AS cut FROM z)
+SELECT round(quantile_cont(zt, 0.1), 5) AS p10, round(quantile_cont(zt, 0.5), 5) AS p50, round(quantile_cont(zt, 0.9), 5) AS p90, count(*) FILTER (round(zt, 9) >= cut) AS n_top,
+  round(min(porosity) FILTER (round(zt, 9) >= cut), 5) AS porosity_low, round(max(porosity) FILTER (round(zt, 9) >= cut), 5) AS porosity_high, round(min(slope) FILTER (round(zt, 9) >= cut), 5) AS slope_low, round(max(slope) FILTER (round(zt, 9) >= cut), 5) AS slope_high FROM z, q""")
+def scenario_sampling(t, spark):
+    """SCN-12: 400 scenarios drawn by hash, quantiles of their best figure of merit, and the ranges of the top decile."""
+    def draw(name, low, high):
+        u = F.conv(F.substring(F.md5(F.concat(F.col("id").cast("string"), F.lit(f"-{name}")).cast("binary")), 1, 7), 16, 10).cast("double") / 268435456.0
+        return (F.lit(low) + F.lit(high - low) * u).alias(name)
+
+    g = spark.range(400).select("id", *(draw(k, *v) for k, v in SCENARIO.items()))
+    z = best(modelled(spark, g, **{k: F.col(k) for k in SCENARIO}), "id", *SCENARIO).withColumn("z", F.round("zt", 9))
+    cut = z.agg(F.percentile("z", 0.9).alias("cut"))  # 400 rows, whatever the input
+    top = F.col("z") >= F.col("cut")
+    both = z.crossJoin(F.broadcast(cut))
+    ends = [r(f(F.when(top, F.col(c))), 5).alias(f"{c}_{n}") for c in ("porosity", "slope") for n, f in (("low", F.min), ("high", F.max))]
+    return both.agg(*(r(F.percentile("zt", p), 5).alias(f"p{int(p * 100)}") for p in (0.1, 0.5, 0.9)), F.count(F.when(top, 1)).alias("n_top"), *ends)
