@@ -34,7 +34,7 @@ PER_LANGUAGE = 2000
 EM_STEPS = 12
 SMOOTH = 0.5
 #: Bytes of one EM block.
-BLOCK = 1 << 19
+BLOCK = 1 << 17
 
 _LETTER: dict[str, np.ndarray] = {}
 
