@@ -74,11 +74,11 @@ def fermi_orders(t, spark):
 @query(f"""
 WITH {_LEVELS}, m AS (SELECT eta, {_model()} FROM lv)
 SELECT round(eta, 6) AS eta, round(n_sheet_cm2 / 1e10, 4) AS n_sheet, round(seebeck_uv, 4) AS seebeck_uv, round(mobility_cm2, 4) AS mobility_cm2, round(sigma, 2) AS sigma, round(power_factor_mw, 5) AS power_factor_mw,
-  round(kappa_e, 5) AS kappa_e, round(kappa_lattice, 5) AS kappa_lattice, round(zt, 4) AS zt FROM m""")
+  round(kappa_e, 5) AS kappa_e, round(kappa_lattice, 5) AS kappa_lattice, round(zt, 3) AS zt FROM m""")
 def transport_curve(t, spark):
     """MTH-17: density, mobility, conductivities, power factor and figure of merit along the level."""
     m = modelled(spark, spark.range(1).select(F.lit(1).alias("one")))
-    return m.select(r(F.col("eta")).alias("eta"), r(F.col("n_sheet_cm2") / 1e10, 4).alias("n_sheet"), r(F.col("seebeck_uv"), 4).alias("seebeck_uv"), r(F.col("mobility_cm2"), 4).alias("mobility_cm2"), r(F.col("sigma"), 2).alias("sigma"), r(F.col("power_factor_mw"), 5).alias("power_factor_mw"), r(F.col("kappa_e"), 5).alias("kappa_e"), r(F.col("kappa_lattice"), 5).alias("kappa_lattice"), r(F.col("zt"), 4).alias("zt"))
+    return m.select(r(F.col("eta")).alias("eta"), r(F.col("n_sheet_cm2") / 1e10, 4).alias("n_sheet"), r(F.col("seebeck_uv"), 4).alias("seebeck_uv"), r(F.col("mobility_cm2"), 4).alias("mobility_cm2"), r(F.col("sigma"), 2).alias("sigma"), r(F.col("power_factor_mw"), 5).alias("power_factor_mw"), r(F.col("kappa_e"), 5).alias("kappa_e"), r(F.col("kappa_lattice"), 5).alias("kappa_lattice"), r(F.col("zt"), 3).alias("zt"))
 
 
 @query(f"""
@@ -115,43 +115,43 @@ b AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY round(zt, 9) DES
 
 @query(f"""
 {_best_sql(f'SELECT * FROM ({_axis("conductivity_mass", 0.1, 1.2, 42)}), ({_axis("dos_mass", 0.2, 2.5, 42)})', "conductivity_mass, dos_mass", conductivity_mass="conductivity_mass", dos_mass="dos_mass")}
-SELECT round(conductivity_mass, 6) AS conductivity_mass, round(dos_mass, 6) AS dos_mass, round(eta, 6) AS eta, round(zt, 4) AS zt, round(n_sheet_cm2 / 1e10, 3) AS n_sheet FROM b WHERE rn = 1""")
+SELECT round(conductivity_mass, 6) AS conductivity_mass, round(dos_mass, 6) AS dos_mass, round(eta, 6) AS eta, round(zt, 3) AS zt, round(n_sheet_cm2 / 1e10, 3) AS n_sheet FROM b WHERE rn = 1""")
 def mass_surface(t, spark):
     """SCN-11, SCN-10: best level over 42 x 42 pairs of masses."""
     g = axis(spark, "conductivity_mass", 0.1, 1.2, 42).crossJoin(axis(spark, "dos_mass", 0.2, 2.5, 42))
     b = best(modelled(spark, g, conductivity_mass=F.col("conductivity_mass"), dos_mass=F.col("dos_mass")), "conductivity_mass", "dos_mass")
-    return b.select(r(F.col("conductivity_mass")).alias("conductivity_mass"), r(F.col("dos_mass")).alias("dos_mass"), r(F.col("eta")).alias("eta"), r(F.col("zt"), 4).alias("zt"), r(F.col("n_sheet_cm2") / 1e10, 3).alias("n_sheet"))
+    return b.select(r(F.col("conductivity_mass")).alias("conductivity_mass"), r(F.col("dos_mass")).alias("dos_mass"), r(F.col("eta")).alias("eta"), r(F.col("zt"), 3).alias("zt"), r(F.col("n_sheet_cm2") / 1e10, 3).alias("n_sheet"))
 
 
 @query(f"""
 {_best_sql(f'SELECT * FROM ({_axis("porosity", 0.0, 0.45, 45)}), ({_axis("slope", 0.0, 1.2, 45)})', "porosity, slope", porosity="porosity", slope="slope")}
-SELECT round(porosity, 6) AS porosity, round(slope, 6) AS slope, round(eta, 6) AS eta, round(zt, 4) AS zt, round(kappa_lattice, 5) AS kappa_lattice FROM b WHERE rn = 1""")
+SELECT round(porosity, 6) AS porosity, round(slope, 6) AS slope, round(eta, 6) AS eta, round(zt, 3) AS zt, round(kappa_lattice, 5) AS kappa_lattice FROM b WHERE rn = 1""")
 def structure_surface(t, spark):
     """SCN-11: best level over 45 x 45 pairs of porosity and wrinkle slope."""
     g = axis(spark, "porosity", 0.0, 0.45, 45).crossJoin(axis(spark, "slope", 0.0, 1.2, 45))
     b = best(modelled(spark, g, porosity=F.col("porosity"), slope=F.col("slope")), "porosity", "slope")
-    return b.select(r(F.col("porosity")).alias("porosity"), r(F.col("slope")).alias("slope"), r(F.col("eta")).alias("eta"), r(F.col("zt"), 4).alias("zt"), r(F.col("kappa_lattice"), 5).alias("kappa_lattice"))
+    return b.select(r(F.col("porosity")).alias("porosity"), r(F.col("slope")).alias("slope"), r(F.col("eta")).alias("eta"), r(F.col("zt"), 3).alias("zt"), r(F.col("kappa_lattice"), 5).alias("kappa_lattice"))
 
 
 @query(f"""
 {_best_sql(f'SELECT * FROM ({_axis("stiffness", 0.3, 1.5, 45)}), ({_axis("mass", 0.5, 2.0, 45)})', "stiffness, mass", stiffness="stiffness", mass="mass")}
-SELECT round(stiffness, 6) AS stiffness, round(mass, 6) AS mass, round(eta, 6) AS eta, round(zt, 4) AS zt, round(kappa_lattice, 5) AS kappa_lattice FROM b WHERE rn = 1""")
+SELECT round(stiffness, 6) AS stiffness, round(mass, 6) AS mass, round(eta, 6) AS eta, round(zt, 3) AS zt, round(kappa_lattice, 5) AS kappa_lattice FROM b WHERE rn = 1""")
 def softness_surface(t, spark):
     """SCN-11: the trade of a soft lattice: mobility falls with the velocity of the phonons."""
     g = axis(spark, "stiffness", 0.3, 1.5, 45).crossJoin(axis(spark, "mass", 0.5, 2.0, 45))
     b = best(modelled(spark, g, stiffness=F.col("stiffness"), mass=F.col("mass")), "stiffness", "mass")
-    return b.select(r(F.col("stiffness")).alias("stiffness"), r(F.col("mass")).alias("mass"), r(F.col("eta")).alias("eta"), r(F.col("zt"), 4).alias("zt"), r(F.col("kappa_lattice"), 5).alias("kappa_lattice"))
+    return b.select(r(F.col("stiffness")).alias("stiffness"), r(F.col("mass")).alias("mass"), r(F.col("eta")).alias("eta"), r(F.col("zt"), 3).alias("zt"), r(F.col("kappa_lattice"), 5).alias("kappa_lattice"))
 
 
 @query(f"""
 {_best_sql("SELECT unnest([300.0, 450.0, 600.0, 750.0, 900.0])::DOUBLE AS temperature", "temperature", temperature="temperature")}
-SELECT temperature, round(eta, 6) AS eta, round(zt, 4) AS zt, round(seebeck_uv, 3) AS seebeck_uv, round(8 * {K_OVER_E} * temperature, 6) AS gap_8, round(10 * {K_OVER_E} * temperature, 6) AS gap_10 FROM b WHERE rn = 1""")
+SELECT temperature, round(eta, 6) AS eta, round(zt, 3) AS zt, round(seebeck_uv, 3) AS seebeck_uv, round(8 * {K_OVER_E} * temperature, 6) AS gap_8, round(10 * {K_OVER_E} * temperature, 6) AS gap_10 FROM b WHERE rn = 1""")
 def temperature_optima(t, spark):
     """SCN-13: best level and gap thresholds at each temperature."""
     g = spark.range(5).select((F.lit(300.0) + F.col("id") * 150.0).alias("temperature"))
     b = best(modelled(spark, g, temperature=F.col("temperature")), "temperature")
     gaps = (physics.bipolar_gap(F.col("temperature"), F.lit(float(m))) for m in (8, 10))
-    return b.select("temperature", r(F.col("eta")).alias("eta"), r(F.col("zt"), 4).alias("zt"), r(F.col("seebeck_uv"), 3).alias("seebeck_uv"), *(r(g).alias(n) for g, n in zip(gaps, ("gap_8", "gap_10"), strict=True)))
+    return b.select("temperature", r(F.col("eta")).alias("eta"), r(F.col("zt"), 3).alias("zt"), r(F.col("seebeck_uv"), 3).alias("seebeck_uv"), *(r(g).alias(n) for g, n in zip(gaps, ("gap_8", "gap_10"), strict=True)))
 
 
 #: Ranges of sampled parameters.
