@@ -9,9 +9,10 @@ tables of the codes (asymmetric); what could lie within the threshold, given the
 reranked by the exact cosine in double precision.  So nothing below the threshold is ever linked,
 and nothing is missed, whatever the dimension.
 
-Equal vectors are one node with a multiplicity.  Long lists are split into blocks on both sides,
-so a list with a third of all vectors is many tasks; each task returns link counts and a spanning
-forest, never all pairs.
+Equal vectors are one node with a multiplicity.  Lists are dealt to blocks of bounded size, short
+ones together and long ones split, and a query goes once to each block that holds lists it probes;
+its queries are split as well, so a list with a third of all vectors is many tasks.  Each task
+returns link counts and a spanning forest, never all pairs.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components link with
 nothing; vectors of different lengths do not link; a null id stands before all others; rows with
@@ -29,12 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._store import materialize, trimmed
+from ._store import discard, materialize, trimmed
 from .components import connected_components
 
 THRESHOLD = 0.95
 #: Lists: about the root of the vectors, within these bounds; sample rows for each.
 LEAST_LISTS, MOST_LISTS, SAMPLE_PER_LIST = 16, 2048, 64
+#: Bytes of the sample that the driver fits on (at least 8 rows a list), and rows it compares at once.
+FIT_BYTES, FIT_ROWS = 128 << 20, 4096
 SUBSPACES, CODES = 8, 256
 #: Added to the reach of partners, far above the rounding of distances.
 SLACK = 1e-6
@@ -50,7 +53,7 @@ def kmeans(x: np.ndarray, k: int, steps: int = 12, seed: int = 3) -> np.ndarray:
     x = np.unique(x, axis=0)
     c = x[np.random.Generator(np.random.PCG64(seed)).permutation(len(x))[:k]].copy()
     for _ in range(steps):
-        near = nearest(x, c)[0]
+        near = np.concatenate([nearest(x[lo : lo + FIT_ROWS], c)[0] for lo in range(0, len(x), FIT_ROWS)])
         count = np.bincount(near, minlength=len(c))
         total = np.zeros_like(c)
         np.add.at(total, near, x)
@@ -82,7 +85,9 @@ class Quantiser:
         width = -(-dim // SUBSPACES)
         c = kmeans(x, lists)
         rest = np.zeros((len(x), width * SUBSPACES))
-        rest[:, :dim] = x - c[nearest(x, c)[0]]
+        for lo in range(0, len(x), FIT_ROWS):
+            part = x[lo : lo + FIT_ROWS]
+            rest[lo : lo + FIT_ROWS, :dim] = part - c[nearest(part, c)[0]]
         books = []
         for m in range(SUBSPACES):
             book = kmeans(rest[:, m * width : (m + 1) * width], CODES, steps=8, seed=m)
@@ -146,11 +151,38 @@ def _unit(raws: list[bytes]) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-_CELL = "cell string, list long, side int, node long, own long, weight long, raw binary, codes binary, error double"
+_CELL = "cell string, side int, node long, own long, weight long, raw binary, codes binary, error double, lists binary"
 
 
-def _cells(sent, sizes: dict[int, int], lists: dict[int, int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Each node into the blocks of its list, and as a query into those of the lists it probes."""
+@dataclass(frozen=True)
+class Blocks:
+    """Where lists lie: first block and number of blocks of each, and into how many parts a block's queries are split."""
+
+    of: dict[int, tuple[int, int]]
+    parts: list[int]
+
+    @staticmethod
+    def deal(stored: dict[int, int], asked: dict[int, int], total: int) -> Blocks:
+        """Short lists share a block; a list above ``BLOCK`` has blocks of its own."""
+        of, sums, room = {}, [], 0
+        for c in sorted(stored):
+            if stored[c] > BLOCK:
+                n = -(-stored[c] // BLOCK)
+                of[c] = (len(sums), n)
+                sums += [asked[c]] * n
+                room = 0
+                continue
+            if stored[c] > room:
+                sums.append(0)
+                room = BLOCK
+            of[c] = (len(sums) - 1, 1)
+            sums[-1] += asked[c]
+            room -= stored[c]
+        return Blocks(of, [max(1, -(-min(x, total) // BLOCK)) for x in sums])
+
+
+def _cells(sent, blocks: Blocks) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Each node into its block, once for each part of the block's queries, and as a query into every block it probes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q: Quantiser = sent.value
@@ -160,13 +192,17 @@ def _cells(sent, sizes: dict[int, int], lists: dict[int, int]) -> Callable[[Iter
             rows: list[tuple] = []
             for i, node in enumerate(nodes):
                 own = int(near[i])
-                mine = node % lists.get(own, 1)
-                rows += [(f"{own}:{mine}:{j}", own, 0, node, own, weights[i], raws[i], codes[i].tobytes(), float(error[i])) for j in range(sizes.get(own, 1))]
+                first, n = blocks.of[own]
+                mine = first + node % n
+                rows += [(f"{mine}:{j}", 0, node, own, weights[i], raws[i], codes[i].tobytes(), float(error[i]), None) for j in range(blocks.parts[mine])]
+                want: dict[int, list[int]] = {}
                 for c in np.flatnonzero(mask[i]).tolist():
-                    if c in lists:
-                        part = node % sizes[c]
-                        rows += [(f"{c}:{j}:{part}", c, 1, node, own, weights[i], raws[i], None, None) for j in range(lists[c])]
-            types = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.float64()]
+                    if c in blocks.of:
+                        first, n = blocks.of[c]
+                        for k in range(first, first + n):
+                            want.setdefault(k, []).append(c)
+                rows += [(f"{k}:{node % blocks.parts[k]}", 1, node, own, weights[i], raws[i], None, None, np.array(c, "<i4").tobytes()) for k, c in want.items()]
+            types = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.float64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[c.split()[0] for c in _CELL.split(", ")])
 
     return run
@@ -182,12 +218,14 @@ def _search(sent, threshold: float) -> Callable[[pa.Table], pa.Table]:
         credit: dict[int, int] = {}
         edges: set[tuple[int, int]] = set()
         if base.num_rows and query.num_rows:
-            at = table["list"][0].as_py()
             xb, xq = _unit(base["raw"].to_pylist()), _unit(query["raw"].to_pylist())
             codes = np.frombuffer(b"".join(base["codes"].to_pylist()), np.uint8).reshape(-1, SUBSPACES)
             limit = (q.reach + base["error"].to_numpy() + 1e-3) ** 2
-            nb, nq, own = base["node"].to_numpy(), query["node"].to_numpy(), query["own"].to_numpy()
+            nb, nq, own, at_list = base["node"].to_numpy(), query["node"].to_numpy(), query["own"].to_numpy(), base["own"].to_numpy()
             wb, wq = base["weight"].to_numpy(), query["weight"].to_numpy()
+            wanted = [np.frombuffer(x, "<i4") for x in query["lists"].to_pylist()]
+            asks = np.concatenate(wanted)
+            asker = np.repeat(np.arange(len(wanted)), [len(x) for x in wanted])
             up: dict[int, int] = {}
 
             def root(x: int) -> int:
@@ -196,25 +234,27 @@ def _search(sent, threshold: float) -> Callable[[pa.Table], pa.Table]:
                     x = up[x]
                 return x
 
-            for lo in range(0, len(xq), 256):
-                i, j = np.nonzero(q.approximate(xq[lo : lo + 256], at, codes) <= limit)
-                i += lo
-                many = max(1, GATHERED // xb.shape[1])
-                for s in range(0, len(i), many):
-                    a, b = i[s : s + many], j[s : s + many]
-                    hit = (np.einsum("nd,nd->n", xq[a], xb[b]) >= threshold) & (nq[a] != nb[b])
-                    a, b = a[hit], b[hit]
-                    for n, w in zip(nq[a].tolist(), wb[b].tolist(), strict=True):
-                        credit[n] = credit.get(n, 0) + w
-                    # Within a list both search; of two lists only one does, and counts for both.
-                    alone = own[a] != at
-                    for n, w in zip(nb[b[alone]].tolist(), wq[a[alone]].tolist(), strict=True):
-                        credit[n] = credit.get(n, 0) + w
-                    for x, y in zip(nq[a].tolist(), nb[b].tolist(), strict=True):
-                        rx, ry = root(x), root(y)
-                        if rx != ry:
-                            up[max(rx, ry)] = min(rx, ry)
-                            edges.add((x, y))
+            def found(at: int, a: np.ndarray, b: np.ndarray) -> None:
+                hit = (np.einsum("nd,nd->n", xq[a], xb[b]) >= threshold) & (nq[a] != nb[b])
+                a, b = a[hit], b[hit]
+                # Within a list both search; of two lists only one does, and counts for both.
+                alone = own[a] != at
+                for n, w in zip([*nq[a].tolist(), *nb[b[alone]].tolist()], [*wb[b].tolist(), *wq[a[alone]].tolist()], strict=True):
+                    credit[n] = credit.get(n, 0) + w
+                for x, y in zip(nq[a].tolist(), nb[b].tolist(), strict=True):
+                    rx, ry = root(x), root(y)
+                    if rx != ry:
+                        up[max(rx, ry)] = min(rx, ry)
+                        edges.add((x, y))
+
+            many = max(1, GATHERED // xb.shape[1])
+            for at in np.unique(at_list).tolist():
+                mine, those = np.flatnonzero(at_list == at), asker[asks == at]
+                for lo in range(0, len(those), 256):
+                    some = those[lo : lo + 256]
+                    i, j = np.nonzero(q.approximate(xq[some], at, codes[mine]) <= limit[mine])
+                    for s in range(0, len(i), many):
+                        found(at, some[i[s : s + many]], mine[j[s : s + many]])
         n = len(credit)
         return pa.table({"a": pa.array([*credit, *(e[0] for e in edges)], pa.int64()), "b": pa.array([None] * n + [e[1] for e in edges], pa.int64()), "n": pa.array([*credit.values(), *[0] * len(edges)], pa.int64())})
 
@@ -228,11 +268,11 @@ def _nodes(vectors: DataFrame) -> DataFrame:
 
 
 def fit(nodes: DataFrame, dim_bytes: int, threshold: float) -> Quantiser:
-    """Fit on a sample of at most SAMPLE_PER_LIST * MOST_LISTS distinct vectors (lowest hash first)."""
+    """Fit on a sample of at most SAMPLE_PER_LIST * MOST_LISTS distinct vectors and about FIT_BYTES (lowest hash first)."""
     mine = nodes.where(F.octet_length("raw") == dim_bytes)
     n = mine.count()
     lists = int(min(MOST_LISTS, max(LEAST_LISTS, round(n**0.5))))
-    rows = mine.select("raw").orderBy(F.xxhash64("raw"), "raw").limit(lists * SAMPLE_PER_LIST).toArrow()["raw"].to_pylist()
+    rows = mine.select("raw").orderBy(F.xxhash64("raw"), "raw").limit(min(lists * SAMPLE_PER_LIST, max(lists * 8, FIT_BYTES // dim_bytes))).toArrow()["raw"].to_pylist()
     return Quantiser.fit(_unit(rows), lists, threshold)
 
 
@@ -255,20 +295,25 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
 
         # A row per list: at most MOST_LISTS reach the driver.
         sized = mine.mapInArrow(trimmed(place), "list long, stored long, asked long").groupBy("list").agg(F.sum("stored").alias("stored"), F.sum("asked").alias("asked")).where("stored > 0").collect()
-        lists = {r.list: -(-r.stored // BLOCK) for r in sized}
-        asked = {r.list: max(1, -(-r.asked // BLOCK)) for r in sized}
-        copies = sum(r.stored * asked[r.list] + r.asked * lists[r.list] for r in sized)
+        total = sum(r.stored for r in sized)
+        blocks = Blocks.deal({r.list: r.stored for r in sized}, {r.list: r.asked for r in sized}, total)
+        # At most every vector as a query in every block, and every block once for each part of its queries.
+        copies = total * len(blocks.parts) + BLOCK * sum(blocks.parts)
         tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-copies * size // TASK_BYTES))
-        found = mine.mapInArrow(trimmed(_cells(sent, asked, lists)), _CELL).repartition(tasks, "cell").groupBy("cell").applyInArrow(_search(sent, threshold), "a long, b long, n long")
+        found = mine.mapInArrow(trimmed(_cells(sent, blocks)), _CELL).repartition(tasks, "cell").groupBy("cell").applyInArrow(_search(sent, threshold), "a long, b long, n long")
         links = found if links is None else links.union(found)
     if links is None:
         links = spark.createDataFrame([], "a long, b long, n long")
     links = materialize(links, "links")
     counts = links.where("b is null").groupBy("a").agg(F.sum("n").alias("n")).select(F.col("a").alias("node"), "n")
     roots = connected_components(links.where("b is not null").select("a", "b"))
-    named = nodes.join(counts, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = materialize(nodes.join(counts, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "named")
+    discard(nodes, roots)
+    # Written, so that the joins have two plain sides and can split a class, or a vector, of very many rows.
+    least = materialize(named.groupBy("root").agg(F.min("least").alias("component_id")), "least")
     info = named.join(least, "root").select("raw", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "component_id")
+    info = materialize(info, "info")
+    discard(named, least, links)
     out = vectors.join(info, "raw", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
 
     def real(c: str):
