@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays
 from ..functions.cols import log_ratio
-from ..operators import ranks, screen, vectors
+from ..operators import ranks, screen, stats, vectors
 from .core import query, r
 
 _AVG = "rank() OVER (ORDER BY {0}) + (count(*) OVER (PARTITION BY {0}) - 1) / 2.0"
@@ -156,9 +156,8 @@ s AS (SELECT l_returnflag, feature, round(corr(a, b), 6) AS spearman, count(*) A
 SELECT l_returnflag, feature, spearman, n FROM (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY abs(spearman) DESC, feature) AS rn FROM s) WHERE rn <= 2""")
 def top_features_per_group(t, spark):
     """LOP-01, LOP-02: rank correlations by group and feature, the strongest two of each group."""
-    u = t("lineitem").select("l_returnflag", "l_quantity", "l_discount", "l_tax", F.col("l_extendedprice").alias("y")).unpivot(["l_returnflag", "y"], ["l_quantity", "l_discount", "l_tax"], "feature", "v")
-    k = u.select("l_returnflag", "feature", ranks.group_average_rank("v", "l_returnflag", "feature").alias("a"), ranks.group_average_rank("y", "l_returnflag", "feature").alias("b"))
-    s = k.groupBy("l_returnflag", "feature").agg(r(F.corr("a", "b")).alias("spearman"), F.count(F.lit(1)).alias("n")).where("n >= 50")
+    s = stats.spearman_panel(t("lineitem"), ("l_quantity", "l_discount", "l_tax"), "l_extendedprice", ["l_returnflag"])
+    s = s.where("n >= 50").select("l_returnflag", "feature", r(F.col("rho")).alias("spearman"), "n")
     return ranks.top_k_per_group(s, 2, ["l_returnflag"], F.abs("spearman").desc(), F.asc("feature")).drop("rn")
 
 

@@ -26,10 +26,7 @@ def high_group_profile(t, spark):
     (cut,) = ranks.exact_quantiles(df, "l_extendedprice", [0.9])
     good = F.round("l_extendedprice", 9) >= round(cut, 9)
     flagged = df.withColumn("good", good)
-    medians = flagged.agg(*(F.percentile(F.when(F.col("good"), F.col(f)), 0.5).alias(f"{f}_g") for f in FEATURES), *(F.percentile(f, 0.5).alias(f"{f}_a") for f in FEATURES)).first()
-    rows = [(f, float(medians[f"{f}_g"]), float(medians[f"{f}_a"]), float(stats.auc_rows(flagged, f, F.col("good"))[0])) for f in FEATURES]
-    out = spark.createDataFrame(rows, "feature string, median_good double, median_all double, auc double")
-    out = out.select("feature", r(F.col("median_good")).alias("median_good"), r(F.col("median_all")).alias("median_all"), r(F.col("auc")).alias("auc"))
+    out = stats.two_group_profile(flagged, FEATURES, "good").select("feature", r(F.col("median_good")).alias("median_good"), r(F.col("median_all")).alias("median_all"), r(F.col("auc")).alias("auc"))
     return out.withColumn("effect", screen.effect_label(F.col("auc")))
 
 
@@ -97,8 +94,7 @@ def corr_pearson(t, spark):
 @query(" UNION ALL ".join(f"SELECT '{x}' AS feature, round(corr(a, b), 6) AS spearman, count(*) AS n FROM (SELECT {_AVG.format(x)} AS a, {_AVG.format('l_extendedprice')} AS b FROM lineitem)" for x in FEATURES))
 def corr_spearman_panel(t, spark):
     """STA-02, LOP-01: rank correlation of each feature with the target."""
-    rows = stats.spearman_panel(t("lineitem"), FEATURES, "l_extendedprice")
-    return spark.createDataFrame(rows, "feature string, spearman double, n long").select("feature", r(F.col("spearman")).alias("spearman"), "n")
+    return stats.spearman_panel(t("lineitem"), FEATURES, "l_extendedprice").select("feature", r(F.col("rho")).alias("spearman"), "n")
 
 
 @query(f"""
@@ -133,7 +129,9 @@ def binned_summary(t, spark):
     a, b = ranks.exact_quantiles(df, "l_extendedprice", [0.01, 0.99])
     low, width = round(a, 6), round((b - a) / 12, 6)
     bins = df.withColumn("bin", F.floor((F.col("l_extendedprice") - low) / width).cast("int")).where("bin between 0 and 11")
-    return bins.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), r(F.median("l_quantity")).alias("median"), r(F.percentile("l_quantity", 0.25)).alias("q25"), r(F.percentile("l_quantity", 0.75)).alias("q75")).where("n >= 10")
+    q = ranks.grouped_quantiles(bins, ["bin"], "l_quantity", median=0.5, q25=0.25, q75=0.75)
+    n = bins.groupBy("bin").agg(F.count(F.lit(1)).alias("n")).where("n >= 10")
+    return n.join(q, "bin").select("bin", "n", *(r(F.col(c)).alias(c) for c in ("median", "q25", "q75")))
 
 
 @query("""
