@@ -12,9 +12,10 @@ from ..functions import arrays
 
 
 def effect_label(auc: Column) -> Column:
-    """Size of an effect by its AUC, either direction (STA-19)."""
-    d = F.abs(auc - 0.5)
-    return F.when(d >= 0.2, "strong").when(d >= 0.1, "moderate").when(d >= 0.05, "weak").otherwise("negligible")
+    """Strength and direction of an effect by its AUC (STA-19)."""
+    d = F.round(2 * F.abs(auc - 0.5), 9)
+    side = F.when(auc > 0.5, "higher").otherwise("lower")
+    return F.when(d < 0.1, "weak/mixed").otherwise(F.concat(F.when(d >= 0.3, "strong").otherwise("moderate"), F.lit("; "), side))
 
 
 def rule_performance(df: DataFrame, good: Column, rules: dict[str, Column]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import composition, relational, scalars, screening, spectra, statistics, texts, transport, vectors, views  # noqa: F401
+from . import composition, evaluation, relational, scalars, screening, spectra, statistics, texts, transport, vectors, views  # noqa: F401
 from .core import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -16,7 +16,7 @@ def _profile_sql() -> str:
   round((sum(rk) FILTER (good) - n1 * (n1 + 1) / 2.0) / (n1 * n0), 6) AS auc FROM (SELECT {f}, good, {rk} AS rk FROM g WHERE {f} IS NOT NULL), (SELECT count(*) FILTER (good) AS n1, count(*) FILTER (NOT good) AS n0 FROM g) GROUP BY n1, n0"""
     body = " UNION ALL ".join(one.format(f=f, rk=_AVG.format(f)) for f in FEATURES)
     return f"""WITH q AS (SELECT round(quantile_cont(l_extendedprice, 0.9), 9) AS c FROM lineitem), g AS (SELECT l_quantity, l_discount, l_tax, round(l_extendedprice, 9) >= c AS good FROM lineitem, q), p AS ({body})
-SELECT *, CASE WHEN abs(auc - 0.5) >= 0.2 THEN 'strong' WHEN abs(auc - 0.5) >= 0.1 THEN 'moderate' WHEN abs(auc - 0.5) >= 0.05 THEN 'weak' ELSE 'negligible' END AS effect FROM p"""
+SELECT *, CASE WHEN round(2 * abs(auc - 0.5), 9) < 0.1 THEN 'weak/mixed' ELSE CASE WHEN round(2 * abs(auc - 0.5), 9) >= 0.3 THEN 'strong' ELSE 'moderate' END || '; ' || CASE WHEN auc > 0.5 THEN 'higher' ELSE 'lower' END END AS effect FROM p"""
 
 
 @query(_profile_sql())
