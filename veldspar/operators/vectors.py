@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BLOCK = 1024
@@ -137,11 +137,19 @@ def affinity(neighbors: DataFrame, k: int, eps: float = 1e-12) -> DataFrame:
     return j.select("src", "dst", F.exp(-F.col("distance") * F.col("distance") / (F.col("s1") * F.col("s2") + eps)).alias("w"))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``; one of its own only where none is set and the master is local (tests)."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        named = f"file://{tempfile.gettempdir()}/veldspar-checkpoints"
+    return named.rstrip("/")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """checkpoint() in the shared folder of the session; a folder of its own only where none is set (tests)."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/veldspar-checkpoints"
-    spark.sparkContext.setCheckpointDir(folder)
+    """checkpoint() in the shared folder of the session."""
+    df.sparkSession.sparkContext.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 

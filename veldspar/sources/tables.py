@@ -144,10 +144,12 @@ def summary_json(values: dict) -> str:
 
 
 def markdown_table(df: DataFrame, limit: int = 50) -> str:
-    """A report table of at most ``limit`` rows (SNK-07)."""
-    rows = df.limit(limit).collect()
+    """A report table of at most ``limit`` rows, with a line that says so if there are more (SNK-07)."""
+    rows = df.limit(limit + 1).collect()
+    more = f"\n\n(the first {limit} rows)" if len(rows) > limit else ""
+    rows = rows[:limit]
     head = "| " + " | ".join(df.columns) + " |\n|" + " --- |" * len(df.columns)
-    return head + "".join("\n| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows)
+    return head + "".join("\n| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows) + more
 
 
 def freeze_graph(edges: DataFrame, path: str, **metadata) -> None:
@@ -156,3 +158,49 @@ def freeze_graph(edges: DataFrame, path: str, **metadata) -> None:
     both = edges.select(F.col("src").alias("id")).union(edges.select("dst"))
     both.groupBy("id").agg(F.count(F.lit(1)).alias("degree")).write.mode("overwrite").parquet(f"{path}/nodes")
     edges.sparkSession.createDataFrame([(summary_json(metadata),)], "metadata string").coalesce(1).write.mode("overwrite").text(f"{path}/metadata")
+
+
+def write_arrays(df: DataFrame, key: str, vector: str, path: str) -> None:
+    """A matrix as key and array of doubles (SNK-05)."""
+    df.select(key, F.col(vector).cast("array<double>").alias(vector)).write.mode("overwrite").parquet(path)
+
+
+def scan_arrays(spark: SparkSession, path: str, key: str, vector: str) -> DataFrame:
+    """A matrix back (SRC-07); the key comes with every row, so nothing relies on the order of rows."""
+    return spark.read.schema(f"{key} long, {vector} array<double>").parquet(path)
+
+
+def ingest_pages(spark: SparkSession, fetch: Callable[[int], list[dict]], schema: str, path: str, page_size: int, batch: int = 100) -> DataFrame:
+    """Pages 1, 2, ... of a service as rows with their page, until a page is short (SRC-08).
+
+    Pages are written ``batch`` at a time, so the driver holds no more than that.
+    """
+    page, rows, done = 1, [], False
+    while not done:
+        got = fetch(page)
+        rows += [{**r, "page": page} for r in got]
+        done = len(got) < page_size
+        if rows and (done or page % batch == 0):
+            spark.createDataFrame(rows, f"{schema}, page long").write.mode("append").parquet(path)
+            rows = []
+        page += 1
+    if page == 2 and not got:
+        write_typed_empty(spark, f"{schema}, page long", path)
+    return spark.read.schema(f"{schema}, page long").parquet(path)
+
+
+def structure_round_trip(df: DataFrame, key: str, z: str) -> DataFrame:
+    """key, n_sites, formula, height of a three-site layer whose text is written and read again for each row."""
+    import pyarrow as pa
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for k, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                s = parse_structure(format_structure(f"row {k}", [[3.3, 0, 0], [0, 3.3, 0], [0, 0, 20]], ["Se", "Mo", "Se"], [[0, 0, h], [0.5, 0.5, 0], [0, 0, -h]]))
+                names = sorted(set(s["species"]))
+                out.append((k, len(s["species"]), "".join(f"{n}{s['species'].count(n)}" for n in names), s["coords"][s["species"].index("Se")][2]))
+            columns = list(zip(*out, strict=True)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.string(), pa.float64()), strict=True)], names=[key, "n_sites", "formula", "height"])
+
+    return df.select(F.col(key).cast("long"), z).mapInArrow(run, f"{key} long, n_sites int, formula string, height double")
