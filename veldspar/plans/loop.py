@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import text
 from ..operators import loop, stats
 from .core import query, r
 
@@ -106,10 +105,3 @@ def ledger_round(t, spark):
     ledger = t("part").where("p_size > 40").groupBy(kind().alias("formula")).agg(r(F.max("p_retailprice") / 1000).alias("merit")).withColumn("round", F.lit(0)).withColumn("winner", F.lit(False))
     out = loop.update_ledger(ledger, scored(t), "formula", 5, 1)
     return out.groupBy("round", "winner").agg(F.count(F.lit(1)).alias("n"), r(F.max("merit")).alias("best"))
-
-
-@query(f"""
-WITH w AS (SELECT p_partkey, string_split({_TYPE}, ' ') AS s FROM part) SELECT p_partkey, array_to_string(list_sort(s), '') AS formula FROM w""")
-def seed_formulas(t, spark):
-    """STR-13: formulas of the seeds (every word occurs once)."""
-    return species(t).select("p_partkey", text.counted_formula(F.col("s")).alias("formula"))
