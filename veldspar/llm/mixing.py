@@ -133,11 +133,12 @@ def posteriors(docs: DataFrame, model: DomainModel, text_col: str = "text", keep
     rest = [f for f in docs.schema.fields if keep_text or f.name != text_col]
     prior = np.exp(model.bias - model.bias.max())
     prior = (prior / prior.sum()).tolist()
+    bits = (len(model.rarity) - 1).bit_length()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at = b.schema.get_field_index(text_col)
-            for lo, hi, n, row, col in word_features(b.column(at)):
+            for lo, hi, n, row, col in word_features(b.column(at), bits):
                 p = sent.value.posteriors(hi - lo, row, col)
                 p[n == 0] = prior
                 columns = [c.slice(lo, hi - lo) for k, c in enumerate(b.columns) if keep_text or k != at]
