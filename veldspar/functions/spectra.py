@@ -128,3 +128,27 @@ def interpolate_clamped(curve: Column, at: Column) -> Column:
     lo, hi = F.element_at(below, -1), above[0]
     inside = lo["y"] + (hi["y"] - lo["y"]) * F.coalesce(F.try_divide(at - lo["x"], hi["x"] - lo["x"]), F.lit(0.0))
     return F.when(F.size(curve) > 0, F.when(F.size(below) == 0, curve[0]["y"]).when(F.size(above) == 0, F.element_at(curve, -1)["y"]).otherwise(inside))
+
+
+def fractional(lattice: list[list[Column]], site: list[Column]) -> list[Column]:
+    """Coordinates of a site in the cell of three row vectors, each brought into [0, 1) (MTH-12)."""
+    def cross(x, y):
+        return [x[1] * y[2] - x[2] * y[1], x[2] * y[0] - x[0] * y[2], x[0] * y[1] - x[1] * y[0]]
+
+    def dot(x, y):
+        return x[0] * y[0] + x[1] * y[1] + x[2] * y[2]
+
+    a, b, c = lattice
+    volume = dot(a, cross(b, c))
+    parts = (dot(site, cross(b, c)) / volume, dot(site, cross(c, a)) / volume, dot(site, cross(a, b)) / volume)
+    return [x - F.floor(x) for x in parts]
+
+
+def vacuum_gap(heights: Column) -> tuple[Column, Column]:
+    """The widest empty stretch between fractional heights, around the cell, and the heights with it centred on the cell's edge (MTH-12)."""
+    s = F.sort_array(heights)
+    n = F.size(s)
+    gaps = F.transform(s, lambda x, i: F.struct(F.round(F.when(i + 1 < n, F.get(s, i + 1)).otherwise(s[0] + 1) - x, 9).alias("gap"), (-i).alias("first"), x.alias("from_")))
+    best = F.array_max(gaps)
+    middle = best["from_"] + best["gap"] / 2
+    return best["gap"], F.sort_array(F.transform(s, lambda x: (x - middle) - F.floor(x - middle)))

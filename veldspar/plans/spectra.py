@@ -159,3 +159,22 @@ SELECT user_id, event_type, round(CASE WHEN xl IS NULL THEN yh WHEN xh IS NULL O
 def interpolate_clamped(t, spark):
     """MTH-13: linear interpolation with the end values beyond a curve's ends."""
     return hourly(t).where(F.size("curve") > 0).select("user_id", "event_type", r(spectra.interpolate_clamped(F.col("curve"), F.lit(12.0))).alias("y_noon"))
+
+
+def _dotx(x: str, y: str, z: str) -> str:
+    """SQL of x . (y x z)."""
+    return f"({x}[1] * ({y}[2] * {z}[3] - {y}[3] * {z}[2]) + {x}[2] * ({y}[3] * {z}[1] - {y}[1] * {z}[3]) + {x}[3] * ({y}[1] * {z}[2] - {y}[2] * {z}[1]))"
+
+
+@query(f"""
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), c AS (SELECT vec_id, [1 + e[1], e[2], e[3]] AS a, [e[4], 1 + e[5], e[6]] AS b, [e[7], e[8], 1 + e[9]] AS c, e[10:12] AS s, [e[13] - floor(e[13]), e[14] - floor(e[14]), e[15] - floor(e[15])] AS h FROM e),
+f AS (SELECT vec_id, {_dotx('s', 'b', 'c')} / {_dotx('a', 'b', 'c')} AS x, {_dotx('s', 'c', 'a')} / {_dotx('a', 'b', 'c')} AS y, {_dotx('s', 'a', 'b')} / {_dotx('a', 'b', 'c')} AS z, list_sort(h) AS h FROM c)
+SELECT vec_id, round(x - floor(x), 6) AS x, round(y - floor(y), 6) AS y, round(z - floor(z), 6) AS z, round(greatest(h[2] - h[1], h[3] - h[2], h[1] + 1 - h[3]), 6) AS vacuum FROM f""")
+def fractional_sites(t, spark):
+    """MTH-12: fractional coordinates in a cell, and the vacuum between layers."""
+    e = t("embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
+    v = [F.col("e")[k] for k in range(15)]
+    lattice = [[1 + v[0], v[1], v[2]], [v[3], 1 + v[4], v[5]], [v[6], v[7], 1 + v[8]]]
+    x, y, z = spectra.fractional(lattice, v[9:12])
+    gap, _ = spectra.vacuum_gap(F.array(*(c - F.floor(c) for c in v[12:15])))
+    return e.select("vec_id", r(x).alias("x"), r(y).alias("y"), r(z).alias("z"), r(gap).alias("vacuum"))

@@ -212,3 +212,14 @@ def supra_layers(t, spark):
     """GRF-09: layers joined by identity edges of a given strength."""
     layers = {v: near(t, v).select(F.least("id", "neighbor").alias("src"), F.greatest("id", "neighbor").alias("dst"), F.lit(1.0).alias("w")).distinct() for v in "ab"}
     return models.supra_edges(layers, 0.3).groupBy("layer", "other").agg(F.count(F.lit(1)).alias("n"), r(F.sum("w")).alias("w"))
+
+
+@query("SELECT vec_id, min(vec_id) OVER (PARTITION BY embedding) AS representative, count(*) OVER (PARTITION BY embedding) > 1 AS repeated FROM embeddings")
+def zero_distance_groups(t, spark):
+    """GRF-10: groups of rows at distance 0, each with its first row as representative."""
+    e = t("embeddings").select("vec_id", "embedding")
+    near = vectors.within(e, 0.0)
+    c = vectors.components(near, near.select(F.col("src").alias("id")).union(near.select("dst")).distinct()) if not near.isEmpty() else None
+    if c is None:
+        return e.select("vec_id", F.col("vec_id").alias("representative"), F.lit(False).alias("repeated"))
+    return e.join(c.withColumnRenamed("id", "vec_id"), "vec_id", "left").select("vec_id", F.coalesce("component", "vec_id").alias("representative"), F.col("component").isNotNull().alias("repeated"))
