@@ -357,10 +357,9 @@ def _verify_pairs(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator
 
 
 def _bodies(src: DataFrame, wanted: DataFrame, salt: int) -> DataFrame:
-    """key, body (compressed text) of one document of each wanted set."""
-    one = wanted.groupBy("key").agg(F.min("doc_id").alias("doc_id"))
-    n = one.count()
-    side = F.broadcast(one) if n <= BROADCAST_IDS else one
+    """key, body (compressed text) of each wanted set, from the one document that ``wanted`` (key, doc_id) names."""
+    wanted = materialize(wanted, "wanted")
+    side = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -425,7 +424,9 @@ def jaccard_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     cells = materialize(_block_pairs(index.where("token is not null").select("token", "key").distinct()), "cells")
     discard(index)
     wanted = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).union(cells.select("key")).distinct()
-    bodies = materialize(_bodies(src, docs.where("n > 0").join(wanted, "key").select("key", "doc_id"), salt).dropDuplicates(["key"]), "bodies")
+    # One row a set before the join: the copies of a text are summed up where they are.
+    one = docs.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
+    bodies = materialize(_bodies(src, one.join(wanted, "key", "left_semi"), salt).dropDuplicates(["key"]), "bodies")
     both = pairs.join(bodies.select(F.col("key").alias("a"), F.col("body").alias("left")), "a").join(bodies.select(F.col("key").alias("b"), F.col("body").alias("right")), "b")
     exact = both.select("a", "b", "left", "right").mapInArrow(trimmed(_verify_pairs(percent)), "a long, b long")
     dense = cells.join(bodies, "key").groupBy("cell").applyInArrow(_verify_cell(percent), "a long, b long")
