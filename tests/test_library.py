@@ -239,3 +239,21 @@ def test_models(spark):
     ring = np.roll(np.eye(6), 1, 0) + np.roll(np.eye(6), -1, 0)
     assert models.diffusion_map(ring).shape == (6, 2)
     assert one(df.limit(1), models.readiness(("ok", F.lit(True)), ("bad", F.lit(False)), ("unknown", F.lit(None).cast("boolean")))) == ["bad", "unknown"]
+
+
+def test_worst_rank_by_lists(spark, monkeypatch):
+    """The same rows from neighbour lists as from whole rankings, with lists that must grow."""
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(rng.normal(size=(60, 6)).tolist())], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(vectors, "BLOCK", 16)
+    want = sorted(map(tuple, vectors.worst_rank(df, 3, 4).collect()))
+    assert sorted((r.id, r.neighbor, r.worst) for r in vectors.worst_rank_by_lists(df, 3, 4, 60, "vec_id", "embedding").collect()) == want
+
+
+def test_nearest_reference_in_packs(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = spark.createDataFrame([(i, i % 3, v) for i, v in enumerate(rng.normal(size=(40, 3)).tolist())], "id long, g int, v array<double>")
+    refs = spark.createDataFrame([(i, i % 3, v) for i, v in enumerate(rng.normal(size=(25, 3)).tolist())], "rid long, rg int, rv array<double>")
+    one = sorted(map(tuple, screen.nearest_reference(rows, refs, "id", "v", "rid", "rv", ("g", "rg")).collect()))
+    monkeypatch.setattr(screen, "PACK", 6)
+    assert sorted(map(tuple, screen.nearest_reference(rows, refs, "id", "v", "rid", "rv", ("g", "rg")).collect())) == one

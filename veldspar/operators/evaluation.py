@@ -13,6 +13,10 @@ from .models import oof_ridge
 from .ranks import average_rank, grouped_average_rank
 
 
+#: References that a row's distances are kept to.
+MOST_REFERENCES = 4096
+
+
 def hashed(key: Column, salt: str, top: int) -> Column:
     """A number below ``top`` from a key and a salt, the same wherever it is computed."""
     text = F.concat_ws("/", key.cast("string"), F.lit(salt))
@@ -72,7 +76,9 @@ def masked_prediction(neighbors: DataFrame, rows: DataFrame, y: str, fold: str)
 
 
 def reference_distances(df: DataFrame, refs: DataFrame, key: str, family: str, vector: str) -> DataFrame:
-    """key, family, d: array of (reference family, distance) of each row to a bounded set of references, broadcast as one array."""
+    """key, family, d: array of (reference family, distance) of each row to at most ``MOST_REFERENCES`` references, broadcast as one array."""
+    if refs.count() > MOST_REFERENCES:
+        raise ValueError(f"more than {MOST_REFERENCES} references; take centroids of families")
     packed = refs.agg(F.collect_list(F.struct(F.col("family").alias("f"), F.col("centroid").alias("c"))).alias("_refs"))
     d = F.transform("_refs", lambda s: F.struct(s["f"].alias("f"), F.round(arrays.euclid(F.col(vector), s["c"]), 9).alias("d")))
     return df.crossJoin(F.broadcast(packed)).select(key, F.col(family).alias("family"), F.array_sort(d).alias("d"))

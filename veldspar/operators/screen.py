@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from ..functions import arrays
 
 
+#: References of a pack.
+PACK = 4096
+
+
 def effect_label(auc: Column) -> Column:
     """Strength and direction of an effect by its AUC (STA-19)."""
     d = F.round(2 * F.abs(auc - 0.5), 9)
@@ -48,13 +52,20 @@ def centroids(df: DataFrame, group: str, vector: str) -> DataFrame:
 def nearest_reference(df: DataFrame, refs: DataFrame, id_col: str, vector: str, ref_id: str, ref_vector: str, exclude: tuple[str, str] | None = None) -> DataFrame:
     """id, nearest reference and its distance; optionally not of the row's own group (JOIN-18, JOIN-19).
 
-    The references are a bounded set and are broadcast as one array; no row pairs are shuffled.
+    References go in packs of at most ``PACK`` as arrays: one pack is broadcast; of several each
+    meets all rows, and a row's best of every pack are compared.
     """
-    packed = refs.select(F.struct(F.col(ref_id).alias("rid"), F.col(ref_vector).alias("rv"), *([F.col(exclude[1]).alias("rg")] if exclude else [])).alias("s")).agg(F.collect_list("s").alias("refs"))
-    j = df.crossJoin(F.broadcast(packed))
+    n = refs.count()
+    fields = [F.col(ref_id).alias("rid"), F.col(ref_vector).alias("rv"), *([F.col(exclude[1]).alias("rg")] if exclude else [])]
+    packs = max(1, -(-n // PACK))
+    packed = refs.select(F.pmod(F.xxhash64(ref_id), F.lit(packs)).alias("_pack"), F.struct(*fields).alias("s")).groupBy("_pack").agg(F.collect_list("s").alias("refs")).select("refs")
+    j = df.crossJoin(F.broadcast(packed) if packs == 1 else packed)
     pool = F.filter("refs", lambda s: s["rg"] != F.col(exclude[0])) if exclude else F.col("refs")
     best = F.array_min(F.transform(pool, lambda s: F.struct(F.round(arrays.euclid(F.col(vector), s["rv"]), 9).alias("d"), s["rid"].alias("rid"))))
-    return j.select(id_col, best["rid"].alias("nearest"), best["d"].alias("distance"))
+    found = j.select(id_col, best.alias("_b"))
+    if packs > 1:
+        found = found.groupBy(id_col).agg(F.min("_b").alias("_b"))
+    return found.select(id_col, F.col("_b.rid").alias("nearest"), F.col("_b.d").alias("distance"))
 
 
 def group_folds(key: Column, k: int) -> Column:

@@ -6,6 +6,7 @@ each query's k nearest within a pair; only k candidates per vector and block pai
 
 from __future__ import annotations
 
+import math
 import tempfile
 from collections.abc import Iterator
 
@@ -47,25 +48,36 @@ def _distances(x: np.ndarray, y: np.ndarray, metric: str, digits: int) -> np.nda
 
 
 def _block_pairs(packed: DataFrame) -> DataFrame:
-    """Every pair of blocks: an all-pairs search stated as such; a row is two matrices of bounded size."""
-    right = packed.select(F.col("ids").alias("ids2"), F.col("matrix").alias("matrix2"))
-    return packed.drop("block").crossJoin(right).repartition(F.xxhash64("ids", "ids2"))
+    """Every two blocks once: an all-pairs search stated as such; a row is two matrices of bounded size."""
+    right = packed.select(F.col("block").alias("block2"), F.col("ids").alias("ids2"), F.col("matrix").alias("matrix2"))
+    return packed.join(right, F.col("block") <= F.col("block2")).repartition(F.xxhash64("block", "block2"))
+
+
+def _pair_distances(row: dict, metric: str, digits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    i, j = np.array(row["ids"]), np.array(row["ids2"])
+    return i, j, _distances(np.frombuffer(row["matrix"]).reshape(len(i), -1), np.frombuffer(row["matrix2"]).reshape(len(j), -1), metric, digits)
 
 
 def knn(df: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding", metric: str = "euclid", digits: int = 9) -> DataFrame:
-    """id, neighbor, distance, rank: exact k nearest others, ties by id (GRF-01)."""
+    """id, neighbor, distance, rank: exact k nearest others, ties by id (GRF-01).
+
+    Two blocks meet once, and give both their rows' candidates.
+    """
+
+    def nearest(i: np.ndarray, j: np.ndarray, d: np.ndarray) -> pa.RecordBatch:
+        order = np.lexsort((np.broadcast_to(j, d.shape), d), axis=1)[:, : min(k, len(j))]
+        got = np.take_along_axis(d, order, axis=1)
+        keep = np.isfinite(got)
+        return pa.RecordBatch.from_arrays([pa.array(i[np.repeat(np.arange(len(i)), keep.sum(1))]), pa.array(j[order[keep]]), pa.array(got[keep])], names=["id", "neighbor", "distance"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
-                i, j = np.array(r["ids"]), np.array(r["ids2"])
-                d = _distances(np.frombuffer(r["matrix"]).reshape(len(i), -1), np.frombuffer(r["matrix2"]).reshape(len(j), -1), metric, digits)
+                i, j, d = _pair_distances(r, metric, digits)
                 d[i[:, None] == j[None, :]] = np.inf
-                order = np.lexsort((np.broadcast_to(j, d.shape), d), axis=1)[:, : min(k, len(j))]
-                got = np.take_along_axis(d, order, axis=1)
-                keep = np.isfinite(got)
-                rows = np.repeat(np.arange(len(i)), keep.sum(1))
-                yield pa.RecordBatch.from_arrays([pa.array(i[rows]), pa.array(j[order[keep]]), pa.array(got[keep])], names=["id", "neighbor", "distance"])
+                yield nearest(i, j, d)
+                if r["block"] != r["block2"]:
+                    yield nearest(j, i, d.T)
 
     found = _block_pairs(pack(df, id_col, vector)).mapInArrow(run, "id long, neighbor long, distance double")
     w = Window.partitionBy("id").orderBy("distance", "neighbor")
@@ -78,10 +90,10 @@ def within(df: DataFrame, radius: float, id_col: str = "vec_id", vector: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
-                i, j = np.array(r["ids"]), np.array(r["ids2"])
-                d = _distances(np.frombuffer(r["matrix"]).reshape(len(i), -1), np.frombuffer(r["matrix2"]).reshape(len(j), -1), "euclid", digits)
-                x, y = np.nonzero((d <= radius) & (i[:, None] < j[None, :]))
-                yield pa.RecordBatch.from_arrays([pa.array(i[x]), pa.array(j[y])], names=["src", "dst"])
+                i, j, d = _pair_distances(r, "euclid", digits)
+                once = i[:, None] < j[None, :] if r["block"] == r["block2"] else i[:, None] != j[None, :]
+                x, y = np.nonzero((d <= radius) & once)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(i[x], j[y])), pa.array(np.maximum(i[x], j[y]))], names=["src", "dst"])
 
     return _block_pairs(pack(df, id_col, vector)).mapInArrow(run, "src long, dst long")
 
@@ -118,9 +130,25 @@ def worst_rank(df: DataFrame, split: int, k: int, id_col: str = "vec_id", vector
     size = packed.agg(F.sum(F.octet_length("matrix"))).first()[0] or 0
     if size <= BROADCAST_BYTES:
         return packed.crossJoin(F.broadcast(everything)).mapInArrow(run, "id long, neighbor long, worst long")
-    # Each query block gathers the other blocks in a task of its own.
-    gathered = _block_pairs(packed).groupBy("ids", "matrix").agg(F.collect_list(F.struct(F.col("ids2").alias("ids"), F.col("matrix2").alias("matrix"))).alias("all"))
-    return gathered.mapInArrow(run, "id long, neighbor long, worst long")
+    return worst_rank_by_lists(df, split, k, n, id_col, vector, digits)
+
+
+def worst_rank_by_lists(df: DataFrame, split: int, k: int, n: int, id_col: str, vector: str, digits: int = 9) -> DataFrame:
+    """The same from neighbour lists of both views, for any number of rows: no task holds more than two blocks.
+
+    What is in both lists of length m has its worse rank, and what is not has one beyond m; so a row
+    with k rows in both is done, and the lists are doubled until all are.
+    """
+    views = [df.select(id_col, F.slice(vector, *part).alias("v")) for part in ((F.lit(1), F.lit(split)), (F.lit(split + 1), F.greatest(F.size(vector) - split, F.lit(1))))]
+    m = min(n - 1, max(2 * k, math.ceil(2 * math.sqrt(k * n))))
+    while True:
+        a, b = (knn(v, m, id_col, "v", digits=digits).select("id", "neighbor", F.col("rank").alias(c)) for v, c in zip(views, ("ra", "rb"), strict=True))
+        both = cut_lineage(a.join(b, ["id", "neighbor"]).select("id", "neighbor", F.greatest("ra", "rb").cast("long").alias("worst")))
+        done = both.groupBy("id").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= min(k, n - 1)).count()
+        if done == n or m >= n - 1:
+            w = Window.partitionBy("id").orderBy("worst", "neighbor")
+            return both.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= k).drop("_k")
+        m = min(n - 1, 2 * m)
 
 
 def knn_overlap(a: DataFrame, b: DataFrame, k: int) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays
 from ..functions.cols import log_ratio
-from ..operators import ranks, screen, stats, vectors
+from ..operators import evaluation, ranks, screen, stats, vectors
 from .core import query, r
 
 _AVG = "rank() OVER (ORDER BY {0}) + (count(*) OVER (PARTITION BY {0}) - 1) / 2.0"
@@ -98,9 +98,9 @@ SELECT vec_id, round(dk, 6) AS distance, round(1 - (SELECT count(*) FROM k o WHE
 def centroid_membership(t, spark):
     """SCN-04, DST-11: mean distance to the three nearest reference centroids, and its percentile."""
     e = t("embeddings")
-    refs = screen.centroids(e, "label", "embedding").agg(F.collect_list("centroid").alias("refs"))
-    d = F.slice(F.array_sort(F.transform("refs", lambda c: F.round(arrays.euclid(F.col("embedding"), c), 9))), 1, 3)
-    k = e.crossJoin(F.broadcast(refs)).select("vec_id", F.round(arrays.mean(d), 9).alias("dk"))
+    refs = screen.centroids(e, "label", "embedding").select(F.col("label").alias("family"), "centroid")
+    d = evaluation.reference_distances(e.select("vec_id", "label", "embedding"), refs, "vec_id", "label", "embedding")
+    k = d.select("vec_id", evaluation.mean_nearest(F.col("d"), None, 3).alias("dk"))
     return ranks.ecdf(k, "dk").select("vec_id", r(F.col("dk")).alias("distance"), r(1 - F.col("ecdf")).alias("similarity"))
 
 
