@@ -175,3 +175,21 @@ def test_pages(spark, tmp_path):
         assert sorted(r.id for r in got.collect()) == list(range(n))
     many = spark.range(60)
     assert "first 50 rows" in tables.markdown_table(many) and "first" not in tables.markdown_table(many.limit(50))
+
+
+def test_readiness_names_what_fails(spark):
+    """A missing value fails a check."""
+    from veldspar.operators import models
+
+    got = values(spark.range(1), models.readiness(("a", F.lit(True)), ("b", F.lit(None).cast("boolean")), ("c", F.lit(False))))[0]
+    assert got == ["b", "c"]
+
+
+def test_benjamini_hochberg_carries_over_ranges(spark):
+    """More distinct p-values than ranges, against the plain rule."""
+    rng = np.random.default_rng(5)
+    p = np.round(rng.random(900) ** 3, 4)
+    got = {r.id: r.q for r in ranks.benjamini_hochberg(spark.createDataFrame([(i, float(x)) for i, x in enumerate(p)], "id long, p double"), "p").collect()}
+    order = np.argsort(p, kind="stable")
+    q = np.minimum.accumulate((p[order] * len(p) / np.arange(1, len(p) + 1))[::-1])[::-1]
+    assert np.allclose([got[i] for i in order], np.minimum(q, 1))

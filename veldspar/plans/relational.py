@@ -299,7 +299,7 @@ def jaccard_keys(t, spark):
 SELECT c_custkey, CASE WHEN c_acctbal >= 7500 THEN 'C1' WHEN c_acctbal >= 2500 THEN 'C2' WHEN c_acctbal >= 0 THEN 'C3' ELSE 'C4' END AS class, least(greatest(c_acctbal, 0), 5000) AS clipped,
   round(CASE WHEN c_acctbal > 0 THEN log10(c_acctbal) END, 6) AS log_balance, round(CASE WHEN c_nationkey <> 0 THEN c_acctbal / c_nationkey END, 6) AS ratio FROM customer""")
 def derived_columns(t, spark):
-    """PRJ-03..13: branches, clipping, guarded logs and division in one projection."""
+    """PRJ-03, PRJ-07, PRJ-08, PRJ-13: derived columns, branches and clipping in one projection."""
     b = F.col("c_acctbal")
     return t("customer").select("c_custkey", cols.select_case((b >= 7500, "C1"), (b >= 2500, "C2"), (b >= 0, "C3"), otherwise="C4").alias("class"), cols.clip(b, 0.0, 5000.0).alias("clipped"), r(cols.safe_log10(b)).alias("log_balance"), r(cols.safe_divide(b, F.col("c_nationkey"))).alias("ratio"))
 

@@ -84,7 +84,7 @@ def hash_sample(t, spark):
 WITH v AS (SELECT vec_id, label, list_sort(list_transform(embedding[1:3], lambda x: abs(x::DOUBLE))) AS s FROM embeddings)
 SELECT vec_id, round(log10(sqrt(s[2] * s[3]) + 1e-6), 6) AS log_dominant, round(log10(greatest(s[2], 1e-9) / s[1]), 6) AS d, round(log10(greatest(s[3], 1e-9) / s[2]), 6) AS a FROM v WHERE s[1] > 1e-9""")
 def spectrum_features(t, spark):
-    """FEA-01, FEA-03, MTH-04: dominant size and spread of a sorted triple."""
+    """MTH-04: dominant size and spread of the first three components (the whole spectra are in ``capped_spectrum``)."""
     s = F.sort_array(F.transform(F.slice("embedding", 1, 3), lambda x: F.abs(x.cast("double"))))
     v = t("embeddings").select("vec_id", s.alias("s")).where(F.col("s")[0] > 1e-9)
     x, y, z = (F.col("s")[k] for k in range(3))
@@ -166,7 +166,7 @@ WITH seeds AS (SELECT p_partkey, p_brand, p_size, p_retailprice FROM part ORDER
 fresh AS (SELECT c.* FROM cand c WHERE NOT EXISTS (SELECT 1 FROM part p WHERE p.p_brand = c.brand AND p.p_size = c.size) AND size > 0)
 SELECT brand, size, round(0.7 * max(price) / 1000 - 0.3 * size / 10.0, 6) AS merit FROM fresh GROUP BY brand, size ORDER BY merit DESC, brand, size LIMIT 10""")
 def candidate_round(t, spark):
-    """LOP-05..07: seeds, substitutions, those already seen removed, scored, the best kept."""
+    """LOP-05: seeds, substitutions, those already seen removed, scored, the best kept."""
     part = t("part")
     seeds = ranks.top_k(part.select("p_partkey", "p_brand", "p_size", "p_retailprice"), 20, F.desc("p_retailprice"), F.asc("p_partkey"))
     moved = seeds.select(F.col("p_brand").alias("brand"), F.explode(F.transform(F.array(*(F.lit(d) for d in (-2, -1, 1, 2))), lambda d: F.col("p_size") + d)).alias("size"), F.col("p_retailprice").alias("price")).where("size > 0")
@@ -181,7 +181,7 @@ WITH p AS (SELECT a.vec_id AS id, a.label AS own, b.vec_id AS other, b.label AS
 n AS (SELECT id, own, round(min(d) FILTER (lab = own), 9) AS inside, round(min(d) FILTER (lab <> own), 9) AS outside FROM p GROUP BY 1, 2)
 SELECT own AS label, round(avg((inside < outside)::INT), 6) AS recall, count(*) AS n FROM n GROUP BY 1""")
 def held_out_retrieval(t, spark):
-    """MOD-12, MOD-14: is the nearest other vector of the same family?"""
+    """MOD-14: is the nearest other vector of the same family?"""
     e = t("embeddings").select("vec_id", "embedding", "label")
     near = vectors.knn(e, 1).select(F.col("id").alias("vec_id"), "neighbor")
     j = e.select("vec_id", "label").join(near, "vec_id").join(e.select(F.col("vec_id").alias("neighbor"), F.col("label").alias("other")), "neighbor")
@@ -197,7 +197,7 @@ def reindex_join(t, spark):
 
 @query("SELECT doc_id, label_n, CASE WHEN label_n > 1 THEN 'repeated' ELSE 'single' END AS kind FROM (SELECT doc_id, count(*) AS label_n FROM labels GROUP BY 1)")
 def duplicate_groups(t, spark):
-    """GRF-10, AGG-21: groups of equal keys."""
+    """AGG-21: groups of equal keys."""
     g = t("labels").groupBy("doc_id").agg(F.count(F.lit(1)).alias("label_n"))
     return g.withColumn("kind", F.when(F.col("label_n") > 1, "repeated").otherwise("single"))
 

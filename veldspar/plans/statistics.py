@@ -254,7 +254,7 @@ def bootstrap_ci(t, spark):
 
 @query()
 def permutation_z(t, spark):
-    """STA-06: mean difference against random labels."""
+    """Mean difference against labels drawn by hash (the null of neighbour overlaps is in ``overlap_null``)."""
     return stats.permutation_z(t("orders"), "o_totalprice", F.col("o_orderpriority") == "1-URGENT", "o_orderkey", 100)
 
 

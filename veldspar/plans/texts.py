@@ -62,7 +62,7 @@ def formula_features(t, spark):
 WITH g AS (SELECT i, -6 + i * 0.02 AS eta FROM range(0, 601) t(i)), v AS (SELECT i, eta, ln(1 + exp(eta)) AS f0 FROM g)
 SELECT i AS step, round(eta, 6) AS eta, round(f0, 6) AS f0, round(1 / (1 + exp(-eta)) / f0, 6) AS slope_ratio FROM v""")
 def band_sweep(t, spark):
-    """SCN-10, MTH-17: the closed-form band integral over a grid of reduced levels."""
+    """MTH-17: the closed-form band integral of order 0 over a grid of reduced levels."""
     eta = F.lit(-6.0) + F.col("id") * 0.02
     f0 = physics.ln_f0(eta)
     return spark.range(601).select(F.col("id").alias("step"), r(eta).alias("eta"), r(f0).alias("f0"), r(1 / (1 + F.exp(-eta)) / f0).alias("slope_ratio"))
