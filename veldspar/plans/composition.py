@@ -116,7 +116,7 @@ def cell_geometry(t, spark):
 
 @query(f"""
 WITH {_COMP}, f AS (SELECT p_partkey, sum(n * c.z) / sum(n) AS z_mean, sum(n * "row") / sum(n) AS row_mean, max("group") - min("group") AS group_range, sum(n * measure) / sum(n) FILTER (measure IS NOT NULL) AS measure_mean, max(measure) AS measure_max, sum(n) AS nsites FROM comp c JOIN el e USING (z) GROUP BY 1)
-SELECT p_partkey, array_to_string(list_transform([round(z_mean, 5), round(row_mean, 5), group_range, round(coalesce(measure_mean, 0), 5), coalesce(measure_max, 0), nsites, p_retailprice], lambda x: printf('%.4f', x::DOUBLE)), ' ') AS v
+SELECT p_partkey, array_to_string(list_transform([round(z_mean, 5), round(row_mean, 5), group_range, round(coalesce(measure_mean, 0), 5), coalesce(measure_max, 0), nsites, p_retailprice], lambda x: printf('%.5f', x::DOUBLE)), ' ') AS v
 FROM f JOIN part USING (p_partkey)""")
 def cheap_features(t, spark):
     """FEA-15: a vector of features that need no computed property, in a fixed order (as text)."""
@@ -125,7 +125,7 @@ def cheap_features(t, spark):
     n = comp.groupBy("p_partkey").agg(F.sum("amount").alias("nsites"))
     j = s.join(n, "p_partkey").join(t("part").select("p_partkey", "p_retailprice"), "p_partkey")
     parts = (r(F.col("z_mean"), 5), r(F.col("row_mean"), 5), F.col("group_range"), r(F.col("measure_mean"), 5), F.col("measure_max"), F.col("nsites"), F.col("p_retailprice"))
-    return j.select("p_partkey", F.concat_ws(" ", *(F.format_string("%.4f", c.cast("double")) for c in parts)).alias("v"))
+    return j.select("p_partkey", F.concat_ws(" ", *(F.format_string("%.5f", c.cast("double")) for c in parts)).alias("v"))
 
 
 @query(f"""
