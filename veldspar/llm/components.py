@@ -67,4 +67,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
     for step in steps[1:]:
         later = step.select(F.col("node").alias("root"), F.col("root").alias("top"))
         out = out.join(later, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
-    return materialize(out, "components")
+    found = materialize(out, "components")
+    discard(now, *steps)
+    return found
