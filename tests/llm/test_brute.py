@@ -199,3 +199,12 @@ def test_matches_sql(spark, name):
     columns = sorted(want.columns)
     assert sorted(got.columns) == columns
     assert sorted(map(tuple, got[columns].values.tolist()), key=repr) == sorted(map(tuple, want[columns].values.tolist()), key=repr)
+
+
+def test_vector_blocks_cover_lists():
+    """Every list has its blocks, short ones share, long ones are split; query parts follow what is asked."""
+    from veldspar.llm.vector_dedup import Blocks
+
+    stored = {0: 3, 1: 4, 2: 25, 4: 2, 7: 9, 9: 1}
+    b = Blocks.deal(stored, {0: 30, 1: 1, 2: 12, 4: 0, 7: 5, 9: 50}, 44, 10)
+    assert b.of == {0: (0, 1), 1: (0, 1), 2: (1, 3), 4: (4, 1), 7: (5, 1), 9: (5, 1)} and b.parts == [4, 2, 2, 2, 1, 5]

@@ -254,7 +254,11 @@ def brute_near(rows, threshold=0.95):
     return n, least_components([i for i, _ in rows], links)
 
 
-def test_vectors_recall(spark):
+@pytest.mark.parametrize("rows", [None, 50])
+def test_vectors_recall(spark, rows, monkeypatch):
+    if rows:
+        monkeypatch.setattr(vector_dedup, "LEAST_BLOCK", rows)
+        monkeypatch.setattr(vector_dedup, "MOST_BLOCK", rows)
     rng = np.random.default_rng(1)
     x = rng.normal(size=(700, 16))
     x[300:500] = x[7] + rng.normal(size=(200, 16)) * 0.15

@@ -41,8 +41,8 @@ FIT_BYTES, FIT_ROWS = 128 << 20, 4096
 SUBSPACES, CODES = 8, 256
 #: Added to the reach of partners, far above the rounding of distances.
 SLACK = 1e-6
-#: Vectors of a block of a list, on either side.
-BLOCK = 2048
+#: Bytes of the vectors of a block, on either side, and its rows at least and at most.
+BLOCK_BYTES, LEAST_BLOCK, MOST_BLOCK = 8 << 20, 256, 16_384
 #: Components gathered at once when pairs are verified, and bytes of copied vectors of a search task.
 GATHERED, TASK_BYTES = 1 << 19, 32 << 20
 NULL_ID = -(1 << 63)
@@ -162,23 +162,23 @@ class Blocks:
     parts: list[int]
 
     @staticmethod
-    def deal(stored: dict[int, int], asked: dict[int, int], total: int) -> Blocks:
-        """Short lists share a block; a list above ``BLOCK`` has blocks of its own."""
+    def deal(stored: dict[int, int], asked: dict[int, int], total: int, rows: int) -> Blocks:
+        """Short lists share a block of ``rows``; a longer list has blocks of its own."""
         of, sums, room = {}, [], 0
         for c in sorted(stored):
-            if stored[c] > BLOCK:
-                n = -(-stored[c] // BLOCK)
+            if stored[c] > rows:
+                n = -(-stored[c] // rows)
                 of[c] = (len(sums), n)
                 sums += [asked[c]] * n
                 room = 0
                 continue
             if stored[c] > room:
                 sums.append(0)
-                room = BLOCK
+                room = rows
             of[c] = (len(sums) - 1, 1)
             sums[-1] += asked[c]
             room -= stored[c]
-        return Blocks(of, [max(1, -(-min(x, total) // BLOCK)) for x in sums])
+        return Blocks(of, [max(1, -(-min(x, total) // rows)) for x in sums])
 
 
 def _cells(sent, blocks: Blocks) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -296,9 +296,10 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
         # A row per list: at most MOST_LISTS reach the driver.
         sized = mine.mapInArrow(trimmed(place), "list long, stored long, asked long").groupBy("list").agg(F.sum("stored").alias("stored"), F.sum("asked").alias("asked")).where("stored > 0").collect()
         total = sum(r.stored for r in sized)
-        blocks = Blocks.deal({r.list: r.stored for r in sized}, {r.list: r.asked for r in sized}, total)
+        rows = max(LEAST_BLOCK, min(MOST_BLOCK, BLOCK_BYTES // size))
+        blocks = Blocks.deal({r.list: r.stored for r in sized}, {r.list: r.asked for r in sized}, total, rows)
         # At most every vector as a query in every block, and every block once for each part of its queries.
-        copies = total * len(blocks.parts) + BLOCK * sum(blocks.parts)
+        copies = total * len(blocks.parts) + rows * sum(blocks.parts)
         tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-copies * size // TASK_BYTES))
         found = mine.mapInArrow(trimmed(_cells(sent, blocks)), _CELL).repartition(tasks, "cell").groupBy("cell").applyInArrow(_search(sent, threshold), "a long, b long, n long")
         links = found if links is None else links.union(found)
