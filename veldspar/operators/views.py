@@ -174,3 +174,30 @@ def tension(a: DataFrame, b: DataFrame, key: str, vector: str, scale: Column | f
     """key, tension: distance of a thing's places in two maps over a typical distance (EMB-11)."""
     j = a.select(key, F.col(vector).alias("x")).join(b.select(key, F.col(vector).alias("y")), key)
     return j.select(key, (arrays.euclid(F.col("x"), F.col("y")) / (scale if isinstance(scale, Column) else F.lit(scale))).alias("tension"))
+
+
+def row_ranks(pairs: DataFrame, n: int, distance: str) -> DataFrame:
+    """id, other, rank: place of every other row by distance, ties by id, over n - 1 (WIN-05). ``pairs`` holds src < dst of a cohort."""
+    both = pairs.select(F.col("src").alias("id"), F.col("dst").alias("other"), distance).union(pairs.select("dst", "src", distance))
+    w = Window.partitionBy("id").orderBy(distance, "other")
+    return both.select("id", "other", (F.row_number().over(w) / F.lit(float(n - 1))).alias("rank"))
+
+
+def bilayers(cells: DataFrame, most_strain: float = 0.02, gap: float = 3.3) -> DataFrame:
+    """lower, upper, turned, strain, height, nearest: cells (id, a, b, h, x, y) of a cohort stacked where they fit, as they are or turned by a quarter (FEA-16).
+
+    The strain is the larger of both edges'; of two ways the smaller one is taken.  ``nearest`` is
+    the distance of the cells' facing sites, ``gap`` the height between the layers.
+    """
+    low, up = (cells.select(*(F.col(c).alias(f"{p}{c}") for c in cells.columns)) for p in ("l_", "u_"))
+
+    def strain(a: str, b: str) -> Column:
+        return F.greatest(F.abs(F.col("l_a") / F.col(a) - 1), F.abs(F.col("l_b") / F.col(b) - 1))
+
+    j = low.join(up, F.col("l_id") < F.col("u_id")).withColumn("_s", strain("u_a", "u_b")).withColumn("_t", strain("u_b", "u_a"))
+    turned = F.col("_t") < F.col("_s")
+    # A quarter turn takes (x, y) to (-y, x).
+    dx = F.col("l_x") - F.when(turned, -F.col("u_y")).otherwise(F.col("u_x"))
+    dy = F.col("l_y") - F.when(turned, F.col("u_x")).otherwise(F.col("u_y"))
+    out = j.select(F.col("l_id").alias("lower"), F.col("u_id").alias("upper"), turned.alias("turned"), F.least("_s", "_t").alias("strain"), (F.col("l_h") + F.col("u_h") + gap).alias("height"), F.sqrt(dx * dx + dy * dy + gap * gap).alias("nearest"))
+    return out.where(F.col("strain") <= most_strain)

@@ -223,3 +223,46 @@ def zero_distance_groups(t, spark):
     if c is None:
         return e.select("vec_id", F.col("vec_id").alias("representative"), F.lit(False).alias("repeated"))
     return e.join(c.withColumnRenamed("id", "vec_id"), "vec_id", "left").select("vec_id", F.coalesce("component", "vec_id").alias("representative"), F.col("component").isNotNull().alias("repeated"))
+
+
+_COS = "list_dot_product(x.a, y.a) / (sqrt(list_dot_product(x.a, x.a)) * sqrt(list_dot_product(y.a, y.a)))"
+_CD = f"c AS (SELECT vec_id, list_transform(embedding[1:32], lambda x: x::DOUBLE) AS a FROM embeddings WHERE {COHORT})"
+
+
+@query(f"""
+WITH {_CD}, p AS (SELECT x.vec_id AS src, y.vec_id AS dst, {_COS} AS c, abs(x.a[1] - y.a[1]) AS d FROM c x JOIN c y ON x.vec_id < y.vec_id)
+SELECT src, dst, round(1 - c, 8) AS cosine, round(sqrt(greatest(2 - 2 * c, 0)), 6) AS kernel, round(d, 8) AS first_axis FROM p""")
+def kernel_distances(t, spark):
+    """DST-02, DST-04, DST-05: one axis' difference, kernel and cosine distances over a cohort's pairs."""
+    c = halves(t).select("vec_id", F.transform("a", lambda x: x.cast("double")).alias("a"))
+    p = c.join(c.toDF("dst", "b"), F.col("vec_id") < F.col("dst"))
+    a, b = F.col("a"), F.col("b")
+    return p.select(F.col("vec_id").alias("src"), "dst", r(arrays.cosine_distance(a, b), 8).alias("cosine"), r(arrays.kernel_distance(a, b)).alias("kernel"), r(F.abs(a[0] - b[0]), 8).alias("first_axis"))
+
+
+@query(f"""
+WITH {_P}, u AS (SELECT src AS id, dst AS other, a FROM p UNION ALL SELECT dst, src, a FROM p) SELECT id, other, round(row_number() OVER (PARTITION BY id ORDER BY a, other) / ((SELECT count(*) FROM c) - 1), 9) AS rank FROM u""")
+def row_rank_matrix(t, spark):
+    """WIN-05: every row's ranks of the others in a cohort, scaled by their number."""
+    out = views.row_ranks(pairs(t), halves(t).count(), "a")
+    return out.select("id", "other", r(F.col("rank"), 9).alias("rank"))
+
+
+@query(f"""
+WITH e AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings WHERE {COHORT}), c AS (SELECT id, 1 + abs(e[1]) AS a, 1 + abs(e[2]) AS b, abs(e[3]) AS h, e[4] AS x, e[5] AS y FROM e),
+j AS (SELECT l.id AS lower, u.id AS upper, greatest(abs(l.a / u.a - 1), abs(l.b / u.b - 1)) AS s, greatest(abs(l.a / u.b - 1), abs(l.b / u.a - 1)) AS t, l.h + u.h + 3.3 AS height, l.x AS lx, l.y AS ly, u.x AS ux, u.y AS uy FROM c l JOIN c u ON l.id < u.id)
+SELECT lower, upper, t < s AS turned, round(least(s, t), 6) AS strain, round(height, 6) AS height, round(sqrt((lx - CASE WHEN t < s THEN -uy ELSE ux END) ** 2 + (ly - CASE WHEN t < s THEN ux ELSE uy END) ** 2 + 3.3 ** 2), 6) AS nearest FROM j WHERE least(s, t) <= 0.02""")
+def bilayer_stacks(t, spark):
+    """FEA-16: pairs of cells that fit within two percent, turned or not, and their stack."""
+    e = t("embeddings").where(COHORT).select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("e"))
+    c = e.select("id", (1 + F.abs(F.col("e")[0])).alias("a"), (1 + F.abs(F.col("e")[1])).alias("b"), F.abs(F.col("e")[2]).alias("h"), F.col("e")[3].alias("x"), F.col("e")[4].alias("y"))
+    out = views.bilayers(c)
+    return out.select("lower", "upper", "turned", *(r(F.col(k)).alias(k) for k in ("strain", "height", "nearest")))
+
+
+@query("SELECT r_name, c_mktsegment, count(c_custkey) AS n FROM region CROSS JOIN (SELECT DISTINCT c_mktsegment FROM customer) LEFT JOIN (SELECT c_custkey, c_mktsegment AS m, n_regionkey FROM customer JOIN nation ON c_nationkey = n_nationkey) ON m = c_mktsegment AND n_regionkey = r_regionkey GROUP BY 1, 2")
+def complete_grid(t, spark):
+    """JOIN-14, JOIN-01, JOIN-03: every combination of two short lists (regions, segments), with a count that may be 0."""
+    c = t("customer").join(t("nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_regionkey"), "c_nationkey").groupBy("n_regionkey", "c_mktsegment").agg(F.count(F.lit(1)).alias("k"))
+    grid = t("region").select(F.col("r_regionkey").alias("n_regionkey"), "r_name").crossJoin(t("customer").select("c_mktsegment").distinct())
+    return grid.join(c, ["n_regionkey", "c_mktsegment"], "left").select("r_name", "c_mktsegment", F.coalesce("k", F.lit(0)).alias("n"))
