@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 pytest.importorskip("veldspar.llm.registry")
-from veldspar.llm import decontaminate, jaccard, langid, mixing, pii, sharding, suffix_array, suffix_dedup, tokenstore, url_filter, vector_dedup  # noqa: E402
+from veldspar.llm import _text, decontaminate, jaccard, langid, mixing, pii, sharding, suffix_array, suffix_dedup, tokenstore, url_filter, vector_dedup  # noqa: E402
 from veldspar.llm.components import connected_components  # noqa: E402
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -62,11 +62,14 @@ def least_components(ids, links):
     return {i: root(i) for i in ids}
 
 
+def shingle_set(t):
+    w = words(t)
+    return {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else set()
+
+
 def brute_jaccard(texts):
-    sets = {}
-    for i, t in enumerate(texts):
-        w = words(t)
-        sets[i] = {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else set()
+    """Sets and smallest ids of classes of texts by id (a list: by place)."""
+    sets = {i: shingle_set(t) for i, t in (texts.items() if isinstance(texts, dict) else enumerate(texts))}
     links = [(a, b) for a, b in itertools.combinations(sets, 2) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
     return sets, least_components(sets, links)
 
@@ -458,17 +461,77 @@ def test_keep_first_keeps_one_row(spark, texts):
 
 
 def test_jaccard_checks_names(spark, texts, monkeypatch):
-    """Two sets of one name are noticed, and the names made anew."""
-    whole, calls = jaccard.set_keys, []
+    """Sets of one name are noticed by their second hashes, the names made anew, and the classes are right."""
+    whole = jaccard.set_keys
 
-    def clumsy(hashes, at, salt=0):
-        calls.append(salt)
-        return whole(hashes, at, salt) & np.uint64(1) if salt == 0 else whole(hashes, at, salt)
+    def clumsy(hashes, at, salt=None):
+        out = whole(hashes, at, salt or 0)
+        return out & np.uint64(1) if salt == 0 else out  # the check is made without a salt
 
     monkeypatch.setattr(jaccard, "set_keys", clumsy)
-    df = spark.createDataFrame([(1, texts[0]), (2, texts[0]), (3, texts[50]), (4, texts[60]), (5, texts[61])], "doc_id long, text string").coalesce(1)
-    _, _, salt = jaccard.jaccard_links(df)
-    assert salt in (0, 1)
+    few = {1: texts[0], 2: texts[0], 3: texts[50], 4: texts[60], 5: texts[61]}
+    df = spark.createDataFrame(list(few.items()), "doc_id long, text string").coalesce(1)
+    assert jaccard.jaccard_links(df)[2] == 1
+    sets, comp = brute_jaccard(few)
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(df).collect()} == {(i, len(sets[i]), comp[i]) for i in few}
+
+
+def test_shingles_depend_on_order():
+    """All 5-grams of eight words, and words whose letters collide modulo 2**64, have hashes of their own."""
+    eight = ["a", "b", "c", "no", "yes", "x", "0", "1"]
+    body = np.frombuffer(" ".join(eight).encode(), np.uint8)
+    s, e, _ = _text.words(body, np.array([0, len(body)]), _text.SPACED)
+    for family, value in enumerate((_text.VALUE, _text.VALUE2)):
+        wh = _text.word_hashes(body, s, e, value, _text.LONG)
+        every = np.array(list(itertools.product(range(8), repeat=5))).ravel()
+        assert len(np.unique(_text.gram_hashes(wh[every], 5, family)[::5])) == 8**5
+    thue = "a"
+    while len(thue) < 4096:
+        thue += thue.translate(str.maketrans("ab", "ba"))
+    other = thue.translate(str.maketrans("ab", "ba"))
+    assert [len(x) for x in jaccard.exact_sets([f"{thue} {other}".encode(), thue.encode(), b"", b" \n"])] == [1, 1, 0, 0]
+    body = np.frombuffer(f"{thue} {other}".encode(), np.uint8)
+    s, e, _ = _text.words(body, np.array([0, len(body)]), _text.SPACED)
+    assert len(set(_text.word_hashes(body, s, e, long=_text.LONG).tolist())) == 2
+    # Runs longer than the table of multipliers.
+    many = _text.mix(np.arange(400, dtype=np.uint64))
+    turned = many.copy()
+    turned[[10, 138]] = turned[[138, 10]]
+    assert _text.gram_hashes(many, 400)[0] != _text.gram_hashes(turned, 400)[0]
+
+
+def test_exact_sets_do_without_hashes(monkeypatch):
+    rng = random.Random(3)
+    some = [" ".join(rng.choice("abcd") for _ in range(rng.randrange(0, 40))) for _ in range(60)]
+    want = [shingle_set(t) for t in some]
+    for bits in (64, 3):
+        whole = jaccard.gram_hashes
+        with monkeypatch.context() as m:
+            m.setattr(jaccard, "gram_hashes", lambda wh, n, family=0, bits=bits: whole(wh, n, family) >> np.uint64(64 - bits))
+            got = jaccard.exact_sets([t.encode() for t in some])
+        assert [len(x) for x in got] == [len(x) for x in want]
+        assert all(len(np.intersect1d(got[i], got[j])) == len(want[i] & want[j]) for i in range(60) for j in range(i))
+
+
+@pytest.mark.parametrize("frequent", [64, 3])
+def test_jaccard_small_vocabulary(spark, frequent, monkeypatch):
+    """Texts of eight words, where shingles of the same words in another order abound."""
+    monkeypatch.setattr(jaccard, "FREQUENT", frequent)
+    rng = random.Random(60)
+    eight = ["no", "yes", "maybe", "a", "b", "0", "1", "Red"]
+    some = ["no yes yes no maybe", "yes no no yes maybe", "a b b a 0", "b a a b 0", "0 1 1 0", "1 0 0 1", "red b a b red", "b red a red b"]
+    for _ in range(60):
+        base = [rng.choice(eight) for _ in range(rng.randrange(1, 60))]
+        for _ in range(25):
+            w = list(base)
+            for _ in range(rng.randrange(5)):
+                w[rng.randrange(len(w))] = rng.choice(eight)
+            some.append(" ".join(w))
+    some = dict(enumerate(some))
+    sets, comp = brute_jaccard(some)
+    df = spark.createDataFrame(list(some.items()), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(df).collect()}
+    assert got == {i: (len(sets[i]), comp[i]) for i in some}
 
 
 def test_sharding(spark, texts, tmp_path):

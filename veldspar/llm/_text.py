@@ -8,6 +8,7 @@ polynomial modulo 2**64, mixed afterwards, so equal words have equal hashes ever
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +32,12 @@ LOWER[65:91] += 32
 VALUE = _bytes_table(20240229)[LOWER]
 #: Random value of each byte as it is.
 EXACT = _bytes_table(20240301)
+#: The same for a second, independent hash.
+VALUE2 = _bytes_table(20240307)[LOWER]
+#: Odd random multipliers of the positions in a run of words, one row for each family of hashes.
+_PLACES = _bytes_table(20240311).reshape(2, 128)
+#: Words beyond so many bytes can be made to collide in a polynomial modulo 2**64.
+LONG = 64
 #: Bytes of words split at white space: all but space and \t \n \v \f \r.
 SPACED = np.ones(256, dtype=bool)
 SPACED[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
@@ -102,19 +109,30 @@ def words(body: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> tuple[np.n
     return starts, ends, np.searchsorted(starts, offsets).astype(np.int64)
 
 
-def word_hashes(body: np.ndarray, starts: np.ndarray, ends: np.ndarray, value: np.ndarray = VALUE) -> np.ndarray:
-    """A 64-bit hash of each word, A-Z lower-cased (or by another table of byte values)."""
+def word_hashes(body: np.ndarray, starts: np.ndarray, ends: np.ndarray, value: np.ndarray = VALUE, long: int | None = None) -> np.ndarray:
+    """A 64-bit hash of each word, A-Z lower-cased (or by another table of byte values).
+
+    Words of more than ``long`` bytes (few by their length) take a digest in place of the polynomial.
+    """
     up, down = _power(len(body) + 1)
     sums = np.zeros(len(body) + 1, np.uint64)
     np.cumsum(value[body] * up[: len(body)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts])
+    out = mix((sums[ends] - sums[starts]) * down[starts])
+    for w in np.flatnonzero(ends - starts > long).tolist() if long else ():
+        digest = hashlib.blake2b(digest_size=8)
+        for lo in range(int(starts[w]), int(ends[w]), 1 << 16):
+            digest.update(value[body[lo : min(lo + (1 << 16), int(ends[w]))]])
+        out[w] = int.from_bytes(digest.digest(), "little")
+    return out
 
 
-def gram_hashes(wh: np.ndarray, n: int) -> np.ndarray:
-    """Hash of every run of ``n`` consecutive word hashes (len(wh) - n + 1 of them)."""
+def gram_hashes(wh: np.ndarray, n: int, family: int = 0) -> np.ndarray:
+    """Hash of every run of ``n`` consecutive word hashes (len(wh) - n + 1 of them), the order of the words counting."""
     if len(wh) < n:
         return np.empty(0, np.uint64)
-    out = np.zeros(len(wh) - n + 1, np.uint64)
+    out = np.full(len(wh) - n + 1, n, np.uint64)
     for j in range(n):
-        out += wh[j : j + len(out)] * np.uint64((0xD6E8FEB86659FD93 * (2 * j + 1) + 2 * n) & _MASK | 1)
+        # From the second lap of the table on, words are mixed once more, so that no two places are treated alike.
+        word = wh[j : j + len(out)]
+        out += (word if j < _PLACES.shape[1] else mix(word + np.uint64(j))) * _PLACES[family, j % _PLACES.shape[1]]
     return mix(out)

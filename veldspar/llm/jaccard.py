@@ -13,9 +13,12 @@ Frequent shingles never make pairs through the counting path.  A document that c
 prefix without frequent shingles joins, per frequent shingle, blocks of documents; each pair of
 blocks (of bounded size) is verified at once as a matrix product.
 
+Verification compares the words of shingles, not their hashes.
+
 Equal sets are one node throughout, whatever the number of their documents: only one document per
 distinct set and task reaches a shuffle, and copies are never expanded.  A set is named by 64 bits
-and checked by 64 more: if two sets have one name, all names are made anew with another salt.
+and checked by 64 more that come from hashes of their own: if two sets have one name, all names are
+made anew with another salt.
 
 Defined results: null, empty and blank texts have no shingles and link with nothing (not with one
 another); texts of fewer than ``n`` words have one shingle, the whole sequence; a null id stands
@@ -35,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._store import discard, materialize, small_batches, trimmed
-from ._text import SPACED, blocks, gram_hashes, mix, word_hashes, words
+from ._text import LONG, LOWER, SPACED, VALUE, VALUE2, blocks, gram_hashes, mix, word_hashes, words
 from .components import connected_components
 
 SHINGLE, PERCENT = 5, 80
@@ -47,6 +50,8 @@ FREQUENT = 64
 MOST_MATCHES = 6
 #: Documents of a block, and postings held before they are sent on.
 BLOCK_DOCS, HELD = 512, 400_000
+#: Bytes of texts whose words are compared at once.
+VERIFIED = 1 << 21
 #: Ids of documents to verify are broadcast up to so many; beyond that they are joined by shuffle.
 BROADCAST_IDS = 4_000_000
 #: Shingles of all documents for each bucket of postings.
@@ -54,26 +59,89 @@ BUCKET_SHINGLES = 1 << 19
 NULL_ID = -(1 << 63)
 
 
-def shingle_sets(body: np.ndarray, offsets: np.ndarray, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes of each text of a block, ascending within a text; and offsets."""
-    starts, ends, bounds = words(body, offsets, SPACED)
-    wh = word_hashes(body, starts, ends)
+def _runs(bounds: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Owner and first word of every shingle of texts of ``n`` words at least."""
+    count = np.diff(bounds)
+    own = np.maximum(count - n + 1, 0)
+    owner = np.repeat(np.arange(len(count)), own)
+    return owner, np.arange(len(owner)) + np.repeat(bounds[:-1] - np.concatenate([[0], np.cumsum(own)[:-1]]), own)
+
+
+def _shingles(body: np.ndarray, found: tuple[np.ndarray, ...], n: int, family: int) -> tuple[np.ndarray, np.ndarray]:
+    """Owner and hash of every shingle of a block, repeated ones too; the same order whatever the family."""
+    starts, ends, bounds = found
+    wh = word_hashes(body, starts, ends, (VALUE, VALUE2)[family], LONG)
+    owner, at = _runs(bounds, n)
+    hashes = gram_hashes(wh, n, family)[at] if len(at) else np.empty(0, np.uint64)
     count = np.diff(bounds)
-    grams = gram_hashes(wh, n)
-    owner = np.repeat(np.arange(len(count)), np.maximum(count - n + 1, 0))
-    at = np.arange(len(owner)) + np.repeat(bounds[:-1] - np.concatenate([[0], np.cumsum(np.maximum(count - n + 1, 0))[:-1]]), np.maximum(count - n + 1, 0))
-    hashes = grams[at] if len(at) else np.empty(0, np.uint64)
     short = np.flatnonzero((count > 0) & (count < n))
     if len(short):
-        one = np.array([gram_hashes(wh[bounds[d] : bounds[d + 1]], int(count[d]))[0] for d in short], np.uint64)
+        one = np.array([gram_hashes(wh[bounds[d] : bounds[d + 1]], int(count[d]), family)[0] for d in short], np.uint64)
         owner, hashes = np.concatenate([owner, short]), np.concatenate([hashes, one])
+    return owner, hashes
+
+
+def _distinct(body: np.ndarray, offsets: np.ndarray, n: int, both: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    found = words(body, offsets, SPACED)
+    owner, hashes = _shingles(body, found, n, 0)
     order = np.lexsort((hashes, owner))
     owner, hashes = owner[order], hashes[order]
-    if len(hashes):
-        new = np.ones(len(hashes), bool)
-        new[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
-        owner, hashes = owner[new], hashes[new]
-    return hashes, np.searchsorted(owner, np.arange(len(count) + 1))
+    new = np.ones(len(hashes), bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
+    owner = owner[new]
+    return hashes[new], np.searchsorted(owner, np.arange(len(offsets))), _shingles(body, found, n, 1)[1][order][new] if both else None
+
+
+def shingle_sets(body: np.ndarray, offsets: np.ndarray, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingle hashes of each text of a block, ascending within a text; and offsets."""
+    return _distinct(body, offsets, n, False)[:2]
+
+
+def checked_sets(body: np.ndarray, offsets: np.ndarray, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same with a second hash of each shingle, of other byte values and multipliers."""
+    return _distinct(body, offsets, n, True)
+
+
+def exact_sets(texts: list[bytes], n: int = SHINGLE) -> list[np.ndarray]:
+    """Distinct shingles of each text as numbers: equal numbers stand for equal words, compared as bytes.
+
+    Hashes only sort the shingles.  Of equal hashes the words are compared; if they ever differ, all
+    shingles are numbered word by word.
+    """
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+    body = LOWER[np.frombuffer(b"".join(texts), np.uint8)]
+    found = starts, ends, bounds = words(body, offsets, SPACED)
+    owner, hashes = _shingles(body, found, n, 0)
+    if not len(owner):
+        return [np.empty(0, np.int64) for _ in texts]
+    # The words one after another, numbered by their bytes.
+    inside = np.zeros(len(body) + 1, np.int8)
+    inside[starts] += 1
+    inside[ends] -= 1
+    places = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
+    column = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(places), pa.py_buffer(np.ascontiguousarray(body[np.cumsum(inside[:-1]) > 0]))])
+    code = column.dictionary_encode().indices.to_numpy().astype(np.int64)
+    count = np.diff(bounds)
+    short = np.flatnonzero((count > 0) & (count < n))
+    first = np.concatenate([_runs(bounds, n)[1], bounds[:-1][short]])
+    length = np.concatenate([np.full(len(first) - len(short), n), count[short]])
+    # The words of a shingle in a row; -1 beyond a short one.
+    rows = np.stack([np.where(length > j, code[np.minimum(first + j, len(code) - 1)], -1) for j in range(n)])
+    order = np.argsort(hashes, kind="stable")
+    same = hashes[order][1:] == hashes[order][:-1]
+    number = np.empty(len(order), np.int64)
+    number[order] = np.concatenate([[0], np.cumsum(~same)])
+    if (rows[:, order[1:]] != rows[:, order[:-1]]).any(axis=0)[same].any():
+        number = rows[0]
+        for more in rows[1:]:
+            number = np.unique(number * (len(code) + 1) + more + 1, return_inverse=True)[1].reshape(-1)
+    order = np.lexsort((number, owner))
+    owner, number = owner[order], number[order]
+    new = np.ones(len(number), bool)
+    new[1:] = (number[1:] != number[:-1]) | (owner[1:] != owner[:-1])
+    owner, number = owner[new], number[new]
+    at = np.searchsorted(owner, np.arange(len(texts) + 1))
+    return [number[a:e] for a, e in zip(at[:-1], at[1:], strict=True)]
 
 
 def set_keys(hashes: np.ndarray, at: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -99,8 +167,8 @@ def _survey(salt: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
         for b in batches:
             ids = b.column(0)
             for lo, hi, body, offsets in blocks(b.column(1)):
-                hashes, at = shingle_sets(body, offsets)
-                n, keys, check = np.diff(at), set_keys(hashes, at, salt), set_keys(hashes, at, -1)
+                hashes, at, second = checked_sets(body, offsets)
+                n, keys, check = np.diff(at), set_keys(hashes, at, salt), set_keys(second, at)
                 new = np.array([k not in seen and not seen.add(k) for k in keys.tolist()])
                 part = hashes[np.repeat(new, n)]
                 for row, slots in enumerate(sketch_slots(part)):
@@ -316,29 +384,63 @@ def _sets_of(bodies: list[bytes]) -> list[np.ndarray]:
     return out
 
 
+def verified(bodies: list[bytes], pairs: list[tuple[int, int]], percent: int) -> list[bool]:
+    """Whether each pair of (compressed) texts links, by the words themselves; about ``VERIFIED`` bytes of texts are held at once."""
+    out: list[bool] = []
+    at = 0
+    while at < len(pairs):
+        place: dict[int, int] = {}
+        texts: list[bytes] = []
+        size, to = 0, at
+        while to < len(pairs) and (to == at or size < VERIFIED):
+            for k in pairs[to]:
+                if k not in place:
+                    place[k] = len(texts)
+                    texts.append(zstandard.decompress(bodies[k]))
+                    size += len(texts[-1])
+            to += 1
+        sets = exact_sets(texts)
+        for x, y in ((sets[place[a]], sets[place[b]]) for a, b in pairs[at:to]):
+            both = len(x) + len(y) - len(np.union1d(x, y))
+            out.append(100 * both >= percent * (len(x) + len(y) - both))
+        at = to
+    return out
+
+
+def _forest(link: np.ndarray) -> list[tuple[int, int]]:
+    """As few of the links as connect what is linked."""
+    left, out = np.ones(len(link), bool), []
+    while left.any():
+        queue = [int(np.argmax(left))]
+        left[queue[0]] = False
+        while queue:
+            x = queue.pop()
+            more = np.flatnonzero(link[x] & left)
+            left[more] = False
+            out += [(x, int(y)) for y in more]
+            queue += more.tolist()
+    return out
+
+
 def _verify_cell(percent: int) -> Callable[[pa.Table], pa.Table]:
-    """Links within a cell, as few as connect what is linked."""
+    """Links within a cell, as few as connect what is linked; each is verified by its words."""
 
     def run(table: pa.Table) -> pa.Table:
-        keys = table["key"].to_numpy()
-        sets = _sets_of(table["body"].to_pylist())
-        size = np.array([len(s) for s in sets])
-        a, b = [], []
+        keys, bodies = table["key"].to_numpy(), table["body"].to_pylist()
+        edges: list[tuple[int, int]] = []
         if len(keys) > 1:
+            sets = _sets_of(bodies)
+            size = np.array([len(s) for s in sets])
             both = overlaps(sets)
             link = 100 * both >= percent * (size[:, None] + size[None, :] - both)
-            left = np.ones(len(keys), bool)
-            while left.any():
-                queue = [int(np.argmax(left))]
-                left[queue[0]] = False
-                while queue:
-                    x = queue.pop()
-                    more = np.flatnonzero(link[x] & left)
-                    left[more] = False
-                    a += [keys[x]] * len(more)
-                    b += keys[more].tolist()
-                    queue += more.tolist()
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+            while True:
+                edges = _forest(link)
+                wrong = [e for e, ok in zip(edges, verified(bodies, edges, percent), strict=True) if not ok]
+                if not wrong:
+                    break
+                for x, y in wrong:
+                    link[x, y] = link[y, x] = False
+        return pa.table({"a": pa.array([keys[x] for x, _ in edges], pa.int64()), "b": pa.array([keys[y] for _, y in edges], pa.int64())})
 
     return run
 
@@ -346,12 +448,9 @@ def _verify_cell(percent: int) -> Callable[[pa.Table], pa.Table]:
 def _verify_pairs(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (batch.slice(lo, 256) for batch in batches for lo in range(0, batch.num_rows, 256)):
-            left, right = (_sets_of(b.column(k).to_pylist()) for k in (2, 3))
-            hit = []
-            for x, y in zip(left, right, strict=True):
-                both = len(x) + len(y) - len(np.union1d(x, y))
-                hit.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(hit, pa.bool_())), b.column(1).filter(pa.array(hit, pa.bool_()))], names=["a", "b"])
+            n = b.num_rows
+            hit = pa.array(verified(b.column(2).to_pylist() + b.column(3).to_pylist(), [(k, n + k) for k in range(n)], percent), pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(hit), b.column(1).filter(hit)], names=["a", "b"])
 
     return run
 
