@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("jaccard", "mixing", "tokenstore", "langid", "pii", "decontaminate", "sharding", "url_filter", "suffix_dedup", "vector_dedup")
+MODULES = ("jaccard", "mixing", "tokenstore", "langid", "pii", "decontaminate", "sharding", "url_filter", "suffix_dedup", "vector_dedup", "packing", "merkle", "collocations")
 
 QUERIES: dict = {}
 ORACLES: dict = {}
