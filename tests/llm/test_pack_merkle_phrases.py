@@ -18,7 +18,7 @@ from pyspark.sql import functions as F  # noqa: E402
 from veldspar.llm import collocations, merkle, packing  # noqa: E402
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-AWKWARD = [None, "", " \n\t ", "one", "One TWO", "it's we'll DON'T", "é é Å Å ß İ ΣΑΣ", "a b c\u0085d", "12 345,6", "x<|endoftext|>y <|startoftext|>", "漢字 かな ✓✓", "w" * 700, "a\x00b\x1cc\x0bd"]
+AWKWARD = [None, "", " \n\t ", "one", "One TWO", "it's we'll DON'T", "a-'s 'st x1y22.3z a''re <|ENDOFTEXT|>", "é é Å Å ß İ ΣΑΣ", "a b c\u0085d", "12 345,6", "x<|endoftext|>y <|startoftext|>", "漢字 かな ✓✓", "w" * 700, "a\x00b\x1cc\x0bd"]
 
 
 # Packing

@@ -16,8 +16,8 @@ padding is needed: what lies beyond goes back into the window.
 Every task packs what it reads, so nothing is shuffled, no key can be hot, and a lost task is done
 anew from its own input.  Sequence numbers hold the task's in their upper bits.
 
-Ids: a tokenizer whose pieces never hold white space is given each distinct word once; what is
-remembered is bounded.  Another form of tokenizer is given whole texts.
+Ids: a tokenizer whose pieces never hold white space is given each distinct part of a word once;
+what is remembered is bounded.  Another form of tokenizer is given whole texts.
 
 Defined results: null and empty texts have the end id only; null ids are kept; rows repeated with
 their id are examples of their own, each with all its pieces; a text of any length is cut into as
@@ -42,14 +42,14 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from ._store import materialize, small_batches, trimmed
-from ._text import SPACED, blocks, words
+from ._text import LOWER, SPACED, blocks, words
 
 END_ID = 2
 TOKENS, SEGMENTS, LOSS = 4096, 64, 4096
 #: Ids and examples of a window.
 WINDOW_IDS, WINDOW_EXAMPLES = 1 << 20, 4096
-#: Words remembered by a worker.
-REMEMBERED = 200_000
+#: Parts of words remembered by a worker.
+REMEMBERED = 300_000
 STEP_BYTES = 1 << 20
 
 
@@ -80,29 +80,89 @@ def by_words(form: dict) -> bool:
     )
 
 
+#: Class of each byte: 1 letter, 2 digit, 3 other printable ASCII but space, 0 all else.
+_CLASS = np.zeros(256, np.uint8)
+_CLASS[33:127] = 3
+_CLASS[48:58] = 2
+_CLASS[65:91] = _CLASS[97:123] = 1
+
+
+def segments(body: np.ndarray, offsets: np.ndarray, solid: tuple[bytes, ...] = ()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the parts of texts that are encoded on their own, and the offsets of texts into them.
+
+    Texts are cut at white space, around digits, and between ASCII letters and marks, as the pattern
+    does; not behind an apostrophe, where a contraction may stand, and not within ``solid`` strings.
+    """
+    starts, ends, _ = words(body, offsets, SPACED)
+    kind = _CLASS[body]
+    cut = np.zeros(len(body) + 1, bool)
+    if len(body) > 1:
+        before, here = kind[:-1], kind[1:]
+        cut[1:-1] = (before > 0) & (here > 0) & ((before != here) | (here == 2)) & ~((body[:-1] == 39) & (here == 1))
+    text = body.tobytes() if solid else b""
+    for token in solid:
+        at = text.find(token)
+        while at >= 0:
+            cut[at + 1 : at + len(token)] = False
+            at = text.find(token, at + 1)
+    cut[offsets] = False
+    inner = np.flatnonzero(cut)
+    # A cut ends one part and starts another.
+    return np.sort(np.concatenate([starts, inner])), np.sort(np.concatenate([ends, inner])), np.searchsorted(np.sort(np.concatenate([starts, inner])), offsets)
+
+
 class Encoder:
-    """Ids of whole texts by the library, each distinct word encoded once while it is remembered."""
+    """Ids of whole texts by the library, each distinct part of them encoded once while it is remembered."""
 
     def __init__(self, text: str) -> None:
         self.tok = Tokenizer.from_str(text)
-        self.cuttable = by_words(json.loads(text))
+        form = json.loads(text)
+        self.cuttable = by_words(form)
+        self.solid = tuple(t["content"].encode() for t in form.get("added_tokens") or [])
         self.width = 2 if self.tok.get_vocab_size() <= 1 << 16 else 4
-        self.known: dict[bytes, np.ndarray] = {}
-
-    def _library(self, some: list[str]) -> list[np.ndarray]:
-        out: list[np.ndarray] = []
-        for lo in range(0, len(some), 512):
-            out += [np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast(some[lo : lo + 512], add_special_tokens=False)]
-        return out
+        suffix = form["model"].get("end_of_word_suffix") if self.cuttable else None
+        self.last = np.zeros(max(self.tok.get_vocab().values()) + 1, bool)
+        if suffix:
+            self.last[[i for w, i in self.tok.get_vocab().items() if w.endswith(suffix)]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.flat, self.at, self.n = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def _library(self, some: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all parts one after another, in the order given, and their numbers."""
+        ids: list[np.ndarray | None] = [None] * len(some)
+        # Plain words go some dozens at a time: each ends with an id that ends a word.
+        plain = [k for k, w in enumerate(some) if w.isalpha() and w.isascii()] if self.last.any() else []
+        groups = [plain[lo : lo + 64] for lo in range(0, len(plain), 64)]
+        for lo in range(0, len(groups), 64):
+            part = groups[lo : lo + 64]
+            for group, e in zip(part, self.tok.encode_batch_fast([b" ".join([some[k] for k in g]).decode() for g in part], add_special_tokens=False), strict=True):
+                got = np.array(e.ids, np.uint32)
+                stops = np.flatnonzero(self.last[got]) + 1
+                if len(stops) == len(group) and stops[-1] == len(got):
+                    for k, x in zip(group, np.split(got, stops[:-1]), strict=True):
+                        ids[k] = x
+        rest = [k for k, x in enumerate(ids) if x is None]
+        for lo in range(0, len(rest), 512):
+            part = rest[lo : lo + 512]
+            for k, e in zip(part, self.tok.encode_batch_fast([some[k].decode() for k in part], add_special_tokens=False), strict=True):
+                ids[k] = np.array(e.ids, np.uint32)
+        return np.concatenate([*ids, np.empty(0, np.uint32)]), np.array([len(x) for x in ids], np.int64)
 
     def batch(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For blocks of texts: the ids of all, and the n + 1 offsets of the texts into them."""
         for _, _, body, offsets in blocks(texts, STEP_BYTES):
             if not self.cuttable:
-                ids = self._library([body[a:e].tobytes().decode() for a, e in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)])
-                yield np.concatenate([*ids, np.empty(0, np.uint32)]), np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int64)
+                ids, n = self._library([body[a:e].tobytes() for a, e in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)])
+                yield ids, np.concatenate([[0], np.cumsum(n)])
                 continue
-            starts, ends, bounds = words(body, offsets, SPACED)
+            low, raw = LOWER[body], body.tobytes()
+            # Lower-casing must not make an added token of what is none.
+            if all(low.tobytes().count(t) == raw.count(t) for t in self.solid):
+                body = low
+            starts, ends, bounds = segments(body, offsets, self.solid)
             inside = np.zeros(len(body) + 1, np.int8)
             inside[starts] += 1
             inside[ends] -= 1
@@ -110,21 +170,21 @@ class Encoder:
             column = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(places), pa.py_buffer(np.ascontiguousarray(body[np.cumsum(inside[:-1]) > 0]))])
             coded = column.dictionary_encode()
             found = coded.dictionary.to_pylist()
+            if len(self.known) > REMEMBERED:
+                self._forget()
             new = [w for w in found if w not in self.known]
-            if len(self.known) + len(new) > REMEMBERED:
-                self.known = {}
-                new = found
-            fresh = dict(zip(new, self._library([w.decode() for w in new]), strict=True))
-            ids = [self.known[w] if w in self.known else fresh[w] for w in found]
-            # Long words (whole texts without white space) are not worth their room.
-            self.known |= {w: x for w, x in fresh.items() if len(w) <= 64}
-            size = np.array([len(x) for x in ids], np.int64)
-            at = np.cumsum(size) - size
-            flat = np.concatenate([*ids, np.empty(0, np.uint32)])
-            which = coded.indices.to_numpy()
-            count = size[which]
+            if new:
+                ids, n = self._library(new)
+                self.known.update(zip(new, range(len(self.n), len(self.n) + len(new)), strict=True))
+                self.at, self.n = np.concatenate([self.at, len(self.flat) + np.cumsum(n) - n]), np.concatenate([self.n, n])
+                self.flat = np.concatenate([self.flat, ids])
+            which = np.fromiter(map(self.known.__getitem__, found), np.int64, len(found))[coded.indices.to_numpy()]
+            count = self.n[which]
             stop = np.concatenate([[0], np.cumsum(count)])
-            yield flat[np.arange(stop[-1]) + np.repeat(at[which] - stop[:-1], count)], stop[bounds]
+            yield self.flat[np.arange(stop[-1]) + np.repeat(self.at[which] - stop[:-1], count)], stop[bounds]
+            if len(self.flat) > 8 * REMEMBERED:
+                # Few but very long parts: whole texts without white space.
+                self._forget()
 
 
 _ENCODERS: dict[bytes, Encoder] = {}
