@@ -8,11 +8,11 @@ one, and the number of its end places.  Every substring of the shard up to the d
 state, so the states enumerate the substrings with their counts, and one record says many of them.
 States are found by sorting places by what ends there, in numpy, not letter by letter.
 
-Counts are reduced over all shards in three rounds, each of which asks only for what can still be
-frequent, as no phrase is more frequent than its parts: words (depth 1), pairs of frequent words
-(depth 2), and phrases of up to five words within runs of frequent pairs (depth 5).  After each of
-the first two a shard is told which of *its own* words and pairs are frequent everywhere: no set of
-phrases is broadcast or reaches the driver, at any size of the corpus.  What is pruned has less
+Counts are reduced over all shards in rounds of growing depth, each of which asks only for what can
+still be frequent, as no phrase is more frequent than its parts: words, pairs of frequent words,
+triples of frequent pairs, and then phrases of up to five words within runs of frequent triples.
+After each of the first three a shard is told which of *its own* words, pairs and triples are
+frequent everywhere: no set of phrases is broadcast or reaches the driver, at any size of the corpus.  What is pruned has less
 than the asked number of occurrences, so all counts that are needed are exact.
 
 A candidate is scored by its weakest cut.  It is dropped if a longer candidate that holds it occurs
@@ -35,13 +35,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._store import discard, materialize, small_batches, trimmed
-from ._text import LOWER, blocks, mix, words
+from ._text import LOWER, blocks, mix, word_hashes, words
 
 LEAST, LONGEST, TOP = 100, 5, 2000
 #: Bytes of words of a shard, and of all languages that a task holds.
-SHARD_BYTES, HELD_BYTES = 6 << 20, 12 << 20
-#: Distinct words or pairs of shards for each bucket in which they are summed up.
-BUCKET_ROWS = 1 << 18
+SHARD_BYTES, HELD_BYTES = 16 << 20, 24 << 20
+#: Distinct words of shards, or places of pairs and triples, for each bucket in which they are summed up.
+BUCKET_WORDS, BUCKET_PLACES = 1 << 18, 1 << 20
 #: Groups in which the best of a language are found before they meet.
 SALTS = 16
 
@@ -116,7 +116,7 @@ def _unzip(b: bytes, kind: str) -> np.ndarray:
 
 def _column(body: np.ndarray, lengths: np.ndarray) -> pa.Array:
     """Words laid one after another as a column."""
-    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+    offsets = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
     return pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(body))])
 
 
@@ -168,8 +168,8 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 edge = np.flatnonzero(np.diff(np.concatenate([[False], mine, [False]]).astype(np.int8)))
                 for a, e in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
                     p = flat[at[starts[a]] : at[ends[e - 1]]]
-                    held.setdefault(lang, []).append((p, lengths[a:e], linked[a:e]))
-                    size[lang] = size.get(lang, 0) + len(p) + 12 * (e - a)
+                    held.setdefault(lang, []).append((p, lengths[a:e].astype(np.uint32), linked[a:e]))
+                    size[lang] = size.get(lang, 0) + len(p) + 5 * (e - a)
                 if size.get(lang, 0) > SHARD_BYTES:
                     yield flush(lang)
             while sum(size.values()) > HELD_BYTES:
@@ -178,22 +178,31 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush(next(iter(held)))
 
 
-_MESSAGE = "bucket long, shard long, lang string, keys binary, lengths binary, places binary, counts binary"
+_MESSAGE = "bucket long, shard long, lang string, n long, body binary"
 _FOUND = "shard long, lang string, places binary, names binary, word string, key binary, f long"
 
 
-def _spread(row: dict, bucket: np.ndarray, keys: Callable[[np.ndarray], bytes], lengths: np.ndarray | None, counts: np.ndarray) -> pa.RecordBatch:
-    """A shard's words or pairs, dealt over buckets."""
+def _spread(row: dict, bucket: np.ndarray, counts: np.ndarray, columns: list[np.ndarray], keys: Callable[[np.ndarray], bytes] | None = None) -> pa.RecordBatch:
+    """A shard's words, pairs or triples, dealt over buckets: places (as steps), counts, and columns of numbers or the words themselves."""
     order = np.argsort(bucket, kind="stable")
     edge = np.flatnonzero(np.diff(bucket[order], prepend=-1))
     parts = [order[a:e] for a, e in zip(edge, np.append(edge[1:], len(order)), strict=True)]
-    cols = [
-        pa.array(bucket[order][edge], pa.int64()), pa.array([row["shard"]] * len(parts), pa.int64()), pa.array([row["lang"]] * len(parts), pa.string()), pa.array([keys(p) for p in parts], pa.binary()),
-        pa.array([None if lengths is None else lengths[p].astype("<i8").tobytes() for p in parts], pa.binary()), pa.array([p.astype("<i4").tobytes() for p in parts], pa.binary()), pa.array([counts[p].astype("<i8").tobytes() for p in parts], pa.binary()),
-    ]
+    bodies = [zstandard.compress(b"".join([np.diff(p, prepend=0).astype("<u4").tobytes(), counts[p].astype("<u4").tobytes(), *(c[p].astype("<u4").tobytes() for c in columns), keys(p) if keys else b""]), 1) for p in parts]
+    cols = [pa.array(bucket[order][edge], pa.int64()), pa.array([row["shard"]] * len(parts), pa.int64()), pa.array([row["lang"]] * len(parts), pa.string()), pa.array([len(p) for p in parts], pa.int64()), pa.array(bodies, pa.binary())]
     return pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in _MESSAGE.split(", ")])
 
 
+def _received(table: pa.Table, columns: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray], bytes]:
+    """Items of each message, and of all items the places, counts and columns; and what follows them."""
+    n = table["n"].to_numpy()
+    whole = [zstandard.decompress(x) for x in table["body"].to_pylist()]
+    flat = [np.concatenate([np.frombuffer(x, "<u4", k, 4 * k * j) for x, k in zip(whole, n.tolist(), strict=True)]) for j in range(2 + columns)]
+    ends = np.cumsum(flat[0], dtype=np.int64)
+    at = np.cumsum(n) - n
+    places = ends - np.repeat(ends[at] - flat[0][at], n)
+    return n, places, flat[1].astype(np.int64), flat[2:], b"".join([x[4 * k * (2 + columns) :] for x, k in zip(whole, n.tolist(), strict=True)])
+
+
 def _lang_salt(lang: str) -> np.uint64:
     h = 0xCBF29CE484222325
     for x in lang.encode():
@@ -203,8 +212,6 @@ def _lang_salt(lang: str) -> np.uint64:
 
 def _say_words(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from ._text import word_hashes
-
         for b in batches:
             for row in b.to_pylist():
                 text, lengths = np.frombuffer(zstandard.decompress(row["words"]), np.uint8), _unzip(row["lengths"], "<i8")
@@ -215,7 +222,7 @@ def _say_words(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
                     size = lengths[p]
                     return text[np.arange(size.sum()) + np.repeat(starts[p] - (np.cumsum(size) - size), size)].tobytes()
 
-                yield _spread(row, bucket, keys, lengths, _unzip(row["counts"], "<i8"))
+                yield _spread(row, bucket, _unzip(row["counts"], "<i8"), [lengths], keys)
 
     return run
 
@@ -225,17 +232,16 @@ def _empty(n: int, *names: str) -> dict[str, pa.Array]:
     return {k: pa.nulls(n, {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[kinds[k]]) for k in names}
 
 
-def _answers(table: pa.Table, which: np.ndarray, frequent: np.ndarray, names: np.ndarray) -> dict[str, pa.Array]:
-    """For each message that holds frequent keys: their places in its shard, and the names they got."""
-    size = [len(x) // 4 for x in table["places"].to_pylist()]
-    places = np.concatenate([np.frombuffer(x, "<i4") for x in table["places"].to_pylist()])
+def _answers(table: pa.Table, n: np.ndarray, places: np.ndarray, which: np.ndarray, frequent: np.ndarray, names: np.ndarray | None) -> dict[str, pa.Array]:
+    """For each message that holds frequent items: their places in its shard, and the names they got."""
     on = frequent[which]
-    owner = np.repeat(np.arange(len(size)), size)[on]
-    edge = np.searchsorted(owner, np.arange(len(size) + 1))
+    owner = np.repeat(np.arange(len(n)), n)[on]
+    places, which = places[on], which[on]
+    edge = np.searchsorted(owner, np.arange(len(n) + 1))
     some = np.flatnonzero(np.diff(edge))
-    shard = table["shard"].to_numpy()[some]
     pairs = list(zip(edge[some].tolist(), edge[some + 1].tolist(), strict=True))
-    return {"shard": pa.array(shard, pa.int64()), "places": pa.array([places[on][a:e].tobytes() for a, e in pairs], pa.binary()), "names": pa.array([names[which[on][a:e]].astype("<u4").tobytes() for a, e in pairs], pa.binary())}
+    told = pa.nulls(len(some), pa.binary()) if names is None else pa.array([names[which[a:e]].astype("<u4").tobytes() for a, e in pairs], pa.binary())
+    return {"shard": pa.array(table["shard"].to_numpy()[some], pa.int64()), "places": pa.array([places[a:e].astype("<i4").tobytes() for a, e in pairs], pa.binary()), "names": told}
 
 
 def _found(answers: dict, rows: dict, n: int) -> pa.Table:
@@ -251,13 +257,10 @@ def _sum_words(buckets: int, least: int) -> Callable[[pa.Table], pa.Table]:
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        lengths = np.concatenate([np.frombuffer(x, "<i8") for x in table["lengths"].to_pylist()])
-        counts = np.concatenate([np.frombuffer(x, "<i8") for x in table["counts"].to_pylist()])
-        flat = np.frombuffer(b"".join(table["keys"].to_pylist()), np.uint8)
-        coded = _column(flat, lengths).dictionary_encode()
-        rows = [len(x) // 8 for x in table["lengths"].to_pylist()]
+        n, places, counts, (lengths,), flat = _received(table, 1)
+        coded = _column(np.frombuffer(flat, np.uint8), lengths).dictionary_encode()
         langs = table["lang"].combine_chunks().dictionary_encode()
-        lang = np.repeat(langs.indices.to_numpy(), rows).astype(np.int64)
+        lang = np.repeat(langs.indices.to_numpy(), n).astype(np.int64)
         pair, which = np.unique(coded.indices.to_numpy().astype(np.int64) * len(langs.dictionary) + lang, return_inverse=True)
         which = which.reshape(-1)
         total = np.zeros(len(pair), np.int64)
@@ -269,84 +272,95 @@ def _sum_words(buckets: int, least: int) -> Callable[[pa.Table], pa.Table]:
         # By language and word, so that numbers do not hang on the order in which messages came.
         order = sorted(range(len(some)), key=lambda k: (tongue[k], word[k]))
         names = np.zeros(len(pair), np.int64)
-        bucket = table["bucket"][0].as_py()
-        names[some[order]] = 1 + bucket + buckets * np.arange(len(some))
+        names[some[order]] = 1 + table["bucket"][0].as_py() + buckets * np.arange(len(some))
         if len(some) and names.max() >= 1 << 32:
             raise ValueError("more frequent words than numbers")
         keys = [int(x).to_bytes(4, "big") for x in names[some]]
-        return _found(_answers(table, which, frequent, names), {"lang": pa.array(tongue, pa.string()), "word": pa.array([w.decode() for w in word], pa.string()), "key": pa.array(keys, pa.binary()), "f": pa.array(total[some], pa.int64())}, len(some))
+        rows = {"lang": pa.array(tongue, pa.string()), "word": pa.array([w.decode() for w in word], pa.string()), "key": pa.array(keys, pa.binary()), "f": pa.array(total[some], pa.int64())}
+        return _found(_answers(table, n, places, which, frequent, names), rows, len(some))
 
     return run
 
 
-def _own(row: dict) -> tuple[np.ndarray, np.ndarray]:
-    """The shard's words by their global numbers (0: not frequent), and whether each follows the one before with both frequent."""
+def _numbered(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """First place of each distinct row of columns, rows ascending, and the number of every row's."""
+    name = columns[0].astype(np.int64)
+    for c in columns[1:]:
+        _, first, which = np.unique(name << 32 | c.astype(np.int64), return_index=True, return_inverse=True)
+        name = which.reshape(-1).astype(np.int64)
+    return first, name
+
+
+def _runs(row: dict, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The shard's words by their global numbers (0: not frequent); where substrings of ``depth`` words end whose parts are all frequent; and of the distinct ones the first such place, each place's number and their counts."""
     local = _unzip(row["codes"], "<i4")
     name = np.zeros(row["distinct"], np.int64)
-    for a in row["word_answers"] or ():
+    for a in row["answers1"] or ():
         name[np.frombuffer(a["places"], "<i4")] = np.frombuffer(a["names"], "<u4")
     codes = name[local]
-    linked = np.unpackbits(np.frombuffer(row["linked"], np.uint8), count=len(local)).astype(bool)
-    linked[1:] &= (codes[1:] > 0) & (codes[:-1] > 0)
-    return codes, linked
-
-
-def _pairs(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The frequent words in their places, the pairs as a number each, the places' pairs, and the pairs' counts."""
-    codes, linked = _own(row)
-    at = np.flatnonzero(linked)
-    found, which, counts = np.unique(codes[at - 1] << 32 | codes[at], return_inverse=True, return_counts=True)
-    return codes, at, found, which.reshape(-1), counts
-
-
-def _say_pairs(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    ends = np.unpackbits(np.frombuffer(row["linked"], np.uint8), count=len(local)).astype(bool)
+    ends[1:] &= (codes[1:] > 0) & (codes[:-1] > 0)
+    for d in range(2, depth + 1):
+        at = np.flatnonzero(ends)
+        first, which = _numbered([codes[at - j] for j in range(d - 1, -1, -1)]) if len(at) else (at, at)
+        if d == depth:
+            return codes, at, first, which, np.bincount(which, minlength=len(first))
+        frequent = np.zeros(len(first), bool)
+        for a in row[f"answers{d}"] or ():
+            frequent[np.frombuffer(a["places"], "<i4")] = True
+        ends = np.zeros(len(codes), bool)
+        ends[at[frequent[which]]] = True
+        # One word more: it ends where both its parts do.
+        ends[1:] &= ends[:-1].copy()
+    raise ValueError("depth is at least 2")
+
+
+def _say_phrases(buckets: int, depth: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in b.to_pylist():
-                _, _, found, _, counts = _pairs(row)
-                if len(found):
-                    bucket = (mix(found.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ _lang_salt(row["lang"])) % np.uint64(buckets)).astype(np.int64)
-                    yield _spread(row, bucket, lambda p, found=found: found[p].astype("<i8").tobytes(), None, counts)
+                codes, at, first, _, counts = _runs(row, depth)
+                if len(first):
+                    columns = [codes[at[first] - j] for j in range(depth - 1, -1, -1)]
+                    h = np.full(len(first), _lang_salt(row["lang"]), np.uint64)
+                    for c in columns:
+                        h = mix(h * np.uint64(0x9E3779B97F4A7C15) + c.astype(np.uint64))
+                    yield _spread(row, (h % np.uint64(buckets)).astype(np.int64), counts, columns)
 
     return run
 
 
-def _sum_pairs(least: int) -> Callable[[pa.Table], pa.Table]:
+def _sum_phrases(least: int, depth: int) -> Callable[[pa.Table], pa.Table]:
     def run(table: pa.Table) -> pa.Table:
-        keys = np.concatenate([np.frombuffer(x, "<i8") for x in table["keys"].to_pylist()])
-        counts = np.concatenate([np.frombuffer(x, "<i8") for x in table["counts"].to_pylist()])
-        # Numbers of words are of one language each, so pairs are too.
-        pair, first, which = np.unique(keys, return_index=True, return_inverse=True)
-        which = which.reshape(-1)
-        total = np.zeros(len(pair), np.int64)
+        n, places, counts, columns, _ = _received(table, depth)
+        # Numbers of words are of one language each, so phrases are too.
+        first, which = _numbered(columns)
+        total = np.zeros(len(first), np.int64)
         np.add.at(total, which, counts)
         frequent = total >= least
         some = np.flatnonzero(frequent)
-        rows = np.repeat(np.arange(len(table)), [len(x) // 8 for x in table["keys"].to_pylist()])
-        lang = table["lang"].combine_chunks().take(pa.array(rows[first[some]]))
-        low = {"lang": lang, "key": pa.array([int(x).to_bytes(8, "big") for x in pair[some]], pa.binary()), "f": pa.array(total[some], pa.int64())}
-        return _found(_answers(table, which, frequent, np.zeros(len(pair), np.int64)), low, len(some))
+        rows = np.repeat(np.arange(len(n)), n)
+        keys = np.stack([c[first[some]] for c in columns], axis=1).astype(">u4")
+        low = {"lang": table["lang"].combine_chunks().take(pa.array(rows[first[some]])), "key": pa.array([k.tobytes() for k in keys], pa.binary()), "f": pa.array(total[some], pa.int64())}
+        return _found(_answers(table, n, places, which, frequent, None), low, len(some))
 
     return run
 
 
-def _say_phrases(longest: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """lang, key (numbers of the words), shortest, n of the states of the automaton within runs of frequent pairs."""
+def _say_states(longest: int, depth: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """lang, key (numbers of the words), shortest, n of the states of the automaton within runs of frequent phrases of ``depth`` - 1 words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in b.to_pylist():
-                codes, at, found, which, _ = _pairs(row)
-                frequent = np.zeros(len(found), bool)
-                for a in row["pair_answers"] or ():
-                    frequent[np.frombuffer(a["places"], "<i4")] = True
-                linked = np.zeros(len(codes), bool)
-                linked[at[frequent[which]]] = True
-                # Only words in a run of pairs.
-                near = linked.copy()
-                near[:-1] |= linked[1:]
+                codes, at, *_ = _runs(row, depth)
+                linked, near = np.zeros(len(codes), bool), np.zeros(len(codes), bool)
+                for j in range(depth):
+                    near[at - j] = True
+                    if j < depth - 1:
+                        linked[at - j] = True
                 codes, linked = codes[near], linked[near]
-                s = automaton(codes, linked, longest, 3)
+                s = automaton(codes, linked, longest, depth)
                 big = codes.astype(">u4")
                 for lo in range(0, len(s["at"]), 10_000):
                     part = {k: v[lo : lo + 10_000] for k, v in s.items()}
@@ -368,31 +382,32 @@ def phrase_counts(df: DataFrame, text_col: str = "text", lang_col: str = "lang",
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shards = materialize(df.select(df[lang_col].cast("string").alias("lang"), df[text_col].alias("text")).mapInArrow(trimmed(_shards), _SHARD), "shards")
     size = shards.agg(F.sum("distinct").alias("words"), F.sum("n").alias("n")).first()
-    tables: list[DataFrame] = []
+    tables: list[DataFrame] = [shards]
 
     def summed(messages: DataFrame, reduce: Callable, label: str) -> DataFrame:
-        out = materialize(messages.repartition(parts, "bucket").groupBy("bucket").applyInArrow(reduce, _FOUND), label)
-        tables.append(out)
-        return out
-
-    # Distinct words of all shards, and as many pairs as words at most: buckets grow with the corpus, not in size.
-    buckets = max(2 * parts, -(-(size.words or 0) // BUCKET_ROWS))
-    slim = shards.select("shard", "lang", "words", "lengths", "counts")
-    found = summed(slim.mapInArrow(trimmed(_say_words(buckets)), _MESSAGE), _sum_words(buckets, least), "frequent-words")
-    own = materialize(_told(shards.select("shard", "lang", "distinct", "codes", "linked"), found, "word_answers"), "named-shards")
-    buckets = max(2 * parts, -(-(size.n or 0) // BUCKET_ROWS))
-    pairs = summed(own.mapInArrow(trimmed(_say_pairs(buckets)), _MESSAGE), _sum_pairs(least), "frequent-pairs")
-    states = _told(own, pairs, "pair_answers").mapInArrow(trimmed(_say_phrases(longest)), "lang string, key binary, shortest long, n long")
+        tables.append(materialize(messages.repartition(parts, "bucket").groupBy("bucket").applyInArrow(reduce, _FOUND), label))
+        return tables[-1]
+
+    # Buckets grow in number with the corpus, not in size.
+    buckets = max(2 * parts, -(-(size.words or 0) // BUCKET_WORDS))
+    found = summed(shards.select("shard", "lang", "words", "lengths", "counts").mapInArrow(trimmed(_say_words(buckets)), _MESSAGE), _sum_words(buckets, least), "frequent-words")
+    words_ = found.where("word is not null").select("lang", "key", "word", "f")
+    short = words_.select("lang", "key", "f")
+    own = shards.select("shard", "lang", "distinct", "codes", "linked")
+    buckets = max(2 * parts, -(-(size.n or 0) // BUCKET_PLACES))
+    for depth in (2, 3):
+        tables.append(own := materialize(_told(own, found, f"answers{depth - 1}"), f"told-{depth - 1}"))
+        found = summed(own.mapInArrow(trimmed(_say_phrases(buckets, depth)), _MESSAGE), _sum_phrases(least, depth), f"frequent-{depth}")
+        short = short.union(found.where("key is not null").select("lang", "key", "f"))
+    states = _told(own, found, "answers3").mapInArrow(trimmed(_say_states(longest, 4)), "lang string, key binary, shortest long, n long")
     # A state's substrings are the ends of its longest one.
     each = states.withColumn("m", F.explode(F.sequence("shortest", (F.octet_length("key") / 4).cast("long"))))
     each = each.select("lang", F.expr("substring(key, octet_length(key) - 4 * cast(m AS int) + 1)").alias("key"), "n")
     phrases = each.groupBy("lang", "key").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-    words_ = found.where("word is not null").select("lang", "key", "word", "f")
-    short = words_.select("lang", "key", "f").union(pairs.where("key is not null").select("lang", "key", "f"))
-    counts = materialize(short.union(phrases).withColumn("m", (F.octet_length("key") / 4).cast("int")), "phrase-counts")
+    counts = materialize(short.union(phrases).withColumn("m", (F.octet_length("key") / 4).cast("int")).where(F.col("m") <= longest), "phrase-counts")
     words_ = materialize(words_.select("lang", "key", "word"), "phrase-words")
     totals = materialize(shards.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
-    discard(shards, own, *tables)
+    discard(*tables)
     return counts, words_, totals
 
 
