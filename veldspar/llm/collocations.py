@@ -106,12 +106,22 @@ def _ends(linked: np.ndarray, d: int) -> np.ndarray:
     return ok
 
 
-def _zip(a: np.ndarray, kind: str) -> bytes:
-    return zstandard.compress(a.astype(kind).tobytes(), 1)
+def _planes(a: np.ndarray) -> bytes:
+    """Numbers below 2 ** 32, their lowest bytes first, then the next ones: alike bytes stand together and shrink."""
+    return np.ascontiguousarray(a.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
 
 
-def _unzip(b: bytes, kind: str) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(b), kind)
+def _numbers(b: bytes, n: int, at: int = 0) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8, 4 * n, at).reshape(4, n).T).view("<u4").reshape(-1)
+
+
+def _zip(a: np.ndarray) -> bytes:
+    return zstandard.compress(_planes(a), 1)
+
+
+def _unzip(b: bytes) -> np.ndarray:
+    raw = zstandard.decompress(b)
+    return _numbers(raw, len(raw) // 4).astype(np.int64)
 
 
 def _column(body: np.ndarray, lengths: np.ndarray) -> pa.Array:
@@ -140,7 +150,7 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lengths = np.diff(np.frombuffer(found.buffers()[1], np.int64, len(found) + 1, found.offset * 8))
         text = b"".join(found.to_pylist())
         linked = np.packbits(np.concatenate([p[2] for p in parts]))
-        row = {"shard": number, "lang": lang, "n": len(codes), "distinct": len(found), "codes": _zip(codes, "<i4"), "linked": linked.tobytes(), "words": zstandard.compress(text, 1), "lengths": _zip(lengths, "<i8"), "counts": _zip(np.bincount(codes, minlength=len(found)), "<i8")}
+        row = {"shard": number, "lang": lang, "n": len(codes), "distinct": len(found), "codes": _zip(codes), "linked": linked.tobytes(), "words": zstandard.compress(text, 1), "lengths": _zip(lengths), "counts": _zip(np.bincount(codes, minlength=len(found)))}
         number += 1
         return pa.RecordBatch.from_pylist([row], pa.schema([(c.split()[0], {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[c.split()[1]]) for c in _SHARD.split(", ")]))
 
@@ -187,7 +197,7 @@ def _spread(row: dict, bucket: np.ndarray, counts: np.ndarray, columns: list[np.
     order = np.argsort(bucket, kind="stable")
     edge = np.flatnonzero(np.diff(bucket[order], prepend=-1))
     parts = [order[a:e] for a, e in zip(edge, np.append(edge[1:], len(order)), strict=True)]
-    bodies = [zstandard.compress(b"".join([np.diff(p, prepend=0).astype("<u4").tobytes(), counts[p].astype("<u4").tobytes(), *(c[p].astype("<u4").tobytes() for c in columns), keys(p) if keys else b""]), 1) for p in parts]
+    bodies = [zstandard.compress(b"".join([_planes(np.diff(p, prepend=0)), _planes(counts[p]), *(_planes(c[p]) for c in columns), keys(p) if keys else b""]), 1) for p in parts]
     cols = [pa.array(bucket[order][edge], pa.int64()), pa.array([row["shard"]] * len(parts), pa.int64()), pa.array([row["lang"]] * len(parts), pa.string()), pa.array([len(p) for p in parts], pa.int64()), pa.array(bodies, pa.binary())]
     return pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in _MESSAGE.split(", ")])
 
@@ -196,7 +206,7 @@ def _received(table: pa.Table, columns: int) -> tuple[np.ndarray, np.ndarray, np
     """Items of each message, and of all items the places, counts and columns; and what follows them."""
     n = table["n"].to_numpy()
     whole = [zstandard.decompress(x) for x in table["body"].to_pylist()]
-    flat = [np.concatenate([np.frombuffer(x, "<u4", k, 4 * k * j) for x, k in zip(whole, n.tolist(), strict=True)]) for j in range(2 + columns)]
+    flat = [np.concatenate([_numbers(x, k, 4 * k * j) for x, k in zip(whole, n.tolist(), strict=True)]) for j in range(2 + columns)]
     ends = np.cumsum(flat[0], dtype=np.int64)
     at = np.cumsum(n) - n
     places = ends - np.repeat(ends[at] - flat[0][at], n)
@@ -214,7 +224,7 @@ def _say_words(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in b.to_pylist():
-                text, lengths = np.frombuffer(zstandard.decompress(row["words"]), np.uint8), _unzip(row["lengths"], "<i8")
+                text, lengths = np.frombuffer(zstandard.decompress(row["words"]), np.uint8), _unzip(row["lengths"])
                 ends = np.cumsum(lengths)
                 bucket = (mix(word_hashes(text, ends - lengths, ends) ^ _lang_salt(row["lang"])) % np.uint64(buckets)).astype(np.int64)
 
@@ -222,7 +232,7 @@ def _say_words(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
                     size = lengths[p]
                     return text[np.arange(size.sum()) + np.repeat(starts[p] - (np.cumsum(size) - size), size)].tobytes()
 
-                yield _spread(row, bucket, _unzip(row["counts"], "<i8"), [lengths], keys)
+                yield _spread(row, bucket, _unzip(row["counts"]), [lengths], keys)
 
     return run
 
@@ -291,41 +301,80 @@ def _numbered(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return first, name
 
 
-def _runs(row: dict, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The shard's words by their global numbers (0: not frequent); where substrings of ``depth`` words end whose parts are all frequent; and of the distinct ones the first such place, each place's number and their counts."""
-    local = _unzip(row["codes"], "<i4")
-    name = np.zeros(row["distinct"], np.int64)
-    for a in row["answers1"] or ():
-        name[np.frombuffer(a["places"], "<i4")] = np.frombuffer(a["names"], "<u4")
-    codes = name[local]
-    ends = np.unpackbits(np.frombuffer(row["linked"], np.uint8), count=len(local)).astype(bool)
-    ends[1:] &= (codes[1:] > 0) & (codes[:-1] > 0)
-    for d in range(2, depth + 1):
-        at = np.flatnonzero(ends)
-        first, which = _numbered([codes[at - j] for j in range(d - 1, -1, -1)]) if len(at) else (at, at)
-        if d == depth:
-            return codes, at, first, which, np.bincount(which, minlength=len(first))
-        frequent = np.zeros(len(first), bool)
-        for a in row[f"answers{d}"] or ():
-            frequent[np.frombuffer(a["places"], "<i4")] = True
-        ends = np.zeros(len(codes), bool)
-        ends[at[frequent[which]]] = True
-        # One word more: it ends where both its parts do.
-        ends[1:] &= ends[:-1].copy()
-    raise ValueError("depth is at least 2")
+_STREAM = "shard long, lang string, n long, codes binary, linked binary, names binary"
+
+
+def _stream(row: dict, codes: np.ndarray, ends: np.ndarray, depth: int) -> pa.RecordBatch:
+    """A shard's words by their global numbers, where substrings of ``depth`` words end at ``ends``; the others are left out."""
+    linked, near = np.zeros(len(codes), bool), np.zeros(len(codes), bool)
+    for j in range(depth):
+        near[ends - j] = True
+        if j < depth - 1:
+            linked[ends - j] = True
+    names, local = np.unique(codes[near], return_inverse=True)
+    out = {"shard": row["shard"], "lang": row["lang"], "n": len(local), "codes": _zip(local.reshape(-1)), "linked": np.packbits(linked[near]).tobytes(), "names": _zip(names)}
+    return pa.RecordBatch.from_pylist([out], pa.schema([("shard", pa.int64()), ("lang", pa.string()), ("n", pa.int64()), *((k, pa.binary()) for k in ("codes", "linked", "names"))]))
+
+
+def _read(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    return _unzip(row["names"])[_unzip(row["codes"])] if row["n"] else np.empty(0, np.int64), np.unpackbits(np.frombuffer(row["linked"], np.uint8), count=row["n"]).astype(bool)
+
+
+def _grams(codes: np.ndarray, linked: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where substrings of ``depth`` words end, the first such place of each distinct one, and each place's number."""
+    at = np.flatnonzero(_ends(linked, depth))
+    first, which = _numbered([codes[at - j] for j in range(depth - 1, -1, -1)]) if len(at) else (at, at)
+    return at, first, which
+
+
+def _frequent_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Streams of the places of pairs of frequent words."""
+    for b in batches:
+        for row in b.to_pylist():
+            name = np.zeros(row["distinct"], np.int64)
+            for a in row["answers"] or ():
+                name[np.frombuffer(a["places"], "<i4")] = np.frombuffer(a["names"], "<u4")
+            codes = name[_unzip(row["codes"])]
+            linked = np.unpackbits(np.frombuffer(row["linked"], np.uint8), count=len(codes)).astype(bool)
+            linked[1:] &= (codes[1:] > 0) & (codes[:-1] > 0)
+            yield _stream(row, codes, np.flatnonzero(linked), 2)
+
+
+def _kept(row: dict, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words of a stream, and where substrings end whose two parts of ``depth`` words are frequent."""
+    codes, linked = _read(row)
+    at, first, which = _grams(codes, linked, depth)
+    frequent = np.zeros(len(first), bool)
+    for a in row["answers"] or ():
+        frequent[np.frombuffer(a["places"], "<i4")] = True
+    here = np.zeros(len(codes), bool)
+    here[at[frequent[which]]] = True
+    here[1:] &= here[:-1].copy()
+    here[:1] = False
+    # Two that follow one another in one piece.
+    return codes, np.flatnonzero(here & _ends(linked, depth + 1))
+
+
+def _frequent_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Streams of the places of triples of two frequent pairs."""
+    for b in batches:
+        for row in b.to_pylist():
+            codes, ends = _kept(row, 2)
+            yield _stream(row, codes, ends, 3)
 
 
 def _say_phrases(buckets: int, depth: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in b.to_pylist():
-                codes, at, first, _, counts = _runs(row, depth)
+                codes, linked = _read(row)
+                at, first, which = _grams(codes, linked, depth)
                 if len(first):
                     columns = [codes[at[first] - j] for j in range(depth - 1, -1, -1)]
                     h = np.full(len(first), _lang_salt(row["lang"]), np.uint64)
                     for c in columns:
                         h = mix(h * np.uint64(0x9E3779B97F4A7C15) + c.astype(np.uint64))
-                    yield _spread(row, (h % np.uint64(buckets)).astype(np.int64), counts, columns)
+                    yield _spread(row, (h % np.uint64(buckets)).astype(np.int64), np.bincount(which, minlength=len(first)), columns)
 
     return run
 
@@ -347,20 +396,20 @@ def _sum_phrases(least: int, depth: int) -> Callable[[pa.Table], pa.Table]:
     return run
 
 
-def _say_states(longest: int, depth: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """lang, key (numbers of the words), shortest, n of the states of the automaton within runs of frequent phrases of ``depth`` - 1 words."""
+def _say_states(longest: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """lang, key (numbers of the words), shortest, n of the states of the automaton within runs of frequent triples."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in b.to_pylist():
-                codes, at, *_ = _runs(row, depth)
+                codes, ends = _kept(row, 3)
                 linked, near = np.zeros(len(codes), bool), np.zeros(len(codes), bool)
-                for j in range(depth):
-                    near[at - j] = True
-                    if j < depth - 1:
-                        linked[at - j] = True
+                for j in range(4):
+                    near[ends - j] = True
+                    if j < 3:
+                        linked[ends - j] = True
                 codes, linked = codes[near], linked[near]
-                s = automaton(codes, linked, longest, depth)
+                s = automaton(codes, linked, longest, 4)
                 big = codes.astype(">u4")
                 for lo in range(0, len(s["at"]), 10_000):
                     part = {k: v[lo : lo + 10_000] for k, v in s.items()}
@@ -370,8 +419,9 @@ def _say_states(longest: int, depth: int) -> Callable[[Iterator[pa.RecordBatch]]
     return run
 
 
-def _told(shards: DataFrame, found: DataFrame, name: str) -> DataFrame:
-    answers = found.where("shard is not null").groupBy("shard").agg(F.collect_list(F.struct("places", "names")).alias(name))
+def _told(shards: DataFrame, found: DataFrame) -> DataFrame:
+    """Each shard with what it was answered."""
+    answers = found.where("shard is not null").groupBy("shard").agg(F.collect_list(F.struct("places", "names")).alias("answers"))
     return shards.join(answers, "shard", "left")
 
 
@@ -382,7 +432,8 @@ def phrase_counts(df: DataFrame, text_col: str = "text", lang_col: str = "lang",
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shards = materialize(df.select(df[lang_col].cast("string").alias("lang"), df[text_col].alias("text")).mapInArrow(trimmed(_shards), _SHARD), "shards")
     size = shards.agg(F.sum("distinct").alias("words"), F.sum("n").alias("n")).first()
-    tables: list[DataFrame] = [shards]
+    totals = materialize(shards.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
+    tables: list[DataFrame] = []
 
     def summed(messages: DataFrame, reduce: Callable, label: str) -> DataFrame:
         tables.append(materialize(messages.repartition(parts, "bucket").groupBy("bucket").applyInArrow(reduce, _FOUND), label))
@@ -393,21 +444,24 @@ def phrase_counts(df: DataFrame, text_col: str = "text", lang_col: str = "lang",
     found = summed(shards.select("shard", "lang", "words", "lengths", "counts").mapInArrow(trimmed(_say_words(buckets)), _MESSAGE), _sum_words(buckets, least), "frequent-words")
     words_ = found.where("word is not null").select("lang", "key", "word", "f")
     short = words_.select("lang", "key", "f")
-    own = shards.select("shard", "lang", "distinct", "codes", "linked")
     buckets = max(2 * parts, -(-(size.n or 0) // BUCKET_PLACES))
+    streams = _told(shards.select("shard", "lang", "distinct", "codes", "linked"), found).mapInArrow(trimmed(_frequent_words), _STREAM)
+    before = shards
     for depth in (2, 3):
-        tables.append(own := materialize(_told(own, found, f"answers{depth - 1}"), f"told-{depth - 1}"))
-        found = summed(own.mapInArrow(trimmed(_say_phrases(buckets, depth)), _MESSAGE), _sum_phrases(least, depth), f"frequent-{depth}")
+        streams = materialize(streams, f"streams-{depth}")
+        discard(before)
+        before = streams
+        found = summed(streams.mapInArrow(trimmed(_say_phrases(buckets, depth)), _MESSAGE), _sum_phrases(least, depth), f"frequent-{depth}")
         short = short.union(found.where("key is not null").select("lang", "key", "f"))
-    states = _told(own, found, "answers3").mapInArrow(trimmed(_say_states(longest, 4)), "lang string, key binary, shortest long, n long")
+        streams = _told(streams, found).mapInArrow(trimmed(_frequent_pairs if depth == 2 else _say_states(longest)), _STREAM if depth == 2 else "lang string, key binary, shortest long, n long")
+    states = streams
     # A state's substrings are the ends of its longest one.
     each = states.withColumn("m", F.explode(F.sequence("shortest", (F.octet_length("key") / 4).cast("long"))))
     each = each.select("lang", F.expr("substring(key, octet_length(key) - 4 * cast(m AS int) + 1)").alias("key"), "n")
     phrases = each.groupBy("lang", "key").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
     counts = materialize(short.union(phrases).withColumn("m", (F.octet_length("key") / 4).cast("int")).where(F.col("m") <= longest), "phrase-counts")
     words_ = materialize(words_.select("lang", "key", "word"), "phrase-words")
-    totals = materialize(shards.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
-    discard(*tables)
+    discard(before, *tables)
     return counts, words_, totals
 
 
