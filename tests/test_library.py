@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from veldspar.functions import arrays, cols, physics, text
+from veldspar.functions import arrays, cols, text
 from veldspar.operators import ranks, relational, screen, stats, vectors
 from veldspar.sources import tables
 
@@ -72,6 +72,9 @@ def test_cols(spark):
     assert one(df, cols.sentinel_to_null(F.col("s"))) is None and one(df, cols.sentinel_to_null(F.col("z"))) == 0.0
     assert one(df, cols.sentinel_to_null(F.col("t"), text=True)) is None and one(df, cols.to_number(F.col("t"))) is None
     assert one(df, text.length_um(F.col("l"))) == pytest.approx((0.3 + 1.0) / 2)
+    lengths = {"100-500 nm": 0.3, "5 ~ 7 microns": 6.0, "3 to 4": None, "95 % of 12.5 um": 12.5, "2*10^-6 m": 2.0, "0.2 mm, 100 um": 150.0, "1 nm": None, "7 µm or 9 μm": 8.0, "": None}
+    for words, want in lengths.items():
+        assert one(df, text.length_um(F.lit(words))) == (want if want is None else pytest.approx(want)), words
     assert one(df, text.numbers_median(F.col("n"), 10, 100)) == pytest.approx((95 + 12.5) / 2)
     assert one(df, text.canonical(F.lit(" Film "), {"film": "thin film"})) == "thin film" and one(df, text.canonical(F.lit("-"), {})) is None
     assert one(df, cols.log_ratio(F.lit(1.0), F.lit(0.0))) == 6.0 and one(df, cols.geometric_mean(F.lit(4.0), F.lit(9.0), F.lit(-1.0))) == pytest.approx(6.0)
@@ -125,15 +128,6 @@ def test_pca(spark):
     assert np.allclose(values, np.sort(np.linalg.eigvalsh(np.cov(x.T)))[::-1]) and 1 < effective < 4
 
 
-def test_physics(spark):
-    g = spark.createDataFrame([(-8.0,), (0.0,), (10.0,)], "eta double")
-    s = [r.s for r in g.select(physics.seebeck(F.col("eta")).alias("s")).collect()]
-    lz = [r.s for r in g.select(physics.lorenz(F.col("eta")).alias("s")).collect()]
-    assert s[0] > s[1] > s[2] > 0 and lz[0] < lz[1] < lz[2] < 2.6e-8
-    assert lz[0] == pytest.approx(2 * physics.K_OVER_E**2, rel=1e-3)
-    assert one(g, physics.bipolar_gap(F.lit(600.0), F.lit(10.0))) == pytest.approx(0.51704, abs=1e-5)
-
-
 def test_stats(spark):
     rng = np.random.default_rng(8)
     x = rng.normal(size=400)

@@ -1,4 +1,4 @@
-"""Invariants of the transport model, compositions, alignment, maps and evaluation, on small fixtures."""
+"""Invariants of compositions, alignment, maps and evaluation, on small fixtures."""
 
 import math
 
@@ -7,9 +7,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from veldspar.functions import cols, physics, spectra
+from veldspar.functions import cols, spectra
 from veldspar.operators import composition, evaluation, loop, maps, ranks, relational, screen, vectors, views
-from veldspar.plans.transport import levels
 from veldspar.sources import tables
 
 
@@ -65,25 +64,6 @@ def test_lattice_to_fractional(spark):
     assert values(spark.range(1), gap)[0] == pytest.approx(0.8)
 
 
-def test_transport_model(spark):
-    rows = levels(spark).where("eta in (-4.0, 0.0, 6.0)").orderBy("eta").collect()
-    f0, s, l = ([getattr(r, c) for r in rows] for c in ("f0", "s", "l"))
-    assert f0 == sorted(f0) and s == sorted(s, reverse=True) and l == sorted(l) and l[-1] < 2.6e-8
-    one = spark.range(1)
-    mu = [values(one, physics.mobility(physics.params(**c)))[0] for c in ({}, {"temperature": 300.0}, {"deformation_ev": 12.0})]
-    assert mu[1] == pytest.approx(2 * mu[0]) and mu[2] == pytest.approx(mu[0] / 4)
-    k = [values(one, physics.lattice(physics.params(**c))["kappa_lattice"])[0] for c in ({}, {"porosity": 0.2}, {"slope": 0.5})]
-    assert k[0] > k[1] and k[0] > k[2]
-    assert values(one, physics.bipolar_gap(F.lit(600.0), F.lit(10.0)))[0] == pytest.approx(0.51704, abs=1e-5)
-    with pytest.raises(Exception, match="porosity"):
-        one.select(physics.electrical_factor(physics.params(porosity=F.lit(0.8)))).collect()
-    with pytest.raises(ValueError, match="unknown"):
-        physics.params(colour=1.0)
-    # The integral of order 0 has a closed form.
-    got = values(one, physics.fermi_integral(F.lit(1.3), F.lit(0.0)))[0]
-    assert got == pytest.approx(math.log1p(math.exp(1.3)), rel=1e-9)
-
-
 def test_curves(spark):
     df = spark.createDataFrame([([50.0, 300.0, 600.0, 1700.0], [0.5, 0.8, 7.0, 1.0], 1), ([1.0], [1.0, 2.0], 2)], "x array<double>, y array<double>, k int")
     rows = df.orderBy("k").select(spectra.clean_curve(F.col("x"), F.col("y"), (100.0, 1500.0), (0.0, 5.0)).alias("c")).collect()

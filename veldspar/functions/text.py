@@ -8,8 +8,13 @@ from pyspark.sql import functions as F
 from .arrays import median
 
 NUMBER = r"\d+(?:\.\d+)?"
-#: Micrometres in a unit.
-UNITS = {"nm": 1e-3, "um": 1.0, "mm": 1e3}
+# Micrometres in a unit, and the range in which lengths count.
+NANO, MICRO, MILLI = 1e-3, 1.0, 1e3
+SHORTEST_UM, LONGEST_UM = 0.003, 500.0
+#: What a unit's token begins with, and its size.
+UNITS = (("n", NANO), ("mm", MILLI))
+#: Tokens of a text with lengths: numbers, units, what joins two numbers of a range, and anything else.
+LENGTH_TOKEN = rf"{NUMBER}|\*\s*10\^?\(?-6\)?\s*m|nanometers?|nm|micrometers?|microns?|[uµμ]m|mm|to|[-~]|\S"
 
 
 def alnum_key(c: Column) -> Column:
@@ -27,25 +32,35 @@ def numbers_median(c: Column, low: float, high: float) -> Column:
     return median(numbers(c, low, high))
 
 
-def length_um(c: Column, comment: Column | None = None, low: float = 0.003, high: float = 500.0) -> Column:
-    """Median of the lengths in a text, in micrometres: ranges by their mean, those within limits only (STR-08).
+def length_um(c: Column, comment: Column | None = None, low: float = SHORTEST_UM, high: float = LONGEST_UM) -> Column:
+    """Median of the lengths in a text, in micrometres (STR-08).
 
-    A comment that is not blank is read in place of the text.
+    The text is read token by token.  The last two numbers wait for a unit, which turns them into one
+    length: a single number as it is, two by their mean.  Words and marks between forget the numbers.
+    Lengths beyond the limits do not count.  A comment that is not blank is read in place of the text.
     """
-    source = c if comment is None else F.when(F.trim(F.coalesce(comment, F.lit(""))) != "", comment).otherwise(c)
-    text = F.regexp_replace(F.regexp_replace(F.lower(source), "micrometers?|microns?|[µμ]m", "um"), "nanometers?", "nm")
-    text = F.regexp_replace(text, r"\*\s*10\^?\(?-6\)?\s*m", " um")
-    pattern = rf"({NUMBER})\s*(?:to|[-~])?\s*({NUMBER})?\s*(nm|um|mm)"
-    parts = F.arrays_zip(*(F.regexp_extract_all(text, F.lit(pattern), k).alias(n) for k, n in ((1, "a"), (2, "b"), (3, "u"))))
-
-    def scale(u: Column) -> Column:
-        out = F.lit(1.0)
-        for name, value in UNITS.items():
-            out = F.when(u == name, F.lit(value)).otherwise(out)
-        return out
-
-    values = F.transform(parts, lambda x: (x["a"].cast("double") + F.coalesce(F.nullif(x["b"], F.lit("")).cast("double"), x["a"].cast("double"))) / 2 * scale(x["u"]))
-    return median(F.filter(values, lambda x: x.between(low, high)))
+    told = c if comment is None else F.coalesce(F.when(F.length(F.trim(comment)) > 0, comment), c)
+    tokens = F.regexp_extract_all(F.lower(told), F.lit(f"({LENGTH_TOKEN})"), 1)
+    nothing = F.lit(None).cast("double")
+    start = F.struct(F.array().cast("array<double>").alias("lengths"), nothing.alias("first"), nothing.alias("last"))
+
+    def state(lengths: Column, first: Column, last: Column) -> Column:
+        return F.struct(lengths.alias("lengths"), first.alias("first"), last.alias("last"))
+
+    def step(s: Column, token: Column) -> Column:
+        size = F.lit(MICRO)
+        for begin, value in UNITS:
+            size = F.when(token.startswith(begin), F.lit(value)).otherwise(size)
+        one = (F.coalesce(s["first"], s["last"]) + s["last"]) / 2 * size
+        done = F.when(s["last"].isNotNull(), F.concat(s["lengths"], F.array(one))).otherwise(s["lengths"])
+        return (
+            F.when(token.rlike(rf"^{NUMBER}$"), state(s["lengths"], s["last"], token.cast("double")))
+            .when(token.rlike("^(to|[-~])$"), s)
+            .when(token.rlike("m$|meters?$|microns?$") & (F.length(token) > 1), state(done, nothing, nothing))
+            .otherwise(state(s["lengths"], nothing, nothing))
+        )
+
+    return median(F.filter(F.aggregate(tokens, start, step, lambda s: s["lengths"]), lambda x: x.between(low, high)))
 
 
 def canonical(c: Column, synonyms: dict[str, str], nulls: tuple[str, ...] = ("-", "unknown")) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..functions.cols import entropy
 from ..operators import composition
 from ..operators.composition import SYMBOLS, SYSTEMS, place
 from .core import query, r
@@ -133,3 +134,14 @@ WITH {_COMP} SELECT symbol, count(*) AS n_parts, round(avg(f), 6) AS mean_fracti
 def element_fractions(t, spark):
     """AGG-31, ARR-05: how often and how much of each element."""
     return composition.atoms(amounts(t), "p_partkey", "amounts").groupBy("symbol").agg(F.count(F.lit(1)).alias("n_parts"), r(F.avg("fraction")).alias("mean_fraction"))
+
+
+@query(f"""
+WITH {_COMP}, whole AS (SELECT p_partkey, z, n, f, symbol FROM comp JOIN el USING (z)), g AS (SELECT p_partkey, list_reduce(list(n::BIGINT), lambda x, y: gcd(x, y)) AS g FROM whole GROUP BY 1)
+SELECT p_partkey, string_agg(symbol, '-' ORDER BY symbol) AS system, string_agg(symbol || CASE WHEN n::BIGINT // g = 1 THEN '' ELSE (n::BIGINT // g)::VARCHAR END, '' ORDER BY symbol) AS reduced, round(abs(-sum(f * ln(f))), 6) AS entropy
+FROM whole JOIN g USING (p_partkey) GROUP BY 1""")
+def formula_features(t, spark):
+    """STR-10..12, MTH-09, MAP-01: amounts, system, reduced key and entropy of the parts' formulas."""
+    a = F.col("amounts")
+    e = entropy(F.map_values(text.fractions(a)))
+    return amounts(t).select("p_partkey", text.chemical_system(a).alias("system"), text.reduced_formula(a).alias("reduced"), F.abs(r(e)).alias("entropy"))

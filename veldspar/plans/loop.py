@@ -29,15 +29,13 @@ def substitution_expansion(t, spark):
     return loop.substitutions(species(t), "p_partkey", "s", FAMILIES).select("p_partkey", "site", F.array_join("species", " ").alias("species"))
 
 
-_ELEMENTS = [f"E{i:02d}" for i in range(12)]
-
-
-@query(f"""
-WITH e AS (SELECT unnest({_ELEMENTS!r}) AS e), c AS (SELECT 1 AS k, e AS a, NULL AS b, NULL AS c FROM e UNION ALL SELECT 2, x.e, y.e, NULL FROM e x JOIN e y ON x.e < y.e UNION ALL SELECT 3, x.e, y.e, z.e FROM e x JOIN e y ON x.e < y.e JOIN e z ON y.e < z.e)
-SELECT place, elements FROM (SELECT row_number() OVER (ORDER BY k, a, b, c) - 1 AS place, concat_ws(' ', a, b, c) AS elements FROM c) WHERE place < 150""")
+@query("""
+WITH e AS (SELECT n_name AS e FROM nation), c AS (SELECT 1 AS k, e AS a, NULL AS b, NULL AS c FROM e UNION ALL SELECT 2, x.e, y.e, NULL FROM e x JOIN e y ON x.e < y.e UNION ALL SELECT 3, x.e, y.e, z.e FROM e x JOIN e y ON x.e < y.e JOIN e z ON y.e < z.e)
+SELECT place, elements FROM (SELECT row_number() OVER (ORDER BY k, a, b, c) - 1 AS place, concat_ws(' ', a, b, c) AS elements FROM c) WHERE place < 1500""")
 def capped_combinations(t, spark):
-    """ARR-11: combinations of up to three of a set, the first 150."""
-    return loop.combinations(spark, _ELEMENTS, 3, 150).select("place", F.array_join("elements", " ").alias("elements"))
+    """ARR-11: combinations of up to three of the nations (a table of fixed size), the first 1,500."""
+    names = [x.n_name for x in t("nation").select("n_name").orderBy("n_name").collect()]
+    return loop.combinations(spark, names, 3, 1500).select("place", F.array_join("elements", " ").alias("elements"))
 
 
 _R = "rank() OVER (ORDER BY {0}) + (count(*) OVER (PARTITION BY {0}) - 1) / 2"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import composition, evaluation, loop, relational, scalars, screening, spectra, statistics, storage, texts, transport, vectors, views  # noqa: F401
+from . import composition, evaluation, loop, relational, scalars, screening, spectra, statistics, storage, texts, vectors, views  # noqa: F401
 from .core import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

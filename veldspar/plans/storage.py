@@ -122,13 +122,6 @@ def frozen_graph(t, spark):
     return spark.read.parquet(f"{path}/edges").agg(F.lit("edges").alias("part"), F.count(F.lit(1)).alias("n")).union(spark.read.parquet(f"{path}/nodes").agg(F.lit("nodes"), F.count(F.lit(1))))
 
 
-@query("SELECT 42 AS seed, 0.5 AS share, 'n,p' AS carriers, 3 AS depth")
-def parsed_config(t, spark):
-    """SRC-13: a small configuration text."""
-    c = tables.parse_config("seed: 42  # any\nshare: 0.5\ncarriers: [n, p]\nmodel:\n  depth: 3\n")
-    return spark.createDataFrame([(c["seed"], c["share"], ",".join(c["carriers"]), c["model"]["depth"])], "seed int, share double, carriers string, depth int")
-
-
 @query("""
 SELECT count(*) AS n, count(CASE WHEN x <> -99999 THEN x END) AS n_numbers, count(CASE WHEN lower(trim(s)) NOT IN ('na', 'n/a', 'nan', 'none', '') THEN s END) AS n_texts, count(*) FILTER (x = 0) AS n_zero
 FROM (SELECT CASE p_size % 4 WHEN 0 THEN -99999.0 WHEN 1 THEN 0 ELSE p_retailprice END AS x, CASE p_size % 3 WHEN 0 THEN 'na' WHEN 1 THEN ' ' ELSE p_type END AS s FROM part)""")

@@ -1,10 +1,10 @@
-"""Queries over texts, JSON and formulas, and closed-form models."""
+"""Queries over texts and JSON."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import physics, text
+from ..functions import text
 from .core import query, r
 
 
@@ -45,29 +45,6 @@ def text_digests(t, spark):
     return t("part").select("p_partkey", "p_brand", F.sha2(F.col("p_name").cast("binary"), 256).alias("digest"), F.md5(F.col("p_type").cast("binary")).alias("type_key"))
 
 
-@query("""
-WITH f(formula, system, reduced, entropy) AS (VALUES ('Al4O6', 'Al-O', 'Al2O3', 0.673012), ('WSe2', 'Se-W', 'Se2W', 0.636514), ('Fe', 'Fe', 'Fe', 0.0), ('CaTiO3', 'Ca-O-Ti', 'CaO3Ti', 0.950271), ('not a formula', NULL, NULL, NULL))
-SELECT formula, system, reduced, entropy::DOUBLE AS entropy FROM f""")
-def formula_features(t, spark):
-    """STR-10..12, MTH-09, MAP-01: amounts, system, reduced key and entropy of formulas."""
-    from ..functions.cols import entropy
-
-    df = spark.createDataFrame([(x,) for x in ("Al4O6", "WSe2", "Fe", "CaTiO3", "not a formula")], "formula string")
-    a = df.withColumn("a", text.element_amounts(F.col("formula")))
-    e = F.round(entropy(F.map_values(text.fractions(F.col("a")))), 6)
-    return a.select("formula", F.when(F.col("a").isNotNull(), text.chemical_system(F.col("a"))).alias("system"), text.reduced_formula(F.col("a")).alias("reduced"), F.when(F.col("a").isNotNull(), F.abs(e)).alias("entropy"))
-
-
-@query("""
-WITH g AS (SELECT i, -6 + i * 0.02 AS eta FROM range(0, 601) t(i)), v AS (SELECT i, eta, ln(1 + exp(eta)) AS f0 FROM g)
-SELECT i AS step, round(eta, 6) AS eta, round(f0, 6) AS f0, round(1 / (1 + exp(-eta)) / f0, 6) AS slope_ratio FROM v""")
-def band_sweep(t, spark):
-    """MTH-17: the closed-form band integral of order 0 over a grid of reduced levels."""
-    eta = F.lit(-6.0) + F.col("id") * 0.02
-    f0 = physics.ln_f0(eta)
-    return spark.range(601).select(F.col("id").alias("step"), r(eta).alias("eta"), r(f0).alias("f0"), r(1 / (1 + F.exp(-eta)) / f0).alias("slope_ratio"))
-
-
 @query("SELECT lang, source, count(*) AS n, sum(n_chars)::BIGINT AS chars, round(avg(n_chars), 6) AS mean_chars FROM documents GROUP BY 1, 2")
 def corpus_profile(t, spark):
     """AGG-10, AGG-23 on texts."""
