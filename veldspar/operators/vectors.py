@@ -1,21 +1,27 @@
 """Scaling, distances, neighbours and graphs over vectors (SCL, DST, GRF, EMB).
 
-All-pairs work is blocked: vectors are packed into blocks, block pairs are joined, and numpy finds
-each query's k nearest within a pair; only k candidates per vector and block pair are shuffled.
+Neighbours of many rows skip the blocks that can hold none (:mod:`neighbors`).  Where all pairs are
+meant, or rows are few, vectors are packed into blocks, block pairs are joined, and numpy finds each
+query's k nearest within a pair; only k candidates per vector and block pair are shuffled.
 """
 
 from __future__ import annotations
 
 import math
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Accumulator
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import neighbors
+
 BLOCK = 1024
+#: Rows up to which all pairs cost less than an index of blocks.
+FEW = 8192
 #: Bytes of vectors that a ranking over all others may broadcast; beyond, they go through a shuffle.
 BROADCAST_BYTES = 64 << 20
 
@@ -58,11 +64,20 @@ def _pair_distances(row: dict, metric: str, digits: int) -> tuple[np.ndarray, np
     return i, j, _distances(np.frombuffer(row["matrix"]).reshape(len(i), -1), np.frombuffer(row["matrix2"]).reshape(len(j), -1), metric, digits)
 
 
-def knn(df: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding", metric: str = "euclid", digits: int = 9) -> DataFrame:
+def _near(df: DataFrame, id_col: str, vector: str, metric: str, digits: int) -> tuple[neighbors.Index | None, Callable[[np.ndarray, np.ndarray], np.ndarray]]:
+    return neighbors.build(df, id_col, vector, metric, cut_lineage), lambda x, y: _distances(x, y, metric, digits)
+
+
+def knn(df: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding", metric: str = "euclid", digits: int = 9, few: int = FEW, counted: Accumulator | None = None) -> DataFrame:
     """id, neighbor, distance, rank: exact k nearest others, ties by id (GRF-01).
 
-    Two blocks meet once, and give both their rows' candidates.
+    Up to ``few`` rows, two blocks meet once and give both their rows' candidates; beyond, blocks that
+    can hold no neighbour are skipped (:mod:`neighbors`).  Both give the same rows.
     """
+    if df.count() > few:
+        index, distances = _near(df, id_col, vector, metric, digits)
+        if index:
+            return neighbors.knn(index, k, distances, cut_lineage, counted)
 
     def nearest(i: np.ndarray, j: np.ndarray, d: np.ndarray) -> pa.RecordBatch:
         order = np.lexsort((np.broadcast_to(j, d.shape), d), axis=1)[:, : min(k, len(j))]
@@ -84,8 +99,12 @@ def knn(df: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding"
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def within(df: DataFrame, radius: float, id_col: str = "vec_id", vector: str = "embedding", digits: int = 9) -> DataFrame:
-    """src < dst of all pairs no farther apart than the radius."""
+def within(df: DataFrame, radius: float, id_col: str = "vec_id", vector: str = "embedding", digits: int = 9, few: int = FEW, counted: Accumulator | None = None) -> DataFrame:
+    """src < dst of all pairs no farther apart than the radius; beyond ``few`` rows without the blocks that are."""
+    if df.count() > few:
+        index, distances = _near(df, id_col, vector, "euclid", digits)
+        if index:
+            return neighbors.within(index, radius, distances, counted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
