@@ -534,6 +534,26 @@ def test_jaccard_small_vocabulary(spark, frequent, monkeypatch):
     assert got == {i: (len(sets[i]), comp[i]) for i in some}
 
 
+def test_registered_job_edits_a_stored_map(spark, tmp_path, monkeypatch):
+    """With a folder of maps set, the query's second run loads the first one's map and moves only what it must."""
+    spark.conf.set(sharding.MAP_SETTING, f"file://{tmp_path}/maps")
+    try:
+        first = {r.doc_id: r for r in sharding.op8_virtual_slots(spark, "/root/testdata/sf0.001").collect()}
+        old = sharding.SlotMap.latest(spark, f"file://{tmp_path}/maps")
+        grown = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+        grown = grown.union(grown.where("doc_id < 40").select(F.col("doc_id") + 1_000_000, F.concat("text", F.lit(" more"))))
+        grown.write.parquet(f"file://{tmp_path}/in/documents.parquet")
+        second = {r.doc_id: r for r in sharding.op8_virtual_slots(spark, f"file://{tmp_path}/in").collect()}
+        new = sharding.SlotMap.latest(spark, f"file://{tmp_path}/maps")
+    finally:
+        spark.conf.unset(sharding.MAP_SETTING)
+    assert (old.version, new.version) == (1, 2) and {r.map_version for r in second.values()} == {2}
+    moved = set(old.moved(new))
+    assert moved and len(moved) < len(old.shard_of) / 4
+    for i, r in first.items():
+        assert (second[i].shard == r.shard) == (r.virtual_slot not in moved)
+
+
 def test_sharding(spark, texts, tmp_path):
     df = frame(spark, texts)
     rows = sharding.shard(df, 4, n_slots=64, map_path=f"file://{tmp_path}/map").collect()

@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from ._store import fresh_path, materialize
 
 N_SLOTS = 4096
+#: The setting that names the folder of a data set's maps.
+MAP_SETTING = "spark.veldspar.slotMap"
 
 
 @dataclass(frozen=True)
@@ -164,6 +166,11 @@ def shard(df: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col: st
     )
 
 
+def map_folder(spark: SparkSession) -> str:
+    """Where a job's maps are: the folder that ``spark.veldspar.slotMap`` names, whose latest map is edited and stored as the next version; else one of its own."""
+    return spark.conf.get(MAP_SETTING, None) or fresh_path(spark, "slot-map")
+
+
 def write_shards(df: DataFrame, slot_map: SlotMap, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write the records themselves, one folder per shard, by the map."""
     n = len(slot_map.shard_of)
@@ -175,8 +182,7 @@ def write_shards(df: DataFrame, slot_map: SlotMap, path: str, id_col: str = "doc
 
 def op8_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    # Each call is a data set of its own, so its map begins with version 1.
-    return shard(docs, map_path=fresh_path(spark, "slot-map"))
+    return shard(docs, map_path=map_folder(spark))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op8_virtual_slots": op8_virtual_slots}
