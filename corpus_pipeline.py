@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veldspar.llm import decontaminate, jaccard, langid, mixing, sharding
-from veldspar.llm._store import fresh_path, materialize
+from veldspar.llm._store import materialize
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 N_SHARDS = 8
@@ -55,7 +55,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The shard and place of every record."""
-    return sharding.shard(docs.select("doc_id", "text"), N_SHARDS, map_path=fresh_path(spark, "slot-map"))
+    return sharding.shard(docs.select("doc_id", "text"), N_SHARDS, map_path=sharding.map_folder(spark))
 
 
 STAGES = [
