@@ -49,7 +49,7 @@ def vectors(duck):
 
 
 def test_every_query_is_tested():
-    assert set(QUERIES) - set(ORACLES) == {"pca_variance", "mds_coords", "kmeans_profile", "permutation_z", "bootstrap_ci", "sampled_pair_spearman", "forest_scores", "logistic_scores", "centroid_maps"}
+    assert set(QUERIES) - set(ORACLES) == {"pca_variance", "mds_coords", "kmeans_profile", "permutation_z", "bootstrap_ci", "sampled_pair_spearman", "forest_scores", "logistic_scores", "stress_map", "map_preservation", "diffusion_coords", "silhouette_scan"}
 
 
 def test_pca_variance(spark, duck):
@@ -60,15 +60,67 @@ def test_pca_variance(spark, duck):
     assert got.effective_rank.iloc[0] == pytest.approx(want.sum() ** 2 / (want**2).sum())
 
 
-def test_mds_coords(spark, duck):
-    got = QUERIES["mds_coords"](spark, SF).toPandas()
+def test_maps_of_all_vectors(spark, duck):
+    """Places by landmarks hold what a dense classical map of the same landmarks says, and stress only falls."""
+    from veldspar.operators import landmarks
+
+    d, x = vectors(duck)
+    e = spark.read.parquet(f"{SF}/embeddings.parquet")
+    ids, marks = landmarks.choose(e, "vec_id", "embedding")
+    at = d.set_index("vec_id").index.get_indexer(ids)
+    assert np.allclose(x[at], marks)
+    c = np.eye(len(ids)) - 1 / len(ids)
+    d2 = ((marks[:, None] - marks[None]) ** 2).sum(-1)
+    values, v = np.linalg.eigh(-0.5 * c @ d2 @ c)
+    pull = (v[:, ::-1][:, :2] / np.sqrt(values[::-1][:2])).T
+    want = -0.5 * (((x[:, None] - marks[None]) ** 2).sum(-1) - d2.mean(0)) @ pull.T
+    got = QUERIES["mds_coords"](spark, SF).toPandas().sort_values("vec_id")[["x", "y"]].to_numpy()
+    assert np.allclose(np.abs(got), np.abs(want), atol=2e-6)
+    s = QUERIES["stress_map"](spark, SF).toPandas()
+    assert sorted(s.vec_id) == sorted(d.vec_id)
+    # A turn keeps distances: the classical places, turned, are as far apart as before.
+    other = s.sort_values("vec_id")[["other_x", "other_y"]].to_numpy()
+    i = np.arange(len(got) - 1)
+    assert np.allclose(np.linalg.norm(other[i] - other[i + 1], axis=1), np.linalg.norm(got[i] - got[i + 1], axis=1), atol=1e-5)
+
+
+def test_map_preservation(spark, duck):
+    from veldspar.operators import landmarks
+
+    d, x = vectors(duck)
+    e = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding")
+    marks = landmarks.lower_stress(e, "vec_id", "embedding", landmarks.classical(e, "vec_id", "embedding"), 12)
+    y = np.array(landmarks.place(e, "vec_id", "embedding", marks).toPandas().sort_values("id").place.tolist())
+    near = []
+    for m in (x, y):
+        dist = np.round(np.sqrt(((m[:, None] - m[None]) ** 2).sum(-1)), 9) + np.diag([np.inf] * len(m))
+        near.append(np.argsort(dist, axis=1, kind="stable")[:, :10])
+    kept = np.mean([len(set(a) & set(b)) / 10 for a, b in zip(*near, strict=True)])
+    pairs = landmarks.landmark_pairs(e, "vec_id", "embedding", marks).toPandas()
+    got = QUERIES["map_preservation"](spark, SF).toPandas().iloc[0]
+    assert got.n == len(pairs) and got.spearman == pytest.approx(pairs.d.rank().corr(pairs.e.rank()), abs=2e-6)
+    assert got.neighbors_kept == pytest.approx(kept, abs=1e-3)
+
+
+def test_diffusion_coords(spark, duck):
     d, x = vectors(duck)
-    c = np.stack([x[d.label == k].mean(0) for k in sorted(d.label.unique())])
-    dist = np.sqrt(((c[:, None] - c[None]) ** 2).sum(-1))
-    b = np.eye(len(c)) - 1 / len(c)
-    top = np.sort(np.linalg.eigvalsh(-0.5 * b @ dist**2 @ b))[::-1][:2]
-    xy = got[[k for k in got.columns if k not in ("label",)]].to_numpy(float)[:, -2:]
-    assert len(got) == len(c) and np.allclose(np.sort((xy**2).sum(0))[::-1], top, rtol=1e-3)
+    dist = np.round(np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1)), 9) + np.diag([np.inf] * len(x))
+    near = np.argsort(dist, axis=1, kind="stable")[:, :10]
+    scale = dist[np.arange(len(x)), near[:, -1]]
+    w = np.zeros_like(dist)
+    for i, js in enumerate(near):
+        w[i, js] = w[js, i] = np.exp(-dist[i, js] ** 2 / (scale[i] * scale[js] + 1e-12))
+    deg = w.sum(1)
+    values, v = np.linalg.eigh(w / np.sqrt(np.outer(deg, deg)))
+    want = v[:, ::-1][:, 1:4] / np.sqrt(deg)[:, None] * values[::-1][1:4]
+    got = QUERIES["diffusion_coords"](spark, SF).toPandas().sort_values("vec_id")[["c1", "c2", "c3"]].to_numpy()
+    assert np.allclose(np.abs(got), np.abs(want), atol=1e-5)
+
+
+def test_silhouette_scan(spark, duck):
+    got = QUERIES["silhouette_scan"](spark, SF).toPandas().sort_values("cluster")
+    d, _ = vectors(duck)
+    assert got.n.sum() == len(d) and list(got.cluster) == list(range(1, got.k.iloc[0] + 1)) and -1 <= got.silhouette.iloc[0] <= 1 and got.silhouette.nunique() == 1
 
 
 def test_kmeans_profile(spark, duck):
@@ -103,10 +155,3 @@ def test_forest_and_logistic(spark, duck):
     share = duck.execute("SELECT avg((l_returnflag = 'R')::INT) FROM lineitem").fetchone()[0]
     # With an intercept the mean probability is the share, and the flagged rows have no smaller one.
     assert (p.n * p.mean_p).sum() / p.n.sum() == pytest.approx(share, abs=1e-3) and p.mean_p[1.0] >= p.mean_p[0.0] - 1e-6
-
-
-def test_centroid_maps(spark, duck):
-    got = QUERIES["centroid_maps"](spark, SF).toPandas()
-    d, x = vectors(duck)
-    assert sorted(got.label) == sorted(d.label.unique()) and got.rank_kept.between(0, 1).all() and got.neighbors_kept.between(0, 1).all()
-    assert np.isfinite(got.to_numpy(float)).all()

@@ -226,22 +226,3 @@ def logistic_scores(t, spark):
     """MOD-04: probability of a flag by logistic regression."""
     l = t("lineitem").select((F.col("l_returnflag") == "R").cast("double").alias("label"), "l_quantity", "l_discount", "l_tax")
     return models.logistic(l, "label", ["l_quantity", "l_discount", "l_tax"]).groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.avg("p").alias("mean_p"))
-
-
-@query()
-def centroid_maps(t, spark):
-    """EMB-02, EMB-03, EMB-05, EMB-07, EMB-12: maps of the label centroids (as many rows as labels): diffusion, stress-minimising, turned onto each other, and how well they keep the order of distances."""
-    import numpy as np
-
-    from ..operators import maps
-
-    c = screen.centroids(t("embeddings").select("label", "embedding"), "label", "embedding").orderBy("label").toPandas()
-    x = np.array(c.centroid.tolist())
-    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
-    w = np.exp(-((d / np.median(d)) ** 2)) * (1 - np.eye(len(d)))
-    diffusion, stress = models.diffusion_map(w), maps.smacof(d)
-    turned = vectors.procrustes(vectors.classical_mds(d), stress)
-    rows = [(int(k), float(a[0]), float(a[1]), float(b[0]), float(b[1]), maps.rank_preservation(d, stress), maps.neighbor_preservation(d, stress, 3)) for k, a, b in zip(c.label, diffusion, turned, strict=True)]
-    return spark.createDataFrame(rows, "label int, diffusion_1 double, diffusion_2 double, map_1 double, map_2 double, rank_kept double, neighbors_kept double")
-
-

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from ..functions import arrays
-from ..operators import screen, vectors
+from ..operators import landmarks, screen, silhouette, spectral, stats, vectors
 from .core import query, r
 
 _PAIRS = f"pairs AS (SELECT a.vec_id AS id, b.vec_id AS neighbor, round(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS distance FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id)"
@@ -161,13 +162,66 @@ def pca_variance(t, spark):
     return spark.createDataFrame([(i, float(v / values.sum()), effective) for i, v in enumerate(values)], "component int, share double, effective_rank double")
 
 
+def landmark_map(t, steps: int = 0):
+    """All vectors with the landmarks that place them in the plane."""
+    e = t("embeddings").select("vec_id", "embedding")
+    return e, landmarks.lower_stress(e, "vec_id", "embedding", landmarks.classical(e, "vec_id", "embedding"), steps) if steps else landmarks.classical(e, "vec_id", "embedding")
+
+
+def _xy(df, place: str = "place"):
+    return [r(F.col(place)[i]).alias(f"{place}_{a}") for i, a in enumerate("xy")]
+
+
 @query()
 def mds_coords(t, spark):
-    """EMB-04: map of the label centroids."""
-    c = screen.centroids(t("embeddings"), "label", "embedding").orderBy("label").collect()
-    x = np.array([row.centroid for row in c])
-    y = vectors.classical_mds(np.sqrt(np.maximum(((x[:, None] - x[None]) ** 2).sum(-1), 0)))
-    return spark.createDataFrame([(row.label, float(p[0]), float(p[1])) for row, p in zip(c, y, strict=True)], "label int, x double, y double")
+    """EMB-04: every vector placed in the classical map of 64 landmarks."""
+    e, marks = landmark_map(t)
+    return landmarks.place(e, "vec_id", "embedding", marks).select(F.col("id").alias("vec_id"), r(F.col("place")[0]).alias("x"), r(F.col("place")[1]).alias("y"))
+
+
+@query()
+def stress_map(t, spark):
+    """EMB-05, EMB-07: every vector's place of least stress against the landmarks, and its classical place turned onto it."""
+    e, marks = landmark_map(t, 12)
+    start = landmarks.place(e, "vec_id", "embedding", replace(marks, places=marks.places[:1]))
+    both = landmarks.turned_onto(landmarks.place(e, "vec_id", "embedding", marks), start)
+    return both.select(F.col("id").alias("vec_id"), *_xy(both), *_xy(both, "other"))
+
+
+@query()
+def map_preservation(t, spark):
+    """EMB-12: rank correlation of distances to the landmarks with those in the map, and the share of ten nearest that the map keeps."""
+    e, marks = landmark_map(t, 12)
+    order = stats.spearman_panel(landmarks.landmark_pairs(e, "vec_id", "embedding", marks).select(F.lit("all").alias("g"), "d", "e"), ["d"], "e", ["g"])
+    place = landmarks.place(e, "vec_id", "embedding", marks)
+    kept = vectors.knn_overlap(knn(t), vectors.knn(place, K, "id", "place"), K).agg(F.avg("overlap").alias("kept"))
+    return order.select("n", r(F.col("rho")).alias("spearman")).crossJoin(F.broadcast(kept)).select("n", "spearman", r(F.col("kept")).alias("neighbors_kept"))  # one row
+
+
+@query()
+def diffusion_coords(t, spark):
+    """EMB-02, EMB-03: coordinates by the leading eigenvectors of the affinity graph of all vectors."""
+    pairs = spectral.eigenpairs(vectors.affinity(knn(t), K), 3)
+    c = spectral.diffusion_coordinates(pairs)
+    return c.select(F.col("id").alias("vec_id"), *(r(F.col(n)).alias(n) for n in c.columns[1:]))
+
+
+@query("""
+WITH p AS (SELECT a.vec_id, a.label, b.label AS other, sum(CASE WHEN a.vec_id = b.vec_id THEN 0 ELSE round(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) END) AS s, count(*) AS n FROM embeddings a, embeddings b GROUP BY 1, 2, 3),
+m AS (SELECT vec_id, label, max(s / nullif(n - 1, 0)) FILTER (other = label) AS a, min(s / n) FILTER (other <> label) AS b FROM p GROUP BY 1, 2)
+SELECT vec_id, label, round(CASE WHEN b IS NULL THEN NULL WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END, 6) AS silhouette FROM m""")
+def label_silhouette(t, spark):
+    """EMB-09: how well each vector lies within its label."""
+    s = silhouette.silhouettes(t("embeddings"), ["label"])
+    return s.select(F.col("id").alias("vec_id"), F.col("cluster").alias("label"), r(F.col("silhouette")).alias("silhouette"))
+
+
+@query()
+def silhouette_scan(t, spark):
+    """EMB-09, AGG-30: three to six clusters by the mean silhouette, numbered left to right, with sizes and medians."""
+    rows, mean, best = silhouette.choose_clusters(t("embeddings").select("vec_id", "embedding", "label"), range(3, 7))
+    x = r(F.median(F.col("embedding")[0].cast("double")))
+    return rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), x.alias("median_x"), F.lit(best).alias("k"), F.lit(round(mean[best], 6)).alias("silhouette"))
 
 
 @query()
