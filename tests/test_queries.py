@@ -49,7 +49,7 @@ def vectors(duck):
 
 
 def test_every_query_is_tested():
-    assert set(QUERIES) - set(ORACLES) == {"pca_variance", "mds_coords", "kmeans_profile", "permutation_z", "bootstrap_ci", "sampled_pair_spearman", "forest_scores", "logistic_scores", "stress_map", "map_preservation", "diffusion_coords", "silhouette_scan"}
+    assert set(QUERIES) - set(ORACLES) == {"pca_variance", "mds_coords", "kmeans_profile", "permutation_z", "bootstrap_ci", "sampled_pair_spearman", "forest_scores", "logistic_scores", "stress_map", "map_preservation", "diffusion_coords", "silhouette_scan", "extra_tree_scores"}
 
 
 def test_pca_variance(spark, duck):
@@ -135,6 +135,15 @@ def test_permutation_z(spark):
     assert got.z == pytest.approx((got.observed - got.null_mean) / got.null_sd) and got.null_sd > 0 and abs(got.null_mean) < 5 * got.null_sd
 
 
+def test_extra_tree_scores(spark, duck):
+    got = QUERIES["extra_tree_scores"](spark, SF).toPandas().iloc[0]
+    p = duck.execute("SELECT p_partkey % 1000 AS k, p_retailprice AS y, (('0x' || substr(md5(p_partkey::VARCHAR || '/' || 'fold0'), 1, 7))::BIGINT % 5)::INT = 0 AS held FROM part").df()
+    # The price follows the key, so the trees must do better than a line on it, and name it.
+    line = np.polyfit(p.k[~p.held], p.y[~p.held], 1)
+    left = ((p.y - np.polyval(line, p.k))[p.held] ** 2).sum() / ((p.y[p.held] - p.y[p.held].mean()) ** 2).sum()
+    assert got.n == p.held.sum() and got.importance_key > 0.5 and got.r2 > 0.5 * (1 - left)
+
+
 def test_bootstrap_ci(spark):
     got = QUERIES["bootstrap_ci"](spark, SF).toPandas().iloc[0]
     assert got.low < got.high and got.replicates >= 100

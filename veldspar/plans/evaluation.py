@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import evaluation, models, ranks, screen, stats, vectors
+from ..operators import elastic, evaluation, extra_trees, models, ranks, screen, stats, vectors
 from ..operators.evaluation import _ERF
 from .core import query, r
 from .views import _NN, COHORT
@@ -215,7 +215,7 @@ def order_invariance(t, spark):
 
 @query()
 def forest_scores(t, spark):
-    """MOD-05, MOD-06: forest regression of the price; extremely random trees have no Spark class, so a forest stands for them."""
+    """MOD-05: forest regression of the price."""
     p = t("part").select("p_partkey", F.col("p_size").cast("double").alias("size"), F.length("p_type").cast("double").alias("type"), F.col("p_retailprice").alias("y"))
     out, _ = models.random_forest(p, "y", ["size", "type"], trees=20)
     return models.scores(out, "y", "prediction")
@@ -226,3 +226,31 @@ def logistic_scores(t, spark):
     """MOD-04: probability of a flag by logistic regression."""
     l = t("lineitem").select((F.col("l_returnflag") == "R").cast("double").alias("label"), "l_quantity", "l_discount", "l_tax")
     return models.logistic(l, "label", ["l_quantity", "l_discount", "l_tax"]).groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.avg("p").alias("mean_p"))
+
+
+@query()
+def extra_tree_scores(t, spark):
+    """MOD-06: extremely random trees on the price, out of fold."""
+    p = t("part").select("p_partkey", F.col("p_size").cast("double").alias("size"), F.length("p_type").cast("double").alias("type"), (F.col("p_partkey") % 1000).cast("double").alias("key"), F.col("p_retailprice").alias("y"))
+    p = p.withColumn("held", evaluation.shuffled_folds(F.col("p_partkey"), 5) == 0)
+    xs = ["size", "type", "key"]
+    model = extra_trees.grow(p.where("NOT held"), "y", xs, trees=24, depth=6)
+    out = models.scores(extra_trees.predict(p.where("held"), xs, model), "y", "pred")
+    return out.select("n", *(r(F.col(c)).alias(c) for c in ("r2", "mae", "rmse")), *(F.lit(round(float(v), 6)).alias(f"importance_{x}") for x, v in zip(xs, model.importances, strict=True)))
+
+
+_NETS = {"ridge": (0.5, 0.0), "net": (20.0, 0.5), "lasso": (100.0, 1.0)}
+_NET_ROWS = ", ".join(f"('{m}', {a}, {q})" for m, (a, q) in _NETS.items())
+
+
+@query(f"""
+WITH {_LINES}, u AS (SELECT fold, y, block, x FROM b, LATERAL (SELECT unnest(['quantity', 'discount']) AS block, unnest([q::DOUBLE, d::DOUBLE]) AS x)), m AS (SELECT * FROM (VALUES {_NET_ROWS}) v(model, alpha, ratio)),
+s AS (SELECT k.fold, block, avg(y::DOUBLE) AS my, avg(x) AS mx, stddev_pop(x) AS sx, covar_pop(y::DOUBLE, x) / stddev_pop(x) AS c FROM (SELECT DISTINCT fold FROM b) k JOIN u ON u.fold <> k.fold GROUP BY 1, 2),
+w AS (SELECT fold, block, model, my, mx, sx, sign(c) * greatest(abs(c) - alpha * ratio, 0) / (1 + alpha * (1 - ratio)) AS w FROM s, m),
+p AS (SELECT block, model, y, round(my + w * (x - mx) / sx, 6) AS p FROM u JOIN w USING (fold, block)),
+k AS (SELECT block, model, y, p, rank() OVER (PARTITION BY block, model ORDER BY p) + (count(*) OVER (PARTITION BY block, model, p) - 1) / 2 AS rp, rank() OVER (PARTITION BY block, model ORDER BY y) + (count(*) OVER (PARTITION BY block, model, y) - 1) / 2 AS ry FROM p)
+SELECT block, model, count(*) AS n, round(corr(rp, ry), 5) AS spearman, round(1 - sum((y - p) ** 2) / (var_pop(y) * count(*)), 6) AS r2 FROM k GROUP BY 1, 2""")
+def model_selection(t, spark):
+    """MOD-04, MOD-10: blocks of features by models (ridge, elastic net, lasso), scored out of fold; with one feature the fit has a closed form."""
+    s = elastic.model_scores(folded(t), "fold", "y", {"quantity": ["q"], "discount": ["d"]}, _NETS)
+    return s.select("block", "model", "n", r(F.col("spearman"), 5).alias("spearman"), r(F.col("r2")).alias("r2"))
