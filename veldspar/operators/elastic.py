@@ -14,7 +14,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import stats
+from .ranks import grouped_average_rank
+from .vectors import cut_lineage
 
 
 @dataclass
@@ -96,8 +97,9 @@ def oof_predictions(df: DataFrame, fold: str, y: str, xs: Sequence[str], blocks:
 def model_scores(df: DataFrame, fold: str, y: str, blocks: dict[str, Sequence[str]], models: dict[str, tuple[float, float]], digits: int = 6) -> DataFrame:
     """block, model, n, spearman and r2 of out-of-fold predictions (rounded to ``digits`` for ranks)."""
     xs = list(dict.fromkeys(x for b in blocks.values() for x in b))
-    p = oof_predictions(df, fold, y, xs, blocks, models).select(F.col(y).cast("double").alias("y"), F.explode("predictions").alias("p")).select("y", "p.*").where("pred IS NOT NULL").withColumn("pred", F.round("pred", digits))
-    order = stats.spearman_panel(p, ["pred"], "y", ["block", "model"]).select("block", "model", F.col("rho").alias("spearman"))
-    e = F.col("y") - F.col("pred")
-    fits = p.groupBy("block", "model").agg(F.count(F.lit(1)).alias("n"), (1 - F.try_divide(F.sum(e * e), F.var_pop("y") * F.count(F.lit(1)))).alias("r2"))
-    return fits.join(order, ["block", "model"], "left").select("block", "model", "n", "spearman", "r2")
+    # Every block and model predicts the same rows, so the ranks of y are found once; what follows reads the table more than once.
+    ranked = grouped_average_rank(df.dropna(subset=[fold, y, *xs]).withColumn("_all", F.lit(0)), ["_all"], y, "_ry")
+    long = oof_predictions(ranked, fold, y, xs, blocks, models).select(F.col(y).cast("double").alias("_y"), "_ry", F.explode("predictions").alias("p")).select("_y", "_ry", "p.*").where("pred IS NOT NULL")
+    p = grouped_average_rank(cut_lineage(long.withColumn("pred", F.round("pred", digits))), ["block", "model"], "pred", "_rp")
+    e = F.col("_y") - F.col("pred")
+    return p.groupBy("block", "model").agg(F.count(F.lit(1)).alias("n"), F.corr("_rp", "_ry").alias("spearman"), (1 - F.try_divide(F.sum(e * e), F.var_pop("_y") * F.count(F.lit(1)))).alias("r2"))
