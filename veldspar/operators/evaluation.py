@@ -166,18 +166,3 @@ def _tail(k: int, step: int, n: int, a: int, b: int, choose) -> float:
 def evidence_grade(n: Column, coverage: Column) -> Column:
     """Grade of evidence by its number and coverage (STA-19)."""
     return F.when((n >= 500) & (coverage >= 0.2), "strong").when((n >= 100) & (coverage >= 0.05), "moderate").otherwise("limited")
-
-
-def knn_information(pairs: DataFrame, n: int, k: int) -> DataFrame:
-    """mi: nearest-neighbour estimate of the mutual information of two values over a pair table (id, dx, dy), nats (STA-18)."""
-    d = pairs.withColumn("d", F.greatest("dx", "dy"))
-    # k rows of an id are enough for its radius.
-    radius = d.groupBy("id").agg(F.element_at(F.array_sort(F.collect_list("d")), k).alias("eps"))
-    c = d.join(radius, "id").groupBy("id").agg(F.count(F.when(F.col("dx") < F.col("eps"), 1)).alias("nx"), F.count(F.when(F.col("dy") < F.col("eps"), 1)).alias("ny"))
-
-    def digamma(m: Column) -> Column:
-        """Of a whole number: the harmonic number before it less Euler's constant."""
-        return F.aggregate(F.sequence(F.lit(0), m.cast("int") - 1), F.lit(0.0), lambda s, i: s + F.when(i > 0, 1 / i.cast("double")).otherwise(F.lit(0.0))) - 0.5772156649015329
-
-    both = c.agg(F.avg(digamma(F.col("nx") + 1) + digamma(F.col("ny") + 1)).alias("m"))
-    return both.select(F.greatest(digamma(F.lit(k)) + digamma(F.lit(n)) - F.col("m"), F.lit(0.0)).alias("mi"))

@@ -40,8 +40,8 @@ def _unit(x: np.ndarray, metric: str) -> np.ndarray:
 
 
 def _metric(d: np.ndarray | float, metric: str) -> np.ndarray | float:
-    """The straight distance of a metric's."""
-    return np.sqrt(2 * np.maximum(d, 0)) if metric == "cosine" else d
+    """The straight distance of a metric's; the longest one that the greater difference of two coordinates ("square") can have."""
+    return np.sqrt(2 * np.maximum(d, 0)) if metric == "cosine" else np.sqrt(2) * d if metric == "square" else d
 
 
 def far_points(x: np.ndarray, n: int) -> np.ndarray:

@@ -48,6 +48,8 @@ def pack(df: DataFrame, id_col: str, vector: str, block: int = BLOCK) -> DataFra
 def _distances(x: np.ndarray, y: np.ndarray, metric: str, digits: int) -> np.ndarray:
     if metric == "cosine":
         d = 1 - (x @ y.T) / (np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1)[None, :])
+    elif metric == "square":
+        d = np.maximum(np.abs(x[:, None, 0] - y[None, :, 0]), np.abs(x[:, None, 1] - y[None, :, 1]))
     else:
         d = np.sqrt(np.maximum(((x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T), 0))
     return np.round(d, digits)

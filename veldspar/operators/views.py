@@ -42,25 +42,6 @@ def rank_correlation(pairs: DataFrame, a: str, b: str) -> float:
     return ranked.agg(F.corr("rx", "ry")).first()[0]
 
 
-def mantel(pairs: DataFrame, nodes: DataFrame, key: str, a: str, b: str, rounds: int = 20) -> DataFrame:
-    """rho, null_mean, null_sd, z: the nodes of view ``b`` are renamed in each round by a permutation made of hashes (STA-05).
-
-    Ranks do not change when nodes are renamed, so they are made once and the rounds only join.
-    """
-    ranked = average_rank(average_rank(pairs, a, "ra"), b, "rb").select("src", "dst", "ra", "rb")
-    rho = ranked.agg(F.corr("ra", "rb")).first()[0]
-    by_hash = Window.partitionBy("round").orderBy("h", key)
-    names = nodes.select(key, F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round"))
-    # One ordering of the nodes per round: as many rows as nodes, a round to a task.
-    place = names.withColumn("h", F.md5(F.concat_ws("-", F.col(key).cast("string"), F.col("round").cast("string")).cast("binary"))).select("round", key, F.row_number().over(by_hash).alias("p"))
-    own = names.select("round", F.col(key).alias("new"), F.row_number().over(Window.partitionBy("round").orderBy(key)).alias("p"))
-    to = place.join(own, ["round", "p"]).select("round", F.col(key).alias("old"), "new")
-    moved = ranked.select("src", "dst", "rb").join(to.select("round", F.col("old").alias("src"), F.col("new").alias("s2")), "src").join(to.select("round", F.col("old").alias("dst"), F.col("new").alias("d2")), ["round", "dst"])
-    moved = moved.select("round", F.least("s2", "d2").alias("src"), F.greatest("s2", "d2").alias("dst"), "rb")
-    null = ranked.select("src", "dst", "ra").join(moved, ["src", "dst"]).groupBy("round").agg(F.corr("ra", "rb").alias("rho"))
-    return null.agg(F.avg("rho").alias("null_mean"), F.stddev_pop("rho").alias("null_sd")).select(F.lit(rho).alias("rho"), "null_mean", "null_sd", ((F.lit(rho) - F.col("null_mean")) / (F.col("null_sd") + 1e-12)).alias("z"))
-
-
 def node_bootstrap(pairs: DataFrame, key_hash, a: str, b: str, rounds: int = 20) -> DataFrame:
     """round, r: correlation of two views' ranks with whole nodes drawn anew, a pair counting as often as both its nodes (STA-08)."""
     ranked = average_rank(average_rank(pairs, a, "ra"), b, "rb")
@@ -87,17 +68,6 @@ def overlap_null(a: DataFrame, b: DataFrame, k: int, n: int) -> DataFrame:
     return j.select(overlap.alias("overlap"), mean.alias("null_mean"), (overlap / (mean + 1e-12)).alias("enrichment"))
 
 
-def overlap_rounds(a: DataFrame, b: DataFrame, nodes: DataFrame, k: int, n: int, rounds: int) -> DataFrame:
-    """round, overlap of the first view with the second one whose rows are dealt anew by hash in each round (STA-06)."""
-    names = nodes.select("id", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round"))
-    h = F.md5(F.concat_ws("-", F.col("id").cast("string"), F.col("round").cast("string")).cast("binary"))
-    place = names.select("round", "id", F.row_number().over(Window.partitionBy("round").orderBy(h, "id")).alias("p"))
-    own = names.select("round", F.col("id").alias("to"), F.row_number().over(Window.partitionBy("round").orderBy("id")).alias("p"))
-    dealt = place.join(own, ["round", "p"]).join(b, "id").select("round", F.col("to").alias("id"), "neighbor")
-    hits = dealt.join(a, ["id", "neighbor"]).groupBy("round").agg(F.count(F.lit(1)).alias("hits"))
-    return nodes.sparkSession.range(1, rounds + 1).select(F.col("id").cast("int").alias("round")).join(hits, "round", "left").select("round", (F.coalesce("hits", F.lit(0)) / F.lit(float(n * k))).alias("overlap"))
-
-
 def degeneracy(neighbors: DataFrame, pairs: DataFrame, k: int, distance: str) -> DataFrame:
     """zero_share of the pairs, tie_share of the rows whose k-th and next distances are equal (GRF-13)."""
     zero = pairs.agg(F.avg((F.col(distance) == 0).cast("double")).alias("zero_share"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import elastic, evaluation, extra_trees, models, ranks, screen, stats, vectors
+from ..operators import elastic, evaluation, extra_trees, information, models, monotone, ranks, screen, stats, vectors
 from ..operators.evaluation import _ERF
 from .core import query, r
 from .views import _NN, COHORT
@@ -160,17 +160,22 @@ def overlap_tail(t, spark):
     return c.withColumn("p_value", r(F.lit(evaluation.hypergeometric_tail(x.nab, x.n, x.na, x.nb))))
 
 
-@query(f"""
-WITH c AS (SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings WHERE {COHORT}), p AS (SELECT a.vec_id AS id, round(abs(a.x - b.x), 9) AS dx, round(abs(a.y - b.y), 9) AS dy FROM c a JOIN c b ON a.vec_id <> b.vec_id),
+@query("""
+WITH c AS (SELECT vec_id, round(embedding[1]::DOUBLE * 1e9)::BIGINT AS x, round(embedding[2]::DOUBLE * 1e9)::BIGINT AS y FROM embeddings), p AS (SELECT a.vec_id AS id, abs(a.x - b.x) AS dx, abs(a.y - b.y) AS dy FROM c a JOIN c b ON a.vec_id <> b.vec_id),
 e AS (SELECT id, (list(greatest(dx, dy) ORDER BY greatest(dx, dy)))[3] AS eps FROM p GROUP BY 1), n AS (SELECT p.id, count(*) FILTER (dx < eps) AS nx, count(*) FILTER (dy < eps) AS ny FROM p JOIN e USING (id) GROUP BY 1),
-h AS (SELECT k, coalesce((SELECT sum(1 / i::DOUBLE) FROM range(1, 2000) t(i) WHERE i < k), 0) - 0.5772156649015329 AS psi FROM range(1, 2000) g(k)), m AS (SELECT avg(a.psi + b.psi) AS m FROM n JOIN h a ON a.k = nx + 1 JOIN h b ON b.k = ny + 1)
-SELECT round(greatest((SELECT psi FROM h WHERE k = 3) + (SELECT psi FROM h WHERE k = (SELECT count(*) FROM c)) - m, 0), 6) AS mi FROM m""")
+h AS (SELECT k, sum(CASE WHEN k > 1 THEN 1 / (k - 1)::DOUBLE ELSE 0 END) OVER (ORDER BY k) - 0.5772156649015329 AS psi FROM range(1, (SELECT count(*) + 1 FROM c)) g(k)), m AS (SELECT avg(a.psi + b.psi) AS m FROM n JOIN h a ON a.k = nx + 1 JOIN h b ON b.k = ny + 1)
+SELECT (SELECT count(*) FROM c) AS n, round(greatest((SELECT psi FROM h WHERE k = 3) + (SELECT psi FROM h WHERE k = (SELECT count(*) FROM c)) - m, 0), 6) AS mi FROM m""")
 def neighbor_information(t, spark):
-    """STA-18: mutual information by nearest neighbours over a cohort's pairs."""
-    c = t("embeddings").where(COHORT).select("vec_id", F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
-    other = c.toDF("other", "x2", "y2")
-    p = c.join(other, F.col("vec_id") != F.col("other")).select(F.col("vec_id").alias("id"), F.round(F.abs(F.col("x") - F.col("x2")), 9).alias("dx"), F.round(F.abs(F.col("y") - F.col("y2")), 9).alias("dy"))
-    return evaluation.knn_information(p, c.count(), 3).select(r(F.col("mi")).alias("mi"))
+    """STA-18: mutual information of two coordinates of all vectors by nearest neighbours and positions; no table of pairs."""
+    c = t("embeddings").select("vec_id", F.col("embedding")[0].alias("x"), F.col("embedding")[1].alias("y"))
+    return information.mutual_information(c, "vec_id", "x", "y").select("n", r(F.col("mi")).alias("mi"))
+
+
+@query()
+def residual_information(t, spark):
+    """STA-18: what a coordinate tells of another beyond a third, above rows dealt anew."""
+    c = t("embeddings").select("vec_id", *(F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(3))).withColumn("fold", evaluation.shuffled_folds(F.col("vec_id"), 5))
+    return information.residual_information(c, "vec_id", "fold", "x0", ["x1"], ["x2"], rounds=2)
 
 
 _UNI = "((('0x' || substr(md5(vec_id::VARCHAR || '/' || {0}), 1, 7))::BIGINT % 1000003) + 1) / 1000005.0"
@@ -194,14 +199,26 @@ def calibration_curve(t, spark):
     return stats.spearman_panel(p, ["dx"], "dy", ["q"]).select("q", r(F.col("rho"), 5).alias("spearman"))
 
 
-@query("""
-WITH b AS (SELECT p_size::DOUBLE AS x, avg(p_retailprice) AS y, row_number() OVER (ORDER BY p_size) AS i FROM part GROUP BY p_size), m AS (SELECT a.i AS i, b.i AS j, avg(c.y) AS y FROM b a JOIN b ON b.i >= a.i JOIN b c ON c.i BETWEEN a.i AND b.i GROUP BY 1, 2)
-SELECT x, round(y, 6) AS y, round((SELECT max(lo) FROM (SELECT m.i, min(m.y) AS lo FROM m WHERE m.i <= b.i AND m.j >= b.i GROUP BY 1)), 6) AS fit FROM b""")
+_FIT = """b AS (SELECT p_size::DOUBLE AS x, count(*) AS w, avg(p_retailprice) AS y, row_number() OVER (ORDER BY p_size) AS i FROM part GROUP BY p_size), m AS (SELECT a.i AS i, b.i AS j, sum(c.y * c.w) / sum(c.w) AS y FROM b a JOIN b ON b.i >= a.i JOIN b c ON c.i BETWEEN a.i AND b.i GROUP BY 1, 2),
+f AS (SELECT x, w, y, (SELECT max(lo) FROM (SELECT m.i, min(m.y) AS lo FROM m WHERE m.i <= b.i AND m.j >= b.i GROUP BY 1)) AS fit FROM b)"""
+
+
+@query(f"WITH {_FIT} SELECT x, w::DOUBLE AS weight, round(y, 6) AS y, round(fit, 6) AS fit FROM f")
 def isotonic_curve(t, spark):
-    """STA-16: nondecreasing fit of a binned curve (one row per bin reaches the driver)."""
-    curve = t("part").groupBy(F.col("p_size").cast("double").alias("x")).agg(F.avg("p_retailprice").alias("y")).toPandas()
-    out = spark.createDataFrame(stats.isotonic(curve)[["x", "y", "fit"]])
-    return out.select("x", r(F.col("y")).alias("y"), r(F.col("fit")).alias("fit"))
+    """STA-16: nondecreasing fit of a price on a size, a row counting as one."""
+    out = monotone.isotonic(t("part"), "p_size", "p_retailprice")
+    return out.select("x", "weight", r(F.col("y")).alias("y"), r(F.col("fit")).alias("fit"))
+
+
+@query(f"""
+WITH {_FIT}, kn AS (SELECT avg(fit) AS f, min(x) AS lo, max(x) AS hi FROM f GROUP BY round(fit, 9)), v AS (SELECT p_brand, avg(p_retailprice) AS v FROM part GROUP BY 1),
+o AS (SELECT p_brand, v, (SELECT max_by(kn, f) FROM kn WHERE f <= v) AS a, (SELECT min_by(kn, f) FROM kn WHERE f > v) AS b FROM v)
+SELECT p_brand, round(CASE WHEN v >= (SELECT max(f) FROM kn) THEN (SELECT max(hi) FROM kn) WHEN v <= (SELECT min(f) FROM kn) THEN (SELECT min(lo) FROM kn) ELSE a.hi + (b.lo - a.hi) * (v - a.f) / (b.f - a.f) END, 4) AS x FROM o""")
+def isotonic_inverse(t, spark):
+    """STA-16: the size at which the fitted curve reads each brand's mean price."""
+    blocks = monotone.pooled(monotone.curve(t("part"), "p_size", "p_retailprice"))
+    brands = t("part").groupBy("p_brand").agg(F.avg("p_retailprice").alias("v"))
+    return monotone.inverse(blocks, brands, "v").select("p_brand", r(F.col("x"), 4).alias("x"))
 
 
 @query(f"WITH {_NN} SELECT count(*) AS n, 0::BIGINT AS changed FROM e")

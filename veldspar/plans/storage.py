@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators.vectors import shared_folder
-from ..sources import tables
+from ..sources import pages, tables
 from .core import query, r
 
 
@@ -72,13 +72,13 @@ def array_round_trip(t, spark):
     return back.select("vec_id", r(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x), 5).alias("total"), F.size("embedding").cast("long").alias("width"))
 
 
-@query("SELECT count(*) AS n, count(DISTINCT c_custkey) AS n_keys, max(page) AS pages FROM (SELECT c_custkey, (row_number() OVER (ORDER BY c_custkey) - 1) // 40 + 1 AS page FROM customer)")
+@query("SELECT count(*) AS n, count(DISTINCT c_custkey) AS n_keys, sum(c_custkey)::BIGINT AS keys, max(page) AS pages FROM (SELECT c_custkey, (row_number() OVER (ORDER BY c_custkey) - 1) // 100 + 1 AS page FROM customer)")
 def paged_ingest(t, spark):
-    """SRC-08: pages of records until one is short; the fetch is a function of the page (here of a table, on a service of its answers)."""
-    rows = t("customer").select("c_custkey", "c_name")
-    n = rows.count()
-    pages = tables.ingest_pages(spark, lambda page: [{"id": str(k), "kind": "c"} for k in range((page - 1) * 40, min(page * 40, n))], "id string, kind string", fresh(spark, "pages"), 40)
-    return pages.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("n_keys"), F.max("page").alias("pages"))
+    """SRC-08: a paged service as a Spark source, read in ranges of pages until one is short (the service: pages of a table's file)."""
+    files = t("customer").inputFiles()
+    base = files[0] if len(files) == 1 else files[0].rsplit("/", 1)[0]
+    got = pages.read_pages(spark, "veldspar.sources.pages:parquet_page", "c_custkey long, c_name string", base=base, page_size=100, pages_per_task=4, max_pages=1 << 30)
+    return got.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("c_custkey").alias("n_keys"), F.sum("c_custkey").alias("keys"), F.max("page").alias("pages"))
 
 
 @query("SELECT count(*) AS n_rows, 0 AS null_ids, count(DISTINCT c_custkey) AS distinct_ids, count(*) - count(DISTINCT c_custkey) AS repeated, 1 AS built_once FROM customer")

@@ -7,8 +7,9 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from ..functions import arrays
-from ..operators import landmarks, screen, silhouette, spectral, stats, vectors
+from ..operators import landmarks, permutations, screen, silhouette, spectral, stats, vectors
 from .core import query, r
+from .views import _JUDGED, NULLS, dealing, dealt_sql
 
 _PAIRS = f"pairs AS (SELECT a.vec_id AS id, b.vec_id AS neighbor, round(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS distance FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id)"
 _KNN = _PAIRS + ", knn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, neighbor) AS rank FROM pairs) WHERE rank <= 10)"
@@ -119,6 +120,17 @@ def graph_smoothness(t, spark):
     return j.agg(r(F.sum(F.col("w") * d * d) / F.sum("w")).alias("smoothness"))
 
 
+@query(f"""
+WITH {_AFF}, pl AS (SELECT vec_id AS id, label, row_number() OVER (ORDER BY vec_id) - 1 AS place FROM embeddings), {dealing("embeddings", NULLS)}, mv AS (SELECT ks.round, id, {dealt_sql("place")} AS place FROM pl, ks, nn),
+y AS (SELECT mv.round, mv.id, pl.label AS y FROM mv JOIN pl ON pl.place = mv.place), v AS (SELECT a.round, sum(w * (a.y - b.y) ** 2) / sum(w) AS v FROM aff JOIN y a ON a.id = src JOIN y b ON b.id = dst AND b.round = a.round GROUP BY 1),
+{_JUDGED.replace('>=', '<=')} SELECT round(observed, 6) AS smoothness, round(null_mean, 6) AS null_mean, round(null_sd, 6) AS null_sd, round((observed - null_mean) / (null_sd + 1e-12), 4) AS z, round(p, 6) AS p FROM jd""")
+def smoothness_null(t, spark):
+    """GRF-14: smoothness of the labels against labels dealt anew to the nodes; p is the share of rounds that are as smooth."""
+    y = t("embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("double").alias("y"))
+    out = permutations.judged(permutations.smoothness_rounds(vectors.affinity(knn(t), K), y, NULLS), "smoothness", upper=False)
+    return out.select(r(F.col("observed")).alias("smoothness"), r(F.col("null_mean")).alias("null_mean"), r(F.col("null_sd")).alias("null_sd"), r(F.col("z"), 4).alias("z"), r(F.col("p")).alias("p"))
+
+
 @query(f"WITH {_KNN} SELECT e.label, round(avg((n.label = e.label)::INT), 6) AS same_label, round(avg((n.label = e.label)::INT) / any_value(b.share), 4) AS enrichment FROM knn JOIN embeddings e ON e.vec_id = id JOIN embeddings n ON n.vec_id = neighbor JOIN (SELECT label, count(*) / (SELECT count(*) FROM embeddings) AS share FROM embeddings GROUP BY 1) b ON b.label = e.label GROUP BY 1")
 def neighbor_label_enrichment(t, spark):
     """GRF-16: share of neighbours with the own label, over the label's share."""

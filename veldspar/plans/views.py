@@ -9,11 +9,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import arrays
-from ..operators import models, ranks, screen, vectors, views
+from ..operators import models, permutations, ranks, screen, vectors, views
+from ..operators.permutations import STEPS
 from .core import query, r
 
 K = 5
 ROUNDS = 5
+#: Rounds of a null by permutation, and pairs drawn for the correlation of distances.
+NULLS = 20
+DRAWN = 4000
 COHORT = "label < 3 AND vec_id % 3 = 0"
 
 _D = "round(sqrt(list_sum(list_transform(list_zip({0}, {1}), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) ** 2))), 9)"
@@ -24,6 +28,18 @@ _NN = f"""e AS (SELECT vec_id, label, embedding[1:32] AS a, embedding[33:64] AS
 d AS (SELECT x.vec_id AS id, y.vec_id AS neighbor, {_D.format('x.a', 'y.a')} AS da, {_D.format('x.b', 'y.b')} AS db FROM e x JOIN e y ON x.vec_id <> y.vec_id),
 n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY da, neighbor) AS ka, row_number() OVER (PARTITION BY id ORDER BY db, neighbor) AS kb FROM d)"""
 
+#: The same permutations in SQL: keys of the rounds, and where a round takes a place.
+_JUDGED = "jd AS (SELECT observed, avg(v) AS null_mean, stddev_pop(v) AS null_sd, avg((v >= observed)::INT) AS p FROM v, (SELECT v AS observed FROM v WHERE round = 0) WHERE round > 0 GROUP BY 1)"
+
+
+def dealing(nodes, rounds):
+    return f"""nn AS (SELECT count(*)::BIGINT AS n FROM {nodes}), ks AS (SELECT round, list(k ORDER BY i) AS keys FROM (SELECT round, i, ('0x' || substr(md5('0/' || round || '/' || i), 1, 13))::BIGINT % n AS k FROM nn, (SELECT unnest(range({rounds + 1})) AS round), (SELECT unnest(range(1, {STEPS + 1})) AS i)) GROUP BY 1)"""
+
+
+def dealt_sql(place):
+    other = "((keys[i2] - p2 + n) % n)"
+    return f"CASE WHEN ks.round = 0 THEN {place} ELSE list_reduce(list_prepend({place}, range(1, {STEPS + 1})), lambda p2, i2: CASE WHEN substr(md5('0/' || ks.round || '/' || i2 || '/' || greatest(p2, {other})), 1, 1) >= '8' THEN {other} ELSE p2 END) END"
+
 
 def halves(t, cohort=True):
     e = t("embeddings").where(COHORT) if cohort else t("embeddings")
@@ -56,15 +72,17 @@ def sampled_pair_spearman(t, spark):
 
 
 @query(f"""
-WITH {_P}, h AS (SELECT g.round, vec_id, row_number() OVER (PARTITION BY g.round ORDER BY md5(vec_id || '-' || g.round), vec_id) AS ph, row_number() OVER (PARTITION BY g.round ORDER BY vec_id) AS po FROM c, (SELECT unnest(range(1, {ROUNDS + 1})) AS round) g),
-m AS (SELECT x.round, x.vec_id AS old, y.vec_id AS new FROM h x JOIN h y ON x.round = y.round AND x.ph = y.po),
-q AS (SELECT s.round, least(s.new, d.new) AS src, greatest(s.new, d.new) AS dst, rb FROM rk JOIN m s ON s.old = src JOIN m d ON d.old = dst AND d.round = s.round),
-z AS (SELECT q.round, corr(rk.ra, q.rb) AS rho FROM rk JOIN q USING (src, dst) GROUP BY 1)
-SELECT round((SELECT corr(ra, rb) FROM rk), 6) AS rho, round(avg(rho), 6) AS null_mean, round(stddev_pop(rho), 6) AS null_sd FROM z""")
+WITH e AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS place, embedding[1:32] AS a, embedding[33:64] AS b FROM embeddings), {dealing("e", NULLS)},
+dr AS (SELECT pair, ('0x' || substr(md5('0/i/' || pair), 1, 13))::BIGINT % n AS i, ('0x' || substr(md5('0/j/' || pair), 1, 13))::BIGINT % n AS j FROM nn, (SELECT unnest(range({DRAWN})) AS pair)),
+pa AS (SELECT pair, {_D.format('x.a', 'y.a')} AS d FROM dr JOIN e x ON x.place = i JOIN e y ON y.place = j WHERE i <> j), ra AS (SELECT pair, rank() OVER (ORDER BY d) + (count(*) OVER (PARTITION BY d) - 1) / 2 AS ra FROM pa),
+mv AS (SELECT ks.round, pair, {dealt_sql('i')} AS i, {dealt_sql('j')} AS j FROM dr, ks, nn WHERE i <> j),
+pb AS (SELECT round, pair, {_D.format('x.b', 'y.b')} AS d FROM mv JOIN e x ON x.place = i JOIN e y ON y.place = j), rb AS (SELECT round, pair, rank() OVER (PARTITION BY round ORDER BY d) + (count(*) OVER (PARTITION BY round, d) - 1) / 2 AS rb FROM pb),
+v AS (SELECT round, corr(ra, rb) AS v FROM ra JOIN rb USING (pair) GROUP BY 1), {_JUDGED}
+SELECT round(observed, 6) AS rho, round(null_mean, 6) AS null_mean, round(null_sd, 6) AS null_sd, round((observed - null_mean) / (null_sd + 1e-12), 4) AS z, round(p, 6) AS p FROM jd""")
 def mantel(t, spark):
-    """STA-05: rank correlation against permuted nodes, by hashes."""
-    out = views.mantel(pairs(t), halves(t).select("vec_id"), "vec_id", "a", "b", ROUNDS)
-    return out.select(r(F.col("rho")).alias("rho"), r(F.col("null_mean")).alias("null_mean"), r(F.col("null_sd")).alias("null_sd"))
+    """STA-05: rank correlation of two views' distances over pairs drawn from all vectors, against renamed rows."""
+    out = permutations.judged(permutations.mantel_rounds(halves(t, False), "vec_id", "a", "b", DRAWN, NULLS), "rho")
+    return out.select(r(F.col("observed")).alias("rho"), r(F.col("null_mean")).alias("null_mean"), r(F.col("null_sd")).alias("null_sd"), r(F.col("z"), 4).alias("z"), r(F.col("p")).alias("p"))
 
 
 _DRAW = "(('0x' || substr(md5({0} || '/' || round), 1, 6))::BIGINT % 3)"
@@ -94,16 +112,31 @@ def overlap_null(t, spark):
     return out.select(r(F.col("overlap"), 9).alias("overlap"), r(F.col("null_mean"), 9).alias("null_mean"), r(F.col("enrichment"), 4).alias("enrichment"))
 
 
-@query(f"""
-WITH {_NN}, h AS (SELECT g.round, vec_id, row_number() OVER (PARTITION BY g.round ORDER BY md5(vec_id || '-' || g.round), vec_id) AS ph, row_number() OVER (PARTITION BY g.round ORDER BY vec_id) AS po FROM e, (SELECT unnest(range(1, {ROUNDS + 1})) AS round) g),
-m AS (SELECT x.round, x.vec_id AS old, y.vec_id AS new FROM h x JOIN h y ON x.round = y.round AND x.ph = y.po)
-SELECT m.round, round(count(*) FILTER (x.ka <= {K}) / ((SELECT count(*) FROM e) * {K}::DOUBLE), 9) AS overlap FROM n y JOIN m ON m.old = y.id LEFT JOIN n x ON x.id = m.new AND x.neighbor = y.neighbor WHERE y.kb <= {K} GROUP BY 1""")
-def overlap_rounds(t, spark):
-    """STA-06: overlaps under rows dealt anew by hash."""
+_ROUNDS = f"""{_NN}, pl AS (SELECT vec_id AS id, row_number() OVER (ORDER BY vec_id) - 1 AS place FROM e), {dealing("e", NULLS)}, mv AS (SELECT ks.round, id, {dealt_sql("place")} AS place FROM pl, ks, nn),
+v AS (SELECT mv.round, count(y.id) / (any_value(n) * {K}::DOUBLE) AS v FROM nn, mv JOIN pl ON pl.place = mv.place JOIN n x ON x.id = mv.id AND x.ka <= {K} LEFT JOIN n y ON y.id = pl.id AND y.neighbor = x.neighbor AND y.kb <= {K} GROUP BY 1)"""
+
+
+def dealt_overlaps(t):
     a, b = near(t, "a").select("id", "neighbor"), near(t, "b").select("id", "neighbor")
-    nodes = halves(t, False).select(F.col("vec_id").alias("id"))
-    out = views.overlap_rounds(a, b, nodes, K, nodes.count(), ROUNDS)
-    return out.select(F.col("round").cast("long").alias("round"), r(F.col("overlap"), 9).alias("overlap"))
+    return a, b, permutations.overlap_rounds(a, b, halves(t, False).select(F.col("vec_id").alias("id")), K, NULLS)
+
+
+@query(f"WITH {_ROUNDS} SELECT round, round(v, 9) AS overlap FROM v WHERE round > 0")
+def overlap_rounds(t, spark):
+    """STA-06: overlaps under rows dealt anew, each row by itself."""
+    return dealt_overlaps(t)[2].where("round > 0").select(F.col("round").cast("long").alias("round"), r(F.col("overlap"), 9).alias("overlap"))
+
+
+@query(f"""
+WITH {_ROUNDS}, ia AS (SELECT neighbor, count(*) AS c FROM n WHERE ka <= {K} GROUP BY 1), ib AS (SELECT neighbor, count(*) AS c FROM n WHERE kb <= {K} GROUP BY 1), {_JUDGED},
+x AS (SELECT sum(ia.c * ib.c) / ({K} * any_value(n)::DOUBLE * any_value(n)) AS expected FROM nn, ia JOIN ib USING (neighbor))
+SELECT round(observed, 9) AS overlap, round(expected, 9) AS null_mean, round(null_sd, 9) AS null_sd, round((observed - expected) / (null_sd + 1e-12), 4) AS z, round(p, 6) AS p FROM jd, x""")
+def overlap_test(t, spark):
+    """STA-06: overlap of neighbours against its expectation in closed form, in deviations of the rounds."""
+    a, b, rounds = dealt_overlaps(t)
+    mean = views.overlap_null(a, b, K, halves(t, False).count()).first()["null_mean"]
+    out = permutations.judged(rounds, "overlap", mean=F.lit(mean))
+    return out.select(r(F.col("observed"), 9).alias("overlap"), r(F.col("null_mean"), 9).alias("null_mean"), r(F.col("null_sd"), 9).alias("null_sd"), r(F.col("z"), 4).alias("z"), r(F.col("p")).alias("p"))
 
 
 @query(f"""

@@ -170,25 +170,6 @@ def scan_arrays(spark: SparkSession, path: str, key: str, vector: str) -> DataFr
     return spark.read.schema(f"{key} long, {vector} array<double>").parquet(path)
 
 
-def ingest_pages(spark: SparkSession, fetch: Callable[[int], list[dict]], schema: str, path: str, page_size: int, batch: int = 100) -> DataFrame:
-    """Pages 1, 2, ... of a service as rows with their page, until a page is short (SRC-08).
-
-    Pages are written ``batch`` at a time, so the driver holds no more than that.
-    """
-    page, rows, done = 1, [], False
-    while not done:
-        got = fetch(page)
-        rows += [{**r, "page": page} for r in got]
-        done = len(got) < page_size
-        if rows and (done or page % batch == 0):
-            spark.createDataFrame(rows, f"{schema}, page long").write.mode("append").parquet(path)
-            rows = []
-        page += 1
-    if page == 2 and not got:
-        write_typed_empty(spark, f"{schema}, page long", path)
-    return spark.read.schema(f"{schema}, page long").parquet(path)
-
-
 def structure_round_trip(df: DataFrame, key: str, z: str) -> DataFrame:
     """key, n_sites, formula, height of a three-site layer whose text is written and read again for each row."""
     import pyarrow as pa
