@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays
 from .ranks import average_rank, grouped_average_rank, value_positions
+from .vectors import cut_lineage
 
 #: Steps of a permutation; a place stays out of all of them with a chance of 2^-STEPS.
 STEPS = 24
@@ -115,7 +116,7 @@ def mantel_rounds(df: DataFrame, key: str, a: str, b: str, pairs: int, rounds: i
     src = df.where(F.col(key).isNotNull() & F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(key).agg(F.min(F.struct(F.col(a).alias("a"), F.col(b).alias("b"))).alias("v"))
     at = places(src, key)
     n = at.count()
-    v = at.join(src, key).select("place", "v.a", "v.b")
+    v = cut_lineage(at.join(src, key).select("place", "v.a", "v.b"))
     draw = drawn_pairs(spark, pairs, n, seed)
 
     def ends(t: DataFrame, view: str) -> DataFrame:
@@ -123,6 +124,7 @@ def mantel_rounds(df: DataFrame, key: str, a: str, b: str, pairs: int, rounds: i
         return t.join(one, "i").join(two, "j").withColumn("d", F.round(arrays.euclid(F.col("_i"), F.col("_j")), digits)).drop("_i", "_j", "i", "j")
 
     ra = average_rank(ends(draw, "a"), "d", "ra").select("pair", "ra")
-    many = draw.crossJoin(F.broadcast(deals(spark, rounds, n, seed))).select("pair", "round", *(dealt(F.col(c), n, seed).alias(c) for c in "ij"))
+    # Written, or the planner would work out each place again for every condition on it.
+    many = cut_lineage(draw.crossJoin(F.broadcast(deals(spark, rounds, n, seed))).select("pair", "round", *(dealt(F.col(c), n, seed).alias(c) for c in "ij")))
     rb = grouped_average_rank(ends(many, "b"), ["round"], "d", "rb").select("pair", "round", "rb")
     return rb.join(ra, "pair").groupBy("round").agg(F.corr("ra", "rb").alias("rho"))
