@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from veldspar.operators import vectors
+from veldspar.operators import neighbors, vectors
 
 
 def brute(x, ids, k, metric="euclid"):
@@ -71,3 +71,36 @@ def test_skips_most_pairs(spark):
     d[np.arange(200), some] = np.inf
     for n, i in enumerate(some):
         assert [r[0] for r in got[int(i)]] == np.lexsort((ids, d[n]))[:10].tolist()
+
+
+def test_blocks_go_once_to_a_shelf(spark):
+    """Vectors without structure: a block is sent once to each shelf, not once to each block on it."""
+    rng = np.random.default_rng(6)
+    df = frame(spark, rng.normal(size=(6000, 24)), np.arange(6000))
+    index, _, exact = vectors._near(df, "vec_id", "embedding", "euclid", 9)
+    blocks, shelves = (len(np.unique(index.known.value[c])) for c in ("block", "shelf"))
+    assert shelves <= neighbors.SHELVES + 1 < blocks
+    wide = index.blocks.selectExpr("block", "transform(ids, x -> 1e9D) AS limit")
+    sent = neighbors._shelved(index, wide, index.slack).agg({"block": "count"}).toPandas()["count(block)"].sum()
+    assert sent == blocks * shelves
+    assert neighbors.within(index, 1e9, exact).count() == 6000 * 5999 // 2
+
+
+def test_copies_of_long_vectors(spark):
+    """Copies are at 0 and in the order of their ids, though products of long vectors are rounded."""
+    rng = np.random.default_rng(8)
+    x = np.repeat(rng.normal(size=(40, 64)) * 1000, 30, axis=0)
+    ids = rng.permutation(len(x))
+    df = frame(spark, x, ids)
+    for few in (0, 10_000):
+        got = listed(vectors.knn(df, 10, few=few).collect())
+        for n, i in enumerate(ids):
+            same = np.sort(ids[n // 30 * 30 : n // 30 * 30 + 30])
+            assert got[int(i)] == [(int(j), 0.0) for j in same[same != i][:10]]
+        pairs = [(r.src, r.dst) for r in vectors.within(df, 0.0, few=few).collect()]
+        assert len(pairs) == len(set(pairs)) == 40 * 30 * 29 // 2
+    some = vectors.within(df, 0.0, few=0, forest=True)
+    assert some.count() < 40 * 30 * 29 // 2
+    nodes = df.where("vec_id >= 0").selectExpr("vec_id AS id")
+    least = {int(i): int(ids[n // 30 * 30 : n // 30 * 30 + 30].min()) for n, i in enumerate(ids)}
+    assert {r.id: r.component for r in vectors.components(some, nodes).collect()} == least
