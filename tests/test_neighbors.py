@@ -104,3 +104,12 @@ def test_copies_of_long_vectors(spark):
     nodes = df.where("vec_id >= 0").selectExpr("vec_id AS id")
     least = {int(i): int(ids[n // 30 * 30 : n // 30 * 30 + 30].min()) for n, i in enumerate(ids)}
     assert {r.id: r.component for r in vectors.components(some, nodes).collect()} == least
+
+
+def test_components_of_a_long_chain(spark):
+    """The size that the planner expects of the labels does not grow with the rounds."""
+    order = np.random.default_rng(2).permutation(400)
+    edges = spark.createDataFrame([(int(a), int(b)) for a, b in zip(order, order[1:])], "src long, dst long")
+    got = vectors.components(edges, spark.range(400))
+    assert got._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 2**63
+    assert {(r.component) for r in got.collect()} == {0}
