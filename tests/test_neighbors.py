@@ -113,3 +113,18 @@ def test_components_of_a_long_chain(spark):
     got = vectors.components(edges, spark.range(400))
     assert got._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 2**63
     assert {(r.component) for r in got.collect()} == {0}
+
+
+def test_best_of_worst():
+    """Lists of the nearest of both views against whole rankings, also where the views rank against each other."""
+    rng = np.random.default_rng(7)
+    for kind in ("independent", "ties", "opposed", "few"):
+        n = 4 if kind == "few" else 3000
+        x = rng.integers(0, 40, n).astype(float) if kind == "ties" else rng.normal(size=n)
+        y = -x if kind == "opposed" else rng.integers(0, 40, n).astype(float) if kind == "ties" else rng.normal(size=n)
+        x[1] = y[1] = np.inf
+        worst = np.maximum(*(np.argsort(np.argsort(d, kind="stable"), kind="stable") + 1 for d in (x, y)))
+        want = np.argsort(worst, kind="stable")
+        want = want[want != 1][:6]
+        to, got = vectors._best_of_worst(x, y, 6)
+        assert to.tolist() == want.tolist() and got.tolist() == worst[want].tolist()
