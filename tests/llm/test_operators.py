@@ -693,6 +693,27 @@ def test_suffix_array_recurses(monkeypatch):
     assert len(seen) >= 3 and all(2 * b <= a + 1 for a, b in itertools.pairwise(seen))
 
 
+def test_suffix_array_of_short_strings(monkeypatch):
+    """Names of bounded strings are sorted in a few rounds (the array is the same), not scanned bucket by bucket."""
+    rng = random.Random(7)
+    for case in range(200):
+        k = rng.choice([2, 3, 6, 30, 300])
+        t = [rng.randrange(1, k) for _ in range(rng.randrange(1, 90))] if case % 4 else [1, 2, 1][: rng.randrange(1, 4)] * 30
+        sa = suffix_array.suffix_array(np.array([*t, 0]), 300, short=True).tolist()
+        assert sa == sorted(range(len(t) + 1), key=lambda i: [*t, 0][i:])
+    line = "".join(rng.choice("abcdefgh ") for _ in range(6000)).encode()
+    strings = [line[i : i + rng.randrange(50, 81)] for i in range(0, 5900, 3)]
+    least, calls, deal = np.arange(len(strings)), [], suffix_array._deal
+    monkeypatch.setattr(suffix_array, "_deal", lambda *a: calls.append(1) or deal(*a))
+    owner, at, best = suffix_dedup.repeated_windows(strings, least)
+    first = {}
+    for i, s in enumerate(strings):
+        for j in range(len(s) - 49):
+            first.setdefault(s[j : j + 50], i)
+    assert all(first[strings[o][a : a + 50]] == b for o, a, b in zip(owner.tolist(), at.tolist(), best.tolist(), strict=True))
+    assert len(owner) == sum(len(s) - 49 for s in strings) and len(calls) < 300
+
+
 def brute_repeats(texts):
     first, out = {}, {}
     for i, t in enumerate(texts):

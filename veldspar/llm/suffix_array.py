@@ -6,6 +6,10 @@ recursion, at every size, until all names differ.  A name that occurs once order
 itself, so of a run of such names only the first is kept.  From the sorted LMS suffixes the whole
 array is induced in two scans, each linear.
 
+Where the caller knows that common prefixes are short (strings of bounded length), names are sorted by
+prefix multiplication instead of recursion: a round orders them by three times as many names, and only
+those that are still equal take part.  Both give the same array.
+
 A scan takes many buckets in one step of a few array operations, as long as none of them induces
 into another of the step; from the first that does on, the next step begins.  A bucket that
 induces into itself (runs of one symbol) takes further turns by itself.
@@ -193,15 +197,19 @@ def induce(t: np.ndarray, s: np.ndarray, k: int, lms: np.ndarray) -> np.ndarray:
     return out
 
 
-def suffix_array(t: np.ndarray, k: int) -> np.ndarray:
-    """Suffix array of ``t`` over symbols 0..k-1; ``t`` ends with a 0 that stands nowhere else."""
+def suffix_array(t: np.ndarray, k: int, short: bool = False) -> np.ndarray:
+    """Suffix array of ``t`` over symbols 0..k-1; ``t`` ends with a 0 that stands nowhere else.
+
+    ``short``: common prefixes are short; longer ones cost rounds, by the logarithm of their length.
+    """
     n = len(t)
     if n < 3:
         return np.argsort(t, kind="stable")
     t = t.astype(np.int64)
     s = classify(t)
     lms = np.flatnonzero(s[1:] & ~s[:-1]) + 1
-    return induce(t, s, k, lms[_order(substring_names(t, lms))])
+    name = substring_names(t, lms)
+    return induce(t, s, k, lms[_order_by_rounds(name) if short else _order(name)])
 
 
 def _order(name: np.ndarray) -> np.ndarray:
@@ -226,6 +234,39 @@ def _order(name: np.ndarray) -> np.ndarray:
     return out
 
 
+def _order_by_rounds(name: np.ndarray) -> np.ndarray:
+    """The same order by prefix multiplication: ranks by the first names, then by three such ranks in a row."""
+    m = len(name)
+    bits = max(1, int(m).bit_length())
+    # 0 beyond the end; a rank is the place of the first of its equals, plus 1.
+    rank = np.concatenate([name + 1, np.zeros(1, np.int64)])
+    width, per = 1, max(2, 63 // max(1, int(name.max() + 1).bit_length()))
+    live, order = np.arange(m), np.empty(m, np.int64)
+    place = np.zeros(m, np.int64)
+    # ``live`` holds those that equal others, by rank, ``place`` where in the order they stand.
+    while True:
+        word = rank[live].astype(np.uint64)
+        step = np.uint64(63 // per)
+        for i in range(1, per):
+            word = word << step | rank[np.minimum(live + i * width, m)].astype(np.uint64)
+        by = np.argsort(word, kind="stable")
+        live, word = live[by], word[by]
+        if width == 1:
+            place = np.arange(m)
+        new = np.ones(len(live), bool)
+        np.not_equal(word[1:], word[:-1], out=new[1:])
+        first = np.flatnonzero(new)
+        size = np.diff(first, append=len(live))
+        order[place] = live
+        fresh = np.repeat(place[first] + 1, size)
+        many = np.repeat(size > 1, size)
+        rank[live] = fresh
+        if not many.any():
+            return order
+        live, place = live[many], place[many]
+        width, per = width * per, max(2, 63 // bits)
+
+
 def permuted_common_prefixes(t: np.ndarray, sa: np.ndarray) -> np.ndarray:
     """For each position, the common prefix with the suffix before it in order.
 

@@ -6,8 +6,9 @@ A byte goes if a ``SPAN``-byte string that covers it also starts in a text of a
     Equal windows have equal minimizers, so a minimizer is what deals windows to shards, and runs of
     windows with one minimizer travel as one string of at most ``2 * SPAN - GRAM`` bytes.  Only
     minimizers that stand in two different texts go on.
-2.  A shard makes one suffix array of its distinct strings by induced sorting, permuted common
-    prefixes from it, and from these the groups of equal windows with the least id of each.
+2.  A shard makes one suffix array of its distinct strings by induced sorting (their names sorted by
+    prefix multiplication, as the strings are short), permuted common prefixes from it, and from
+    these the groups of equal windows with the least id of each.
 3.  The findings go back to the unit (a part of a task's input, of bounded size) that sent the
     string, where they are laid over its texts.
 
@@ -306,7 +307,8 @@ def repeated_windows(strings: list[bytes], least: np.ndarray) -> tuple[np.ndarra
     text = body.astype(np.int64) + 2
     text[ends] = 1
     text = np.append(text, 0)
-    sa = suffix_array(text, 258)
+    # Distinct strings of at most 2 * SPAN bytes: no common prefix is longer than two of them.
+    sa = suffix_array(text, 258, short=True)
     common = permuted_common_prefixes(text, sa)
     owner = np.repeat(np.arange(len(strings)), size + 1)
     left = ends[owner] - np.arange(len(owner))
