@@ -52,4 +52,5 @@ def test_no_pair_table(spark, monkeypatch):
         raise AssertionError("a table of all pairs")
 
     monkeypatch.setattr(views, "pair_distances", stop)
+    assert QUERIES["view_distances"](spark, SF).count() == 3
     assert isinstance(QUERIES["consensus_distance"](spark, SF).toPandas(), pd.DataFrame)
