@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 
 from veldspar.operators import pair_ranks, views
+from veldspar.plans import evaluation
 from veldspar.plans.registry import QUERIES
 
 SF = "/root/testdata/sf0.01"
@@ -52,5 +53,6 @@ def test_no_pair_table(spark, monkeypatch):
         raise AssertionError("a table of all pairs")
 
     monkeypatch.setattr(views, "pair_distances", stop)
-    assert QUERIES["view_distances"](spark, SF).count() == 3
+    monkeypatch.setattr(evaluation.stats, "spearman_panel", stop)
+    assert QUERIES["view_distances"](spark, SF).count() == 3 and QUERIES["calibration_curve"](spark, SF).count() == 3
     assert isinstance(QUERIES["consensus_distance"](spark, SF).toPandas(), pd.DataFrame)
