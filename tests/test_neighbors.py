@@ -86,6 +86,36 @@ def test_blocks_go_once_to_a_shelf(spark):
     assert neighbors.within(index, 1e9, exact).count() == 6000 * 5999 // 2
 
 
+@pytest.mark.parametrize("kind", ["clusters", "copies", "few", "one"])
+def test_closest_pairs(spark, kind):
+    """The closest pairs of all are those of brute force, ties by ids, both ways; no list of neighbours is made for each row."""
+    rng = np.random.default_rng(9)
+    x = {
+        "clusters": lambda: rng.normal(size=(30, 6))[rng.integers(0, 30, 1500)] * 5 + rng.normal(size=(1500, 6)) * 0.1,
+        "copies": lambda: np.repeat(rng.normal(size=(3, 5)), [400, 1, 300], axis=0),
+        "few": lambda: rng.normal(size=(6, 3)),
+        "one": lambda: rng.normal(size=(1, 3)),
+    }[kind]()
+    ids = rng.permutation(len(x)) * 3
+    d = vectors._distances(x, x, "euclid", 9)
+    p, q = np.nonzero(ids[:, None] < ids[None, :])
+    order = np.lexsort((ids[q], ids[p], d[p, q]))[:50]
+    want = [(int(ids[p[n]]), int(ids[q[n]]), float(d[p[n], q[n]])) for n in order]
+    for few in (0, 10_000):
+        got = [tuple(r) for r in vectors.closest(frame(spark, x, ids), 50, few=few).collect()]
+        assert [r[:2] for r in got] == [r[:2] for r in want]
+        assert np.allclose([r[2] for r in got], [r[2] for r in want], atol=2e-9)
+
+
+def test_closest_pairs_skip_most_pairs(spark):
+    rng = np.random.default_rng(10)
+    x = rng.normal(size=(60, 8))[rng.integers(0, 60, 12_000)] * 4 + rng.normal(size=(12_000, 8)) * 0.2
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(12_000), "embedding": x.tolist()}), "vec_id long, embedding array<double>")
+    counted = spark.sparkContext.accumulator(0)
+    assert vectors.closest(df, 100, counted=counted).count() == 100
+    assert 0 < counted.value < 12_000**2 / 20
+
+
 def test_copies_of_long_vectors(spark):
     """Copies are at 0 and in the order of their ids, though products of long vectors are rounded."""
     rng = np.random.default_rng(8)
