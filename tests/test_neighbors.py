@@ -158,3 +158,15 @@ def test_best_of_worst():
         want = want[want != 1][:6]
         to, got = vectors._best_of_worst(x, y, 6)
         assert to.tolist() == want.tolist() and got.tolist() == worst[want].tolist()
+
+
+def test_affinity_searches_once(spark):
+    """Edges and scales come from one search for the neighbours."""
+    rng = np.random.default_rng(12)
+    df = frame(spark, rng.normal(size=(3000, 4)), np.arange(3000))
+    once, all_ = (spark.sparkContext.accumulator(0) for _ in range(2))
+    assert vectors.knn(df, 5, few=0, counted=once).count() == 15_000
+    edges = vectors.affinity(vectors.knn(df, 5, few=0, counted=all_), 5)
+    assert edges.count() == edges.selectExpr("src", "dst").distinct().count() > 7_500
+    # What a meeting leaves out depends on the order of the blocks, so the numbers may differ a little.
+    assert all_.value < 1.2 * once.value

@@ -65,6 +65,16 @@ def test_smoothness_rounds(spark):
         assert got[number] == pytest.approx(sum(w * d for w, d in e) / sum(w for w, _ in e))
 
 
+def test_places_are_worked_out_once(spark, monkeypatch):
+    """No condition on a place that a round deals makes its hashes be worked out again."""
+    # Plans as they are before they are written.
+    monkeypatch.setattr(permutations, "cut_lineage", lambda df: df)
+    edges = spark.createDataFrame([(0, 1, 1.0), (1, 2, 0.5)], "src long, dst long, w double")
+    got = permutations.smoothness_rounds(edges, spark.range(9).selectExpr("id", "cast(id as double) AS y"), 3)
+    # Once for each end of an edge, as nothing is written here.
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") == 2
+
+
 def test_mantel_sees_a_shared_layout(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(120, 3))
