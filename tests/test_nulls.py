@@ -9,7 +9,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from veldspar.operators import information, monotone, permutations
+from veldspar.operators import information, monotone, permutations, vectors
+from veldspar.operators import views as op_views
+from veldspar.plans import views
 from veldspar.sources import pages
 
 
@@ -73,6 +75,27 @@ def test_places_are_worked_out_once(spark, monkeypatch):
     got = permutations.smoothness_rounds(edges, spark.range(9).selectExpr("id", "cast(id as double) AS y"), 3)
     # Once for each end of an edge, as nothing is written here.
     assert got._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") == 2
+    a = spark.range(50).select("id", ((F.col("id") + 1) % 50).alias("neighbor"))
+    got = permutations.overlap_rounds(a, a, a.select("id"), 1, 3)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") == 1
+
+
+def test_overlap_test_searches_each_view_once(spark, monkeypatch):
+    """Rounds, overlap and expectation read one written search of each view."""
+    rng = np.random.default_rng(13)
+    rows = [(i, [float(v) for v in rng.normal(size=64)], 1) for i in range(1500)]
+    e = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    knn, seen = vectors.knn, []
+
+    def counted(*args, **kw):
+        seen.append(spark.sparkContext.accumulator(0))
+        return knn(*args, **kw, few=0, counted=seen[-1])
+
+    monkeypatch.setattr(vectors, "knn", counted)
+    a, b, rounds = views.dealt_overlaps(lambda _: e)
+    got = len(seen), sum(s.value for s in seen)
+    rounds.collect(), op_views.overlap_null(a, b, views.K, 1500).collect()
+    assert got == (2, sum(s.value for s in seen)) and a.count() == b.count() == 1500 * views.K
 
 
 def test_mantel_sees_a_shared_layout(spark):

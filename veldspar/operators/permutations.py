@@ -50,7 +50,8 @@ def places(nodes: DataFrame, key: str) -> DataFrame:
 
 def _spread(nodes: DataFrame, place: str) -> DataFrame:
     """Rows dealt out by their place: the planner puts small rows into few partitions, but each stands for a row per round with its hashes."""
-    return nodes.repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), place)
+    # By a hash, as what lies by the place already would stay where it is.
+    return nodes.repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64(place))
 
 
 def judged(rounds: DataFrame, value: str, upper: bool = True, mean: Column | None = None) -> DataFrame:
@@ -73,14 +74,16 @@ def overlap_rounds(a: DataFrame, b: DataFrame, nodes: DataFrame, k: int, rounds:
     A row per node and round with its k neighbours is what is shuffled.  Nodes without a list in one
     of the views have nothing in common; without nodes there are no rounds.
     """
-    at = places(nodes, "id")
+    at = cut_lineage(places(nodes, "id"))
     n = at.count()
     if not n:
         return nodes.sparkSession.createDataFrame([], "round int, overlap double")
     near = [x.join(at, "id").groupBy("place").agg(F.collect_set("neighbor").alias(c)) for x, c in ((a, "mine"), (b, "theirs"))]
     every = deals(nodes.sparkSession, rounds, n, seed)
-    asked = near[0].crossJoin(F.broadcast(every)).select("round", "mine", dealt(F.col("place"), n, seed).alias("place"))
-    hits = asked.join(near[1], "place").groupBy("round").agg(F.sum(F.size(F.array_intersect("mine", "theirs"))).alias("hits"))
+    asked = _spread(near[0], "place").crossJoin(F.broadcast(every)).select("round", "mine", dealt(F.col("place"), n, seed).alias("place"))
+    # An inner join would work out each place again to see that it is not null.
+    met = asked.join(near[1], "place", "left")
+    hits = met.groupBy("round").agg(F.sum(F.when(F.col("theirs").isNotNull(), F.size(F.array_intersect("mine", "theirs")))).alias("hits"))
     return every.select("round").join(hits, "round", "left").select("round", (F.coalesce("hits", F.lit(0)) / F.lit(float(n * k))).alias("overlap"))
 
 
