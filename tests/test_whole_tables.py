@@ -26,3 +26,13 @@ def test_consensus_distance(spark, table):
     rank = distances(x[:, :32]).rank()
     assert np.allclose(got.rank_a, (rank - rank.min()) / (rank.max() - rank.min()), atol=1e-7)
     assert "WHERE" not in ORACLES["consensus_distance"]
+
+
+def test_view_distances(spark, table):
+    _, x = table
+    d = {v: distances(x[:, s]) for v, s in (("a", slice(0, 16)), ("b", slice(16, 32)), ("d", slice(32, 64)))}
+    got = QUERIES["view_distances"](spark, SF).toPandas()
+    assert len(got) == 3
+    for row in got.itertuples():
+        assert row.rho == pytest.approx(d[row.view_a].rank().corr(d[row.view_b].rank()), abs=1e-6)
+    assert "WHERE" not in ORACLES["view_distances"]
