@@ -1,5 +1,7 @@
 """Statistics over pairs that name no cohort take every vector of the table."""
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -36,3 +38,13 @@ def test_view_distances(spark, table):
     for row in got.itertuples():
         assert row.rho == pytest.approx(d[row.view_a].rank().corr(d[row.view_b].rank()), abs=1e-6)
     assert "WHERE" not in ORACLES["view_distances"]
+
+
+def test_calibration_curve(spark, table):
+    ids, x = table
+    u1, u2 = (np.array([(int(hashlib.md5(f"{i}/{s}".encode()).hexdigest()[:7], 16) % 1000003 + 1) / 1000005.0 for i in ids]) for s in ("u1", "u2"))
+    x, z = (x[:, 0] - x[:, 0].mean()) / (x[:, 0].std() + 1e-8), np.sqrt(-2 * np.log(u1)) * np.cos(2 * np.pi * u2)
+    got = QUERIES["calibration_curve"](spark, SF).toPandas().set_index("q").spearman
+    for q in (0.2, 0.5, 0.8):
+        assert got[q] == pytest.approx(distances(x[:, None]).rank().corr(distances((x + z * np.sqrt((1 - q) / q))[:, None]).rank()), abs=1e-5)
+    assert "label" not in ORACLES["calibration_curve"]
