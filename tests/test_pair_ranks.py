@@ -56,3 +56,11 @@ def test_no_pair_table(spark, monkeypatch):
     monkeypatch.setattr(evaluation.stats, "spearman_panel", stop)
     assert QUERIES["view_distances"](spark, SF).count() == 3 and QUERIES["calibration_curve"](spark, SF).count() == 3
     assert isinstance(QUERIES["consensus_distance"](spark, SF).toPandas(), pd.DataFrame)
+
+
+def test_no_pair_table_of_the_correlation(spark, monkeypatch):
+    def stop(*_):
+        raise AssertionError("a table of all pairs")
+
+    monkeypatch.setattr(views, "pair_distances", stop)
+    assert QUERIES["pair_spearman"](spark, SF).first()["n"] > 0
