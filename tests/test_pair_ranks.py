@@ -64,3 +64,25 @@ def test_no_pair_table_of_the_correlation(spark, monkeypatch):
 
     monkeypatch.setattr(views, "pair_distances", stop)
     assert QUERIES["pair_spearman"](spark, SF).first()["n"] > 0
+
+
+@pytest.mark.parametrize("copies", [0, 40])
+def test_weighted_correlations(spark, copies, monkeypatch):
+    monkeypatch.setattr(pair_ranks, "BLOCK", 16)
+    monkeypatch.setattr(pair_ranks, "SAMPLE", 20)
+    df = cohort(spark, copies=copies)
+    got = dict(pair_ranks.weighted_correlations(pair_ranks.build(df, "id", VIEWS), lambda i, rnd: (i // 7 * rnd + i // 21) % 3, 3))
+    p = views.pair_distances(df, "id", VIEWS).toPandas()
+    for rnd in (1, 2, 3):
+        w = ((p.src // 7 * rnd + p.src // 21) % 3) * ((p.dst // 7 * rnd + p.dst // 21) % 3)
+        c = np.cov(p.a.rank(), p.b.rank(), fweights=w)
+        assert got[rnd] == pytest.approx(c[0, 1] / np.sqrt(c[0, 0] * c[1, 1]), abs=1e-10)
+    assert pair_ranks.weighted_correlations(pair_ranks.build(df, "id", VIEWS), lambda i, rnd: 0, 2) == [(1, None), (2, None)]
+
+
+def test_no_pair_table_of_the_bootstrap(spark, monkeypatch):
+    def stop(*_):
+        raise AssertionError("a table of all pairs")
+
+    monkeypatch.setattr(views, "pair_distances", stop)
+    assert QUERIES["node_bootstrap"](spark, SF).count() == 5
